@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .language import language_id
@@ -11,6 +12,13 @@ from .licenses import license_scan
 from .toxicity import toxicity
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary_path or public_tokenizers.path("byte_bpe_50k.json")
+    return bpe(read_table(spark, sf_dir, "documents"), path, with_ids=False, with_digests=True)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -28,6 +36,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
