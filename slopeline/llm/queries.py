@@ -9,6 +9,7 @@ from .common import read_table
 from .exact_dedup import exact_dedup
 from .language import language_id
 from .licenses import license_scan
+from .simhash import simhash_groups
 from .toxicity import toxicity
 
 
@@ -19,6 +20,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
     return bpe(read_table(spark, sf_dir, "documents"), path, with_ids=False, with_digests=True)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -37,6 +42,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
