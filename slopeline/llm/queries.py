@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .language import language_id
 from .licenses import license_scan
+from .line_dedup import duplicate_lines
+from .mixing import mix_sources
 from .simhash import simhash_groups
+from .substring_dedup import substring_dedup
 from .toxicity import toxicity
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -20,6 +28,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
     return bpe(read_table(spark, sf_dir, "documents"), path, with_ids=False, with_digests=True)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read_table(spark, sf_dir, "documents"), with_text=False, with_digest=True)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(read_table(spark, sf_dir, "documents"))
 
@@ -40,16 +52,37 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents"), digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicate_lines(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_compared", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op3_bpe": op3_bpe,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES = {
+    "op4_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS all_words FROM documents),
+        d AS (SELECT doc_id, list_filter(all_words, lambda x: x <> '') AS words FROM w),
+        k AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50),
+        h AS (SELECT doc_id, i, md5_number(array_to_string(words[i:i + 49], ' ')) AS edge FROM k),
+        f AS (SELECT edge, min(doc_id) AS least FROM h GROUP BY edge),
+        g AS (SELECT doc_id, list(i) AS starts FROM h JOIN f USING (edge) WHERE least < doc_id GROUP BY doc_id),
+        c AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS gone FROM g),
+        r AS (SELECT d.doc_id, words, coalesce(gone, []) AS gone FROM d LEFT JOIN c USING (doc_id))
+        SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
+            sha256(coalesce(array_to_string(list_filter(words, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+        FROM r
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
         g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
