@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe
 from .common import read_table
+from .cover_tree import embedding_dedup
 from .exact_dedup import exact_dedup
 from .language import language_id
 from .licenses import license_scan
@@ -21,6 +22,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
     import public_tokenizers
 
@@ -59,6 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_bpe": op3_bpe,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
@@ -70,6 +76,18 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+        ),
+        r(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+    """,
     "op4_substring_dedup": r"""
         WITH w AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') AS all_words FROM documents),
         d AS (SELECT doc_id, list_filter(all_words, lambda x: x <> '') AS words FROM w),
