@@ -99,7 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = 18, max_rows: int = 2
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(known, "doc_id").withColumn("order", F.xxhash64("doc_id", F.lit(1)))
+    rows = texts.join(F.broadcast(known), "doc_id")  # at most max_rows ids, so the texts stay where they are
+    rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(1)))
     rows = rows.repartition(shards, "order").sortWithinPartitions("order", "text").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
