@@ -6,11 +6,14 @@ lets more rows through; the join that follows stays exact.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import doc_key, mix
 
 _PROBES = 4
 
@@ -32,9 +35,7 @@ class Bloom:
 def build(keys: DataFrame, bits: int = 25) -> Bloom:
     """A filter of 2**bits bits over the one long column of ``keys``."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = mix(batch.column(0).drop_null().to_numpy().view(np.uint64))
             at = np.concatenate([(h >> np.uint64(16 * i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits) for i in range(_PROBES)])
@@ -46,3 +47,30 @@ def build(keys: DataFrame, bits: int = 25) -> Bloom:
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[rows.column("word").to_numpy()] = rows.column("bit").to_numpy().view(np.uint64)
     return Bloom(bits, words)
+
+
+def of_docs(keyed: DataFrame) -> Bloom:
+    """A filter over the (doc, tkey) pairs of a table without nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(doc_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["key"])
+
+    return build(keyed.select("doc", "tkey").mapInArrow(run, "key long"))
+
+
+def split(rows: DataFrame, found: Bloom) -> tuple[DataFrame, DataFrame]:
+    """Rows whose (doc, tkey), their first two columns, the filter may hold, and those it can't."""
+    sent = rows.sparkSession.sparkContext.broadcast(found)
+
+    def side(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    got = sent.value.may_hold(doc_key(batch.column(0).fill_null(0).to_numpy(), batch.column(1).to_numpy()))
+                    yield batch.filter(pa.array(got == wanted))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return side(True), side(False)

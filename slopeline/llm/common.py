@@ -133,3 +133,11 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: i
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+
+
+NO_ID = (1 << 63) - 1  # stands for a null id where ids are ordered: null ids come last
+
+
+def doc_key(doc: np.ndarray, tkey: np.ndarray) -> np.ndarray:
+    """A 64-bit key of (doc, tkey) pairs."""
+    return (doc.view(np.uint64) * _ODD + tkey.view(np.uint64)).view(np.int64)

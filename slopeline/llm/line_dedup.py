@@ -34,11 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import chunks, fresh, materialize, mix
+from .common import NO_ID, chunks, materialize, mix
 from .components import components
 
 _CHUNK = 1 << 20
-_NO_ID = (1 << 63) - 1  # null ids come last
 
 
 def _lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
@@ -244,7 +243,7 @@ def duplicate_lines(docs: DataFrame, *, min_chars: int = 20, shingle: int = 6, s
 
     ``removed`` lists, in order, the numbers (from 0) of the lines that go.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").alias("tkey"), F.col("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tkey"), F.col("text"))
     lines = materialize(texts.mapInArrow(_index(min_chars), "doc long, tkey long, line_no int, id long"), "lines")
     comp = line_components(texts, lines, min_chars=min_chars, shingle=shingle, similarity=similarity, bands=bands, rows=rows)
     named = lines.where("line_no >= 0").join(comp, "id", "left").select("doc", "tkey", "line_no", F.coalesce("component", "id").alias("component"))
@@ -255,7 +254,7 @@ def duplicate_lines(docs: DataFrame, *, min_chars: int = 20, shingle: int = 6, s
     per_doc = every.join(gone.distinct(), ["doc", "tkey", "line_no"], "left").groupBy("doc", "tkey").agg(
         F.sum((F.col("line_no") >= 0).cast("long")).alias("n_compared"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("removed")
     )
-    return per_doc.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "tkey", "n_compared", "removed")
+    return per_doc.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "tkey", "n_compared", "removed")
 
 
 def line_dedup(docs: DataFrame, **settings) -> DataFrame:
@@ -263,14 +262,13 @@ def line_dedup(docs: DataFrame, **settings) -> DataFrame:
 
     ``n_chars`` follows the text where there is such a column.
     """
-    key, number = fresh(docs, "tkey"), fresh(docs, "removed")
-    found = duplicate_lines(docs, **settings).where(F.size("removed") > 0)
-    found = found.select(F.col("doc_id").alias(fresh(docs, "line_doc")), F.col("tkey").alias(fresh(docs, "line_tkey")), F.col("removed").alias(number))
-    doc, tkey = found.columns[:2]
-    rows = docs.withColumn(key, F.xxhash64("text"))
-    out = rows.join(found, rows["doc_id"].cast("long").eqNullSafe(found[doc]) & (rows[key] == found[tkey]), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(number), i)), "\n")
-    text = F.when(F.col(number).isNull(), F.col("text")).otherwise(left)
-    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    out = out.select(*cols)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    found = materialize(duplicate_lines(docs, **settings).where(F.size("removed") > 0).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "tkey", "removed"), "line-removed")
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tkey"), F.struct(*docs.columns).alias("row"))
+    near, same = bloom.split(packed, bloom.of_docs(found))
+    out = near.join(found, ["doc", "tkey"], "left")
+    kept = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i))
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    length = {"n_chars": F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in docs.columns else {}
+    cols = {"text": text} | length
+    cut = out.select(*[cols.get(c, F.col("row")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return same.select("row.*").unionByName(cut)

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_SPACE, buffers, chunks, materialize, mix, word_spans
+from . import bloom
+from .common import NO_ID, NOT_SPACE, buffers, chunks, materialize, mix, word_spans
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -199,3 +200,26 @@ def component_names(rows: DataFrame, *, distance: int, segments: int, block: int
     named = own.join(found, own.fp == found.id, "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     return named.join(least, "component").select("fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 4, seed: int = 42, distance: int = 4, segments: int = 3, block: int = 2048) -> DataFrame:
+    """``docs`` with one document of each component left, the one of smallest doc_id; all columns stay.
+
+    Ties of doc_id go to the smaller hash of the text, fully repeated rows become one, and a null
+    doc_id comes last. Texts are shuffled only for documents that may go.
+    """
+    doc, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")
+    rows = materialize(fingerprints(docs.select(doc, tkey, "text"), shingle=shingle, seed=seed).select("doc", "tkey", "fp"), "simhash-fp")
+    names = component_names(rows.withColumnRenamed("doc", "doc_id"), distance=distance, segments=segments, block=block)
+    named = rows.join(names, "fp").select("doc", "tkey", F.col("component_id").alias("least"))
+    # The name of a component is its smallest id; among its rows of that id the smallest hash stays.
+    best = named.where("doc = least").groupBy("least").agg(F.min("tkey").alias("best"))
+    told = named.groupBy("doc", "tkey", "least").agg(F.count(F.lit(1)).alias("n")).join(best, "least")
+    stays = (F.col("doc") == F.col("least")) & (F.col("tkey") == F.col("best"))
+    moved = materialize(told.where(~stays | (F.col("n") > 1)).select("doc", "tkey", stays.alias("stays")), "simhash-gone")
+    packed = docs.select(doc, tkey, F.struct(*docs.columns).alias("row"))
+    near, sure = bloom.split(packed, bloom.of_docs(moved))
+    near = near.join(moved, ["doc", "tkey"], "left")
+    once = near.where("stays").dropDuplicates(["doc", "tkey"])
+    left = near.where("stays is null").select("doc", "tkey", "row").unionByName(once.select("doc", "tkey", "row"))
+    return sure.unionByName(left).select("row.*")

@@ -109,34 +109,6 @@ def _find_paths(window: int, anchor: int):
     return run
 
 
-def _doc_key(doc: np.ndarray, tkey: np.ndarray) -> np.ndarray:
-    return doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tkey.view(np.uint64)
-
-
-def _kept_back(sent, wanted: bool):
-    """Rows of documents that the filter may (or can't) hold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                doc = batch.column(0).fill_null(0).to_numpy()
-                got = sent.value.may_hold(_doc_key(doc, batch.column(1).to_numpy()).view(np.int64))
-                yield batch.filter(pa.array(got == wanted))
-
-    return run
-
-
-def _filter_of(keyed: DataFrame) -> bloom.Bloom:
-    """A filter over the (doc, tkey) pairs of a table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield _batch("key", _doc_key(batch.column(0).to_numpy(), batch.column(1).to_numpy()).view(np.int64))
-
-    return bloom.build(keyed.select("doc", "tkey").mapInArrow(run, "key long"))
-
-
 def _open_windows(window: int):
     """(w1, w2, doc, tkey, start) of every window of the listed paths of each text."""
 
@@ -178,8 +150,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, anchor: int = 20) -> Da
     mixed = owner.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     opened = owner.join(mixed, "anchor", "left_semi").groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
     opened = materialize(opened, "paths-open")
-    sent = texts.sparkSession.sparkContext.broadcast(_filter_of(opened))
-    near = texts.where("doc is not null").mapInArrow(_kept_back(sent, True), texts.schema)
+    near, _ = bloom.split(texts.where("doc is not null"), bloom.of_docs(opened))
     once = near.join(opened, ["doc", "tkey"]).dropDuplicates(["doc", "tkey"]).select("doc", "tkey", "text", "paths")
     single = materialize(once.mapInArrow(_open_windows(window), "w1 long, w2 long, doc long, tkey long, start int"), "windows")
     least = single.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -225,9 +196,8 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, anchor: int = 20, with
     spans = repeated_spans(docs, window=window, anchor=anchor)
     lists = materialize(spans.groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     texts = _texts(docs)
-    sent = texts.sparkSession.sparkContext.broadcast(_filter_of(lists))
     schema = "doc_id long, n_words long, n_removed long" + ", kept_sha256 string" * with_digest + ", kept_text string" * with_text
-    same = texts.mapInArrow(_kept_back(sent, False), texts.schema).mapInArrow(_cut(with_text, with_digest, None), schema)
-    near = texts.mapInArrow(_kept_back(sent, True), texts.schema)
+    near, same = bloom.split(texts, bloom.of_docs(lists))
+    same = same.mapInArrow(_cut(with_text, with_digest, None), schema)
     near = near.join(lists, ["doc", "tkey"], "left").select("doc", "tkey", "text", "spans")
     return same.unionByName(near.mapInArrow(_cut(with_text, with_digest, 3), schema))
