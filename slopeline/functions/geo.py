@@ -64,7 +64,7 @@ def segment_meets_triangle(seg: tuple[Column, ...], tri: Column) -> Column:
     Two convex shapes are apart exactly if a line along one of their sides has them on its two sides.
     """
     ux, uy, vx, vy = seg
-    corner = [(tri[a], tri[b]) for a, b in (("ax", "ay"), ("bx", "by"), ("cx", "cy"))]
+    corner = [(tri[a], tri[b]) for a, b in (("ax", "ay"), ("lx", "ly"), ("rx", "ry"))]
     apart = F.lit(False)
     for i in range(3):
         (px, py), (qx, qy), (rx, ry) = corner[i], corner[(i + 1) % 3], corner[(i + 2) % 3]

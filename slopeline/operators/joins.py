@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -26,28 +26,27 @@ def within_km(left: DataFrame, right: DataFrame, km: float, *, max_abs_lat: floa
     return a.join(b, ["_cy", "_cx"]).withColumn("km_apart", d).where(F.col("km_apart") <= km).drop("_cy", "_cx")
 
 
-def nearest(points: DataFrame, sites: DataFrame, *, key: str, site: str, cell: float, levels: int = 12) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, *, key: str, site: str, cell: float, levels: int = 3, factor: int = 16) -> DataFrame:
     """(key, site, dist): the nearest site of every point in planar distance of lon and lat.
 
     ``points`` has (key, lon, lat), ``sites`` (site, s_lon, s_lat); ties go to the smaller site.
     Both are laid on a grid; a site found in the nine cells around a point is nearest if it lies
-    within the cell size. Points without such a site go on to a grid of twice the size, so sparse
-    regions take a few more rounds and dense ones are never compared with far sites. With the
-    last grid all that is left is compared.
+    within the cell size. Points without such a site go on to a grid ``factor`` times as coarse, so
+    only points in empty regions are compared with far sites. Choose the size so that the last
+    grid spans the sites' extent: there the nearest of the nine cells is taken as it is.
     """
     left, found = points.select(key, "lon", "lat"), None
     for level in range(levels):
-        size = cell * 2**level
+        size = cell * factor**level
         a = left.withColumns({"_y": cell_of(F.col("lat"), size), "_x": cell_of(F.col("lon"), size)})
         b = sites.select(site, "s_lon", "s_lat").withColumn("_y", _around(cell_of(F.col("s_lat"), size))).withColumn("_x", _around(cell_of(F.col("s_lon"), size)))
         d = F.sqrt(F.pow(F.col("lon") - F.col("s_lon"), F.lit(2)) + F.pow(F.col("lat") - F.col("s_lat"), F.lit(2)))
-        best = a.join(b, ["_y", "_x"], "left").groupBy(key, "lon", "lat").agg(F.min(F.struct(d.alias("dist"), F.col(site))).alias("b"))
-        sure = F.col(f"b.{site}").isNotNull() & ((F.col("b.dist") <= size) | F.lit(level == levels - 1))
-        done = best.where(sure).select(key, f"b.{site}", "b.dist")
+        met = a.join(b, ["_y", "_x"], "left").select(key, "lon", "lat", d.alias("dist"), site)
+        best = met.groupBy(key, "lon", "lat").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", site))).alias("b"))
+        sure = F.coalesce(F.col("b.dist") <= size, F.lit(False)) | F.lit(level == levels - 1)
+        done = best.where(sure & F.col("b").isNotNull()).select(key, f"b.{site}", "b.dist")
         found = done if found is None else found.unionByName(done)
         left = best.where(~sure).select(key, "lon", "lat")
-        if level < levels - 1 and left.isEmpty():
-            break
     return found
 
 
@@ -67,13 +66,16 @@ def hotspots(reports: DataFrame, *, km: float = C.HOTSPOT_KM, days: int = C.HOTS
     Reports are first counted by place and time, so places with many reports don't pair up: a
     place is a distinct pair of coordinates.
     """
-    day = F.expr(f"INTERVAL {days} DAYS")
     late = reports.select("id", "t", "lat", "lon")
-    spot = reports.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.sort_array(F.collect_list("t")).alias("times"))
-    places = late.select("lat", "lon").distinct()
-    near = within_km(places, spot, km).select("lat", "lon", "times")
-    hits = late.join(near, ["lat", "lon"]).select("id", F.size(F.filter("times", lambda x: (x < F.col("t")) & (x >= F.col("t") - day))).alias("n"))
-    return hits.groupBy("id").agg((F.sum("n") + 1).cast("long").alias("hotspot_count"))
+    place = ["lat", "lon"]
+    places = reports.select(*place).distinct()
+    near = within_km(places, places.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), km).select(*place, "r_lat", "r_lon")
+    # Reports per place and instant, summed up over time per neighbourhood: a running count.
+    instant = reports.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "t").agg(F.count(F.lit(1)).alias("n"))
+    around = near.join(instant, ["r_lat", "r_lon"]).groupBy(*place, "t").agg(F.sum("n").alias("n"))
+    span = Window.partitionBy(*place).orderBy("micros").rangeBetween(-days * 86_400_000_000, -1)
+    counted = around.withColumn("micros", F.unix_micros(F.col("t").cast("timestamp"))).withColumn("before", F.coalesce(F.sum("n").over(span), F.lit(0)))
+    return late.join(counted, [*place, "t"]).select("id", (F.col("before") + 1).cast("long").alias("hotspot_count"))
 
 
 def outside_events(rows: DataFrame, events: DataFrame, *, km: float = C.HOLDOUT_KM, days: int = C.HOLDOUT_DAYS) -> DataFrame:

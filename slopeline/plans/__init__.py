@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import risk
+from . import impact, network, risk
 
 FLAGSHIP = "exceedance_fusion"
 
-_MODULES = (risk,)
+_MODULES = (risk, impact, network)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
