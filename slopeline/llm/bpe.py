@@ -16,7 +16,7 @@ become their own id, as the tokenizers library does.
 
 Defined cases: a null text counts as empty (no ids, empty decoded text); whole texts of any
 length are encoded; rows are independent. The counters of a task are flushed when they hold
-``_FLUSH`` words, and a worker's cache of words is emptied at ``_CACHE`` words.
+``_FLUSH`` words, and a worker's cache of pieces is emptied at ``_CACHE`` pieces.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import json
 import mmap
 import os
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, materialize
 
 # Fixed value: the pre-tokenizer's pattern, given with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _FLUSH = 400_000
-_CACHE = 400_000
+_CACHE = 800_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -68,34 +69,31 @@ class Vocabulary:
         for text, i in self.special.items():
             self.token[i] = text.encode()
         self.single = [ids[c] for c, _ in sorted(byte.items(), key=lambda x: x[1])]
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        # Pairs as one number; the value orders by rank and carries the merged id.
+        self.merge: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[ids[a], ids[b]] = (rank, ids[a + b])
+            self.merge[ids[a] << 32 | ids[b]] = rank << 32 | ids[a + b]
         self.split = regex.compile(PATTERN).findall
         self.mark = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word by repeatedly merging the pair of lowest rank, leftmost first."""
-        ids = [self.single[b] for b in word]
-        known = self.merge.get
-        while len(ids) > 1:
-            best, pair = min(((known(p, _NEVER), p) for p in zip(ids, ids[1:])), key=lambda x: x[0][0])
-            if best is _NEVER:
-                break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ids[i] == pair[0] and ids[i + 1] == pair[1]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        single, known = self.single, self.merge.get
+        ids = [single[b] for b in word]
+        found = [known(a << 32 | b, _NEVER) for a, b in zip(ids, ids[1:])]
+        while found and (best := min(found)) != _NEVER:
+            i = found.index(best)
+            ids[i : i + 2] = [best & 0xFFFFFFFF]
+            del found[i]
+            if i:
+                found[i - 1] = known(ids[i - 1] << 32 | ids[i], _NEVER)
+            if i < len(found):
+                found[i] = known(ids[i] << 32 | ids[i + 1], _NEVER)
         return ids
 
 
-_NEVER = (1 << 60, -1)
+_NEVER = 1 << 62
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -140,19 +138,23 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     below = []  # words that can be completed from a state; targets have lower numbers
     for end, own in zip(final, arcs):
         below.append(int(end) + sum(below[t] for _, t in own))
-    # Layout: root, states, words, ids, then for each state where its arcs begin, then arcs
-    # (letter, target, words before it), then the ids of each word by rank.
+    # Layout: root, states, arcs, words; then for each state whether a word ends there and where its
+    # arcs begin; targets of arcs; words before each arc; where each word's ids begin, by rank; the
+    # ids; and the letters of the arcs, a byte each.
     begin = np.cumsum([0, *(len(own) for own in arcs)])
-    flat = []
+    letters_of, target_of, before_of = bytearray(), [], []
     for end, own in zip(final, arcs):
         before = int(end)
         for letter, target in own:
-            flat += [letter, target, before]
+            letters_of.append(letter)
+            target_of.append(target)
+            before_of.append(before)
             before += below[target]
     ids = [words[w] for w in ordered]
     at = np.cumsum([0, *map(len, ids)])
-    parts = [[root, len(final), len(ordered), int(at[-1])], final, begin, flat, at, [i for w in ids for i in w]]
-    return b"".join(np.asarray(p, np.int64).astype("<i4").tobytes() for p in parts)
+    parts = [[root, len(final), len(target_of), len(ordered)], final, begin, target_of, before_of, at, [i for w in ids for i in w]]
+    numbers = b"".join(np.asarray(p, np.int64).astype("<i4").tobytes() for p in parts)
+    return len(numbers).to_bytes(8, "little") + numbers + bytes(letters_of)
 
 
 class Lexicon:
@@ -168,30 +170,34 @@ class Lexicon:
                 self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         finally:
             os.unlink(name)
-        view = memoryview(self._map).cast("i")
-        self.root, states, words, _ = view[:4]
+        self.letters = 8 + int.from_bytes(self._map[:8], "little")  # where the letters begin
+        view = memoryview(self._map)[8 : self.letters].cast("i")
+        self.root, states, arcs, words = view[:4]
         at = 4
         self.final = view[at : (at := at + states)]
         self.begin = view[at : (at := at + states + 1)]
-        self.arcs = view[at : (at := at + 3 * self.begin[states])]
+        self.target = view[at : (at := at + arcs)]
+        self.before = view[at : (at := at + arcs)]
         self.where = view[at : (at := at + words + 1)]
         self.ids = view[at:]
 
     def get(self, word: bytes) -> list[int] | None:
-        state, rank, arcs, begin = self.root, 0, self.arcs, self.begin
+        """The ids of a word, or None: follow its bytes, adding up the words that come before."""
+        state, rank, begin, base, find = self.root, 0, self.begin, self.letters, self._map.find
         for b in word:
-            for i in range(3 * begin[state], 3 * begin[state + 1], 3):
-                if arcs[i] == b:
-                    rank += arcs[i + 2]
-                    state = arcs[i + 1]
-                    break
-            else:
+            arc = find(_BYTE[b], base + begin[state], base + begin[state + 1]) - base
+            if arc < 0:
                 return None
+            rank += self.before[arc]
+            state = self.target[arc]
         return self.ids[self.where[rank] : self.where[rank + 1]].tolist() if self.final[state] else None
 
 
-class Encoder(dict):
-    """Words (as text) to ids (as little-endian 32-bit bytes), filled as words are met."""
+_BYTE = [bytes([b]) for b in range(256)]
+
+
+class Words(dict):
+    """Words to ids (as little-endian 32-bit bytes), filled as words are met."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         super().__init__()
@@ -204,17 +210,55 @@ class Encoder(dict):
             ids = self.vocabulary.merged(raw)
         if len(self) >= _CACHE:
             self.clear()
-        found = self[word] = np.array(ids, "<u4").tobytes()
+        found = self[word] = array("I", ids).tobytes()
+        return found
+
+
+class Pieces(dict):
+    """What stands between single spaces to ids; ``lead`` is put before each piece."""
+
+    def __init__(self, words: Words, lead: str):
+        super().__init__()
+        self.words, self.lead = words, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _CACHE // 2:
+            self.clear()
+        found = self[piece] = b"".join(map(self.words.__getitem__, self.words.vocabulary.split(self.lead + piece)))
         return found
 
+
+class Encoder:
+    """Texts to ids (as little-endian 32-bit bytes) and back.
+
+    The pre-tokenizer looks no further than a single space or line feed between two other
+    characters: it starts a new word there whatever stands around. Texts without any other
+    white space are therefore cut at those first, and the pieces are looked up whole. All other
+    texts go through the pre-tokenizer's pattern.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+        self.vocabulary = vocabulary
+        self.words = Words(vocabulary, lexicon)
+        self.first = Pieces(self.words, "")
+        self.spaced = Pieces(self.words, " ")
+        self.feed = self.words["\n"]
+
     def encode(self, text: str) -> bytes:
         v = self.vocabulary
         if v.mark is None or not any(m in text for m in v.special):
-            return b"".join(map(self.__getitem__, v.split(text)))
-        out = []
-        for part in v.mark.split(text):
-            out.append(np.array([v.special[part]], "<u4").tobytes() if part in v.special else b"".join(map(self.__getitem__, v.split(part))))
-        return b"".join(out)
+            return self._plain(text)
+        return b"".join(np.array([v.special[part]], "<u4").tobytes() if part in v.special else self._plain(part) for part in v.mark.split(text))
+
+    def _plain(self, text: str) -> bytes:
+        # Any other white space, or two in a row, would make these lists differ.
+        if text.replace("\n", " ").split(" ") != text.split():
+            return b"".join(map(self.words.__getitem__, self.vocabulary.split(text)))
+        first_word, spaced, out = self.first.__getitem__, self.spaced.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out.append(first_word(first) + b"".join(map(spaced, rest)))
+        return self.feed.join(out)
 
     def decode(self, ids: bytes) -> str:
         token = self.vocabulary.token
@@ -233,7 +277,10 @@ def _encoder(data: bytes, lexicon: bytes) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, limit: int) -> list[str]:
-    """The ``limit`` most frequent words between white space, counted over all texts."""
+    """The most frequent words between white space, at most ``limit``, counted over all texts.
+
+    Words of the same count are in or out together.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -252,9 +299,18 @@ def frequent_words(docs: DataFrame, limit: int) -> list[str]:
         if seen:
             yield flush()
 
-    words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # Ties at the limit are settled by the word itself; limit rows reach the driver, no more.
-    return [r[0] for r in words.where("length(word) <= 64 AND n > 1").orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    words = materialize(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1 AND length(word) <= 64"), "words")
+    # The smallest count that leaves at most ``limit`` words, from the number of words per count
+    # (grouped by the power of two above 1024, so that this table is small); so at most ``limit``
+    # rows reach the driver.
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))))
+    least, total = 1 << 62, 0
+    for row in words.groupBy(level.cast("long").alias("level")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("level")).collect():
+        total += row["c"]
+        if total > limit:
+            break
+        least = row["level"]
+    return [r[0] for r in words.where(F.col("n") >= least).select("word").collect()]
 
 
 def build_lexicon(docs: DataFrame, vocabulary: bytes, *, lexicon_words: int = 30_000) -> bytes:
