@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,7 +147,11 @@ def _pivot_pairs(reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                gap = np.sqrt(((unit(batch.column(3)) - unit(batch.column(6))) ** 2).sum(1))
+                size = pc.list_value_length(batch.column(3)).to_numpy()
+                gap = np.zeros(batch.num_rows)
+                for n in np.unique(size):  # groups of vectors of different length may share a batch
+                    at = np.flatnonzero(size == n)
+                    gap[at] = np.sqrt(((unit(batch.column(3).take(pa.array(at))) - unit(batch.column(6).take(pa.array(at)))) ** 2).sum(1))
                 ok = gap <= reach + batch.column(2).to_numpy() + batch.column(5).to_numpy()
                 keep = pa.array(ok)
                 yield _batch("grp p q gap", *(batch.column(i).filter(keep) for i in (0, 1, 4)), gap[ok])

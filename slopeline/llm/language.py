@@ -87,8 +87,9 @@ def suffix_automaton(text: np.ndarray) -> np.ndarray:
 def parse_table(text: np.ndarray) -> np.ndarray:
     """The automaton as one flat array for greedy parsing.
 
-    Entry state * 64 + class is the next state times two, plus one where the phrase had to end
-    and the character begins the next one. A character the text lacks is a phrase of its own.
+    Entry state * 64 + class is the next state times two, plus one where the phrase had to end and
+    the character begins the next one. A character that the labelled text lacks also begins a
+    phrase, which goes on with what follows it.
     """
     table = suffix_automaton(text)
     start = np.maximum(table[0], 0)
