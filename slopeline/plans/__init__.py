@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import impact, network, records, risk, streams
+from . import cards, impact, network, records, risk, streams
 
 FLAGSHIP = "exceedance_fusion"
 
-_MODULES = (risk, impact, network, records, streams)
+_MODULES = (risk, impact, network, records, cards, streams)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
