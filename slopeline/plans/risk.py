@@ -9,11 +9,9 @@ from ..functions import risk as R
 from ..operators import windows as W
 from ..sources import tables as T
 
-NOW = F.to_timestamp_ntz(F.lit(T.NOW))
-
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.trailing_sums(T.rain(spark, sf_dir), NOW)
+    return W.trailing_sums(T.rain(spark, sf_dir), F.to_timestamp_ntz(F.lit(T.NOW)))
 
 
 def _obs(spark: SparkSession, sf_dir: str) -> DataFrame:
