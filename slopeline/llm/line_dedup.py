@@ -10,8 +10,10 @@ are compared as sets of ``shingle`` characters.
    0.999, at 0.9 with more than 0.99999.
 2. Candidates are verified by exact Jaccard similarity of their shingle sets. In each bucket
    all lines are first compared with the most frequent one. Then every pair of the bucket that
-   is not yet in one component is compared too: pairs inside a component can't change it, so the
-   result is that of comparing all pairs, without making them.
+   is not yet in one component is compared too, inside the task by an inverted index, which
+   returns links between components only: pairs inside a component can't change it, so the
+   result is that of comparing all pairs, without making a list of them. Large buckets are
+   compared block by block.
 3. Distributed union-find over the verified links; the first line of each component, by
    (doc_id, line number), stays.
 
@@ -61,8 +63,8 @@ def line_id(lines: list[str]) -> list[int]:
     return [h - (1 << 64) if (h := xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))) >> 63 else h for s in lines]
 
 
-def signatures(lines: list[str], shingle: int, bins: int) -> np.ndarray:
-    """MinHash values of each line (lines x bins), all bins filled."""
+def shingle_codes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every shingle of every line: the line's index and a 64-bit code."""
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     size = np.array([len(s) for s in lines])
     begin = np.cumsum(size) - size
@@ -71,7 +73,13 @@ def signatures(lines: list[str], shingle: int, bins: int) -> np.ndarray:
         h = h * np.uint64(0x100000001B3) + code[j : len(code) - shingle + 1 + j] + np.uint64(1)
     line = np.repeat(np.arange(len(lines)), size)[: len(h)]
     inside = np.arange(len(h)) - begin[line] + shingle <= size[line]
-    h, line = mix(h[inside]), line[inside].astype(np.uint64)
+    return line[inside], mix(h[inside])
+
+
+def signatures(lines: list[str], shingle: int, bins: int) -> np.ndarray:
+    """MinHash values of each line (lines x bins), all bins filled."""
+    line, h = shingle_codes(lines, shingle)
+    line = line.astype(np.uint64)
     spot = (h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
     key = np.sort((line * np.uint64(bins) + spot) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
     group = key >> np.uint64(32)
@@ -197,25 +205,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, pairs of ids of one key whose components differ."""
-    key, ids, comps = None, [], []
-    for batch in batches:
-        a, b = [], []
-        for k, i, c in zip(*(batch.column(j).to_pylist() for j in range(3))):
-            if k != key:
-                key, ids, comps = k, [], []
-            for j, d in zip(ids, comps):
-                if d != c:
-                    a.append(min(i, j))
-                    b.append(max(i, j))
-            ids.append(i)
-            comps.append(c)
-        if a:
-            yield _batch("a b", pa.array(a, pa.int64()), pa.array(b, pa.int64()))
-
-
-def line_components(texts: DataFrame, occurrences: DataFrame, *, min_chars: int, shingle: int, similarity: float, bands: int, rows: int) -> DataFrame:
+def group_links(ids: list[int], comps: list[int], lines: list[str], shingle: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the components of similar lines of one group: every pair whose components
+    still differ is compared, by an inverted index over the group's shingles."""
+    line, code = shingle_codes(lines, shingle)
+    order = np.lexsort((code, line))
+    line, code = line[order], code[order]
+    new = np.append(True, (line[1:] != line[:-1]) | (code[1:] != code[:-1]))
+    line, code = line[new], code[new]
+    size = np.bincount(line, minlength=len(lines))
+    at = np.append(0, np.cumsum(size))
+    slot = np.unique(code, return_inverse=True)[1]
+    by_slot = line[np.argsort(slot, kind="stable")]
+    edge = np.append(0, np.cumsum(np.bincount(slot)))
+    root = np.array(comps, np.int64)
+    out = []
+    for i in range(len(lines)):
+        if (root[i + 1 :] == root[i]).all():
+            continue
+        own = slot[at[i] : at[i + 1]]
+        met = np.concatenate([by_slot[s:e] for s, e in zip(edge[own], edge[own + 1])])
+        both = np.bincount(met, minlength=len(lines))
+        near = np.flatnonzero(both >= similarity * (size[i] + size - both))
+        for j in near[near > i].tolist():
+            if root[j] != root[i]:
+                out.append((ids[i], ids[j]))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _across(shingle: int, similarity: float):
+    """Of rows (key, lo, hi, id, component, line) sorted by the first three, links between components of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def told():
+            links = group_links(*zip(*held), shingle, similarity) if len({x[1] for x in held}) > 1 else []
+            return _batch("a b", pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64()))
+
+        for batch in batches:
+            for *k, i, c, text in zip(*(batch.column(j).to_pylist() for j in range(6))):
+                if k != key:
+                    if held:
+                        yield told()
+                    key, held = k, []
+                held.append((i, c, text))
+        if held:
+            yield told()
+
+    return run
+
+
+def line_components(texts: DataFrame, occurrences: DataFrame, *, min_chars: int, shingle: int, similarity: float, bands: int, rows: int, block: int = 1024) -> DataFrame:
     """(id, component) of the lines that have a similar one. ``texts``: doc, tkey, text."""
     keys = texts.mapInArrow(_bands(min_chars, shingle, bands, rows), "key long, id long")
     shared = materialize(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "line-buckets")
@@ -232,10 +274,14 @@ def line_components(texts: DataFrame, occurrences: DataFrame, *, min_chars: int,
     first = materialize(_verified(star, lines, shingle, similarity), "line-links")
     comp = components(first, "line-components")
     known = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = known.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "id").mapInArrow(_across, "a long, b long").distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")  # those have been compared
-    return components(first.unionByName(_verified(rest, lines, shingle, similarity)), "line-components")
+    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rest = known.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A large bucket is compared block by block: a group holds two blocks, and each pair of blocks is a group.
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = rest.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "component").join(lines, "id")
+    rest = rest.select("key", "lo", "hi", "id", "component", "line").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    more = materialize(rest.mapInArrow(_across(shingle, similarity), "a long, b long").distinct(), "line-links")
+    return components(first.unionByName(more), "line-components")
 
 
 def duplicate_lines(docs: DataFrame, *, min_chars: int = 20, shingle: int = 6, similarity: float = 0.8, bands: int = 18, rows: int = 5) -> DataFrame:
