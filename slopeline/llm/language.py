@@ -155,14 +155,17 @@ def squeeze(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, *, chars: int = 40_000, max_docs: int = 400, max_langs: int = 64) -> Languages:
     """Labelled text per language from documents that are not held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()]
+    langs = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()}
     if len(langs) > max_langs:
         raise ValueError(f"more than {max_langs} languages; raise max_langs")
     texts: dict[str, bytes] = {}
-    for lang in langs:  # at most max_langs small jobs; each returns a span of at most max_docs texts
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    for lang, count in langs.items():  # at most max_langs small jobs; each returns a span of at most max_docs texts
         share = max(200, chars // 40)
         span = F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {share})), {share})")
-        rows = known.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select(span).collect()
+        # The smallest hashes of all; a bound on the hash keeps a partition from sending its own smallest.
+        few = known.where((F.col("lang") == lang) & (place < 2 * max_docs / count))
+        rows = few.orderBy(place, "doc_id").limit(max_docs).select(span).collect()
         texts[lang] = b" ".join(r[0].encode() for r in rows)[:chars]
     return Languages(texts)
 
