@@ -6,8 +6,8 @@ one insult weighs the same in a short text and in a very long one.
 
 The weights are fitted by FTRL-proximal: per-coordinate learning rates, L1 for sparsity. Only
 a bounded number of labelled rows is used (``max_rows``, taken by a hash of the id, so the
-choice is the same on every run and at every size); they are split over ``shards`` tasks that
-fit one model each, and the models are averaged. Few weights survive L1, so what is broadcast
+choice is the same on every run and at every size); a task fits one model to each ``shard_rows``
+of them, and the models are averaged, which evens out what chance taught each. Few weights survive L1, so what is broadcast
 is small and is bounded by 2**bits entries whatever the input. Scoring reads each whole text
 where it lies; nothing is shuffled.
 
@@ -90,14 +90,18 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, bits: int = 18, max_rows: int = 24_000, shards: int = 2, alpha: float = 3.0, beta: float = 1.0, l1_rate: float = 0.25, l2: float = 0.0, epochs: int = 1) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, bits: int = 18, max_rows: int = 24_000, shard_rows: int = 1500, alpha: float = 6.0, beta: float = 1.0, l1_rate: float = 0.25, l2: float = 0.0, epochs: int = 1) -> Model:
     """Fit on at most ``max_rows`` labelled documents that are not held out.
 
     L1 is ``l1_rate`` times the root of a shard's rows: chance features drift by that order, so
     the same evidence per row is asked for whatever the number of rows.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    total = known.count()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    # The smallest hashes of all; a bound on the hash keeps a task from sending its own smallest.
+    known = known.where(place < 1.5 * max_rows / max(total, 1)).orderBy(place, "doc_id").limit(max_rows)
+    shards = max(1, -(-min(total, max_rows) // shard_rows))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(known), "doc_id")  # at most max_rows ids, so the texts stay where they are
     rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(1)))
