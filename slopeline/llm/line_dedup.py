@@ -46,15 +46,16 @@ def _lines(text: str | None, min_chars: int) -> list[tuple[int, str]]:
     """Line number and normalised line of the lines that are compared."""
     if text is None:
         return []
-    return [(i, s) for i, raw in enumerate(text.split("\n")) if len(s := _norm(raw)) >= min_chars]
+    return [(i, s) for i, raw in enumerate(_fold(text).split("\n")) if len(s := raw.strip()) >= min_chars]
 
 
-_FOLD = {c: c + 32 for c in range(65, 91)}
+def _fold(text: str) -> str:
+    """A-Z in lower case: on bytes, where nothing else has case."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def _norm(line: str) -> str:
-    line = line.strip()
-    return line.lower() if line.isascii() else line.translate(_FOLD)
+    return _fold(line.strip())
 
 
 def line_id(lines: list[str]) -> list[int]:
@@ -274,7 +275,11 @@ def line_components(texts: DataFrame, occurrences: DataFrame, *, min_chars: int,
     first = materialize(_verified(star, lines, shingle, similarity), "line-links")
     comp = components(first, "line-components")
     known = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    mixed = known.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("same"), F.min("id").alias("least"), F.max("id").alias("most")
+    ).where("lo <> hi")
+    # Similar lines share many bands; buckets of the same lines are compared once.
+    mixed = mixed.groupBy("n", "same", "least", "most").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rest = known.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # A large bucket is compared block by block: a group holds two blocks, and each pair of blocks is a group.
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
