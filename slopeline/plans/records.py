@@ -72,7 +72,7 @@ def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def escalation_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = T.table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("t"), (F.col("value") / 500).alias("p"))
+    e = T.table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("t"), F.least(F.lit(1.0), F.col("value") / 500).alias("p"))
     out = S.escalations(e, "user_id", "p", "t")
     return out.select("user_id", "seq", F.col("t.ts").alias("ts"), "from_stage", "to_stage")
 
@@ -253,7 +253,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _STRATA = "q AS (SELECT quantile_cont(slope, 1/3.0::DOUBLE) AS q1, quantile_cont(slope, 2/3.0::DOUBLE) AS q2 FROM terrain), s AS (SELECT t.*, (CASE WHEN slope <= q1 THEN 0 WHEN slope <= q2 THEN 1 ELSE 2 END)::INT AS stratum FROM terrain t, q)"
-_ESC = """e AS (SELECT user_id, ts, value / 500 AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+_ESC = """e AS (SELECT user_id, ts, least(1, value / 500) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     r AS (SELECT *, CASE WHEN p >= 0.75 THEN 3 WHEN p >= 0.5 THEN 2 WHEN p >= 0.25 THEN 1 ELSE 0 END AS raw FROM e),
     f AS (SELECT user_id, 0::BIGINT AS rn, 0 AS was, 0 AS now, NULL::TIMESTAMP AS ts FROM (SELECT DISTINCT user_id FROM events)
         UNION ALL SELECT f.user_id, r.rn, f.now, CASE WHEN raw > now THEN raw WHEN raw < now AND p < now * 0.25 - 0.1 THEN raw ELSE now END, r.ts FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1),
