@@ -12,7 +12,7 @@ about one row per (window - anchor + 1) / 2 words.
 1. Paths whose anchor occurs once in the corpus are unique and go no further.
 2. Equal paths are joined: a path that a smaller document has too is repeated as a whole.
 3. Anchors with different paths are where passages begin, end or differ. One document per
-   distinct path opens it at its source coordinates into single windows, and equal windows are
+   distinct path opens it, at every place it has it, into single windows, and equal windows are
    joined. A window is found in the smallest document that has it, as that document has the
    smallest id of its path.
 4. Repeated paths and windows of a document that touch are compacted to spans.
@@ -143,12 +143,13 @@ def repeated_spans(docs: DataFrame, *, window: int = 50, anchor: int = 20) -> Da
     paths = materialize(found, "paths")
     again = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
     paths = materialize(paths.join(again, "anchor", "left_semi"), "paths-again")
-    owner = paths.groupBy("anchor", "path").agg(F.min(F.struct("doc", "tkey", "start", "n")).alias("first"))
-    owner = materialize(owner.select("anchor", "path", "first.*"), "paths-distinct")
-    least = owner.select("anchor", "path", F.col("doc").alias("least"))
-    whole = paths.join(least, ["anchor", "path"]).where("least < doc").select("doc", "tkey", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
+    owner = materialize(paths.groupBy("anchor", "path").agg(F.min("doc").alias("least")), "paths-distinct")
+    whole = paths.join(owner, ["anchor", "path"]).where("least < doc").select("doc", "tkey", "start", (F.col("start") + F.col("n") - 1 + window).alias("end"))
     mixed = owner.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    opened = owner.join(mixed, "anchor", "left_semi").groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
+    # The smallest document may have the path at several places and in several texts: all are opened.
+    source = owner.join(mixed, "anchor", "left_semi").withColumnRenamed("least", "doc")
+    opened = paths.join(source, ["anchor", "path", "doc"]).select("doc", "tkey", "start", "n").distinct()
+    opened = opened.groupBy("doc", "tkey").agg(F.collect_list(F.struct("start", "n")).alias("paths"))
     opened = materialize(opened, "paths-open")
     near, _ = bloom.split(texts.where("doc is not null"), bloom.of_docs(opened))
     once = near.join(opened, ["doc", "tkey"]).dropDuplicates(["doc", "tkey"]).select("doc", "tkey", "text", "paths")

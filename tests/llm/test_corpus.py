@@ -129,6 +129,16 @@ def test_substring_dedup(spark):
     assert SD.substring_dedup(odd_docs(spark, True), with_digest=True).count() == 0
 
 
+@pytest.mark.parametrize("size", [55, 60, 80])
+def test_substring_dedup_opens_every_place_of_a_document(spark, size):
+    passage = [f"p{i}" for i in range(size)]
+    fill = [[f"{side}{i}" for i in range(60)] for side in "abcd"]
+    rows = [(1, " ".join(["x"] * 3 + passage)), (2, " ".join(fill[0] + passage + fill[1] + fill[0] + passage + fill[1]))]
+    rows += [(2, " ".join(fill[2] + passage + fill[3]))]  # a second text with the same id
+    got = SD.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_spans(rows, 50)
+
+
 def fingerprint(text, shingle=4):
     from xxhash import xxh64_intdigest
 
