@@ -1,7 +1,9 @@
 """Fuzzy line dedup by MinHash: one line stays of each component of similar lines.
 
 Lines (split at line feeds, trimmed, lower-cased A-Z; those below ``min_chars`` are left alone)
-are compared as sets of ``shingle`` characters.
+are compared as sets of ``shingle`` characters. A line shorter than a shingle is one whole
+shingle, so it is similar to equal lines only; equal lines meet by their hash and need no bands.
+The query and the pipeline compare every line that is not empty (``min_chars=1``).
 
 1. Every line gets a MinHash signature by one-permutation hashing: each shingle is hashed once,
    falls into one of bands * rows bins and the smallest hash per bin counts; an empty bin takes
@@ -20,7 +22,7 @@ are compared as sets of ``shingle`` characters.
 Equal lines are one candidate, so very common lines cost nothing. The text itself is shuffled
 only for candidate lines: a Bloom filter of fixed size keeps the others back.
 
-Defined cases: a null text has no lines and stays null; empty and short lines stay; documents
+Defined cases: a null text has no lines and stays null; empty lines and those below ``min_chars`` stay; documents
 all of whose lines go stay as rows with empty text; a row with a null doc_id comes after all
 others in the order; fully repeated rows share one outcome; other columns are untouched. Lines
 are told apart by a 64-bit hash.
@@ -139,12 +141,12 @@ def _index(min_chars: int):
 
 
 def _bands(min_chars: int, shingle: int, bands: int, rows: int):
-    """(key, id) for every band of the lines of a chunk of texts, equal lines once."""
+    """(key, id) for every band of the lines of a chunk of texts, equal lines once; none for lines below a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
-                lines = list({s: None for text in part.column(2).to_pylist() for _, s in _lines(text, min_chars)})
+                lines = list({s: None for text in part.column(2).to_pylist() for _, s in _lines(text, max(min_chars, shingle))})
                 if lines:
                     key = band_keys(signatures(lines, shingle, bands * rows), bands, rows)
                     yield _batch("key id", key.ravel().view(np.int64), np.repeat(np.array(line_id(lines), np.int64), bands))
@@ -266,7 +268,7 @@ def line_components(texts: DataFrame, occurrences: DataFrame, *, min_chars: int,
     sent = texts.sparkSession.sparkContext.broadcast(found)
     wanted = shared.select("id").distinct()
     lines = materialize(
-        texts.mapInArrow(_texts(min_chars, sent), "id long, line string").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts"
+        texts.mapInArrow(_texts(max(min_chars, shingle), sent), "id long, line string").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts"
     )
     often = occurrences.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     often = often.join(wanted, "id", "left_semi")

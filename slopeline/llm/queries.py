@@ -58,7 +58,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = duplicate_lines(read_table(spark, sf_dir, "documents"))
+    found = duplicate_lines(read_table(spark, sf_dir, "documents"), min_chars=1)
     return found.select("doc_id", "n_compared", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 

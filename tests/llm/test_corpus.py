@@ -316,6 +316,26 @@ def test_line_dedup(spark):
     assert LD.line_dedup(odd_docs(spark)).count() == 11 and LD.line_dedup(odd_docs(spark, True)).count() == 0
 
 
+def test_line_dedup_query_and_stage_compare_short_lines(spark, tmp_path):
+    """All pairs, whatever their length: equal lines below a shingle, near ones above it."""
+    rng = random.Random(11)
+    pool = ["les.", "a", "日本語の文。", "nt onor. the of it.", "one two three four", "One two three four", "one two three fours", "one two three five"]
+    pool += ["".join(rng.choice("abcd ") for _ in range(rng.randint(1, 19))) for _ in range(40)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(6))) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    place = [(i, n, s) for i, t in rows for n, line in enumerate(t.split("\n")) if (s := lower(line.strip()))]
+    comp = brute_components(sorted({s for _, _, s in place}), lambda a, b: LD.jaccard(a, b, 6) >= 0.8)
+    first, gone = {}, collections.defaultdict(list)
+    for i, n, s in place:
+        if first.setdefault(comp[s], (i, n)) != (i, n):
+            gone[i].append(n)
+    got = {r.doc_id: (r.n_compared, r.removed) for r in Q.QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: (sum(p[0] == i for p in place), gone[i]) for i, _ in rows}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cut = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, docs, str(tmp_path)).collect()}
+    assert cut == {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in rows}
+
+
 def test_line_dedup_against_all_pairs(spark):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(80)]
