@@ -6,12 +6,13 @@ released at slot floor((i-1)/w) and due by ceil(i/w); of the released blocks the
 takes the slot. Then at every slot each source has had its weight times the slots so far, give
 or take less than one block.
 
-Weights are made integer shares of a ``period``; as they sum to it, the schedule repeats after
-``period`` slots, so only one period is scheduled (on the driver: at most max_sources * period
-steps in all) and the slot of any block follows by arithmetic. When a source runs out, a new
-phase begins in which the others share its weight in proportion; so every document is placed
-exactly once, none is dropped or repeated. There are at most as many phases as sources, and the
-deviation holds within each.
+Weights are integer shares of 2**40, so releases and deadlines are exact integers and rounding
+amounts to less than a block within any 2**39 slots. The whole of a phase is scheduled, on the
+driver and slot by slot: time grows with the blocks (rows / block_rows), memory is 4 bytes per
+block, listed in pieces of ``period`` blocks of one source. When a source runs out, a new phase
+begins in which the others share its weight in proportion; so every document is placed exactly
+once, none is dropped or repeated. There are at most as many phases as sources, and the deviation
+holds within each.
 
 Places in a source come from one range partitioning by (source, hash, id): rows are numbered in
 their partition and the partitions' counts are summed up (a table of partitions and sources),
@@ -26,12 +27,19 @@ rows that share source and doc_id come in any order; no rows give no rows; more
 from __future__ import annotations
 
 import heapq
+import itertools
+from array import array
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize
 
+_WHOLE = 1 << 40
+
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Integer shares of the period, at least 1 each, by largest remainder."""
@@ -45,53 +53,78 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def one_period(share: dict[str, int], period: int) -> dict[str, list[int]]:
-    """The slots of each source in one period, by earliest deadline among released blocks."""
-    slots: dict[str, list[int]] = {s: [] for s in share}
+def schedule(share: dict[str, int]) -> Iterator[str]:
+    """The source of each slot, without end, by earliest deadline among released blocks."""
+    whole = sum(share.values())
+    done = dict.fromkeys(share, 0)
     waiting = [(0, s) for s in sorted(share)]  # (release, source) of each source's next block
     heapq.heapify(waiting)
     ready: list[tuple[int, str]] = []
-    for t in range(period):
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, s = heapq.heappop(waiting)
-            i = len(slots[s]) + 1
-            heapq.heappush(ready, (-(-i * period // share[s]), s))
+            heapq.heappush(ready, (-(-(done[s] + 1) * whole // share[s]), s))
         _, s = heapq.heappop(ready)
+        done[s] += 1
+        yield s
+        t += 1
+        heapq.heappush(waiting, (max(done[s] * whole // share[s], t), s))
+
+
+def one_period(share: dict[str, int], period: int) -> dict[str, list[int]]:
+    """The slots of each source in the first ``period`` slots, which the shares sum to."""
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for t, s in zip(range(period), schedule(share)):
         slots[s].append(t)
-        if (i := len(slots[s])) < share[s]:
-            heapq.heappush(waiting, (max(i * period // share[s], t + 1), s))
     return slots
 
 
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
-    """Phases: for each source in one, its first block, blocks, the phase's first slot, and slots of a period."""
+def plan(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
+    """Phases: for each source in one, its first block, the phase's first slot, and the slot in the phase of each block."""
     left = {s: n for s, n in blocks.items() if n > 0}
     done = dict.fromkeys(left, 0)
     out, begin, phase = [], 0, 0
     while left:
         active = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1.0)
-        share = shares(active, period)
-        slots = one_period(share, period)
-
-        def last(s):
-            whole, rest = divmod(left[s] - 1, share[s])
-            return whole * period + slots[s][rest] + 1
-
-        length = min(map(last, active))  # the phase ends when a source runs out
-        whole, rest = divmod(length, period)
+        share = shares(active, _WHOLE)
+        slots = {s: array("i") for s in active}
+        for t, s in enumerate(schedule(share)):
+            slots[s].append(t)
+            if len(slots[s]) == left[s]:  # the phase ends when a source runs out
+                break
         for s in sorted(active):
-            n = whole * share[s] + sum(x < rest for x in slots[s])
-            if n:
-                out.append({"src": s, "phase": phase, "weight": share[s] / period, "first": done[s], "n": n, "begin": begin, "slots": slots[s]})
+            if n := len(slots[s]):
+                out.append({"src": s, "phase": phase, "weight": share[s] / _WHOLE, "first": done[s], "begin": begin, "slots": slots[s]})
             done[s] += n
             left[s] -= n
             if not left[s]:
                 del left[s]
-        begin += length
+        begin += t + 1
         phase += 1
     return out
 
 
+def pieces(phases: list[dict], size: int) -> Iterator[tuple]:
+    """(source, number of the piece, phase, weight, first block, begin, slots): a piece holds a source's
+    blocks from number * size on, as far as they lie in one phase."""
+    for p in phases:
+        at, end = p["first"], p["first"] + len(p["slots"])
+        while at < end:
+            to = min(end, (at // size + 1) * size)
+            yield p["src"], at // size, p["phase"], p["weight"], at, p["begin"], p["slots"][at - p["first"] : to - p["first"]]
+            at = to
+
+
+def _table(spark: SparkSession, phases: list[dict], size: int) -> DataFrame:
+    names = "src piece mix_phase mix_weight first begin slots".split()
+    types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    columns = list(zip(*pieces(phases, size))) or [()] * 7
+    slots = pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, columns[6]))], pa.int32()), pa.array(np.frombuffer(b"".join(x.tobytes() for x in columns[6]), np.int32)))
+    cols = [pa.array(c, t) for c, t in zip(columns[:6], types)] + [slots]
+    return spark.createDataFrame(pa.Table.from_arrays(cols, schema=pa.schema(list(zip(names, types)))))
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, block_rows: int = 32, period: int = 1000, max_sources: int = 500, seed: int = 42) -> DataFrame:
     """``docs`` with the columns mix_phase, mix_weight, mix_block, mix_slot and mix_position added.
 
@@ -111,21 +144,16 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, tem
     if len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources")
     targets = weights if weights is not None else {s: n**temperature for s, n in sizes.items()}
-    phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, targets, period)
-    table = spark.createDataFrame(
-        [(p["src"], p["phase"], p["weight"], p["first"], p["n"], p["begin"], p["slots"]) for p in phases],
-        "src string, mix_phase int, mix_weight double, first long, blocks long, begin long, slots array<int>",
-    )
-    # Bounded by max_sources * period slots.
-    table = F.broadcast(table)
+    phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, targets)
+    # 4 bytes per block of block_rows rows.
+    table = F.broadcast(_table(spark, phases, period))
     before = Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select(F.col(src).alias("o_src"), F.col(part).alias("o_part"), "lead", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     placed = rows.join(offsets, (F.col(src) == F.col("o_src")) & (F.col(part) == F.col("o_part"))).withColumn("place", F.col(at) - F.col("lead") + F.col("before"))
     placed = placed.withColumn("mix_block", F.floor(F.col("place") / block_rows))
-    placed = placed.join(table, (F.col(src) == table["src"]) & (F.col("mix_block") >= F.col("first")) & (F.col("mix_block") < F.col("first") + F.col("blocks")))
     nth = F.col("mix_block") - F.col("first")
-    share = F.size("slots")
-    slot = F.col("begin") + F.floor(nth / share) * period + F.element_at("slots", (nth % share + 1).cast("int"))
+    placed = placed.join(table, (F.col(src) == table["src"]) & (F.floor(F.col("mix_block") / period) == table["piece"]) & (nth >= 0) & (nth < F.size("slots")))
+    slot = F.col("begin") + F.element_at("slots", (nth + 1).cast("int"))
     added = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("place") % block_rows)
     return added.select(*docs.columns, "mix_phase", "mix_weight", "mix_block", "mix_slot", "mix_position")
 

@@ -272,6 +272,24 @@ def test_mixing_deviates_by_less_than_a_block(spark):
         MX.mix_sources(docs, max_sources=2)
 
 
+@pytest.mark.parametrize("sizes", [{"big": 8000} | {f"s{i}": 800 for i in range(20)}, {"big": 9000} | {f"s{i}": 100 for i in range(300)}])
+@pytest.mark.parametrize("temperature", [0.5, 1.0])
+def test_mixing_stays_within_a_block_of_the_targets(spark, sizes, temperature):
+    """At every slot, against the weights asked for, over more slots than a thousand."""
+    docs = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    got = MX.mix_sources(docs, temperature=temperature, block_rows=1).select("source", "mix_phase", "mix_slot", "mix_weight", "mix_position").collect()
+    assert sorted(r.mix_position for r in got) == list(range(sum(sizes.values())))
+    own = sorted((r.mix_slot, r.source, r.mix_weight) for r in got if r.mix_phase == 0)
+    total = sum(n**temperature for n in sizes.values())
+    target = {s: n**temperature / total for s, n in sizes.items()}
+    assert all(abs(w - target[s]) < 1e-9 for _, s, w in own)
+    index = {s: k for k, s in enumerate(sizes)}
+    taken = np.zeros((len(own), len(sizes)))
+    taken[np.arange(len(own)), [index[s] for _, s, _ in own]] = 1
+    ideal = np.outer(np.arange(1, len(own) + 1), [target[s] for s in sizes])
+    assert np.abs(np.cumsum(taken, 0) - ideal).max() < 1 + 1e-6
+
+
 def test_one_period_meets_all_deadlines():
     rng = random.Random(6)
     for _ in range(60):
