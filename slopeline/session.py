@@ -19,14 +19,23 @@ def local(cpus: int = 8, **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``, which all executors share.
+
+    Where none is set, a local session gets a folder of its own (tests); a cluster is refused, as
+    no other machine would see that folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="slopeline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
