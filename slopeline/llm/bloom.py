@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, mix
+from .common import doc_key, mix, tidy
 
 _PROBES = 4
 
@@ -35,6 +35,7 @@ class Bloom:
 def build(keys: DataFrame, bits: int = 25) -> Bloom:
     """A filter of 2**bits bits over the one long column of ``keys``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = mix(batch.column(0).drop_null().to_numpy().view(np.uint64))
@@ -52,6 +53,7 @@ def build(keys: DataFrame, bits: int = 25) -> Bloom:
 def of_docs(keyed: DataFrame) -> Bloom:
     """A filter over the (doc, tkey) pairs of a table without nulls."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -65,6 +67,7 @@ def split(rows: DataFrame, found: Bloom) -> tuple[DataFrame, DataFrame]:
     sent = rows.sparkSession.sparkContext.broadcast(found)
 
     def side(wanted: bool):
+        @tidy
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:

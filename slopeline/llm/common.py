@@ -6,15 +6,18 @@ Nothing here holds a whole table: text helpers see one Arrow batch at a time, an
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: Texts are handed to vectorised code in pieces of about this many bytes, so that a
 #: Python worker needs tens of megabytes whatever the length of a batch.
 CHUNK_BYTES = 4 << 20
@@ -22,15 +25,6 @@ CHUNK_BYTES = 4 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one is made only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="slopeline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
@@ -39,6 +33,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For functions over the batches of a task: what they needed goes back to the system when they
+    end, as workers are kept for later tasks."""
+
+    @wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -118,21 +128,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; base is odd."""
-    inverse = pow(base, -1, 1 << 64)
-    up = np.full(max(n, 1), base, np.uint64)
-    down = np.full(max(n, 1), inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """64-bit hash of values[start:end] for each range, independent of where the range lies."""
-    up, down = powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+_LONG = 64  # bytes; longer words are hashed one by one
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hash of each byte range raw[start:end]: eight bytes at a time, scrambled in between."""
+    from xxhash import xxh3_64_intdigest
+
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+
+    def piece(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        unused = np.uint64(8) * (np.uint64(8) - np.clip(left, 1, 8).astype(np.uint64))
+        return eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> unused)
+
+    h = mix(piece(starts, size) + np.uint64(seed % (1 << 64))) + size.astype(np.uint64) * _ODD
+    done = 8
+    while done < _LONG and len(more := np.flatnonzero((size > done) & (size <= _LONG))):
+        h[more] = mix(mix(h[more]) * _ODD + piece(starts[more] + done, size[more] - done))
+        done += 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxh3_64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed % (1 << 64))
+    return mix(h)
+
+
+class Runs:
+    """Hashes of runs of neighbouring word hashes, by doubling: a run of 2**i words is the scrambled
+    pair of its halves, and a run of any length is the pair of the two longest such runs that cover it."""
+
+    def __init__(self, word: np.ndarray, longest: int):
+        self.level = [word]
+        while 2 << len(self.level) - 1 <= longest:
+            half = 1 << len(self.level) - 1
+            last = self.level[-1]
+            n = max(len(last) - half, 0)
+            self.level.append(mix(mix(last[:n] * _ODD) + last[half : half + n]))
+
+    def hash(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """The hash of ``size`` (at least 1) words from each start."""
+        size = np.broadcast_to(np.asarray(size, np.int64), start.shape)
+        out = np.zeros(len(start), np.uint64)
+        fit = np.frexp(size.astype(np.float64))[1] - 1  # the largest i with 2**i <= size
+        for i in np.unique(fit).tolist():
+            at = np.flatnonzero(fit == i)
+            h, s, n = self.level[i], start[at], size[at]
+            out[at] = mix(mix(h[s] + n.astype(np.uint64)) * _ODD + h[s + n - (1 << i)])
+        return out
 
 
 NO_ID = (1 << 63) - 1  # stands for a null id where ids are ordered: null ids come last

@@ -40,8 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .components import _contract, components
+from .common import materialize, tidy
+from .components import components, forest
 
 
 class CoverTree:
@@ -118,6 +118,7 @@ def _batch(names: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names.split())
 
 
+@tidy
 def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (grp, salt, kind): a chunk's pivots (kind 0), then its points. Each point with its nearest pivot."""
     chunk, ids, tops = None, np.zeros(0, np.int64), []
@@ -144,6 +145,7 @@ def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pivot_pairs(reach: float):
     """Rows (grp, p, pr, pv, q, qr, qv): pivot pairs whose distance the covering radii can't rule out."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -163,6 +165,7 @@ def _compare(cosine: float, reach: float):
     """Rows (x, y) of leaves, each with its points: (a, b, n). n counts linked vectors of point a;
     rows with n 0 are links between a and b."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -183,11 +186,11 @@ def _compare(cosine: float, reach: float):
                 ends = [np.concatenate(z) for z in zip(*links)]
                 if not len(ends[0]):
                     continue
-                forest = next(_contract(iter([_batch("a b", *ends)])))
+                links = forest(*ends)
                 count = [(xi[nx > 0], nx[nx > 0])] if same else [(xi[nx > 0], nx[nx > 0]), (yi[ny > 0], ny[ny > 0])]
                 for ids, n in count:
                     yield _batch("a b n", ids, ids, n)
-                yield _batch("a b n", forest.column(0), forest.column(1), np.zeros(forest.num_rows, np.int64))
+                yield _batch("a b n", *links, np.zeros(len(links[0]), np.int64))
 
     return run
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, held_out
+from .common import buffers, chunks, held_out, tidy
 
 #: Classes of characters: 0 anything rare, then space, a-z, and two-byte letters by their second byte.
 _CLASSES = 64
@@ -179,6 +179,7 @@ def language_id(docs: DataFrame, *, block: int = 512, **settings) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, **settings))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:

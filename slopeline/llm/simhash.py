@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import NO_ID, NOT_SPACE, buffers, chunks, materialize, mix, word_spans
+from .common import NO_ID, NOT_SPACE, buffers, chunks, materialize, mix, tidy, word_spans
 from .components import components
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -86,6 +86,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFr
     docs = docs.drop("fp")
     at = docs.columns.index("text")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -139,6 +140,7 @@ def _compare(key: np.ndarray, fp: np.ndarray, distance: int, block: int) -> Iter
 def _stream(distance: int, block: int):
     """Over batches of sorted (key, fp) rows: compares each key once all of its rows are there."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
