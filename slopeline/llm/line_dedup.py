@@ -8,29 +8,37 @@ The query and the pipeline compare every line that is not empty (``min_chars=1``
 1. Every line gets a MinHash signature by one-permutation hashing: each shingle is hashed once,
    falls into one of bands * rows bins and the smallest hash per bin counts; an empty bin takes
    the value of another one in a fixed random order. Lines whose bins agree over a whole band
-   become candidates. With 18 bands of 5 a pair at similarity 0.8 is found with probability
+   meet in a bucket. With 18 bands of 5 a pair at similarity 0.8 is found with probability
    0.999, at 0.9 with more than 0.99999.
-2. Candidates are verified by exact Jaccard similarity of their shingle sets. In each bucket
+2. A 63-bit sketch (the lowest bit of each of 63 bins) travels along. In a bucket, lines stay only
+   if another one's sketch differs in at most ``apart`` bits; at similarity 0.8 it differs in
+   about 6. Lines with few shingles, whose bins depend on each other, always stay.
+3. Candidates are verified by exact Jaccard similarity of their shingle sets. In each bucket
    all lines are first compared with the most frequent one. Then every pair of the bucket that
    is not yet in one component is compared too, inside the task by an inverted index, which
    returns links between components only: pairs inside a component can't change it, so the
    result is that of comparing all pairs, without making a list of them. Large buckets are
    compared block by block.
-3. Distributed union-find over the verified links; the first line of each component, by
+4. Distributed union-find over the verified links; the first line of each component, by
    (doc_id, line number), stays.
 
-Equal lines are one candidate, so very common lines cost nothing. The text itself is shuffled
-only for candidate lines: a Bloom filter of fixed size keeps the others back.
+Equal lines are one candidate, so very common lines cost nothing: a task sends each once. The
+text itself is shuffled only for candidate lines: a Bloom filter of bounded size keeps the others
+back. What is aggregated is read back from a table before a join, so that Spark can split the
+other side at a line that is in a third of all documents.
 
 Defined cases: a null text has no lines and stays null; empty lines and those below ``min_chars`` stay; documents
 all of whose lines go stay as rows with empty text; a row with a null doc_id comes after all
-others in the order; fully repeated rows share one outcome; other columns are untouched. Lines
-are told apart by a 64-bit hash.
+others in the order; fully repeated rows share one outcome; very long lines are compared whole; an
+empty table gives no rows; other columns are untouched. Lines are told apart by 128 bits of hash.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import NO_ID, chunks, materialize, mix
+from .common import NO_ID, chunks, materialize, mix, tidy
 from .components import components
 
 _CHUNK = 1 << 20
@@ -56,161 +64,283 @@ def _fold(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _norm(line: str) -> str:
-    return _fold(line.strip())
+def line_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each line, as two columns."""
+    from xxhash import xxh3_128_digest
 
+    both = np.frombuffer(b"".join([xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in lines]), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
-def line_id(lines: list[str]) -> list[int]:
-    from xxhash import xxh3_64_intdigest
 
-    return [h - (1 << 64) if (h := xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"))) >> 63 else h for s in lines]
+_BYTE = np.uint64(8)
 
 
 def shingle_codes(lines: list[str], shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every shingle of every line: the line's index and a 64-bit code."""
-    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    size = np.array([len(s) for s in lines])
-    begin = np.cumsum(size) - size
-    h = np.zeros(max(len(code) - shingle + 1, 0), np.uint64)
-    for j in range(shingle):
-        h = h * np.uint64(0x100000001B3) + code[j : len(code) - shingle + 1 + j] + np.uint64(1)
-    line = np.repeat(np.arange(len(lines)), size)[: len(h)]
-    inside = np.arange(len(h)) - begin[line] + shingle <= size[line]
-    return line[inside], mix(h[inside])
-
-
-def signatures(lines: list[str], shingle: int, bins: int) -> np.ndarray:
-    """MinHash values of each line (lines x bins), all bins filled."""
+    """For every shingle of every line: the line's index and a 64-bit code.
+
+    Up to eight characters below 256 are packed into the code as they are; others are scrambled in.
+    """
+    size = np.array([len(s) for s in lines], np.int64)
+    text = "".join(lines)
+    n = len(text)
+    if shingle <= 8 and (raw := _latin(text)) is not None:
+        code = np.ndarray((n,), "<u8", np.frombuffer(raw + bytes(8), np.uint8), strides=(1,)) & np.uint64((1 << 8 * shingle) - 1)
+    else:
+        char = np.zeros(n + shingle, np.uint64)
+        char[:n] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        code, rest = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        for j in range(shingle):
+            if j < 8:
+                code |= (char[j : n + j] & np.uint64(255)) << np.uint64(8 * j)
+                over = char[j : n + j] >> _BYTE
+            else:
+                over = char[j : n + j]
+            rest = mix(rest * np.uint64(0x100000001B3) + over) if over.any() or rest.any() else rest
+        code ^= rest
+    count = np.maximum(size - shingle + 1, 0)
+    line = np.repeat(np.arange(len(lines)), count)
+    at = np.arange(len(line)) + np.repeat(np.cumsum(size) - size - (np.cumsum(count) - count), count)
+    return line, code[at]
+
+
+def _latin(text: str) -> bytes | None:
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+
+
+_EMPTY = np.uint32(0xFFFFFFFF)
+_FEW = 60  # shingles; below, bins are not independent enough for a sketch
+
+
+@lru_cache(maxsize=4)
+def _fill_order(bins: int) -> np.ndarray:
+    """For each bin the order in which it looks for a value at others."""
+    return np.array([np.random.default_rng(i).permutation(bins) for i in range(bins)])
+
+
+def signatures(lines: list[str], shingle: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash values of each line of at least one shingle (lines x bins), all bins filled, and whether
+    the line has few shingles."""
     line, h = shingle_codes(lines, shingle)
-    line = line.astype(np.uint64)
-    spot = (h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)
-    key = np.sort((line * np.uint64(bins) + spot) << np.uint64(32) | (h & np.uint64(0xFFFFFFFF)))
-    group = key >> np.uint64(32)
-    lead = np.append(True, group[1:] != group[:-1]) if len(key) else np.zeros(0, bool)
-    flat = np.full(len(lines) * bins, -1, np.int64)
-    flat[group[lead].astype(np.int64)] = (key[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    few = np.bincount(line, minlength=len(lines)) < _FEW
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    line *= bins
+    line += ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    flat = np.full(len(lines) * bins, _EMPTY, np.uint32)
+    np.minimum.at(flat, line, np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
     sig = flat.reshape(len(lines), bins)
-    own = sig.copy()
-    order = np.array([np.random.default_rng(i).permutation(bins) for i in range(bins)])
+    own, order = sig.copy(), _fill_order(bins)
+    row, col = np.nonzero(sig == _EMPTY)
     for step in range(bins):
-        row, col = np.nonzero(sig < 0)
         if not len(row):
             break
-        sig[row, col] = own[row, order[col, step]]
-    return sig.astype(np.uint64)
+        value = own[row, order[col, step]]
+        ok = value != _EMPTY
+        sig[row[ok], col[ok]] = value[ok]
+        row, col = row[~ok], col[~ok]
+    return sig, few
+
+
+_FLAG = np.uint64(1 << 63)  # of a sketch: the line has few shingles
+
+
+def sketches(sig: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """The lowest bits of up to 63 bins, and the flag of lines with few shingles."""
+    out = np.where(few, _FLAG, np.uint64(0))
+    for i in range(min(63, sig.shape[1])):
+        out |= (sig[:, i].astype(np.uint64) & np.uint64(1)) << np.uint64(i)
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
+    """Whether two sketches allow for similar lines."""
+    differ = np.bitwise_count((a ^ b) & ~_FLAG)
+    return (differ <= apart) | ((a | b) & _FLAG).astype(bool)
 
 
 def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for every band of every signature (lines x bands)."""
-    part = sig.reshape(len(sig), bands, rows)
+    part = sig.astype(np.uint64).reshape(len(sig), bands, rows)
     key = np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(sig), 1), np.uint64)
     for i in range(rows):
         key = mix(key ^ part[:, :, i] + np.uint64(i) * np.uint64(0x165667B19E3779F9))
     return key
 
 
-def jaccard(a: str, b: str, shingle: int) -> float:
-    """Exact similarity of two lines as sets of shingles."""
-    x = {a[i : i + shingle] for i in range(max(1, len(a) - shingle + 1))}
-    y = {b[i : i + shingle] for i in range(max(1, len(b) - shingle + 1))}
+def shingle_set(line: str, shingle: int) -> set[str]:
+    return {line[i : i + shingle] for i in range(max(1, len(line) - shingle + 1))}
+
+
+def similar(x: set[str], y: set[str]) -> float:
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
+def jaccard(a: str, b: str, shingle: int) -> float:
+    """Exact similarity of two lines as sets of shingles."""
+    return similar(shingle_set(a, shingle), shingle_set(b, shingle))
+
+
 def _batch(names: str, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names.split())
 
 
+_INDEX = "doc long, tkey long, line_no int, id long, id2 long"
+
+
 def _index(min_chars: int):
-    """(doc, tkey, line_no, id) for every compared line, and a row with line_no -1 for every document."""
+    """(doc, tkey, line_no, id, id2) for every compared line, and a row with line_no -1 for every
+    document, whose id is the number of its compared lines."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
-                docs, tkeys, numbers, lines = [], [], [], []
-                for doc, tkey, text in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    found = _lines(text, min_chars)
-                    docs += [doc] * (len(found) + 1)
-                    tkeys += [tkey] * (len(found) + 1)
-                    numbers += [-1, *(i for i, _ in found)]
-                    lines += [None, *(s for _, s in found)]
-                ids = iter(line_id([s for s in lines if s is not None]))
-                yield _batch("doc tkey line_no id", pa.array(docs, pa.int64()), pa.array(tkeys, pa.int64()), pa.array(numbers, pa.int32()), pa.array([None if s is None else next(ids) for s in lines], pa.int64()))
+                found = [_lines(text, min_chars) for text in part.column(2).to_pylist()]
+                size = np.array([len(own) for own in found])
+                at = pa.array(np.repeat(np.arange(len(size)), size))
+                id1, id2 = line_ids([s for own in found for _, s in own])
+                number = np.array([i for own in found for i, _ in own], np.int32)
+                yield _batch("doc tkey line_no id id2", part.column(0).take(at), part.column(1).take(at), number, id1, id2)
+                yield _batch("doc tkey line_no id id2", part.column(0), part.column(1), np.full(len(size), -1, np.int32), size.astype(np.int64), np.zeros(len(size), np.int64))
 
     return run
 
 
+_KEYS = "key long, id long, sketch long"
+_TOLD = 300_000  # lines that a task remembers as told
+
+
 def _bands(min_chars: int, shingle: int, bands: int, rows: int):
-    """(key, id) for every band of the lines of a chunk of texts, equal lines once; none for lines below a shingle."""
+    """(key, id, sketch) for every band of the lines of a task, equal lines once as far as it
+    remembers; none for lines below a shingle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
                 lines = list({s: None for text in part.column(2).to_pylist() for _, s in _lines(text, max(min_chars, shingle))})
-                if lines:
-                    key = band_keys(signatures(lines, shingle, bands * rows), bands, rows)
-                    yield _batch("key id", key.ravel().view(np.int64), np.repeat(np.array(line_id(lines), np.int64), bands))
+                if not lines:
+                    continue
+                ids = line_ids(lines)[0]
+                new = [i for i, x in enumerate(ids.tolist()) if x not in told]
+                if len(told) > _TOLD:
+                    told.clear()
+                told.update(ids[new].tolist())
+                if new:
+                    sig, few = signatures([lines[i] for i in new], shingle, bands * rows)
+                    key = band_keys(sig, bands, rows)
+                    yield _batch("key id sketch", key.ravel().view(np.int64), np.repeat(ids[new], bands), np.repeat(sketches(sig, few).view(np.int64), bands))
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (key, id) rows, distinct rows of keys with several ids. Holds one row of the past."""
-    last = None  # the latest distinct row, and whether its key is known to be shared
-    told = False
-    for batch in batches:
-        key, own = (batch.column(i).to_numpy() for i in (0, 1))
-        if last is not None:
-            key, own = np.append(last[0], key), np.append(last[1], own)
-        if not len(key):
-            continue
+def _buckets(apart: int, block: int):
+    """Of (key, id, sketch) rows sorted by key and id, the distinct ones with another line in their
+    key that the sketches allow to be similar. Keys beyond ``block`` lines stay as they are."""
+
+    def told(key: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-        key, own = key[new], own[new]
-        same = key[1:] == key[:-1]
-        ok = np.append(same, False) | np.append(False, same)
-        if told:  # the first row has been told already
-            ok[0] = False
-            told_last = len(key) == 1
-        else:
-            told_last = False
-        last = (key[-1], own[-1])
-        told = bool(ok[-1]) or told_last
+        key, own, sketch = key[new], own[new], sketch[new].view(np.uint64)
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(edge, len(key)))
+        ok = np.repeat(size > block, size)
+        few = np.flatnonzero(np.repeat((size > 1) & (size <= 16), size))
+        k, x = key[few], sketch[few]
+        for gap in range(1, int(size[size <= 16].max(initial=1))):
+            near = np.flatnonzero(k[gap:] == k[:-gap])
+            near = near[alike(x[near], x[near + gap], apart)]
+            ok[few[near]] = ok[few[near + gap]] = True
+        for start, n in zip(edge[(size > 16) & (size <= block)].tolist(), size[(size > 16) & (size <= block)].tolist()):
+            mine = sketch[start : start + n]
+            for i in range(0, n, 64):
+                near = alike(mine[i : i + 64, None], mine[None, :], apart)
+                near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+                ok[start + i : start + i + len(near)] = near.any(1)
         if ok.any():
-            yield _batch("key id", key[ok], own[ok])
+            yield _batch("key id sketch", key[ok], own[ok], sketch[ok].view(np.int64))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(i).to_numpy() for i in range(3)])
+            if held[0][0][0] != held[-1][0][-1]:  # at least one key has ended
+                cols = [np.concatenate(x) for x in zip(*held)]
+                last = int(np.searchsorted(cols[0], cols[0][-1]))
+                yield from told(*(c[:last] for c in cols))
+                held = [[c[last:] for c in cols]]
+            elif sum(len(x[0]) for x in held) > 1 << 20:  # a line that very many tasks have sent
+                cols = [np.concatenate(x) for x in zip(*held)]
+                new = np.append(True, cols[1][1:] != cols[1][:-1])
+                held = [[c[new] for c in cols]]
+        if held:
+            yield from told(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
 
 
 def _texts(min_chars: int, sent):
-    """(id, line) of candidate lines (and a few others that the filter lets through)."""
+    """(id, id2, line, n) of candidate lines (and a few others that the filter lets through); n counts a chunk's."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sent.value
         for batch in batches:
             for part in chunks(batch, "text", _CHUNK):
-                lines = list({s: None for text in part.column(2).to_pylist() for _, s in _lines(text, min_chars)})
-                if lines:
-                    ids = np.array(line_id(lines), np.int64)
-                    at = np.flatnonzero(sent.value.may_hold(ids))
-                    yield _batch("id line", ids[at], pa.array([lines[i] for i in at], pa.string()))
+                seen = Counter(s for text in part.column(2).to_pylist() for _, s in _lines(text, min_chars))
+                if seen:
+                    lines = list(seen)
+                    id1, id2 = line_ids(lines)
+                    at = np.flatnonzero(found.may_hold(id1))
+                    yield _batch("id id2 line n", id1[at], id2[at], pa.array([lines[i] for i in at], pa.string()), pa.array([seen[lines[i]] for i in at], pa.int64()))
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough."""
+def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of line numbers whose lines are similar enough."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, set()
         for batch in batches:
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            ok = [i for i in range(len(a)) if jaccard(x[i], y[i], shingle) >= similarity]
+            ok = []
+            for i in range(len(a)):
+                if b[i] != last:  # pairs come ordered by b
+                    last, held = b[i], shingle_set(y[i], shingle)
+                if similar(shingle_set(x[i], shingle), held) >= similarity:
+                    ok.append(i)
             yield _batch("a b", pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64()))
 
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("x"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
+    left = lines.select(F.col("v").alias("a"), F.col("line").alias("x"))
+    right = lines.select(F.col("v").alias("b"), F.col("line").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+_SMALL = 48  # lines
+
+
 def group_links(ids: list[int], comps: list[int], lines: list[str], shingle: int, similarity: float) -> list[tuple[int, int]]:
     """Links that join the components of similar lines of one group: every pair whose components
-    still differ is compared, by an inverted index over the group's shingles."""
+    still differ is compared, in small groups one by one, else by an inverted index over the group's
+    shingles."""
+    if len(lines) <= _SMALL:
+        root, sets, out = list(comps), [shingle_set(s, shingle) for s in lines], []
+        for i, j in combinations(range(len(lines)), 2):
+            if root[i] != root[j] and similar(sets[i], sets[j]) >= similarity:
+                out.append((ids[i], ids[j]))
+                root = [root[i] if r == root[j] else r for r in root]
+        return out
     line, code = shingle_codes(lines, shingle)
     order = np.lexsort((code, line))
     line, code = line[order], code[order]
@@ -240,6 +370,7 @@ def group_links(ids: list[int], comps: list[int], lines: list[str], shingle: int
 def _across(shingle: int, similarity: float):
     """Of rows (key, lo, hi, id, component, line) sorted by the first three, links between components of a group."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
@@ -260,54 +391,56 @@ def _across(shingle: int, similarity: float):
     return run
 
 
-def line_components(texts: DataFrame, occurrences: DataFrame, *, min_chars: int, shingle: int, similarity: float, bands: int, rows: int, block: int = 1024) -> DataFrame:
-    """(id, component) of the lines that have a similar one. ``texts``: doc, tkey, text."""
-    keys = texts.mapInArrow(_bands(min_chars, shingle, bands, rows), "key long, id long")
-    shared = materialize(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_shared, "key long, id long"), "line-buckets")
-    found = bloom.build(shared.select("id").distinct())
-    sent = texts.sparkSession.sparkContext.broadcast(found)
-    wanted = shared.select("id").distinct()
-    lines = materialize(
-        texts.mapInArrow(_texts(max(min_chars, shingle), sent), "id long, line string").join(wanted, "id", "left_semi").groupBy("id").agg(F.min("line").alias("line")), "line-texts"
-    )
-    often = occurrences.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    often = often.join(wanted, "id", "left_semi")
-    heads = shared.join(often, "id").groupBy("key").agg(F.max(F.struct("n", "id")).alias("head")).select("key", F.col("head.id").alias("head"))
-    star = shared.join(heads, "key").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+def line_components(texts: DataFrame, *, min_chars: int, shingle: int, similarity: float, bands: int, rows: int, apart: int = 20, block: int = 1024) -> DataFrame:
+    """(id, id2, component) of the lines that have a similar one. ``texts``: doc, tkey, text."""
+    keys = texts.mapInArrow(_bands(min_chars, shingle, bands, rows), _KEYS)
+    shared = materialize(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets(apart, block), _KEYS).select("key", "id"), "line-buckets")
+    wanted = materialize(shared.select("id").distinct(), "line-candidates")
+    sent = texts.sparkSession.sparkContext.broadcast(bloom.build(wanted))
+    lines = texts.mapInArrow(_texts(max(min_chars, shingle), sent), "id long, id2 long, line string, n long").join(wanted, "id", "left_semi")
+    lines = lines.groupBy("id", "id2").agg(F.min("line").alias("line"), F.sum("n").alias("n")).withColumn("v", F.monotonically_increasing_id())
+    lines = materialize(lines, "line-texts")
+    shared = materialize(shared.join(lines.select("id", "v", "n"), "id").select("key", "v", "n"), "line-bucket-lines")
+    heads = materialize(shared.groupBy("key").agg(F.max(F.struct("n", "v")).alias("head")).select("key", F.col("head.v").alias("head")), "line-heads")
+    star = shared.join(heads, "key").where("v <> head").select(F.col("v").alias("a"), F.col("head").alias("b")).distinct()
     first = materialize(_verified(star, lines, shingle, similarity), "line-links")
-    comp = components(first, "line-components")
-    known = shared.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    comp = components(first, "line-components").select(F.col("id").alias("v"), "component")
+    known = materialize(shared.join(comp, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component")), "line-known")
     mixed = known.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("same"), F.min("id").alias("least"), F.max("id").alias("most")
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("same"), F.min("v").alias("least"), F.max("v").alias("most")
     ).where("lo <> hi")
     # Similar lines share many bands; buckets of the same lines are compared once.
     mixed = mixed.groupBy("n", "same", "least", "most").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    rest = known.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rest = known.join(materialize(mixed, "line-mixed"), "key").withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     # A large bucket is compared block by block: a group holds two blocks, and each pair of blocks is a group.
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "component").join(lines, "id")
-    rest = rest.select("key", "lo", "hi", "id", "component", "line").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    rest = rest.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "v", "component").join(lines.select("v", "line"), "v")
+    rest = rest.select("key", "lo", "hi", "v", "component", "line").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "v")
     more = materialize(rest.mapInArrow(_across(shingle, similarity), "a long, b long").distinct(), "line-links")
-    return components(first.unionByName(more), "line-components")
+    comp = components(first.unionByName(more), "line-components").select(F.col("id").alias("v"), "component")
+    return materialize(lines.select("v", "id", "id2").join(comp, "v").select("id", "id2", "component"), "line-named")
 
 
-def duplicate_lines(docs: DataFrame, *, min_chars: int = 20, shingle: int = 6, similarity: float = 0.8, bands: int = 18, rows: int = 5) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, min_chars: int = 1, shingle: int = 6, similarity: float = 0.8, bands: int = 18, rows: int = 5) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, tkey (hash of the text), n_compared, removed.
 
     ``removed`` lists, in order, the numbers (from 0) of the lines that go.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("tkey"), F.col("text"))
-    lines = materialize(texts.mapInArrow(_index(min_chars), "doc long, tkey long, line_no int, id long"), "lines")
-    comp = line_components(texts, lines, min_chars=min_chars, shingle=shingle, similarity=similarity, bands=bands, rows=rows)
-    named = lines.where("line_no >= 0").join(comp, "id", "left").select("doc", "tkey", "line_no", F.coalesce("component", "id").alias("component"))
+    lines = materialize(texts.mapInArrow(_index(min_chars), _INDEX), "lines")
+    comp = line_components(texts, min_chars=min_chars, shingle=shingle, similarity=similarity, bands=bands, rows=rows)
+    # A line's name is its component (null, number) or, without one, its own 128 bits.
+    own = F.col("component").isNull()
+    named = lines.where("line_no >= 0").join(comp, ["id", "id2"], "left")
+    named = named.select("doc", "tkey", "line_no", F.when(own, F.col("id2")).alias("c2"), F.when(own, F.col("id")).otherwise(F.col("component")).alias("c1"), own.alias("alone"))
     place = F.struct("doc", "tkey", "line_no")
-    first = named.groupBy("component").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "first")
-    gone = named.join(first, "component").where(place != F.col("first")).select("doc", "tkey", "line_no", F.lit(True).alias("gone"))
-    every = lines.select("doc", "tkey", "line_no").distinct()
-    per_doc = every.join(gone.distinct(), ["doc", "tkey", "line_no"], "left").groupBy("doc", "tkey").agg(
-        F.sum((F.col("line_no") >= 0).cast("long")).alias("n_compared"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line_no")))).alias("removed")
-    )
-    return per_doc.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "tkey", "n_compared", "removed")
+    name = ["c1", "c2", "alone"]
+    named = named.withColumn("c2", F.coalesce("c2", F.lit(0)))
+    first = materialize(named.groupBy(name).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(*name, "first"), "line-first")
+    gone = named.join(first, name).where(place != F.col("first")).groupBy("doc", "tkey").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    each = lines.where("line_no < 0").select("doc", "tkey", F.col("id").alias("n_compared")).distinct()
+    told = each.join(gone, ["doc", "tkey"], "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return told.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "tkey", "n_compared", "removed")
 
 
 def line_dedup(docs: DataFrame, **settings) -> DataFrame:

@@ -74,14 +74,15 @@ def test_bpe_round_trip(spark, empty):
     assert got == sorted(want, key=repr)
 
 
-def test_bpe_random_texts_and_lexicon():
+def test_bpe_random_texts_and_lexicon(tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(VOCAB)
     with open(VOCAB, "rb") as f:
         v = B.Vocabulary(f.read())
     known = {w.encode(): v.merged(w.encode()) for w in ("ab", "abc", " abc", "xbc", "é", " the", "1")}
-    lexicon = B.Lexicon(B.compile_lexicon(known))
+    (tmp_path / "lexicon").write_bytes(B.compile_lexicon(known))
+    lexicon = B.Lexicon(str(tmp_path / "lexicon"))
     assert all(lexicon.get(w) == ids for w, ids in known.items()) and lexicon.get(b"a") is None and lexicon.get(b"") is None and lexicon.get(b"abcd") is None
     e, rng = B.Encoder(v, lexicon), random.Random(1)
     parts = ["a", "b", "abc", " ", "  ", "\n", "\t", "é", "ß", "1", "23", "'s", "'ll", "!", "..", "<|endoftext|>", "日本", " ", " ", "😀", "\r\n", "²", "\x00", "\x1c", "\u0085"]
@@ -139,6 +140,19 @@ def test_substring_dedup_opens_every_place_of_a_document(spark, size):
     assert sorted((tuple(r) for r in got), key=repr) == brute_spans(rows, 50)
 
 
+def test_substring_dedup_tells_apart_what_polynomials_confuse(spark):
+    """Words and arrangements of words that a polynomial modulo a power of two can't tell apart."""
+    morse = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in morse), "".join("ba"[x] for x in morse)
+    lead, tail = [f"l{i}" for i in range(25)], [f"t{i}" for i in range(44)]
+    rest = [[f"{c}{i}" for i in range(30)] for c in "xy"]
+    rows = [(1, " ".join(rest[0] + lead + [one] + tail)), (2, " ".join(rest[1] + lead + [two] + tail))]
+    rows += [(3, " ".join("AB"[x] for x in morse)), (4, " ".join("BA"[x] for x in morse))]
+    got = SD.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_spans(rows, 50)
+    assert next(r.n_removed for r in got if r.doc_id == 2) == 0
+
+
 def fingerprint(text, shingle=4):
     from xxhash import xxh64_intdigest
 
@@ -328,7 +342,7 @@ def test_line_dedup(spark):
     other = "completely different sentence about rain, slopes, roads and rivers in the high hills of the north"
     rows = [(2, f"{line}\nshort\n{other}"), (1, f"{near} x\nshort"), (3, None), (4, ""), (5, f"  {line.upper()}  \n{other}!\n{other}"), (None, line), (None, "new line that nobody else has in any of the texts here")]
     docs = spark.createDataFrame([(i, t, None if t is None else len(t), "keep") for i, t in rows], "doc_id long, text string, n_chars long, removed string")
-    out = sorted(((r.doc_id, r.text, r.n_chars, r.removed) for r in LD.line_dedup(docs).collect()), key=repr)
+    out = sorted(((r.doc_id, r.text, r.n_chars, r.removed) for r in LD.line_dedup(docs, min_chars=20).collect()), key=repr)
     kept = [(2, f"short\n{other}"), (1, f"{near} x\nshort"), (3, None), (4, ""), (5, ""), (None, ""), (None, rows[-1][1])]
     assert out == sorted(((i, t, None if t is None else len(t), "keep") for i, t in kept), key=repr)
     assert LD.line_dedup(odd_docs(spark)).count() == 11 and LD.line_dedup(odd_docs(spark, True)).count() == 0
@@ -374,6 +388,32 @@ def test_line_dedup_against_all_pairs(spark):
     assert got <= want and len(want - got) <= 1 and want
 
 
+def test_line_signatures_find_similar_lines():
+    """Recall of bands and sketches over pairs at similarity 0.8 to 0.9, of all lengths and alphabets."""
+    rng, found, n = random.Random(12), 0, 0
+    for size in (12, 40, 70, 120, 300, 900):
+        for alphabet in ("abcdefghij ", "aäöü éñ日本語xyz "):
+            for _ in range(400):
+                a = "".join(rng.choice(alphabet) for _ in range(size))
+                at = rng.randrange(size)
+                b = a[:at] + "".join(rng.choice("qrstuv") for _ in range(rng.randint(1, max(1, size // 12)))) + a[at:]
+                if LD.jaccard(a, b, 6) >= 0.8:
+                    n += 1
+                    sig, few = LD.signatures([a, b], 6, 90)
+                    sketch = LD.sketches(sig, few)
+                    found += bool((np.diff(LD.band_keys(sig, 18, 5), axis=0) == 0).any() and LD.alike(sketch[:1], sketch[1:], 20)[0])
+    assert n > 1500 and found >= 0.998 * n
+
+
+def test_shingle_codes_do_not_depend_on_the_neighbours():
+    a, b = "plain text and more", "plain text 日本語"
+    alone = set(LD.shingle_codes([a], 6)[1].tolist())
+    line, code = LD.shingle_codes([a, b, "tiny"], 6)
+    assert set(code[line == 0].tolist()) == alone and len(alone) == len({a[i : i + 6] for i in range(len(a) - 5)})
+    assert len(alone & set(code[line == 1].tolist())) == len({a[i : i + 6] for i in range(6)} & {b[i : i + 6] for i in range(9)})
+    assert not (line == 2).any()
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     vocab = [f"plain{i}" for i in range(300)]
@@ -396,6 +436,37 @@ def test_toxicity(spark):
     assert all(r.predicted == 0 for r in none) and TX.toxicity(odd_docs(spark, True), known).count() == 0
 
 
+def test_ftrl_against_one_coordinate_at_a_time():
+    rng = random.Random(7)
+    rows = [(np.array(sorted(rng.sample(range(16), 5))), rng.random() < 0.4) for _ in range(80)]
+    alpha, beta, l1, l2 = 0.8, 1.0, 0.3, 0.1
+    z, n = [0.0] * 17, [0.0] * 17
+
+    def weight(i):
+        if i < 16 and abs(z[i]) <= l1:
+            return 0.0
+        shrink = 0.0 if i == 16 else l1 * (1 if z[i] > 0 else -1)
+        return -(z[i] - shrink) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for slots, y in rows:
+            w = {i: weight(i) for i in [*slots.tolist(), 16]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in w:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    got, bias = TX.ftrl(rows, 4, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+    assert np.allclose(got, [weight(i) for i in range(16)]) and np.isclose(bias, weight(16)) and 0 < np.count_nonzero(got) < 16
+
+
+def test_toxicity_scores_held_out_documents_of_the_tables(spark):
+    sf = "/root/testdata/sf0.1"
+    got = Q.QUERIES["op6_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    bad, good = [r.score for r in got if r.toxic], sorted(r.score for r in got if not r.toxic)
+    assert sum(x > good[int(len(good) * 0.9)] for x in bad) >= 0.85 * len(bad)
+    assert sum(x >= 0.7 for x in good) <= 0.01 * len(good) and sum(x >= 0.7 for x in bad) >= 0.65 * len(bad)
+
+
 def test_language(spark):
     rng = random.Random(5)
     speech = {"aa": ["bla", "ble", "blo", "kram"], "bb": ["zin", "zun", "trox", "väl"], "cc": ["ño", "quil", "mest", "ora"]}
@@ -440,11 +511,10 @@ def test_pipeline_against_plain_python(spark):
     """Each stage's result on the small tables, by rules written anew."""
     stages = dict(corpus_pipeline.STAGES)
     large = "/root/testdata/sf0.01"  # the smallest tables have too few labels to learn from
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{large}/documents.parquet").collect()}
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{large}/labels.parquet").collect()}
     clean = {r.doc_id for r in stages["toxicity"](spark, spark.read.parquet(f"{large}/documents.parquet"), large).collect()}
-    bad = re.compile(r"\b(idiot|stupid|trash|moron|scum|pathetic|loser|clown|worthless|disgusting)\b", re.I)
-    gone = texts.keys() - clean
-    assert sum(bool(bad.search(texts[i])) for i in gone) >= 0.9 * len(gone) > 0
+    bad = {i for i, y in toxic.items() if y}
+    assert len(bad - clean) >= 0.7 * len(bad) > 0 and len(toxic.keys() - bad - clean) <= 0.01 * len(toxic)
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     one = stages["simhash near-dedup"](spark, docs, sf)
