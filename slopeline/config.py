@@ -37,7 +37,7 @@ ROUTE_ALPHA, ROUTE_BETA, WALK_KMH = 3.0, 1.0, 4.0
 EARTH_KM, EARTH_M = 6371.0088, 6371008.8
 
 # Reports.
-DEDUP_KM, DEDUP_HOURS, HOTSPOT_KM, HOTSPOT_DAYS, RECURRENCE_DAYS = 0.25, 72, 2.0, 7, 14
+DEDUP_KM, DEDUP_HOURS, HOTSPOT_KM, HOTSPOT_DAYS = 0.25, 72, 2.0, 7
 CLOSED = ("actioned", "dismissed")
 
 # Hold-out exclusion.

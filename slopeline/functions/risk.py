@@ -55,7 +55,7 @@ def runout_triangle(x: Column, y: Column, aspect: Column, relief: Column, p: Col
     ux, uy = F.sin(bearing), F.cos(bearing)
     tip_x, tip_y = x + length * ux, y + length * uy
     found = F.struct(
-        x.alias("ax"), y.alias("ay"), (tip_x - half * uy).alias("lx"), (tip_y + half * ux).alias("ly"), (tip_x + half * uy).alias("rx"), (tip_y - half * ux).alias("ry")
+        x.alias("ax"), y.alias("ay"), (tip_x + half * uy).alias("lx"), (tip_y - half * ux).alias("ly"), (tip_x - half * uy).alias("rx"), (tip_y + half * ux).alias("ry")
     )
     return F.when((p >= C.RUNOUT_P_FAIL) & aspect.isNotNull() & (relief > 0), found)
 

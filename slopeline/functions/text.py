@@ -42,14 +42,24 @@ def top_drivers(parts: Column, n: int = 2) -> Column:
     return F.concat_ws(", ", F.transform(F.slice(F.array_sort(parts, order), 1, n), lambda p: F.concat(p["label"], F.lit(" ("), F.when(p["x"] >= 0, "+").otherwise("-"), F.abs(F.round(p["x"] * 100)).cast("long").cast("string"), F.lit("%)"))))
 
 
-def recommendation(urgency: Column, quality: Column, relevance: Column, duplicate: Column, hotspots: Column) -> Column:
+# What is recommended for a report.
+HOLD = "Hold for manual evidence review; the photo quality or hazard relevance is too low for operational use."
+LINK = "Link this evidence to %s and verify whether conditions have worsened before dispatching another team."
+HIGH = "High-priority DDMA review: %s. Human authorisation is required before public action."
+RESTRICT = "restrict access and dispatch an immediate field verification"
+CLOSURE = "verify the closure immediately and update DDMA routing/road-isolation inputs"
+PRIORITISE = "Prioritise field verification during the current operational shift and compare the location with the live risk map."
+ACKNOWLEDGE = "Acknowledge the citizen report and queue it for routine field verification; do not alter alerts until an officer confirms it."
+
+
+def recommendation(category: Column, urgency: Column, quality: Column, relevance: Column, duplicate: Column, hotspots: Column) -> Column:
     """What to do with a report: the first rule that holds."""
     return (
-        F.when((relevance < 0.35) | (quality < 0.25), "review the evidence by hand")
-        .when(duplicate.isNotNull(), F.concat(F.lit("link to report "), duplicate.cast("string")))
-        .when(urgency >= 70, "verify at once")
-        .when((urgency >= 45) | (hotspots >= 4), "verify this shift")
-        .otherwise("queue for routine verification")
+        F.when((relevance < 0.35) | (quality < 0.25), HOLD)
+        .when(duplicate.isNotNull(), F.format_string(LINK, duplicate.cast("string")))
+        .when(urgency >= 70, F.format_string(HIGH, F.when(category == "Blocked road", CLOSURE).otherwise(RESTRICT)))
+        .when((urgency >= 45) | (hotspots >= 4), PRIORITISE)
+        .otherwise(ACKNOWLEDGE)
     )
 
 

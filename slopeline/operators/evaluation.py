@@ -29,24 +29,35 @@ def confusion(rows: DataFrame, thresholds: tuple[float, ...] = C.OPERATING_THRES
     return out.withColumn("caught", F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)))
 
 
+_BUCKETS = 1024
+
+
 def _by_score(rows: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score: what curves need, however many rows."""
-    return rows.groupBy("p").agg(F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") <= 0).alias("neg"))
+    """Positives and negatives per distinct score, with those of lower buckets of scores (``pos0``, ``neg0``)
+    and those of lower scores in the bucket (``pos1``, ``neg1``): running sums without one task for all."""
+    s = rows.groupBy("p").agg(F.count_if(F.col("y") > 0).alias("pos"), F.count_if(F.col("y") <= 0).alias("neg"))
+    s = s.withColumn("bucket", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "p")) * _BUCKETS))
+    sums = s.groupBy("bucket").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # at most _BUCKETS + 1 rows
+    below = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("bucket", F.coalesce(F.sum("p").over(below), F.lit(0)).alias("pos0"), F.coalesce(F.sum("n").over(below), F.lit(0)).alias("neg0"))
+    inside = Window.partitionBy("bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({c + "1": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("pos", "neg")})
+    return s.join(F.broadcast(sums), "bucket")
 
 
 def roc_auc(rows: DataFrame) -> DataFrame:
     """(auc): the chance that a positive scores above a negative, ties half; null with one class."""
     s = _by_score(rows)
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return s.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2)).agg((F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
+    wins = F.col("pos") * (F.col("neg0") + F.col("neg1") + F.col("neg") / 2)
+    return s.withColumn("wins", wins).agg((F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """(ap): precision at each distinct score, weighed by the recall it adds."""
     s = _by_score(rows)
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    tp, seen = F.sum("pos").over(w), F.sum(F.col("pos") + F.col("neg")).over(w)
-    return s.withColumn("part", F.col("pos") * tp / seen).agg((F.sum("part") / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"))
+    total = F.broadcast(rows.agg(F.count_if(F.col("y") > 0).alias("all_pos"), F.count_if(F.col("y") <= 0).alias("all_neg")))
+    tp, fp = F.col("all_pos") - F.col("pos0") - F.col("pos1"), F.col("all_neg") - F.col("neg0") - F.col("neg1")  # at or above the score
+    return s.join(total).withColumn("part", F.col("pos") * tp / (tp + fp)).agg((F.sum("part") / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"))
 
 
 def quadrants(rows: DataFrame) -> DataFrame:

@@ -2,52 +2,108 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.geo import cell_of, haversine, km_cells
+from ..functions.geo import cell_of, haversine, km_cells, point_segment
+from ..session import cut
 
 
 def _around(cell: Column) -> Column:
     return F.explode(F.array(cell - 1, cell, cell + 1))
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float, *, max_abs_lat: float = 60.0) -> DataFrame:
-    """All pairs of rows within ``km``, with the distance as ``km_apart``.
+def _lon_cells(band: Column, dlat: float) -> Column:
+    """Cells around the earth in a band of latitude, each wide enough in it and in the bands beside it."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * dlat), F.abs((band + 2) * dlat)))
+    n = F.floor(360.0 / 1.01 * F.cos(F.radians(far)) / dlat)
+    return F.when(n < 30, F.lit(1)).otherwise(n).cast("long")
+
+
+def _lon_cell(lon: Column, n: Column) -> Column:
+    return F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n).cast("long")
 
-    ``left`` has lat and lon, ``right`` has r_lat and r_lon (other names must differ). Each right
-    row is sent to the nine cells around it, so every pair meets once, in the left row's cell.
+
+def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """All pairs of rows within ``km``, with the distance as ``km_apart``, anywhere on earth.
+
+    ``left`` has lat and lon, ``right`` has r_lat and r_lon (other names must differ). Cells are bands
+    of latitude cut into as many parts as their width allows; near the poles a band is one cell, and
+    cells go on across the date line. Each right row is sent to the cells around it, so every pair
+    meets once, in the left row's cell.
     """
-    dlat, dlon = km_cells(km, max_abs_lat)
-    a = left.withColumns({"_cy": cell_of(F.col("lat"), dlat), "_cx": cell_of(F.col("lon"), dlon)})
-    b = right.withColumn("_cy", _around(cell_of(F.col("r_lat"), dlat))).withColumn("_cx", _around(cell_of(F.col("r_lon"), dlon)))
+    dlat = km_cells(km, 0.0)[0]
+    a = left.withColumn("_cy", cell_of(F.col("lat"), dlat))
+    a = a.withColumn("_cx", F.pmod(_lon_cell(F.col("lon"), _lon_cells(F.col("_cy"), dlat)), _lon_cells(F.col("_cy"), dlat)))
+    b = right.withColumn("_cy", _around(cell_of(F.col("r_lat"), dlat)))
+    n = _lon_cells(F.col("_cy"), dlat)
+    beside = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(_lon_cell(F.col("r_lon"), n) + i, n)))
     d = haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    return a.join(b, ["_cy", "_cx"]).withColumn("km_apart", d).where(F.col("km_apart") <= km).drop("_cy", "_cx")
+    return a.join(b.withColumn("_cx", F.explode(beside)), ["_cy", "_cx"]).withColumn("km_apart", d).where(F.col("km_apart") <= km).drop("_cy", "_cx")
+
+
+def _outward(points: DataFrame, x: str, y: str, key: str, cell: float, bounds: DataFrame, meet: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
+    """(key, ..., dist): the nearest match of every point, by grids that get coarser for those without one.
+
+    ``meet`` joins points, spread over the nine cells of a grid, with what lies there and gives one
+    row per point: key, x, y and a struct ``b`` (null without a match) whose first field is the
+    distance. A match within the cell size is nearest; once a cell spans all bounds any match is.
+    """
+    box = bounds.first()
+    span = max([cell, *(hi - lo for lo, hi in ((box[0], box[1]), (box[2], box[3])) if lo is not None)])
+    left, found, size = points.select(key, x, y), None, cell
+    while True:
+        best = cut(meet(left, size))
+        sure = F.coalesce(F.col("b.dist") <= size, F.lit(False)) | F.lit(size >= span)
+        done = best.where(sure & F.col("b").isNotNull()).select(key, "b.*")
+        found = done if found is None else found.unionByName(done)
+        left = best.where(~sure).select(key, x, y)
+        if size >= span or left.isEmpty():
+            return found
+        size *= 4
+
 
+def _bounds(*columns: tuple[DataFrame, str, str]) -> DataFrame:
+    """One row: the least and largest x and y of several tables."""
+    both = reduce(DataFrame.unionByName, [d.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for d, x, y in columns])
+    return both.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"))
 
-def nearest(points: DataFrame, sites: DataFrame, *, key: str, site: str, cell: float, levels: int = 3, factor: int = 16) -> DataFrame:
+
+def nearest(points: DataFrame, sites: DataFrame, *, key: str, site: str, cell: float) -> DataFrame:
     """(key, site, dist): the nearest site of every point in planar distance of lon and lat.
 
-    ``points`` has (key, lon, lat), ``sites`` (site, s_lon, s_lat); ties go to the smaller site.
-    Both are laid on a grid; a site found in the nine cells around a point is nearest if it lies
-    within the cell size. Points without such a site go on to a grid ``factor`` times as coarse, so
-    only points in empty regions are compared with far sites. Choose the size so that the last
-    grid spans the sites' extent: there the nearest of the nine cells is taken as it is.
+    ``points`` has (key, lon, lat), ``sites`` (site, s_lon, s_lat); ties go to the smaller site. Only
+    points in empty regions are compared with far sites. Without any site there are no rows.
     """
-    left, found = points.select(key, "lon", "lat"), None
-    for level in range(levels):
-        size = cell * factor**level
+
+    def meet(left: DataFrame, size: float) -> DataFrame:
         a = left.withColumns({"_y": cell_of(F.col("lat"), size), "_x": cell_of(F.col("lon"), size)})
         b = sites.select(site, "s_lon", "s_lat").withColumn("_y", _around(cell_of(F.col("s_lat"), size))).withColumn("_x", _around(cell_of(F.col("s_lon"), size)))
         d = F.sqrt(F.pow(F.col("lon") - F.col("s_lon"), F.lit(2)) + F.pow(F.col("lat") - F.col("s_lat"), F.lit(2)))
         met = a.join(b, ["_y", "_x"], "left").select(key, "lon", "lat", d.alias("dist"), site)
-        best = met.groupBy(key, "lon", "lat").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", site))).alias("b"))
-        sure = F.coalesce(F.col("b.dist") <= size, F.lit(False)) | F.lit(level == levels - 1)
-        done = best.where(sure & F.col("b").isNotNull()).select(key, f"b.{site}", "b.dist")
-        found = done if found is None else found.unionByName(done)
-        left = best.where(~sure).select(key, "lon", "lat")
-    return found
+        return met.groupBy(key, "lon", "lat").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", site))).alias("b"))
+
+    bounds = _bounds((points, "lon", "lat"), (sites, "s_lon", "s_lat"))
+    return _outward(points, "lon", "lat", key, cell, bounds, meet).select(key, site, "dist")
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, *, key: str, cell: float) -> DataFrame:
+    """(key, dist): the planar distance of every point (key, x, y) to the nearest segment (ux, uy, vx, vy)."""
+
+    def meet(left: DataFrame, size: float) -> DataFrame:
+        span = lambda lo, hi: F.explode(F.sequence(cell_of(lo, size), cell_of(hi, size)))
+        a = left.withColumn("_x", _around(cell_of(F.col("x"), size))).withColumn("_y", _around(cell_of(F.col("y"), size)))
+        b = segments.select("ux", "uy", "vx", "vy").withColumn("_x", span(F.least("ux", "vx"), F.greatest("ux", "vx"))).withColumn("_y", span(F.least("uy", "vy"), F.greatest("uy", "vy")))
+        d = point_segment(F.col("x"), F.col("y"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
+        met = a.join(b, ["_x", "_y"], "left").select(key, "x", "y", d.alias("dist"))
+        return met.groupBy(key, "x", "y").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist"))).alias("b"))
+
+    bounds = _bounds((points, "x", "y"), (segments, "ux", "uy"), (segments, "vx", "vy"))
+    return _outward(points, "x", "y", key, cell, bounds, meet).select(key, "dist")
 
 
 def duplicates(reports: DataFrame, *, km: float = C.DEDUP_KM, hours: int = C.DEDUP_HOURS) -> DataFrame:
@@ -92,9 +148,3 @@ def outside_events(rows: DataFrame, events: DataFrame, *, km: float = C.HOLDOUT_
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new``, and of ``stored`` those whose key ``new`` lacks."""
     return stored.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
-def first_rows(stored: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Merge by key: values of ``new`` where they are set, else those of ``stored``."""
-    n = new.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in columns])
-    return stored.join(n, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) for c in columns])

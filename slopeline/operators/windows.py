@@ -23,16 +23,17 @@ def hourly(rain: DataFrame) -> DataFrame:
     return rain.groupBy("pixel_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.sum("precip_mm").alias("mm"))
 
 
-def rolling(series: DataFrame, key: str, order: str, value: str, steps: dict[str, int]) -> DataFrame:
-    """Sums over the latest rows of each key, the current one included."""
-    w = Window.partitionBy(key).orderBy(order)
-    return series.withColumns({n: F.sum(value).over(w.rowsBetween(1 - k, 0)) for n, k in steps.items()})
+def rolling(series: DataFrame, key: str, order: str, value: str, hours: dict[str, int]) -> DataFrame:
+    """Sums over the latest hours of each key, the current one included; hours without a row count 0."""
+    w = Window.partitionBy(key).orderBy(F.col(order).cast("timestamp").cast("long"))
+    return series.withColumns({n: F.sum(value).over(w.rangeBetween(-3600 * (k - 1), 0)) for n, k in hours.items()})
 
 
 def soil_proxy(series: DataFrame, key: str, value: str) -> DataFrame:
-    """Soil moisture from 0.22 to 0.92 by the share of the key's wettest value."""
-    peak = F.max(value).over(Window.partitionBy(key))
-    return series.withColumn("soil_moisture", F.when(peak > 0, F.round(0.22 + 0.70 * F.col(value) / peak, 4)).otherwise(0.22))
+    """Soil moisture from 0.22 to 0.92 by the share of the key's wettest value; values count to a nanometre."""
+    near = F.round(value, 6)
+    peak = F.max(near).over(Window.partitionBy(key))
+    return series.withColumn("soil_moisture", F.when(peak > 0, F.round(0.22 + 0.70 * near / peak, 4)).otherwise(0.22))
 
 
 def hyetograph(steps: DataFrame, total: str = "total_mm", n: str = "n_steps", peak: str = "peak") -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import risk as R
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import joins as J
+from ..operators import state as S
 from ..sources import tables as T
 
 
@@ -29,7 +30,8 @@ def report_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     full = r.join(J.hotspots(r), "id", "left").join(J.duplicates(r), "id", "left")
     quality, relevance = F.col("id") % 9 / 8, F.col("id") % 10 / 10
     urgency = R.urgency(F.col("id") % 5 + 1, relevance, quality, F.coalesce("hotspot_count", F.lit(1)), F.col("id") % 21 / 20, F.col("duplicate_of").isNotNull())
-    return full.select("id", X.recommendation(urgency, quality, relevance, F.col("duplicate_of"), F.col("hotspot_count")).alias("what"))
+    category = F.when(F.col("category") == "click", "Blocked road").otherwise(F.col("category"))
+    return full.select("id", X.recommendation(category, urgency, quality, relevance, F.col("duplicate_of"), F.col("hotspot_count")).alias("what"))
 
 
 def forecast_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +88,8 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports that a newer one of the same user and type replaces: the next of at least their confidence or with authority."""
     e = T.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts", (F.col("event_id") % 8 / 8).alias("confidence"), (F.col("event_id") % 5 == 0).alias("authority"))
-    rows = e.groupBy("user_id", "event_type").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "confidence", "authority"))).alias("r"))
-    each = rows.select("user_id", "event_type", "r", F.posexplode("r").alias("i", "x"))
-    later = F.filter(F.slice("r", F.col("i") + 2, F.size("r")), lambda y: (y["ts"] > F.col("x.ts")) & (y["authority"] | (y["confidence"] >= F.col("x.confidence"))))
-    out = each.select(F.col("x.event_id").alias("event_id"), F.try_element_at(later, F.lit(1)).alias("by"), F.col("x.ts").alias("ts")).where("by IS NOT NULL")
-    return out.select("event_id", F.col("by.event_id").alias("superseded_by"), F.floor((F.unix_micros(F.col("by.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000000).alias("seconds"))
+    rows = e.select(F.concat_ws("|", "user_id", "event_type").alias("who"), "ts", "event_id", "confidence", "authority")
+    return S.superseding(rows, "who").drop("who")
 
 
 def newest_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +118,7 @@ def sdg_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest per user of all events in order: equal for equal replays."""
     e = T.table(spark, sf_dir, "events").select("user_id", "event_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type"), 256).alias("h"))
-    rows = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "h"))).alias("x"))
-    return rows.select("user_id", F.sha2(F.concat_ws("", F.transform("x", lambda s: s["h"])), 256).alias("digest"), F.size("x").alias("events"))
+    return S.digests(e, "user_id", "event_id", "h")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -133,9 +131,10 @@ ORACLES = {
     "action_cards": """WITH v AS (SELECT c_custkey AS village_id, (c_custkey % 20) / 20.0::DOUBLE AS p, TIMESTAMP '2024-01-29 12:00:00' + to_hours(c_custkey % 24) AS at_t FROM customer)
         SELECT village_id, 'card-' || village_id || '-' || strftime(at_t, '%Y-%m-%dT%H:%M:%S') AS alert_id, CASE WHEN p >= 0.75 THEN 'RED' ELSE 'ORANGE' END AS stage, CASE WHEN p >= 0.75 THEN 'Evacuate now' ELSE 'Prepare to evacuate' END AS headline,
         at_t + INTERVAL 6 HOUR AS valid_until, CASE WHEN village_id % 6 = 0 THEN 'no open route' ELSE 'shelter ' || (village_id % 9) END AS route FROM v WHERE p >= 0.5""",
-    "report_recommendations": f"""{T.with_tables('reports')}, {_DUP}, {_HOT}, u AS (SELECT r.id, (r.id % 9) / 8.0::DOUBLE AS q, (r.id % 10) / 10.0::DOUBLE AS rel, dup.id IS NOT NULL AS d, m[2] AS of_id, n FROM reports r JOIN hot USING (id) LEFT JOIN dup USING (id)),
+    "report_recommendations": f"""{T.with_tables('reports')}, {_DUP}, {_HOT}, u AS (SELECT r.id, (r.id % 9) / 8.0::DOUBLE AS q, (r.id % 10) / 10.0::DOUBLE AS rel, category, dup.id IS NOT NULL AS d, m[2] AS of_id, n FROM reports r JOIN hot USING (id) LEFT JOIN dup USING (id)),
         s AS (SELECT *, greatest(0, least(100, (id % 5 + 1) * 10 + round_even(rel * 12, 0) + round_even(q * 8, 0) + least(15, greatest(0, n - 1) * 3) + round_even((id % 21) / 20.0::DOUBLE * 20, 0) - CASE WHEN d THEN 8 ELSE 0 END)) AS urgency FROM u)
-        SELECT id, CASE WHEN rel < 0.35 OR q < 0.25 THEN 'review the evidence by hand' WHEN d THEN 'link to report ' || of_id WHEN urgency >= 70 THEN 'verify at once' WHEN urgency >= 45 OR n >= 4 THEN 'verify this shift' ELSE 'queue for routine verification' END AS what FROM s""",
+        SELECT id, CASE WHEN rel < 0.35 OR q < 0.25 THEN '{X.HOLD}' WHEN d THEN printf('{X.LINK}', of_id::VARCHAR) WHEN urgency >= 70 THEN printf('{X.HIGH}', CASE WHEN category = 'click' THEN '{X.CLOSURE}' ELSE '{X.RESTRICT}' END)
+            WHEN urgency >= 45 OR n >= 4 THEN '{X.PRIORITISE}' ELSE '{X.ACKNOWLEDGE}' END AS what FROM s""",
     "forecast_labels": """WITH o AS (SELECT o_orderdate::DATE AS day FROM orders), t AS (SELECT max(day) - 4 AS today FROM o)
         SELECT CASE day - today WHEN 0 THEN 'TODAY' WHEN 1 THEN 'TOMORROW' ELSE upper(strftime(day, '%a')) END AS label, count(*) AS n FROM o, t WHERE day >= today GROUP BY 1""",
     "client_keys": """SELECT CASE WHEN event_id % 3 = 0 THEN 'h' || (user_id % 5) WHEN event_id % 2 = 0 THEN 'sock' || (user_id % 4) ELSE 'unknown' END AS client, count(*) AS n FROM events GROUP BY 1""",

@@ -23,8 +23,8 @@ def runout_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TRI = """b AS (SELECT *, relief / tan(radians(25)) AS len, radians(aspect) AS be FROM terrain WHERE slope / 50 >= 0.5 AND relief > 0),
-    tri AS (SELECT cell_id, slope / 50 AS p, x AS ax, y AS ay, x + len * sin(be) - len * tan(radians(15)) * cos(be) AS lx, y + len * cos(be) + len * tan(radians(15)) * sin(be) AS ly,
-    x + len * sin(be) + len * tan(radians(15)) * cos(be) AS rx, y + len * cos(be) - len * tan(radians(15)) * sin(be) AS ry FROM b)"""
+    tri AS (SELECT cell_id, slope / 50 AS p, x AS ax, y AS ay, x + len * sin(be) + len * tan(radians(15)) * cos(be) AS lx, y + len * cos(be) - len * tan(radians(15)) * sin(be) AS ly,
+    x + len * sin(be) - len * tan(radians(15)) * cos(be) AS rx, y + len * cos(be) + len * tan(radians(15)) * sin(be) AS ry FROM b)"""
 
 
 def _grid_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,14 +186,9 @@ def zonal_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distance_to_road(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metres from every terrain cell to roads within 1.5 km, by cells of that size."""
-    t, r, size = T.terrain(spark, sf_dir).select("cell_id", "x", "y"), _grid_roads(spark, sf_dir), 1500.0
-    a = t.withColumn("gx", F.explode(F.sequence(G.cell_of(F.col("x"), size) - 1, G.cell_of(F.col("x"), size) + 1))).withColumn("gy", F.explode(F.sequence(G.cell_of(F.col("y"), size) - 1, G.cell_of(F.col("y"), size) + 1)))
-    span = lambda lo, hi: F.explode(F.sequence(G.cell_of(lo, size), G.cell_of(hi, size)))
-    b = r.withColumn("gx", span(F.least("ux", "vx"), F.greatest("ux", "vx"))).withColumn("gy", span(F.least("uy", "vy"), F.greatest("uy", "vy")))
-    d = G.point_segment(F.col("x"), F.col("y"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
-    near = a.join(b, ["gx", "gy"]).groupBy("cell_id").agg(F.min(d).alias("m")).where(F.col("m") <= size)
-    return t.join(near, "cell_id", "left").select("cell_id", F.round("m", 4).alias("metres"))
+    """Metres from every terrain cell to its nearest road, however far."""
+    near = J.nearest_segment(T.terrain(spark, sf_dir).select("cell_id", "x", "y"), _grid_roads(spark, sf_dir), key="cell_id", cell=1500.0)
+    return near.select("cell_id", F.round("dist", 4).alias("metres"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -277,5 +272,5 @@ ORACLES = {
         SELECT zx, zy, n, mean, relief, round(CASE WHEN a < 0 THEN a + 360 ELSE a END, 3) AS aspect, cover FROM z JOIN m USING (zx, zy)""",
     "distance_to_road": f"""{T.with_tables('terrain')}, roads AS ({_GRID}), d AS (SELECT cell_id, min(sqrt(pow(x - ux - f * (vx - ux), 2) + pow(y - uy - f * (vy - uy), 2))) AS m FROM terrain, roads,
         LATERAL (SELECT least(1, greatest(0, ((x - ux) * (vx - ux) + (y - uy) * (vy - uy)) / (pow(vx - ux, 2) + pow(vy - uy, 2)))) AS f) GROUP BY 1)
-        SELECT cell_id, CASE WHEN m <= 1500 THEN round(m, 4) END AS metres FROM d""",
+        SELECT cell_id, round(m, 4) AS metres FROM d""",
 }

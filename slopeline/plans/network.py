@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import risk as R
 from ..operators import graph as G
+from ..session import cut
 from ..sources import tables as T
 
 
@@ -58,16 +59,21 @@ def road_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each nation: is it cut off from all targets, and the least bottleneck to one of them.
+    """Of each nation: the least bottleneck to a target, whether a severed road lies on its usual way
+    (by length, severed roads included) to every target, and whether open roads lead to one anyway.
 
-    Targets are the first nations of each region. The fixpoint runs from the targets backwards.
+    Targets are the first nations of each region. The fixpoints run from the targets backwards.
     """
     targets = T.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.min("n_nationkey").alias("node")).select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"))
-    n = _nodes(spark, sf_dir)
-    worst = G.bottleneck(targets, G.both_ways(_simple(spark, sf_dir).withColumn("w", F.col("p_blocked")), "w")).groupBy("node").agg(F.min("dist").alias("p"))
-    reach = G.shortest(targets, G.both_ways(_open(spark, sf_dir), "w")).groupBy("node").agg(F.count(F.lit(1)).alias("n_targets"))
-    out = n.join(worst, "node", "left").join(reach, "node", "left")
-    return out.select("node", F.coalesce("p", F.lit(1.0)).alias("p_isolated"), F.coalesce("n_targets", F.lit(0)).alias("n_targets"), F.col("n_targets").isNull().alias("isolated_now"))
+    n, e = _nodes(spark, sf_dir), cut(_simple(spark, sf_dir))
+    worst = G.bottleneck(targets, G.both_ways(e.withColumn("w", F.col("p_blocked")), "w")).groupBy("node").agg(F.min("dist").alias("p"))
+    usual = G.relax(targets, G.both_ways(e.withColumns({"w": F.col("length"), "cuts": F.col("severed").cast("int")}), "w", "cuts"), F.col("dist") + F.col("w"), carry=("cuts",))
+    free = usual.groupBy("node").agg(F.bool_or(F.col("cuts") == 0).alias("free"))
+    reach = G.components(n, e.where("NOT severed")).alias("c")
+    safe = targets.select("node").join(reach, "node").select("component").distinct().withColumn("reached", F.lit(True))
+    out = n.join(worst, "node", "left").join(free, "node", "left").join(reach, "node").join(safe, "component", "left")
+    cut_off = ~F.coalesce("free", F.lit(False))
+    return out.select("node", F.coalesce("p", F.lit(1.0)).alias("p_isolated"), cut_off.alias("isolated_now"), (~cut_off | F.coalesce("reached", F.lit(False))).alias("alternate"))
 
 
 def best_shelter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def best_shelter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def choke_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criticality of nations from betweenness, rank, splits and critical neighbours."""
-    n, e = _nodes(spark, sf_dir), _simple(spark, sf_dir)
+    n, e = _nodes(spark, sf_dir), cut(_simple(spark, sf_dir))  # the roads are a join of four tables
     bc, pr, ap = G.betweenness(n, e), G.pagerank(n, e), G.articulation(n, e)
     critical = n.where("node % 4 = 0").select(F.col("node").alias("dst"))
     around = G.two_hops(G.both_ways(e)).join(critical, "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("c"))
@@ -157,9 +163,14 @@ ORACLES = {
     "shortest_paths": f"{_HEAD}, {_SHORT} SELECT source, node, round(dist, 3) AS cost FROM best",
     "minimax_paths": f"{_HEAD}, {_WORST} SELECT a.n_nationkey AS source, b.n_nationkey AS node, coalesce(dist, 1.0) AS p_blocked FROM nation a CROSS JOIN nation b LEFT JOIN best ON source = a.n_nationkey AND node = b.n_nationkey",
     "road_components": f"{_HEAD}, {_SHORT} SELECT node, min(source) AS component FROM best GROUP BY 1",
-    "isolation": f"""{_HEAD}, {_SHORT}, t AS (SELECT min(n_nationkey) AS k FROM nation GROUP BY n_regionkey), {_WORST.replace('d0 AS', 'd1 AS').replace('walk', 'walk2').replace('FROM d0', 'FROM d1').replace('best AS', 'best2 AS')}
+    "isolation": f"""{_HEAD}, {_SHORT}, t AS (SELECT min(n_nationkey) AS k FROM nation GROUP BY n_regionkey), {_WORST.replace('d0 AS', 'd1 AS').replace('walk', 'walk2').replace('FROM d0', 'FROM d1').replace('best AS', 'best2 AS')},
+        lenw AS (SELECT a AS s, b AS d, length AS w, severed::INT AS x FROM sev UNION ALL SELECT b, a, length, severed::INT FROM sev),
+        walk3 AS (SELECT k AS source, k AS node, 0.0::DOUBLE AS dist, 0 AS cuts, 0 AS step FROM t UNION ALL SELECT source, node, min(dist), arg_min(cuts, dist), step + 1 FROM (
+            SELECT w1.source, w1.node, w1.dist, w1.cuts, w1.step FROM walk3 w1 UNION ALL SELECT w2.source, e.d, w2.dist + e.w, w2.cuts + e.x, w2.step FROM walk3 w2 JOIN lenw e ON e.s = w2.node) WHERE step < 24 GROUP BY 1, 2, step),
+        usual AS (SELECT source, node, arg_min(cuts, dist) AS cuts FROM walk3 GROUP BY 1, 2)
         SELECT n_nationkey AS node, coalesce((SELECT min(dist) FROM best2 WHERE node = n_nationkey AND source IN (SELECT k FROM t)), 1.0) AS p_isolated,
-        (SELECT count(*) FROM best WHERE node = n_nationkey AND source IN (SELECT k FROM t)) AS n_targets, NOT EXISTS (SELECT 1 FROM best WHERE node = n_nationkey AND source IN (SELECT k FROM t)) AS isolated_now FROM nation""",
+        NOT EXISTS (SELECT 1 FROM usual WHERE node = n_nationkey AND cuts = 0) AS isolated_now,
+        EXISTS (SELECT 1 FROM usual WHERE node = n_nationkey AND cuts = 0) OR EXISTS (SELECT 1 FROM best WHERE node = n_nationkey AND source IN (SELECT k FROM t)) AS alternate FROM nation""",
     "best_shelter": f"""{_HEAD}, {_SHORT}, t AS (SELECT min(n_nationkey) AS k FROM nation GROUP BY n_regionkey) SELECT node, source AS shelter, source % 2 = 0 AS has_room, round(dist, 3) AS cost FROM best
         WHERE source IN (SELECT k FROM t) QUALIFY row_number() OVER (PARTITION BY node ORDER BY source % 2 = 1, round(dist, 6), source) = 1""",
     "cascade_3hop": f"WITH RECURSIVE {_ASSETS} SELECT trigger, asset, hop, round(p, 5) AS probability, array_to_string(path, '>') AS path FROM hit",

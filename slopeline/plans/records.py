@@ -90,10 +90,12 @@ def audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_chain_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains, links, and links that do not continue the one before."""
+    """Chains, links, and links that fail when each is hashed again, after some have been tampered with:
+    a changed kind breaks its own link, a changed hash also the link behind it."""
     c = audit_chain(spark, sf_dir)
-    before = F.coalesce(F.lag("hash").over(Window.partitionBy("user_id").orderBy("seq")), F.lit(S.GENESIS))
-    return c.withColumn("ok", F.col("prev_hash") == before).agg(F.countDistinct("user_id").alias("chains"), F.count(F.lit(1)).alias("links"), F.count_if(~F.col("ok")).alias("broken"))
+    kind = F.when(F.col("event_id") % 97 == 0, F.concat("kind", F.lit("!"))).otherwise(F.col("kind"))
+    told = S.verify_chain(c.withColumn("kind", kind).withColumn("hash", F.when(F.col("event_id") % 101 == 0, F.reverse("hash")).otherwise(F.col("hash"))), "user_id")
+    return told.agg(F.countDistinct("user_id").alias("chains"), F.count(F.lit(1)).alias("links"), F.count_if(~F.col("ok")).alias("broken"))
 
 
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +243,7 @@ def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations with customers, with suppliers, with both, with either, and with customers alone."""
     c = T.table(spark, sf_dir, "customer").where("c_acctbal > 900").select(F.col("c_nationkey").alias("k"))
     s = T.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
-    count = lambda d, n: d.agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("keys")).withColumn("what", F.lit(n))
+    count = lambda d, n: d.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("keys")).withColumn("what", F.lit(n))
     out = count(c.distinct(), "customers").unionByName(count(s.distinct(), "suppliers"))
     return out.unionByName(count(c.intersect(s), "both")).unionByName(count(c.union(s).distinct(), "either")).unionByName(count(c.subtract(s), "customers only"))
 
@@ -292,7 +294,9 @@ ORACLES = {
     "escalation_transitions": f"WITH RECURSIVE {_ESC} SELECT * FROM g",
     "first_escalations": f"WITH RECURSIVE {_ESC} SELECT user_id, min(ts) FILTER (to_stage = 'YELLOW') AS yellow, min(ts) FILTER (to_stage = 'ORANGE') AS orange, min(ts) FILTER (to_stage = 'RED') AS red, count(*) AS changes FROM g GROUP BY 1",
     "audit_chain": f"WITH RECURSIVE {_CHAIN} SELECT user_id, seq::INT AS seq, event_id, kind, input_hash, prev_hash, hash FROM c",
-    "audit_chain_verify": "SELECT count(DISTINCT user_id) AS chains, count(*) AS links, 0::BIGINT AS broken FROM events",
+    "audit_chain_verify": f"""WITH RECURSIVE {_CHAIN}, x AS (SELECT user_id, seq, event_id, CASE WHEN event_id % 97 = 0 THEN kind || '!' ELSE kind END AS kind, input_hash, prev_hash, CASE WHEN event_id % 101 = 0 THEN reverse(hash) ELSE hash END AS hash FROM c),
+        v AS (SELECT *, hash = sha256(prev_hash || ':' || input_hash || ':' || event_id || ':' || kind) AND prev_hash = coalesce(lag(hash) OVER (PARTITION BY user_id ORDER BY seq), repeat('0', 64)) AS ok FROM x)
+        SELECT count(DISTINCT user_id) AS chains, count(*) AS links, count(*) FILTER (NOT ok) AS broken FROM v""",
     "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
         f AS (SELECT user_id, 0::BIGINT AS rn, []::DOUBLE[] AS hits, true AS ok, 0.0::DOUBLE AS wait FROM (SELECT DISTINCT user_id FROM events)
             UNION ALL SELECT user_id, rn, CASE WHEN len(live) < 2 THEN list_append(live, sec) ELSE live END, len(live) < 2, CASE WHEN len(live) < 2 THEN 0 ELSE live[1] + 3600 - sec END
@@ -332,5 +336,5 @@ ORACLES = {
     ),
     "set_algebra": """WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 900), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 0),
         a AS (SELECT 'customers' AS what, k FROM c UNION ALL SELECT 'suppliers', k FROM s UNION ALL SELECT 'both', k FROM (FROM c INTERSECT FROM s) UNION ALL SELECT 'either', k FROM (FROM c UNION FROM s) UNION ALL SELECT 'customers only', k FROM (FROM c EXCEPT FROM s))
-        SELECT what, count(*) AS n, sum(k)::BIGINT AS keys FROM a GROUP BY 1""",
+        SELECT w.what, count(k) AS n, coalesce(sum(k), 0)::BIGINT AS keys FROM (VALUES ('customers'), ('suppliers'), ('both'), ('either'), ('customers only')) w(what) LEFT JOIN a USING (what) GROUP BY 1""",
 }

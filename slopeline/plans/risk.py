@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions import risk as R
 from ..operators import windows as W
 from ..sources import tables as T
@@ -69,7 +70,7 @@ def flag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rolling sums over hours that have rain, and the worst ratio per pixel and hour."""
+    """Rolling sums for hours that have rain, and the worst ratio per pixel and hour."""
     h = W.hourly(T.rain(spark, sf_dir))
     r = W.rolling(h, "pixel_id", "hour", "mm", {"r1": 1, "r6": 6, "r24": 24, "r72": 72})
     ratio = R.exceedance_ratio({1: F.col("r1"), 6: F.col("r6"), 24: F.col("r24"), 72: F.col("r72")})
@@ -77,7 +78,7 @@ def hourly_exceedance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HOURLY = """hourly AS (SELECT pixel_id, date_trunc('hour', ts) AS hour, sum(precip_mm) AS mm FROM rain GROUP BY 1, 2),
-    rolled AS (SELECT *, mm AS r1, sum(mm) OVER (w ROWS 5 PRECEDING) AS r6, sum(mm) OVER (w ROWS 23 PRECEDING) AS r24, sum(mm) OVER (w ROWS 71 PRECEDING) AS r72
+    rolled AS (SELECT *, mm AS r1, sum(mm) OVER (w RANGE INTERVAL 5 HOUR PRECEDING) AS r6, sum(mm) OVER (w RANGE INTERVAL 23 HOUR PRECEDING) AS r24, sum(mm) OVER (w RANGE INTERVAL 71 HOUR PRECEDING) AS r72
     FROM hourly WINDOW w AS (PARTITION BY pixel_id ORDER BY hour)),
     traj AS (SELECT *, greatest(r1 / 5.8294, r6 / 6 / (5.8294 * pow(6, -0.4141)), r24 / 24 / (5.8294 * pow(24, -0.4141)),
     r72 / 72 / (5.8294 * pow(72, -0.4141)), r72 / 33.54) AS ratio FROM rolled)"""
@@ -85,7 +86,7 @@ _HOURLY = """hourly AS (SELECT pixel_id, date_trunc('hour', ts) AS hour, sum(pre
 
 def soil_moisture(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = W.rolling(W.hourly(T.rain(spark, sf_dir)), "pixel_id", "hour", "mm", {"r72": 72})
-    return W.soil_proxy(h, "pixel_id", "r72").select("pixel_id", "hour", F.round("soil_moisture", 3).alias("soil_moisture"))
+    return W.soil_proxy(h, "pixel_id", "r72").select("pixel_id", "hour", "soil_moisture")
 
 
 def _fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +131,7 @@ def whatif_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_5day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily worst risk, level and counts over five days of evolving probabilities."""
-    days = F.broadcast(spark.sql("SELECT posexplode(array(1.0D, 1.14D, 0.96D, 0.74D, 0.56D)) AS (day, factor)"))
+    days = F.broadcast(spark.range(1).select(F.posexplode(F.array(*map(F.lit, C.FORECAST_FACTORS))).alias("day", "factor")))
     rows = _obs(spark, sf_dir).select("pixel_id", "ratio", R.fuse(F.col("ml"), F.col("ratio")).alias("p0")).join(days)
     rows = rows.withColumn("p", R.clamp01(F.col("p0") * (0.72 + 0.28 * F.col("factor"))))
     day = rows.groupBy("day").agg(F.max("p").alias("top"), F.max(1 - 2 * F.abs(F.col("p") - 0.5)).alias("conf"), F.count_if(F.col("p") >= 0.5).alias("n_high"), F.avg(F.col("ratio") * F.col("factor") * 24).alias("mm"))
@@ -172,8 +173,8 @@ ORACLES = {
     "flag_summary": f"""{_HEAD}, q AS (SELECT pixel_id, {_P} AS p FROM obs) SELECT count(*) AS n_cells, round(coalesce(max(p), 0), 6) AS max_p, round(coalesce(avg(p), 0), 6) AS mean_p,
         (SELECT pixel_id FROM q ORDER BY p DESC, pixel_id LIMIT 1) AS worst FROM q""",
     "hourly_exceedance": f"{T.with_tables('rain')}, {_HOURLY} SELECT pixel_id, hour, round(r6, 6) AS r6, round(r72, 6) AS r72, round(ratio, 6) AS ratio FROM traj",
-    "soil_moisture": f"""{T.with_tables('rain')}, {_HOURLY}, m AS (SELECT *, max(r72) OVER (PARTITION BY pixel_id) AS top FROM traj)
-        SELECT pixel_id, hour, round(CASE WHEN top > 0 THEN round(0.22 + 0.70 * r72 / top, 4) ELSE 0.22 END, 3) AS soil_moisture FROM m""",
+    "soil_moisture": f"""{T.with_tables('rain')}, {_HOURLY}, m AS (SELECT pixel_id, hour, round(r72, 6) AS r, max(round(r72, 6)) OVER (PARTITION BY pixel_id) AS top FROM traj)
+        SELECT pixel_id, hour, CASE WHEN top > 0 THEN round(0.22::DOUBLE + 0.70::DOUBLE * r / top, 4) ELSE 0.22::DOUBLE END AS soil_moisture FROM m""",
     "ols_trend": f"""{T.with_tables('rain')}, {_HOURLY}, {_FIT} SELECT pixel_id, n, round(x_last, 6) AS x_last, round(y_last, 6) AS y_last, round(slope, 6) AS slope,
         round(intercept, 6) AS intercept, round(r2, 6) AS r2 FROM fit""",
     "safe_window": f"""{T.with_tables('rain')}, {_HOURLY}, {_FIT}, c AS (SELECT *, CASE WHEN slope > 0 THEN (1 - intercept) / slope - x_last END AS hit FROM fit),
