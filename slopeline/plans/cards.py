@@ -137,6 +137,12 @@ ORACLES = {
             WHEN urgency >= 45 OR n >= 4 THEN '{X.PRIORITISE}' ELSE '{X.ACKNOWLEDGE}' END AS what FROM s""",
     "forecast_labels": """WITH o AS (SELECT o_orderdate::DATE AS day FROM orders), t AS (SELECT max(day) - 4 AS today FROM o)
         SELECT CASE day - today WHEN 0 THEN 'TODAY' WHEN 1 THEN 'TOMORROW' ELSE upper(strftime(day, '%a')) END AS label, count(*) AS n FROM o, t WHERE day >= today GROUP BY 1""",
+    "ring_positions": """WITH h AS (SELECT c_custkey, c_mktsegment AS m, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS hash FROM customer)
+        SELECT c_custkey, hash, hash % 360 AS angle, upper(left(m, 1)) || lower(substr(m, 2)) AS title FROM h""",
+    "driver_sentences": f"""{T.with_tables('terrain')}, p AS (SELECT cell_id, unnest(['slope', 'height', 'soil moisture']) AS g, unnest([(slope - 25) / 50, (elevation - 1200) / 4000, (cell_id % 9 - 4) / 16.0::DOUBLE]) AS x FROM terrain),
+        k AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY abs(x) DESC, g) AS r FROM p),
+        s AS (SELECT cell_id, string_agg(g || ' (' || CASE WHEN x >= 0 THEN '+' ELSE '-' END || abs(round(x * 100))::BIGINT || '%)', ', ' ORDER BY r) AS t FROM k WHERE r <= 2 GROUP BY 1)
+        SELECT cell_id, t || CASE WHEN contains(t, 'soil moisture') THEN ' (modelled)' ELSE '' END AS sentence FROM s""",
     "client_keys": """SELECT CASE WHEN event_id % 3 = 0 THEN 'h' || (user_id % 5) WHEN event_id % 2 = 0 THEN 'sock' || (user_id % 4) ELSE 'unknown' END AS client, count(*) AS n FROM events GROUP BY 1""",
     "edge_costs": f"""{T.with_tables('roads')}, c AS (SELECT class, p_blocked * 0.8::DOUBLE AS d, length / 4 AS base, u * 2.0::DOUBLE AS slope FROM roads), k AS (SELECT class, CASE WHEN d < 0.45 THEN base * (1 + 4 * pow(d / (0.45::DOUBLE - d + 0.05), 2) + 2.5 * greatest(slope - 18, 0) / 18) END AS cost FROM c)
         SELECT class, count(*) AS roads, count(*) FILTER (cost IS NULL) AS closed, round(sum(cost), 2) AS seconds FROM k GROUP BY 1""",

@@ -157,7 +157,26 @@ _ASSETS = """assets AS (SELECT 'R' || n_regionkey AS src, 'N' || n_nationkey AS
         UNION ALL SELECT trigger, dst, hop + 1, w.p * a.p, list_append(path, dst) FROM walk w JOIN assets a ON a.src = w.asset WHERE hop < 3 AND NOT list_contains(path, dst)),
     hit AS (SELECT * FROM walk WHERE hop > 0 QUALIFY row_number() OVER (PARTITION BY trigger, asset ORDER BY hop, p DESC, path) = 1)"""
 
+# Shortest ways by edge count from the numbers of walks of each length; ranks by unrolled rounds; splits by labels
+# that spread in copies of the graph which lack a node.
+_CHOKE = """e2 AS (SELECT a AS s, b AS d FROM sev UNION SELECT b, a FROM sev), nd AS (SELECT n_nationkey AS node FROM nation), dg AS (SELECT s, count(*) AS deg FROM e2 GROUP BY 1),
+    wk AS (SELECT node AS s, node, 0 AS k, 1.0::DOUBLE AS c FROM nd UNION ALL SELECT wk.s, e2.d, k + 1, sum(c) FROM wk JOIN e2 ON e2.s = wk.node WHERE k < 24 GROUP BY wk.s, e2.d, k),
+    sp AS (SELECT s, node AS t, min(k) AS d, arg_min(c, k) AS c FROM wk GROUP BY 1, 2),
+    bc AS (SELECT v.t AS node, sum(v.c * w.c / x.c) AS score FROM sp x JOIN sp v ON v.s = x.s AND v.t <> x.s AND v.t <> x.t JOIN sp w ON w.s = v.t AND w.t = x.t AND v.d + w.d = x.d WHERE x.s < x.t GROUP BY 1),
+    pr AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM nd) AS rank, 0 AS k FROM nd UNION ALL SELECT node, 0.15::DOUBLE / 25 + 0.85::DOUBLE * sum(g), k + 1 FROM (
+        SELECT e2.d AS node, rank / deg AS g, k FROM pr JOIN e2 ON e2.s = pr.node JOIN dg ON dg.s = pr.node UNION ALL SELECT node, 0, k FROM pr) WHERE k < 20 GROUP BY node, k),
+    lb AS (SELECT s AS lost, d AS node, d AS label, 0 AS k FROM e2 UNION ALL SELECT lost, node, min(label), k + 1 FROM (SELECT lost, node, label, k FROM lb UNION ALL SELECT lost, e2.d, label, k FROM lb JOIN e2 ON e2.s = node AND e2.d <> lost) WHERE k < 24 GROUP BY lost, node, k),
+    ap AS (SELECT lost AS node, count(DISTINCT label) AS parts FROM lb JOIN e2 ON e2.s = lost AND e2.d = node WHERE k = 24 GROUP BY 1 HAVING count(DISTINCT label) > 1),
+    ar AS (SELECT s AS node, count(*) AS c FROM (SELECT s, d FROM e2 UNION SELECT x.s, y.d FROM e2 x JOIN e2 y ON x.d = y.s) WHERE d % 4 = 0 GROUP BY 1),
+    ck AS (SELECT node, coalesce(score, 0) AS score, rank, parts, coalesce(c, 0) + CASE WHEN node % 4 = 0 THEN 1 ELSE 0 END AS crit FROM nd LEFT JOIN bc USING (node) LEFT JOIN (SELECT node, rank FROM pr WHERE k = 20) USING (node) LEFT JOIN ap USING (node) LEFT JOIN ar USING (node)),
+    ci AS (SELECT *, round(0.45::DOUBLE * log10(score + 1) + 2.5::DOUBLE * rank + 0.30::DOUBLE * (CASE WHEN parts IS NULL THEN 0 ELSE 5 END + 1.5::DOUBLE * crit), 3) AS criticality FROM ck)"""
+
 ORACLES = {
+    "route_paths": f"""{_HEAD}, pw AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS dist, [0]::BIGINT[] AS path, 0 AS step UNION ALL SELECT node, min(dist), arg_min(path, dist), step + 1 FROM (SELECT w1.node, w1.dist, w1.path, w1.step FROM pw w1
+            UNION ALL SELECT e.d, w2.dist + e.w, list_append(w2.path, e.d), w2.step FROM pw w2 JOIN op e ON e.s = w2.node) WHERE step < 24 GROUP BY node, step), bp AS (SELECT node, min(dist) AS dist, arg_min(path, dist) AS path FROM pw GROUP BY 1)
+        SELECT node, array_to_string(path, '>') AS path, CASE WHEN floor(dist) <= 0 THEN 0 ELSE round_even(floor(dist) / 1000 / 4.0::DOUBLE * 60, 0) END::BIGINT AS minutes FROM bp""",
+    "choke_points": f"{_HEAD}, {_CHOKE} SELECT node, round(score, 5) AS betweenness, round(rank, 6) AS rank, coalesce(parts, 1) AS parts, crit::BIGINT AS critical, criticality FROM ci",
+    "top_choke_points": f"{_HEAD}, {_CHOKE} SELECT node, criticality FROM ci ORDER BY criticality DESC, node LIMIT 3",
     "simple_graph": f"""{_HEAD} SELECT a, b, edge_id, round(length, 5) AS length, p_blocked, severed, round(CASE class WHEN 'trunk' THEN 24 WHEN 'primary' THEN 24 WHEN 'secondary' THEN 18 WHEN 'tertiary' THEN 12
         WHEN 'residential' THEN 6 WHEN 'unclassified' THEN 6 WHEN 'service' THEN 4 ELSE 12 END * CASE WHEN is_bridge THEN 2.0::DOUBLE ELSE 1 END * (1 + p_blocked), 5) AS hours FROM sev""",
     "shortest_paths": f"{_HEAD}, {_SHORT} SELECT source, node, round(dist, 3) AS cost FROM best",
