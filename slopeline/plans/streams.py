@@ -40,9 +40,41 @@ def stream_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("user_id", "from_stage", "to_stage").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_dedup, stream_escalation)}
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-hour windows in append mode over events in three files, the last of which holds rows that come days
+    behind the first: with a watermark of an hour they are left out, as are windows still open. (Spark
+    filters by the watermark that the batch before last has set, hence three.)"""
+    base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for i, part in enumerate(("event_id % 10 NOT IN (3, 5)", "event_id % 10 = 5", "event_id % 10 = 3")):
+        e.where(part).coalesce(1).write.parquet(f"{base}/in/batch={i}")
+    stream = P.event_stream(spark, f"{base}/in/batch=*/part-*.parquet", watermark="1 hour")
+    out = P.drain(P.tumbling(stream), base + "/table", base + "/state")
+    return out.withColumn("start", F.to_timestamp_ntz(F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
+
+
+def stream_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports that repeat an earlier one nearby, as they come in one batch: what the batch operator finds."""
+    base = f"{shared_dir(spark)}/dup-{uuid.uuid4().hex}"
+    stream = P.event_stream(spark, f"{sf_dir}/events.parquet", watermark="60 days")
+    k = F.col("event_id")
+    reports = stream.select(
+        k.alias("id"), F.col("event_type").alias("category"), F.when(k % 7 == 0, "actioned").when(k % 11 == 0, "dismissed").otherwise("open").alias("status"),
+        F.col("ts").alias("t"), (23.6 + (k * 37 % 1000) / 4000).alias("lat"), (92.6 + (k * 91 % 1000) / 4000).alias("lon"),
+    )
+    out = P.drain(P.near_duplicates(reports), base + "/table", base + "/state")
+    return out.select("id", "duplicate_of", F.round("km", 6).alias("km"))
+
+
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_sessions, stream_dedup, stream_escalation, stream_late, stream_near_duplicates)}
+
+from .impact import ORACLES as _IMPACT  # noqa: E402
 
 ORACLES = {
+    "stream_near_duplicates": _IMPACT["report_dedup"],
+    "stream_late": """WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events WHERE event_id % 10 NOT IN (3, 5))
+        SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, m WHERE (event_id % 10 <> 3 OR time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR > w)
+            AND time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR <= greatest(w, (SELECT max(ts) - INTERVAL 1 HOUR FROM events)) GROUP BY 1, 2""",
     "stream_tumbling": "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "stream_sliding": """WITH w AS (SELECT unnest(range(6)) AS k), e AS (SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS start, user_id, value / 100 AS mm FROM events, w)
         SELECT start, user_id, round(sum(mm), 4) AS mm FROM e GROUP BY 1, 2""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config as C
+from ..functions.geo import cell_of, km_cells
+from ..sources.files import observations, scenarios
 
 
 def event_stream(spark: SparkSession, path: str, *, watermark: str = "1 hour", files_per_trigger: int = 1) -> DataFrame:
@@ -21,7 +24,8 @@ def event_stream(spark: SparkSession, path: str, *, watermark: str = "1 hour", f
 
 
 def tumbling(rows: DataFrame, size: str = "6 hours") -> DataFrame:
-    """Events and their value per window and type; late rows beyond the watermark are left out."""
+    """Events and their value per window and type. In append mode a window is told once, when the watermark
+    has passed it, and rows later than that are left out; in complete mode nothing is."""
     w = rows.groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
@@ -66,10 +70,98 @@ def escalate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
 
 
 def escalation_stream(rows: DataFrame) -> DataFrame:
-    """Changes of stage per user as they happen; needs events in order across micro-batches."""
+    """Changes of stage per user as they happen. Within a micro-batch readings are put in order; one that
+    comes in a later batch than a newer reading of its user is taken as it comes, as a live feed does."""
     return rows.groupBy("user_id").applyInPandasWithState(escalate, _ALERTS, "stage int", "append", GroupStateTimeout.NoTimeout)
 
 
+_DUPLICATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("duplicate_of", T.LongType()), T.StructField("km", T.DoubleType())])
+
+
+def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    half = lambda a, b: math.sin(math.radians(b - a) / 2) ** 2
+    h = half(lat1, lat2) + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half(lon1, lon2)
+    return 2 * C.EARTH_KM * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+def near_duplicates(reports: DataFrame, *, km: float = C.DEDUP_KM, hours: int = C.DEDUP_HOURS) -> DataFrame:
+    """(id, duplicate_of, km): the nearest earlier open report of the category in space and time, as reports come.
+
+    ``reports``: id, category, status, t (timestamp with watermark), lat, lon (up to 60 degrees). State is
+    kept per category and grid cell; a report is asked in its own cell and remembered in the nine around
+    it, for ``hours`` behind the newest report seen there.
+    """
+    dlat, dlon = km_cells(km, 60.0)
+    y, x = cell_of(F.col("lat"), dlat), cell_of(F.col("lon"), dlon)
+    around = F.array(*[F.struct((y + i).alias("cy"), (x + j).alias("cx"), F.lit(i == 0 and j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    sent = reports.select("id", "category", "status", "t", "lat", "lon", F.explode(around).alias("c")).select("id", "category", "status", "t", "lat", "lon", "c.*")
+
+    def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(zip(*state.get)) if state.exists else []  # (id, micros, lat, lon) of open reports
+        rows = pd.concat(list(batches)).sort_values(["t", "id"])
+        out = []
+        for r in rows.itertuples():
+            at = int(r.t.timestamp() * 1_000_000)
+            held = [h for h in held if h[1] >= at - hours * 3_600_000_000]
+            if r.own:
+                near = min(((d, h[0]) for h in held if (h[1], h[0]) < (at, r.id) and (d := _km(r.lat, r.lon, h[2], h[3])) <= km), default=None)
+                if near:
+                    out.append((r.id, near[1], near[0]))
+            if r.status not in C.CLOSED:
+                held.append((r.id, at, r.lat, r.lon))
+        state.update(tuple(map(list, zip(*held))) if held else ([], [], [], []))
+        yield pd.DataFrame(out, columns=_DUPLICATE.fieldNames())
+
+    kept = "ids array<long>, micros array<long>, lats array<double>, lons array<double>"
+    return sent.groupBy("category", "cy", "cx").applyInPandasWithState(remember, _DUPLICATE, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+_VERDICT = T.StructType([T.StructField(n, k) for n, k in (("report_id", T.LongType()), ("state", T.StringType()), ("confidence", T.DoubleType()), ("supersedes", T.LongType()))])
+
+
+def claim_stream(claims: DataFrame) -> DataFrame:
+    """(report_id, state, confidence, supersedes): verdicts on claims about a place as they come.
+
+    ``claims``: place, report_id, ts, depth, authority, lower, dry (its lower surroundings; see the batch
+    rule). A claim of the place that stands is superseded by a newer one with authority or at least its
+    confidence; rejected claims supersede nothing.
+    """
+
+    def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        standing = state.get if state.exists else None  # (report, confidence)
+        out = []
+        for r in pd.concat(list(batches)).sort_values(["ts", "report_id"]).itertuples():
+            rejected = r.depth >= 0.5 and r.lower >= 2 and bool(r.dry) and not r.authority
+            verdict, confidence = ("REJECTED", 0.05) if rejected else ("VERIFIED", 0.96) if r.authority else ("PENDING", 0.78)
+            replaced = None
+            if not rejected and (standing is None or r.authority or confidence >= standing[1]):
+                replaced = standing[0] if standing else None
+                standing = (r.report_id, confidence)
+            out.append((r.report_id, verdict, confidence, replaced))
+        if standing:
+            state.update(standing)
+        yield pd.DataFrame(out, columns=_VERDICT.fieldNames()).astype({"supersedes": "Int64"})
+
+    return claims.groupBy("place").applyInPandasWithState(judge, _VERDICT, "report_id long, confidence double", "append", GroupStateTimeout.NoTimeout)
+
+
+def live_stub(spark: SparkSession, aoi_id: str = "aizawl", rows_per_second: int = 1) -> DataFrame:
+    """A stand-in for a live feed: every tick nine cells with the same observation, marked as fabricated."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
+    cell = F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.format_string("stub_%03d", i)))
+    values = {"rain_1h": 2.0, "rain_6h": 8.0, "rain_24h": 20.0, "rain_72h": 40.0, "antecedent_7d": 60.0, "antecedent_15d": 90.0, "antecedent_30d": 140.0, "soil_moisture": 0.4}
+    return ticks.select(F.col("timestamp").alias("t"), F.lit(aoi_id).alias("aoi_id"), cell.alias("cell_id"), *[F.lit(v).alias(k) for k, v in values.items()], F.lit("fabricated").alias("source"), F.lit(False).alias("is_reconstructed"))
+
+
+def source(spark: SparkSession, mode: str, path: str | None = None, aoi_id: str = "aizawl") -> DataFrame:
+    """Observations of a mode: LIVE a stream, REPLAY the frames of scenario files in a folder."""
+    if mode == "LIVE":
+        return live_stub(spark, aoi_id)
+    if mode != "REPLAY" or path is None:
+        raise ValueError("the mode is LIVE, or REPLAY with a path")
+    return observations(scenarios(spark, path))
+
+
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now into a table, and read the table."""
     spark = stream.sparkSession
