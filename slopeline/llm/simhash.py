@@ -13,14 +13,23 @@ together by hash partitioning and sorted; a task streams over its keys. For a ke
 more is not compared there: its rows go to a second round, where every pair of blocks of that
 key is a group of its own, so that no group has more than two blocks and no pair is lost.
 
+``keep_one`` may ask for a ``similarity``: then links are verified by the exact Jaccard similarity
+of the texts' shingle sets. A fingerprint differs by about 10 bits at similarity 0.8, so such a
+search takes more segments (``distance`` below twice their number). Within a key fingerprints count
+as near only if a sketch of 128 bits (MinHash, one bit per bin) allows for it, and of these the
+links of a spanning forest, nearest first, are verified.
+
 Defined cases: a null text and a text without words have fingerprint zero, linked like any
 other; texts with fewer words than a shingle are hashed whole; a row with a null doc_id gets a
-component but is never its name unless all ids are null; repeated rows share their outcome.
+component but is never its name unless all ids are null; repeated rows share their outcome; very
+long texts are hashed whole; an empty table gives no rows; extra columns are carried along by
+``keep_one`` and play no part elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,65 +118,95 @@ def _forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return fp[left], fp[right]
 
 
-def _rows(a: np.ndarray, b: np.ndarray, link: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), link))], ["a", "b", "link"])
-
-
-def _compare(key: np.ndarray, fp: np.ndarray, distance: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Whole keys, sorted: links, and for keys beyond a block their rows under new keys, one for
-    every pair of blocks."""
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(edge, len(key)))
-    few = np.repeat((size > 1) & (size <= 8), size)
-    k, f = key[few], fp[few]
-    for gap in range(1, 8):
-        near = (k[gap:] == k[:-gap]) & (np.bitwise_count(f[gap:] ^ f[:-gap]) <= distance)
-        if near.any():
-            yield _rows(f[:-gap][near], f[gap:][near], True)
-    for start, n in zip(edge[size > 8], size[size > 8]):
-        own = fp[start : start + n]
-        if n <= block:
-            yield _rows(*_forest(own, distance), True)
+def _batch(names: str, *cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in cols], names.split())
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by their first ``keys`` columns, cut so that no key is torn apart."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        blocks = -(-n // block)
-        for i in range(blocks):
-            part = own[i * block : (i + 1) * block]
-            for j in range(blocks):
-                pair = mix(np.array([int(key[start]) ^ (min(i, j) * 0x9E3779B1 + max(i, j) * 0x85EBCA6B << 32) % (1 << 64)], np.uint64))
-                yield _rows(np.repeat(pair, len(part)), part, False)
+        held.append([batch.column(i).to_numpy().view(np.uint64) for i in range(batch.num_columns)])
+        if any(held[0][i][0] != held[-1][i][-1] for i in range(keys)):  # at least one key has ended
+            cols = [np.concatenate(x) for x in zip(*held)]
+            other = np.zeros(len(cols[0]), bool)
+            for c in cols[:keys]:
+                other |= c != c[-1]
+            last = int(np.flatnonzero(other)[-1]) + 1
+            yield [c[:last] for c in cols]
+            held = [[c[last:] for c in cols]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _edges(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key begins, and its number of rows."""
+    new = np.zeros(len(cols[0]), bool)
+    new[0] = True
+    for c in cols:
+        new[1:] |= c[1:] != c[:-1]
+    edge = np.flatnonzero(new)
+    return edge, np.diff(np.append(edge, len(new)))
+
+
+_LINKS = "a long, b long, n long"
 
 
-def _stream(distance: int, block: int):
-    """Over batches of sorted (key, fp) rows: compares each key once all of its rows are there."""
+def _compare(distance: int, block: int):
+    """Of sorted (key, fp) rows links (a, b, 0), and the rows (key, fp, n) of keys with n > block fingerprints."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, fp = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            held.append((key, fp))
-            if held[0][0][0] != key[-1]:  # at least one key has ended
-                key, fp = (np.concatenate(x) for x in zip(*held))
-                last = int(np.flatnonzero(key != key[-1])[-1]) + 1
-                yield from _compare(key[:last], fp[:last], distance, block)
-                held = [(key[last:], fp[last:])]
-        if held:
-            yield from _compare(*(np.concatenate(x) for x in zip(*held)), distance, block)
+        for key, fp in _whole_keys(batches, 1):
+            edge, size = _edges([key])
+            few = np.repeat((size > 1) & (size <= 8), size)
+            k, f = key[few], fp[few]
+            for gap in range(1, 8):
+                near = (k[gap:] == k[:-gap]) & (np.bitwise_count(f[gap:] ^ f[:-gap]) <= distance)
+                if near.any():
+                    yield _batch("a b n", f[:-gap][near], f[gap:][near], np.zeros(int(near.sum()), np.int64))
+            for start, n in zip(edge[size > 8], size[size > 8]):
+                own = fp[start : start + n]
+                if n <= block:
+                    a, b = _forest(own, distance)
+                    yield _batch("a b n", a, b, np.zeros(len(a), np.int64))
+                else:
+                    yield _batch("a b n", key[start : start + n], own, np.full(n, n))
 
     return run
 
 
-def variants(fps: DataFrame, segments: int = 3) -> DataFrame:
-    """(key, fp): every fingerprint under each of its 64 one-wildcard segment variants."""
+def _compare_blocks(distance: int):
+    """Of (key, lo, hi, fp) rows sorted by the first three, links (a, b)."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *key, fp in _whole_keys(batches, 3):
+            for start, n in zip(*_edges(key)):
+                yield _batch("a b", *_forest(fp[start : start + n], distance))
+
+    return run
+
+
+def in_blocks(rows: DataFrame, block: int, *columns: str) -> DataFrame:
+    """(key, lo, hi, columns) of large keys (key, n, columns): every pair of blocks of a key is a group."""
+    blocks = F.ceil(F.col("n") / block)
+    out = rows.withColumn("own", F.pmod(F.xxhash64(columns[0]), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    out = out.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *columns)
+    return out.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", columns[0])
+
+
+def variants(fps: DataFrame, segments: int = 3, *more: str) -> DataFrame:
+    """(key, fp, more): every fingerprint under each of its 64 one-wildcard segment variants."""
     cut = [64 * i // segments for i in range(segments + 1)]
     low, width = F.lit(cut[-2]), F.lit(64 - cut[-2])
     for a, b in reversed(list(zip(cut[:-2], cut[1:-1]))):
         low, width = F.when(F.col("bit") < b, a).otherwise(low), F.when(F.col("bit") < b, b - a).otherwise(width)
-    at = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select("fp", "bit", low.alias("low"), width.alias("width"))
+    at = fps.select("fp", *more, F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")).select("fp", *more, "bit", low.alias("low"), width.alias("width"))
     piece = "shiftrightunsigned(fp, low) & (shiftleft(1L, width) - 1L) & ~shiftleft(1L, bit - low)"
-    return at.select(F.expr(f"shiftleft(cast(bit as long), 40) | ({piece})").alias("key"), "fp")
+    return at.select(F.expr(f"shiftleft(cast(bit as long), 40) | ({piece})").alias("key"), "fp", *more)
 
 
 def fingerprint_links(fps: DataFrame, *, distance: int = 4, segments: int = 3, block: int = 2048) -> DataFrame:
@@ -178,13 +217,11 @@ def fingerprint_links(fps: DataFrame, *, distance: int = 4, segments: int = 3, b
     """
     if distance >= 2 * segments:
         raise ValueError("some segment must differ by at most one bit: distance < 2 * segments")
-    schema = "a long, b long, link boolean"
-    keys = variants(fps, segments)
-    first = materialize(keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stream(distance, block), schema).distinct(), "simhash-links")
-    beyond = first.where("NOT link").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-    # Two blocks make a group here, so every group is compared.
-    second = beyond.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_stream(distance, 2 * block), schema)
-    return first.where("link").select("a", "b").unionByName(second.select("a", "b"))
+    keys = variants(fps, segments).repartition("key").sortWithinPartitions("key", "fp")
+    first = materialize(keys.mapInArrow(_compare(distance, block), _LINKS).distinct(), "simhash-links")
+    large = first.where("n > 0").select(F.col("a").alias("key"), "n", F.col("b").alias("fp"))
+    second = in_blocks(large, block, "fp").mapInArrow(_compare_blocks(distance), "a long, b long")
+    return first.where("n = 0").select("a", "b").unionByName(second)
 
 
 def simhash_groups(docs: DataFrame, *, shingle: int = 4, seed: int = 42, distance: int = 4, segments: int = 3, block: int = 2048) -> DataFrame:
@@ -204,19 +241,177 @@ def component_names(rows: DataFrame, *, distance: int, segments: int, block: int
     return named.join(least, "component").select("fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int = 4, seed: int = 42, distance: int = 4, segments: int = 3, block: int = 2048) -> DataFrame:
+_BINS = 128
+_FEW = 100  # shingles; with fewer the bins of a sketch depend on each other
+
+
+@lru_cache(maxsize=1)
+def _fill_order() -> np.ndarray:
+    return np.array([np.random.default_rng(i).permutation(_BINS) for i in range(_BINS)])
+
+
+def sketches(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128 bits of MinHash of each text's shingle hashes as two columns, and the number of its shingles."""
+    n = np.diff(begin)
+    text = np.repeat(np.arange(len(n)), n)
+    x = mix(h ^ np.uint64(0x5BD1E995))
+    flat = np.full(len(n) * _BINS, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(flat, text * _BINS + (x >> np.uint64(57)).astype(np.int64), x << np.uint64(7))
+    value = flat.reshape(len(n), _BINS)
+    own, order = value.copy(), _fill_order()
+    row, col = np.nonzero((value == np.uint64(0xFFFFFFFFFFFFFFFF)) & (n > 0)[:, None])
+    for step in range(_BINS):
+        if not len(row):
+            break
+        got = own[row, order[col, step]]
+        ok = got != np.uint64(0xFFFFFFFFFFFFFFFF)
+        value[row[ok], col[ok]] = got[ok]
+        row, col = row[~ok], col[~ok]
+    bit = (value >> np.uint64(20)) & np.uint64(1)
+    weigh = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return (bit[:, :64] * weigh).sum(1, dtype=np.uint64), (bit[:, 64:] * weigh).sum(1, dtype=np.uint64), n
+
+
+def _near_forest(fp: np.ndarray, one: np.ndarray, two: np.ndarray, few: np.ndarray, distance: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of near rows, those with the nearest sketches first."""
+    left, right, cost = [], [], []
+    for i in range(0, len(fp), 256):
+        differ = np.bitwise_count(one[i : i + 256, None] ^ one[None, :]).astype(np.int64) + np.bitwise_count(two[i : i + 256, None] ^ two[None, :])
+        near = (np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :]) <= distance) & ((differ <= apart) | few[i : i + 256, None] | few[None, :])
+        a, b = np.nonzero(near)
+        up = b > a + i
+        left.append(a[up] + i)
+        right.append(b[up])
+        cost.append(differ[a[up], b[up]])
+    left, right = np.concatenate(left), np.concatenate(right)
+    order = np.argsort(np.concatenate(cost), kind="stable")
+    root = list(range(len(fp)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kept = []
+    for k in order.tolist():
+        x, y = find(int(left[k])), find(int(right[k]))
+        if x != y:
+            root[y] = x
+            kept.append(k)
+    return left[kept], right[kept]
+
+
+_NEAR = ["v", "fp", "one", "two", "few"]
+
+
+def _near(distance: int, apart: int, block: int):
+    """Of (key, v, fp, one, two, few) rows sorted by key, links (a, b, 0) and the rows (key, v, n) of large keys."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, v, fp, one, two, few in _whole_keys(batches, 1):
+            edge, size = _edges([key])
+            for start, n in zip(edge[size > 1].tolist(), size[size > 1].tolist()):
+                at = slice(start, start + n)
+                if n > block:
+                    yield _batch("a b n", key[at], v[at], np.full(n, n))
+                    continue
+                a, b = _near_forest(fp[at], one[at], two[at], few[at].astype(bool), distance, apart)
+                if len(a):
+                    yield _batch("a b n", v[at][a], v[at][b], np.zeros(len(a), np.int64))
+
+    return run
+
+
+def _near_blocks(distance: int, apart: int):
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *key, v, fp, one, two, few in _whole_keys(batches, 3):
+            for start, n in zip(*_edges(key)):
+                at = slice(start, start + n)
+                a, b = _near_forest(fp[at], one[at], two[at], few[at].astype(bool), distance, apart)
+                yield _batch("a b", v[at][a], v[at][b])
+
+    return run
+
+
+def _similar(shingle: int, seed: int, similarity: float):
+    """Of rows (a, b, x, y) the pairs (a, b) whose texts x and y are similar enough."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "x"):
+                x, xb = shingle_hashes(*buffers(part.column(2)), shingle, seed)
+                y, yb = shingle_hashes(*buffers(part.column(3)), shingle, seed)
+                ok = []
+                for i in range(part.num_rows):
+                    p, q = np.unique(x[xb[i] : xb[i + 1]]), np.unique(y[yb[i] : yb[i + 1]])
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    ok.append(both >= similarity * (len(p) + len(q) - both))
+                keep = pa.array(ok)
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
+def similar_names(texts: DataFrame, *, shingle: int, seed: int, similarity: float, distance: int, segments: int, block: int, apart: int = 26) -> tuple[DataFrame, DataFrame]:
+    """(doc, tkey, v) and (v, component_id) of texts (doc, tkey, text): v numbers distinct fingerprints with
+    their sketches, component_id is the smallest doc of what verified links connect."""
+    if distance >= 2 * segments:
+        raise ValueError("some segment must differ by at most one bit: distance < 2 * segments")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                h, begin = shingle_hashes(*buffers(part.column(2)), shingle, seed)
+                one, two, n = sketches(h, begin)
+                cols = [majority(h, begin).view(np.int64), one.view(np.int64), two.view(np.int64), (n < _FEW).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *map(pa.array, cols)], ["doc", "tkey", *_NEAR[1:]])
+
+    rows = materialize(texts.select("doc", "tkey", "text").mapInArrow(run, "doc long, tkey long, fp long, one long, two long, few long"), "simhash-fp")
+    own = rows.groupBy(*_NEAR[1:]).agg(F.min(F.struct("doc", "tkey")).alias("first"))
+    own = materialize(own.withColumn("v", F.monotonically_increasing_id()), "simhash-distinct")
+    keys = variants(own, segments, "v", *_NEAR[2:]).select("key", *_NEAR).repartition("key").sortWithinPartitions("key", "v")
+    first = materialize(keys.mapInArrow(_near(distance, apart, block), _LINKS).distinct(), "simhash-near")
+    large = first.where("n > 0").select(F.col("a").alias("key"), "n", F.col("b").alias("v")).join(own.select(*_NEAR), "v")
+    second = in_blocks(large, block, *_NEAR).mapInArrow(_near_blocks(distance, apart), "a long, b long")
+    links = materialize(first.where("n = 0").select("a", "b").unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
+    # The text that stands for a fingerprint is shuffled only if it has a candidate.
+    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
+    wanted = materialize(own.join(ends, "v").select("first.doc", "first.tkey", "v"), "simhash-wanted")
+    near, _ = bloom.split(texts.select("doc", "tkey", "text"), bloom.of_docs(wanted))
+    found = materialize(near.join(wanted, ["doc", "tkey"]).dropDuplicates(["v"]).select("v", "text"), "simhash-texts")
+    left, right = found.select(F.col("v").alias("a"), F.col("text").alias("x")), found.select(F.col("v").alias("b"), F.col("text").alias("y"))
+    sure = links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(shingle, seed, similarity), "a long, b long")
+    comp = components(materialize(sure, "simhash-verified"), "simhash-components")
+    named = own.join(comp, own.v == comp.id, "left").select("v", *_NEAR[1:], F.col("first.doc").alias("doc"), F.coalesce("component", "v").alias("component"))
+    named = materialize(named, "simhash-named")
+    least = materialize(named.groupBy("component").agg(F.min("doc").alias("component_id")), "simhash-least")
+    told = materialize(named.join(least, "component").select("v", *_NEAR[1:], "component_id"), "simhash-told")
+    return rows.join(told.select("v", *_NEAR[1:]), _NEAR[1:]).select("doc", "tkey", "v"), told.select("v", "component_id")
+
+
+def keep_one(docs: DataFrame, *, shingle: int = 4, seed: int = 42, distance: int = 4, segments: int = 3, block: int = 2048, similarity: float | None = None) -> DataFrame:
     """``docs`` with one document of each component left, the one of smallest doc_id; all columns stay.
 
-    Ties of doc_id go to the smaller hash of the text, fully repeated rows become one, and a null
-    doc_id comes last. Texts are shuffled only for documents that may go.
+    With ``similarity`` only links of texts at least as similar count. Ties of doc_id go to the smaller
+    hash of the text, fully repeated rows become one, and a null doc_id comes last. Texts are shuffled
+    only for documents that may go.
     """
     doc, tkey = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey")
-    rows = materialize(fingerprints(docs.select(doc, tkey, "text"), shingle=shingle, seed=seed).select("doc", "tkey", "fp"), "simhash-fp")
-    names = component_names(rows.withColumnRenamed("doc", "doc_id"), distance=distance, segments=segments, block=block)
-    named = rows.join(names, "fp").select("doc", "tkey", F.col("component_id").alias("least"))
+    texts = docs.select(doc, tkey, "text")
+    if similarity is None:
+        rows = materialize(fingerprints(texts, shingle=shingle, seed=seed).select("doc", "tkey", "fp"), "simhash-fp")
+        names = component_names(rows.withColumnRenamed("doc", "doc_id"), distance=distance, segments=segments, block=block)
+        named = rows.join(names, "fp").select("doc", "tkey", F.col("component_id").alias("least"))
+    else:
+        rows, names = similar_names(texts, shingle=shingle, seed=seed, similarity=similarity, distance=distance, segments=segments, block=block)
+        named = rows.join(names, "v").select("doc", "tkey", F.col("component_id").alias("least"))
     # The name of a component is its smallest id; among its rows of that id the smallest hash stays.
     best = named.where("doc = least").groupBy("least").agg(F.min("tkey").alias("best"))
-    told = named.groupBy("doc", "tkey", "least").agg(F.count(F.lit(1)).alias("n")).join(best, "least")
+    told = named.groupBy("doc", "tkey", "least").agg(F.count(F.lit(1)).alias("n")).join(materialize(best, "simhash-best"), "least")
     stays = (F.col("doc") == F.col("least")) & (F.col("tkey") == F.col("best"))
     moved = materialize(told.where(~stays | (F.col("n") > 1)).select("doc", "tkey", stays.alias("stays")), "simhash-gone")
     packed = docs.select(doc, tkey, F.struct(*docs.columns).alias("row"))
