@@ -1,6 +1,6 @@
-"""A Bloom filter of fixed size, built by Spark, to keep needless rows out of a shuffle.
+"""A Bloom filter of bounded size, built by Spark, to keep needless rows out of a shuffle.
 
-The size is a parameter, so what is broadcast is bounded whatever the input. With more keys it
+The size follows the number of keys up to a bound, so what is broadcast is bounded whatever the input. With more keys it
 lets more rows through; the join that follows stays exact.
 """
 
@@ -18,28 +18,34 @@ from .common import doc_key, mix, tidy
 _PROBES = 4
 
 
+def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The bits of each key: steps of a second hash from a first one."""
+    one = mix(keys)
+    two = mix(one ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    return [(one + np.uint64(i) * two) >> np.uint64(64 - bits) for i in range(_PROBES)]
+
+
 class Bloom:
     def __init__(self, bits: int, words: np.ndarray):
         self.bits, self.words = bits, words
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         """For 64-bit keys: false only where a key was certainly not added."""
-        h = mix(keys.view(np.uint64) if keys.dtype == np.int64 else keys.astype(np.uint64))
-        found = np.ones(len(h), bool)
-        for i in range(_PROBES):
-            at = (h >> np.uint64(16 * i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)
+        found = np.ones(len(keys), bool)
+        for at in _places(keys.view(np.uint64) if keys.dtype == np.int64 else keys.astype(np.uint64), self.bits):
             found &= (self.words[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
         return found
 
 
-def build(keys: DataFrame, bits: int = 25) -> Bloom:
-    """A filter of 2**bits bits over the one long column of ``keys``."""
+def build(keys: DataFrame, most_bits: int = 28) -> Bloom:
+    """A filter over the one long column of ``keys``: about 16 bits a key, at most 2**most_bits (32 MB)."""
+    n = keys.count()
+    bits = min(most_bits, max(16, int(16 * n).bit_length()))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = mix(batch.column(0).drop_null().to_numpy().view(np.uint64))
-            at = np.concatenate([(h >> np.uint64(16 * i)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits) for i in range(_PROBES)])
+            at = np.concatenate(_places(batch.column(0).drop_null().to_numpy().view(np.uint64), bits))
             word, bit = at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bit.view(np.int64))], ["word", "bit"])
 

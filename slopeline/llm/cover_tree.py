@@ -12,10 +12,11 @@ distance to a point below, measured, not the bound of the level), else replaced
 their children; at the leaves points are compared in double precision. Dropped pairs can hold no
 link, so the result is exact.
 
-A group is split so that no task holds all of it. Pivots, about the root of the group's size in
-number and chosen by hash, are the upper nodes of its tree: every point joins its nearest pivot
-(points come in chunks that carry the group's pivots along), and the points of a pivot are cut
-into leaves of at most ``leaf`` points, ordered by distance from it, so that leaves are shells.
+A group is split so that no task holds all of it. Pivots, one per ``leaf`` / 2 points but no more
+than the root of the group's size and chosen by hash, are the upper nodes of its tree: every point
+joins its nearest pivot (points come in chunks that carry the group's pivots along), and the points
+of a pivot are cut into shells by their distance from it and into leaves of about ``leaf`` points by
+hash.
 The dual traversal of pivots and leaves is a chain of joins with the bounds as conditions; only
 surviving pairs of leaves are compared, each by a dual traversal of the leaves' own cover trees.
 A task holds two leaves at a time, and returns counts per point and the links of a spanning
@@ -27,7 +28,8 @@ that has nothing to gain from children stays a leaf and is compared by one matri
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing, nor do rows with a null label or vectors of another length; a null vec_id links
 and counts, but names a component only if no other id is reachable (component_id is then null
-and ``kept`` false); rows repeated with one vec_id count as vectors of their own.
+and ``kept`` false); rows repeated with one vec_id count as vectors of their own; an empty table
+gives no rows; vectors may have any length; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -37,13 +39,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, tidy
 from .components import components, forest
 
 
+_GAIN = 8  # points that a node's children hold on average, or the node stays a leaf
+
+
 class CoverTree:
     """A cover tree over a few hundred points: nodes by level, radii halving from 2."""
 
@@ -66,16 +71,17 @@ class CoverTree:
         if len(members) > self.leaf and self.radius[node] > 0:
             # Centres of the next level: points farther than half the radius from all others chosen.
             bound = min(bound, self.radius[node]) / 2
-            near, owner, k = far, np.full(len(members), centre), centre
+            near, owner, k, n = far, np.full(len(members), centre), centre, 1
             while near.max() > bound:
                 k = int(members[near.argmax()])
                 d = np.sqrt(((self.points[members] - self.points[k]) ** 2).sum(1))
                 owner = np.where(d < near, k, owner)
                 near = np.minimum(d, near)
-                if len(np.unique(owner)) > len(members) // 2:
-                    break  # nothing to gain: the points are far apart from each other
+                n += 1
+                if n > _GAIN + len(members) // _GAIN:
+                    return node  # nothing to gain: the points are far apart from each other
             names = np.unique(owner)
-            if 1 < len(names) <= len(members) // 2:
+            if len(names) > 1:
                 self.children[node] = [self._grow(members[owner == k], int(k), bound) for k in names]
         return node
 
@@ -167,14 +173,25 @@ def _compare(cosine: float, reach: float):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, tuple] = {}  # of the last leaves; pairs come ordered by one side
+
+        def leaf_of(name: str, points: pa.StructArray) -> tuple:
+            if name not in trees:
+                if len(trees) > 3:
+                    trees.pop(next(iter(trees)))
+                ids, w, vec = _leaf(points)
+                trees[name] = ids, w, vec, CoverTree(vec)
+            return trees[name]
+
         for batch in batches:
             for row in range(batch.num_rows):
-                same = batch.column(0)[row].as_py() == batch.column(1)[row].as_py()
-                (xi, xw, xv), (yi, yw, yv) = (_leaf(batch.column(i)[row].values) for i in (2, 3))
+                x, y = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                same = x == y
+                yi, yw, yv, right = leaf_of(y, batch.column(3)[row].values)
+                xi, xw, xv, left = leaf_of(x, batch.column(2)[row].values)
                 nx, ny = np.zeros(len(xi), np.int64), np.zeros(len(yi), np.int64)
                 links = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-                left = CoverTree(xv)
-                for i, j in dual(left, left if same else CoverTree(yv), reach):
+                for i, j in dual(left, right, reach):
                     hit = xv[i] @ yv[j].T >= cosine
                     if same:
                         hit &= i[:, None] != j[None, :]
@@ -204,8 +221,8 @@ def _leaves(points: DataFrame, leaf: int, chunk: int) -> DataFrame:
     size = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     sized = points.join(size, "grp")
     share = F.pmod(F.xxhash64("pid"), F.lit(1 << 40)) / float(1 << 40)
-    # About the root of the group's size, all of a small group.
-    sized = sized.withColumn("top", share * F.col("n") < F.greatest(F.sqrt("n"), F.lit(16.0)))
+    pivots = F.greatest(F.lit(2.0), F.least(F.sqrt("n"), F.col("n") / (leaf / 2)))
+    sized = sized.withColumn("top", share * F.col("n") < pivots)
     spread = F.ceil(F.col("n") / chunk).cast("int")
     rows = sized.select("grp", F.pmod(F.xxhash64("pid", F.lit(7)), spread).cast("int").alias("salt"), F.lit(1).alias("kind"), "pid", "w", "vec")
     tops = sized.where("top").select("grp", F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"), F.lit(0).alias("kind"), "pid", "w", "vec")
@@ -214,8 +231,10 @@ def _leaves(points: DataFrame, leaf: int, chunk: int) -> DataFrame:
     tops = tops.unionByName(one.select("grp", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("salt"), F.lit(0).alias("kind"), "x.*"))
     placed = rows.unionByName(tops).repartition("grp", "salt").sortWithinPartitions("grp", "salt", "kind")
     placed = placed.mapInArrow(_to_pivots, f"grp string, pid long, w long, vec {_VECTOR}, pivot long, d double")
-    place = F.row_number().over(Window.partitionBy("grp", "pivot").orderBy("d", "pid"))
-    return materialize(placed.withColumn("leaf", F.floor((place - 1) / leaf).cast("int")), "cover-points")
+    placed = materialize(placed.withColumn("shell", F.floor(F.col("d") * 8).cast("int")), "cover-placed")
+    held = materialize(placed.groupBy("grp", "pivot", "shell").agg(F.ceil(F.count(F.lit(1)) / leaf).cast("int").alias("parts")), "cover-shells")
+    part = F.col("shell") * (1 << 20) + F.pmod(F.xxhash64("pid", F.lit(11)), F.col("parts")).cast("int")
+    return materialize(placed.join(held, ["grp", "pivot", "shell"]).withColumn("leaf", part).drop("shell", "parts"), "cover-points")
 
 
 def point_links(points: DataFrame, *, cosine: float, leaf: int = 1024, chunk: int = 4096) -> DataFrame:
@@ -230,7 +249,7 @@ def point_links(points: DataFrame, *, cosine: float, leaf: int = 1024, chunk: in
     pairs = p.join(q, "grp").where("p <= q").select("grp", "p", "pr", "pv", "q", "qr", "qv")
     pairs = pairs.mapInArrow(_pivot_pairs(reach), "grp string, p long, q long, gap double")
     shell = placed.groupBy("grp", "pivot", "leaf").agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.collect_list(F.struct("pid", "w", "vec")).alias("pts"))
-    shell = materialize(shell.withColumn("id", F.concat_ws(":", "pivot", "leaf")), "cover-leaves")
+    shell = materialize(shell.withColumn("id", F.concat_ws(":", "grp", "pivot", "leaf")), "cover-leaves")
     x = shell.select("grp", F.col("pivot").alias("p"), F.col("id").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
     y = shell.select("grp", F.col("pivot").alias("q"), F.col("id").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
     # The triangle inequality over the two pivots bounds the distance of the shells' points from below.
