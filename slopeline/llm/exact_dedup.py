@@ -7,13 +7,14 @@ Each level looks only at what the level before left undecided:
 3. only groups that survive get their full content hashed (SHA-256) and compared.
 
 All levels move narrow rows (ids, lengths, hashes): the text is never shuffled. Groups are
-formed by aggregation with map-side combining and joined back on the keys, so a group that
-holds a third of all rows costs one row per task.
+formed by aggregation with map-side combining, written, and joined back on the keys, so a group
+that holds a third of all rows costs one row per task and Spark can split it where it is joined.
 
 Defined cases: a null text counts as empty; empty texts equal each other; a null doc_id never
 is ``keep_id`` unless all ids of its group are null (then ``keep_id`` is null and ``kept`` false
 for none: such rows are all kept, as nothing tells them apart); rows repeated with the same
-doc_id and text share one outcome; extra columns are ignored.
+doc_id and text share one outcome; very long texts are compared whole; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import ascii_lower, materialize
 
 
@@ -33,18 +35,22 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     the first two levels, and ``text_sha256`` is null for the others.
     """
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).select(
-        "doc_id", "norm", F.octet_length("norm").alias("len"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head")
-    )
+    texts = docs.select(F.octet_length(norm).cast("long").alias("len"), F.xxhash64(F.substring(norm, 1, prefix)).alias("head"), F.col(id_col).alias("doc_id"), norm.alias("norm"))
     full = F.sha2(F.col("norm").cast("binary"), 256).alias("full")
     narrow = materialize(texts.select("doc_id", "len", "head", *([full] if digest_all else [])), "exact-dedup")
     count = F.count(F.lit(1)).alias("n")
-    lengths = narrow.groupBy("len").agg(count).where("n > 1").select("len", F.lit(2).alias("by_len"))
+    lengths = materialize(narrow.groupBy("len").agg(count).where("n > 1").select("len", F.lit(2).alias("by_len")), "exact-dedup-lengths")
     heads = narrow.join(lengths, "len", "left_semi").groupBy("len", "head").agg(count).where("n > 1").select("len", "head", F.lit(True).alias("by_head"))
+    heads = materialize(heads, "exact-dedup-heads")
     key = ["len", "head"]
-    survive = (narrow if digest_all else texts).join(heads, key, "left_semi")
-    survive = survive if digest_all else materialize(survive.select("doc_id", *key, full), "exact-dedup-survivors")
+    if digest_all:
+        survive = narrow.join(heads, key, "left_semi")
+    else:
+        # A filter keeps decided texts back; the others are hashed where they lie, so no text is shuffled.
+        near, _ = bloom.split(texts, bloom.of_docs(heads.select(F.col("len").alias("doc"), F.col("head").alias("tkey"))))
+        survive = materialize(near.select("doc_id", *key, full).join(heads, key, "left_semi"), "exact-dedup-survivors")
     groups = survive.groupBy(*key, "full").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    groups = materialize(groups, "exact-dedup-groups")
     if digest_all:
         decided = narrow.join(lengths, "len", "left").join(heads, key, "left")
     else:
