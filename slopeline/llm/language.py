@@ -4,16 +4,18 @@ For each language a suffix automaton of labelled text is built. A text is cut gr
 longest phrases that occur in that labelled text; a language in which few phrases suffice
 describes the text well. The language with the fewest phrases per character wins.
 
-The labelled text is a bounded sample: ``chars`` characters per language, from at most
-``max_docs`` documents chosen by a hash of the id among those that may be learnt from (a span
-of each, placed by that hash), and at most ``max_langs`` languages (the most frequent; more raise an error). So what is broadcast is
-bounded by chars * max_langs characters; workers build the automata from it once. Texts are
-parsed in blocks of ``block`` characters (each block begins a phrase), thousands of blocks side
-by side, so very long texts cost memory like short ones. Nothing is shuffled.
+The labelled text is a bounded sample: ``chars`` characters per language, fewer where all languages
+together would have more than ``total_chars``, from at most ``max_docs`` documents of each, chosen by
+a hash of the id among those that may be learnt from (a span of each, placed by that hash). So what
+is broadcast is bounded by total_chars characters however many languages there are; workers build the
+automata from it once. Texts are parsed in blocks of ``block`` characters (each block begins a phrase;
+most texts are one block), thousands of blocks side by side, so very long texts cost memory like
+short ones. Nothing is shuffled but the sample.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without labelled
 text everything is ``und``; equal counts go to the alphabetically first language; a null doc_id
-is never learnt from.
+is never learnt from; rows are independent, so repeated rows give repeated results; an empty table
+gives no rows; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, chunks, held_out, tidy
@@ -152,25 +154,26 @@ def squeeze(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sym[keep].astype(np.int64), at[off]
 
 
-def learn(docs: DataFrame, *, chars: int = 40_000, max_docs: int = 400, max_langs: int = 64) -> Languages:
-    """Labelled text per language from documents that are not held out."""
+def learn(docs: DataFrame, *, chars: int = 40_000, total_chars: int = 400_000, max_docs: int = 160) -> Languages:
+    """Labelled text per language from documents that are not held out: two jobs, however many languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    langs = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs + 1).collect()}
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages; raise max_langs")
-    texts: dict[str, bytes] = {}
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    n = max(counts.count(), 1)
+    chars = max(1, min(chars, total_chars // n))
+    share = max(200, chars // 40)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    for lang, count in langs.items():  # at most max_langs small jobs; each returns a span of at most max_docs texts
-        share = max(200, chars // 40)
-        span = F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {share})), {share})")
-        # The smallest hashes of all; a bound on the hash keeps a partition from sending its own smallest.
-        few = known.where((F.col("lang") == lang) & (place < 2 * max_docs / count))
-        rows = few.orderBy(place, "doc_id").limit(max_docs).select(span).collect()
-        texts[lang] = b" ".join(r[0].encode() for r in rows)[:chars]
-    return Languages(texts)
-
-
-def language_id(docs: DataFrame, *, block: int = 512, **settings) -> DataFrame:
+    span = F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {share})), {share})")
+    # The smallest hashes of each language; a bound on the hash first, so that few rows are ranked.
+    few = known.select("lang", "doc_id", place.alias("place"), span.alias("span")).join(F.broadcast(counts), "lang").where(F.col("place") < 2 * max_docs / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "span"))
+    rows = few.withColumn("rank", rank).where(F.col("rank") <= min(max_docs, 4 * chars // share + 1)).select("lang", "rank", "span").collect()
+    texts: dict[str, list[str]] = {}
+    for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
+        texts.setdefault(r["lang"], []).append(r["span"])
+    return Languages({lang: b" ".join(x.encode() for x in own)[:chars] for lang, own in texts.items()})
+
+
+def language_id(docs: DataFrame, *, block: int = 4096, **settings) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, phrases.
 
     ``score`` tells by how much the winner beats the runner-up: 1 - (its phrases / theirs),
