@@ -8,7 +8,9 @@ it once. Texts are scanned where they are read; nothing is shuffled.
 
 Defined cases: a null text counts as empty (no words, no labels, score 0); places may overlap
 and each counts; a tag with a malformed expression yields its known identifiers and
-``expression_valid`` false; rows are independent, so repeated rows give repeated results.
+``expression_valid`` false; rows are independent, so repeated rows give repeated results; very long
+texts are scanned whole in time that follows their length; an empty table gives no rows; extra
+columns play no part.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ NOTICES = {
 TAG = "spdx license identifier"
 
 #: Licences that allow use in other works; an expression is judged by these.
-PERMISSIVE = ("mit", "apache", "bsd", "isc", "boost", "cc0", "cc-by-4", "cc-by-3", "unlicense", "zlib")
+PERMISSIVE = ("mit", "apache", "bsd", "isc", "boost", "cc0", "cc-by-4.0", "cc-by-3.0", "unlicense", "zlib")
 
 _WORD_SEP = re.compile(rb"[^0-9a-z\x80-\xff]+")
 _TAG_AT = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier[ \t:=\-*]*([^\r\n]*)")
@@ -103,7 +105,7 @@ def evaluate(expression: str) -> tuple[list[str], bool | None, bool]:
     values: list[bool] = []
     for x in postfix:
         if x not in _RANK:
-            values.append(x.startswith(PERMISSIVE))
+            values.append(any(x == p or x.startswith(p + "-") for p in PERMISSIVE))
         elif len(values) >= 2:
             right, left = values.pop(), values.pop()
             values.append(left or right if x == "or" else left and right if x == "and" else left)
@@ -127,11 +129,14 @@ def scan_text(text: str, automaton) -> dict:
     row = {"n_words": words.count(" ") + 1 if words else 0, "n_base": 0, "first_word": None, "last_word": None, "n_places": 0, "expression": None, "expression_valid": None, "permissive": None}
     base, labels = set(), set()
     hits = list(automaton.iter(f" {words} ")) if words else []
-    tagged = False
+    tagged, seen, at = False, 0, 0
     for end, phrase in hits:
         row["n_places"] += 1
         if phrase in BASE:
-            at = words.count(" ", 0, end - len(phrase) - 1)
+            start = end - len(phrase) - 1
+            # Spaces are counted on from the place before; a longer phrase may begin a little before it.
+            at += words.count(" ", seen, start) if start >= seen else -words.count(" ", start, seen)
+            seen = start
             row["n_base"] += 1
             row["first_word"] = at if row["first_word"] is None else min(row["first_word"], at)
             row["last_word"] = at if row["last_word"] is None else max(row["last_word"], at)
