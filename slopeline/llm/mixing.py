@@ -8,11 +8,12 @@ or take less than one block.
 
 Weights are integer shares of 2**40, so releases and deadlines are exact integers and rounding
 amounts to less than a block within any 2**39 slots. The whole of a phase is scheduled, on the
-driver and slot by slot: time grows with the blocks (rows / block_rows), memory is 4 bytes per
-block, listed in pieces of ``period`` blocks of one source. When a source runs out, a new phase
-begins in which the others share its weight in proportion; so every document is placed exactly
-once, none is dropped or repeated. There are at most as many phases as sources, and the deviation
-holds within each.
+driver and slot by slot. Blocks have ``block_rows`` documents, or more where the table would have
+over ``max_blocks`` blocks, so what is scheduled and broadcast (4 bytes per block, listed in pieces
+of ``period`` blocks of one source) is bounded whatever the input. When a source runs out, a new
+phase begins in which the others share its weight in proportion; so every document is placed
+exactly once, none is dropped or repeated. There are at most as many phases as sources, and the
+deviation holds within each.
 
 Places in a source come from one range partitioning by (source, hash, id): rows are numbered in
 their partition and the partitions' counts are summed up (a table of partitions and sources),
@@ -20,8 +21,9 @@ so a source with a third of all rows is spread over many tasks.
 
 Defined cases: a null source counts as the source ""; sources without a target weight (or with
 weight 0) follow after all others, in equal shares; a null doc_id is an id like any other;
-rows that share source and doc_id come in any order; no rows give no rows; more than
-``max_sources`` sources raise an error.
+rows that share source and doc_id come in any order; texts play no part; no rows give no rows;
+extra columns are carried along, those with the names of added ones are replaced; more than
+``max_sources`` sources (their names and sizes are held on the driver) raise an error.
 """
 
 from __future__ import annotations
@@ -125,7 +127,7 @@ def _table(spark: SparkSession, phases: list[dict], size: int) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(cols, schema=pa.schema(list(zip(names, types)))))
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, block_rows: int = 32, period: int = 1000, max_sources: int = 500, seed: int = 42) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, temperature: float = 0.5, block_rows: int = 32, period: int = 1000, max_blocks: int = 1 << 22, max_sources: int = 10_000, seed: int = 42) -> DataFrame:
     """``docs`` with the columns mix_phase, mix_weight, mix_block, mix_slot and mix_position added.
 
     Sorting by mix_position gives the mix. Without ``weights`` a source's target weight is its
@@ -143,6 +145,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, tem
     sizes = {r[0]: r[1] for r in counted.groupBy(src).agg(F.sum("n")).limit(max_sources + 1).collect()}
     if len(sizes) > max_sources:
         raise ValueError(f"more than {max_sources} sources; raise max_sources")
+    block_rows = max(block_rows, -(-sum(sizes.values()) // max_blocks))
     targets = weights if weights is not None else {s: n**temperature for s, n in sizes.items()}
     phases = plan({s: -(-n // block_rows) for s, n in sizes.items()}, targets)
     # 4 bytes per block of block_rows rows.
