@@ -3,8 +3,8 @@
 Encoding needs the ids of each pre-token ("word" below). Words that the corpus uses often are
 compiled, with their ids as output, into a minimal acyclic automaton: words in order, equal
 suffixes shared, an output on the last arc of each word's own path. The automaton is one flat
-file of numbers that each Python worker maps into memory. A word that the automaton lacks is
-merged exactly, by the vocabulary's merge ranks.
+file of numbers that Spark sends to each executor once and that its Python workers map into memory.
+A word that the automaton lacks is merged exactly, by the vocabulary's merge ranks.
 
 Which words are frequent is counted over all documents (map-side counters, then one aggregation);
 at most ``lexicon_words`` enter the automaton, so its size is bounded whatever the input. The
@@ -15,8 +15,10 @@ Special tokens of the vocabulary file (such as an end-of-text mark) are found in
 become their own id, as the tokenizers library does.
 
 Defined cases: a null text counts as empty (no ids, empty decoded text); whole texts of any
-length are encoded; rows are independent. The counters of a task are flushed when they hold
-``_FLUSH`` words, and a worker's cache of pieces is emptied at ``_CACHE`` pieces.
+length are encoded; rows are independent, so repeated rows give repeated results; an empty table
+gives no rows; extra columns play no part. The counters of a task are flushed when they hold
+``_FLUSH`` words; a worker keeps one encoder, and its caches (words, and twice as many pieces of
+text, some 200 bytes each) are emptied at ``_CACHE`` words and at the end of every task.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import json
 import mmap
 import os
 import tempfile
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -33,16 +36,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
+from .common import chunks, materialize, tidy
 
 # Fixed value: the pre-tokenizer's pattern, given with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_FLUSH = 400_000
-_CACHE = 800_000
+_FLUSH = 200_000
+_CACHE = 250_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -158,18 +162,11 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, mapped into memory."""
+    """A compiled lexicon, mapped into memory from its file."""
 
-    def __init__(self, data: bytes):
-        # The file goes as soon as it is mapped: the mapping stays, the executor's disk is left clean.
-        fd, name = tempfile.mkstemp(suffix=".lexicon")
-        try:
-            with os.fdopen(fd, "wb") as out:
-                out.write(data)
-            with open(name, "rb") as f:
-                self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        finally:
-            os.unlink(name)
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.letters = 8 + int.from_bytes(self._map[:8], "little")  # where the letters begin
         view = memoryview(self._map)[8 : self.letters].cast("i")
         self.root, states, arcs, words = view[:4]
@@ -222,7 +219,7 @@ class Pieces(dict):
         self.words, self.lead = words, lead
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHE // 2:
+        if len(self) >= 2 * _CACHE:
             self.clear()
         found = self[piece] = b"".join(map(self.words.__getitem__, self.words.vocabulary.split(self.lead + piece)))
         return found
@@ -244,6 +241,11 @@ class Encoder:
         self.spaced = Pieces(self.words, " ")
         self.feed = self.words["\n"]
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        for cache in (self.words, self.first, self.spaced):
+            cache.clear()
+
     def encode(self, text: str) -> bytes:
         v = self.vocabulary
         if v.mark is None or not any(m in text for m in v.special):
@@ -265,15 +267,26 @@ class Encoder:
         return b"".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _vocabulary(data: bytes) -> Vocabulary:
-    return Vocabulary(data)
+@lru_cache(maxsize=1)
+def _vocabulary(path_or_name: str, shipped: bool) -> Vocabulary:
+    with open(SparkFiles.get(path_or_name) if shipped else path_or_name, "rb") as f:
+        return Vocabulary(f.read())
+
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str, lexicon: str) -> Encoder:
+    """Kept by the worker from task to task; the names are those of files that Spark has sent."""
+    return Encoder(_vocabulary(vocabulary, True), Lexicon(SparkFiles.get(lexicon)))
 
-@lru_cache(maxsize=2)
-def _encoder(data: bytes, lexicon: bytes) -> Encoder:
-    """Kept by the worker from task to task."""
-    return Encoder(_vocabulary(data), Lexicon(lexicon))
+
+def _ship(spark: SparkSession, data: bytes, kind: str) -> str:
+    """Send a few megabytes to every executor as a file; its name there."""
+    name = f"{kind}-{uuid.uuid4().hex}"
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)  # the driver serves it from here
+    with open(path, "wb") as out:
+        out.write(data)
+    spark.sparkContext.addFile(path)
+    return name
 
 
 def frequent_words(docs: DataFrame, limit: int) -> list[str]:
@@ -313,9 +326,8 @@ def frequent_words(docs: DataFrame, limit: int) -> list[str]:
     return [r[0] for r in words.where(F.col("n") >= least).select("word").collect()]
 
 
-def build_lexicon(docs: DataFrame, vocabulary: bytes, *, lexicon_words: int = 30_000) -> bytes:
+def build_lexicon(docs: DataFrame, v: Vocabulary, *, lexicon_words: int = 30_000) -> bytes:
     """Compile the pre-tokens of the most frequent words, with and without a space before them."""
-    v = _vocabulary(vocabulary)
     words: dict[bytes, list[int]] = {}
     for found in frequent_words(docs, lexicon_words):
         for text in (found, " " + found):
@@ -329,12 +341,13 @@ def build_lexicon(docs: DataFrame, vocabulary: bytes, *, lexicon_words: int = 30
 def bpe(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = 30_000, with_ids: bool = True, with_text: bool = False, with_digests: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_tokens; on request ids array<int>, decoded text, and digests.
 
-    The vocabulary file is read on the driver and sent to the workers (a few megabytes).
+    The vocabulary file is read on the driver and sent to the executors (a few megabytes).
     """
+    spark = docs.sparkSession
     with open(vocabulary_path, "rb") as f:
-        data = f.read()
+        vocabulary = _ship(spark, f.read(), "vocabulary")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((data, build_lexicon(docs.select("text"), data, lexicon_words=lexicon_words)))
+    lexicon = _ship(spark, build_lexicon(docs.select("text"), _vocabulary(vocabulary_path, False), lexicon_words=lexicon_words), "lexicon")
     kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64()}
     schema = "doc_id long, n_tokens long"
     if with_ids:
@@ -347,22 +360,26 @@ def bpe(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_c
         kinds |= {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
         schema += ", ids_sha256 string, decoded_sha256 string"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(*sent.value)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
-                cols = {"doc_id": part.column(0), "n_tokens": [len(x) // 4 for x in ids]}
-                if with_text or with_digests:
-                    texts = [encoder.decode(x) for x in ids]
-                if with_ids:
-                    off = np.cumsum([0, *cols["n_tokens"]], dtype=np.int32)
-                    cols["ids"] = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                if with_text:
-                    cols["decoded"] = texts
-                if with_digests:
-                    cols["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
-                    cols["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
-                yield pa.RecordBatch.from_arrays([x if isinstance(x := cols[k], pa.Array) else pa.array(x, kind) for k, kind in kinds.items()], list(kinds))
+        encoder = _encoder(vocabulary, lexicon)
+        try:
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
+                    cols = {"doc_id": part.column(0), "n_tokens": [len(x) // 4 for x in ids]}
+                    if with_text or with_digests:
+                        texts = [encoder.decode(x) for x in ids]
+                    if with_ids:
+                        off = np.cumsum([0, *cols["n_tokens"]], dtype=np.int32)
+                        cols["ids"] = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                    if with_text:
+                        cols["decoded"] = texts
+                    if with_digests:
+                        cols["ids_sha256"] = [hashlib.sha256(x).hexdigest() for x in ids]
+                        cols["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x := cols[k], pa.Array) else pa.array(x, kind) for k, kind in kinds.items()], list(kinds))
+        finally:
+            encoder.forget()
 
     return docs.mapInArrow(run, schema)
