@@ -81,6 +81,59 @@ class Vocabulary:
         self.split = regex.compile(PATTERN).findall
         self.mark = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+        pairs = np.array(list(self.merge), np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._ranks = pairs[order], np.array(list(self.merge.values()), np.int64)[order]
+        single = np.array(self.single, np.int64)
+        self._single = single
+        self._bytes = self.look_up(single[:, None], single[None, :])  # of every pair of bytes
+
+    def look_up(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and merged id of pairs of ids, as ``merge`` has them; _NEVER for pairs that don't merge."""
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        return np.where(self._pairs[at] == pair, self._ranks[at], _NEVER)
+
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """Ids (as little-endian 32-bit bytes) of many words by the same merges, side by side: in each
+        round every word that can still merge makes its next merge."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.array([len(w) for w in words], np.int64)
+        for i in np.flatnonzero(size > _WIDE).tolist():
+            out[i] = array("I", self.merged(words[i])).tobytes()
+        rows = np.flatnonzero((size > 0) & (size <= _WIDE))
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        for part in np.array_split(rows, max(1, -(-len(rows) // _SIDE))):  # words of like length together
+            if not len(part):
+                continue
+            n, wide = size[part].copy(), int(size[part].max())
+            raw = np.frombuffer(b"".join([words[i].ljust(wide, b"\0") for i in part.tolist()]), np.uint8).reshape(-1, wide)
+            ids, column = self._single[raw], np.arange(wide)
+            found = np.full((len(part), wide), _NEVER)  # of the pair that begins in a column
+            found[:, :-1] = np.where(column[None, 1:] < n[:, None], self._bytes[raw[:, :-1], raw[:, 1:]], _NEVER)
+            todo = np.arange(len(part))
+            while len(todo):
+                at = found[todo].argmin(1)
+                best = found[todo, at]
+                todo, at, best = todo[best != _NEVER], at[best != _NEVER], best[best != _NEVER]
+                if not len(todo):
+                    break
+                take = np.minimum(column[None, :] + (column[None, :] > at[:, None]), wide - 1)
+                moved, ranks = np.take_along_axis(ids[todo], take, 1), np.take_along_axis(found[todo], take, 1)
+                each = np.arange(len(todo))
+                moved[each, at] = best & 0xFFFFFFFF
+                n[todo] -= 1
+                ranks[:, -1] = _NEVER
+                before, behind = at > 0, at + 1 < n[todo]
+                ranks[each, at] = _NEVER
+                ranks[each[behind], at[behind]] = self.look_up(moved[each[behind], at[behind]], moved[each[behind], at[behind] + 1])
+                ranks[each[before], at[before] - 1] = self.look_up(moved[each[before], at[before] - 1], moved[each[before], at[before]])
+                ids[todo], found[todo] = moved, ranks
+            flat = ids.astype("<u4")
+            for i, row, k in zip(part.tolist(), flat, n.tolist()):
+                out[i] = row[:k].tobytes()
+        return out
+
     def merged(self, word: bytes) -> list[int]:
         """Ids of one word by repeatedly merging the pair of lowest rank, leftmost first."""
         single, known = self.single, self.merge.get
@@ -98,6 +151,7 @@ class Vocabulary:
 
 
 _NEVER = 1 << 62
+_WIDE, _SIDE = 48, 8192  # bytes of words that are merged side by side, and how many at a time
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -169,6 +223,7 @@ class Lexicon:
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         self.letters = 8 + int.from_bytes(self._map[:8], "little")  # where the letters begin
         view = memoryview(self._map)[8 : self.letters].cast("i")
+        arc = np.frombuffer(self._map, np.uint8, offset=self.letters)
         self.root, states, arcs, words = view[:4]
         at = 4
         self.final = view[at : (at := at + states)]
@@ -177,6 +232,36 @@ class Lexicon:
         self.before = view[at : (at := at + arcs)]
         self.where = view[at : (at := at + words + 1)]
         self.ids = view[at:]
+        # Arcs by state and letter, which is their order in the file.
+        self._arc = np.repeat(np.arange(states) << 8, np.diff(np.asarray(self.begin))) | arc
+        self._flat = np.asarray(self.ids).astype("<u4").tobytes()
+
+    def get_all(self, words: list[bytes]) -> list[bytes | None]:
+        """``get`` for many words side by side; ids as little-endian 32-bit bytes."""
+        size = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        lead = np.cumsum(size) - size
+        state, rank = np.full(len(words), self.root), np.zeros(len(words), np.int64)
+        target, before = np.asarray(self.target), np.asarray(self.before)
+        todo = np.flatnonzero(size > 0)
+        for i in range(int(size.max(initial=0))):
+            if not len(self._arc):
+                state[todo] = -1
+                break
+            key = (state[todo] << 8) | raw[lead[todo] + i]
+            at = np.minimum(np.searchsorted(self._arc, key), len(self._arc) - 1)
+            ok = self._arc[at] == key
+            state[todo[~ok]] = -1
+            rank[todo[ok]] += before[at[ok]]
+            state[todo[ok]] = target[at[ok]]
+            todo = todo[ok]
+            todo = todo[size[todo] > i + 1]
+            if not len(todo):
+                break
+        known = (state >= 0) & (size > 0)
+        known[known] = np.asarray(self.final)[state[known]] != 0
+        where = np.asarray(self.where)
+        return [self._flat[4 * where[r] : 4 * where[r + 1]] if k else None for k, r in zip(known.tolist(), rank.tolist())]
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None: follow its bytes, adding up the words that come before."""
@@ -193,53 +278,21 @@ class Lexicon:
 _BYTE = [bytes([b]) for b in range(256)]
 
 
-class Words(dict):
-    """Words to ids (as little-endian 32-bit bytes), filled as words are met."""
-
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = self.lexicon.get(raw)
-        if ids is None:
-            ids = self.vocabulary.merged(raw)
-        if len(self) >= _CACHE:
-            self.clear()
-        found = self[word] = array("I", ids).tobytes()
-        return found
-
-
-class Pieces(dict):
-    """What stands between single spaces to ids; ``lead`` is put before each piece."""
-
-    def __init__(self, words: Words, lead: str):
-        super().__init__()
-        self.words, self.lead = words, lead
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= 2 * _CACHE:
-            self.clear()
-        found = self[piece] = b"".join(map(self.words.__getitem__, self.words.vocabulary.split(self.lead + piece)))
-        return found
-
-
 class Encoder:
     """Texts to ids (as little-endian 32-bit bytes) and back.
 
     The pre-tokenizer looks no further than a single space or line feed between two other
     characters: it starts a new word there whatever stands around. Texts without any other
     white space are therefore cut at those first, and the pieces are looked up whole. All other
-    texts go through the pre-tokenizer's pattern.
+    texts go through the pre-tokenizer's pattern. What a chunk of texts holds for the first time is
+    looked up in the lexicon and merged side by side.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary = vocabulary
-        self.words = Words(vocabulary, lexicon)
-        self.first = Pieces(self.words, "")
-        self.spaced = Pieces(self.words, " ")
-        self.feed = self.words["\n"]
+        self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.words: dict[str, bytes] = {}  # words to ids
+        self.first: dict[str, bytes] = {}  # pieces at the begin of a line
+        self.spaced: dict[str, bytes] = {}  # pieces behind a single space
 
     def forget(self) -> None:
         """Empty the caches."""
@@ -247,20 +300,65 @@ class Encoder:
             cache.clear()
 
     def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > _CACHE or len(self.spaced) > 2 * _CACHE or len(self.first) > _CACHE:
+            self.forget()
+        parsed = [self._parse(t) for t in texts]
+        self._learn([part for own in parsed for part in own])
+        return [b"".join([self._ids(part) for part in own]) for own in parsed]
+
+    def _parse(self, text: str) -> list:
+        """Parts of a text: ids of a special token (bytes), words (tuple), or lines of pieces (list of lists)."""
         v = self.vocabulary
-        if v.mark is None or not any(m in text for m in v.special):
-            return self._plain(text)
-        return b"".join(np.array([v.special[part]], "<u4").tobytes() if part in v.special else self._plain(part) for part in v.mark.split(text))
+        if v.mark is not None and any(m in text for m in v.special):
+            return [np.array([v.special[part]], "<u4").tobytes() if part in v.special else self._plain(part) for part in v.mark.split(text)]
+        return [self._plain(text)]
 
-    def _plain(self, text: str) -> bytes:
+    def _plain(self, text: str) -> tuple | list:
         # Any other white space, or two in a row, would make these lists differ.
         if text.replace("\n", " ").split(" ") != text.split():
-            return b"".join(map(self.words.__getitem__, self.vocabulary.split(text)))
-        first_word, spaced, out = self.first.__getitem__, self.spaced.__getitem__, []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(first_word(first) + b"".join(map(spaced, rest)))
-        return self.feed.join(out)
+            return tuple(self.vocabulary.split(text))
+        return [line.split(" ") for line in text.split("\n")]
+
+    def _learn(self, parts: list) -> None:
+        """Put into the caches whatever the parts hold."""
+        split = self.vocabulary.split
+        first, spaced, words = set(), set(), {"\n"}
+        for part in parts:
+            if isinstance(part, tuple):
+                words.update(part)
+            elif isinstance(part, list):
+                for line in part:
+                    first.add(line[0])
+                    spaced.update(line[1:])
+        # Letters alone are one word by the pattern (for old letters, on which all Unicode tables agree).
+        plain = lambda p: p.isalpha() and max(p) < "\u0500"
+        first = {p: (p,) if plain(p) else split(p) for p in first - self.first.keys()}
+        spaced = {p: (" " + p,) if plain(p) else split(" " + p) for p in spaced - self.spaced.keys()}
+        for found in (first, spaced):
+            for own in found.values():
+                words.update(own)
+        new = list(words - self.words.keys())
+        if new:
+            raw = [w.encode("utf-8", "surrogatepass") for w in new]
+            ids = self.lexicon.get_all(raw)
+            rest = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(rest, self.vocabulary.merged_all([raw[i] for i in rest])):
+                ids[i] = x
+            self.words.update(zip(new, ids))
+        known = self.words.__getitem__
+        self.first.update((p, b"".join(map(known, own))) for p, own in first.items())
+        self.spaced.update((p, b"".join(map(known, own))) for p, own in spaced.items())
+
+    def _ids(self, part: bytes | tuple | list) -> bytes:
+        if isinstance(part, bytes):
+            return part
+        if isinstance(part, tuple):
+            return b"".join(map(self.words.__getitem__, part))
+        first, spaced = self.first, self.spaced.__getitem__
+        return self.words["\n"].join([first[line[0]] + b"".join(map(spaced, line[1:])) for line in part])
 
     def decode(self, ids: bytes) -> str:
         token = self.vocabulary.token
@@ -365,8 +463,8 @@ def bpe(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_c
         encoder = _encoder(vocabulary, lexicon)
         try:
             for batch in batches:
-                for part in chunks(batch, "text"):
-                    ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
+                for part in chunks(batch, "text", 2 << 20):
+                    ids = encoder.encode_all([t or "" for t in part.column(1).to_pylist()])
                     cols = {"doc_id": part.column(0), "n_tokens": [len(x) // 4 for x in ids]}
                     if with_text or with_digests:
                         texts = [encoder.decode(x) for x in ids]

@@ -85,6 +85,9 @@ def test_bpe_random_texts_and_lexicon(tmp_path):
     lexicon = B.Lexicon(str(tmp_path / "lexicon"))
     assert all(lexicon.get(w) == ids for w, ids in known.items()) and lexicon.get(b"a") is None and lexicon.get(b"") is None and lexicon.get(b"abcd") is None
     e, rng = B.Encoder(v, lexicon), random.Random(1)
+    probes = [*known, b"", b"a", b"abcd", b"x" * 60, b"\xc3"] + ["".join(rng.choice("abc etionrs\xe9\u65e5") for _ in range(rng.randint(1, 60))).encode() for _ in range(400)]
+    assert [None if x is None else np.frombuffer(x, "<u4").tolist() for x in lexicon.get_all(probes)] == [lexicon.get(w) for w in probes]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.merged_all(probes)] == [v.merged(w) for w in probes]
     parts = ["a", "b", "abc", " ", "  ", "\n", "\t", "é", "ß", "1", "23", "'s", "'ll", "!", "..", "<|endoftext|>", "日本", " ", " ", "😀", "\r\n", "²", "\x00", "\x1c", "\u0085"]
     for _ in range(1500):
         s = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
@@ -366,6 +369,28 @@ def test_licenses(spark):
     assert LC.license_scan(odd_docs(spark)).count() == 11 and LC.license_scan(odd_docs(spark, True)).count() == 0
 
 
+def base_places(text):
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    at = [(i, label) for i in range(len(w)) for p, label in phrases.items() if w[i : i + len(p.split())] == p.split()]
+    return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_license_base_columns_against_brute_force(spark):
+    rng = random.Random(21)
+    parts = ["cc", "by", "CC-BY", "general", "public", "license", "all", "rights", "reserved", "lesser", "é", "x1", "\n", "…", "0", "nc", "MIT license", "SPDX-License-Identifier: MIT"]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(10_000 + i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for i in range(300)]
+    rows += [(20_000, "cc by lesser general public license, all rights reserved " * 20_000)]
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in LC.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: base_places(t) for i, t in rows}
+
+
+def test_licences_are_known_by_whole_names():
+    assert LC.evaluate("MIT")[1] and LC.evaluate("BSD-3-Clause")[1] and LC.evaluate("Apache-2.0 WITH LLVM-exception")[1]
+    assert LC.evaluate("Mitre-1.0")[1] is False and LC.evaluate("Iscx")[1] is False
+
+
 def test_licence_expressions():
     assert LC.evaluate("MIT OR GPL-3.0") == (["mit", "gpl-3.0"], True, True)
     assert LC.evaluate("MIT AND GPL-3.0")[1] is False
@@ -453,6 +478,26 @@ def test_shingle_codes_do_not_depend_on_the_neighbours():
     assert not (line == 2).any()
 
 
+def test_line_dedup_takes_very_long_lines_whole(spark):
+    rng = random.Random(41)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    near = long[:100_000] + "XYZ" + long[100_000:]
+    other = long[:100_000] + "".join(rng.choice("ijklmnop ") for _ in range(100_000))
+    docs = spark.createDataFrame([(1, long), (2, near), (3, other), (4, "\n" + long)], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in LD.duplicate_lines(docs).collect()} == {1: [], 2: [0], 3: [], 4: [1]}
+
+
+def test_operators_take_columns_of_clashing_names(spark):
+    rows = [(i, [float(i % 3), 1.0, 0.0], i % 2, "x", i, 5, "y") for i in range(12)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, grp string, pid long, w int, ok string")
+    plain = {tuple(r) for r in CT.embedding_dedup(vectors.select("vec_id", "embedding", "label")).collect()}
+    assert {tuple(r) for r in CT.embedding_dedup(vectors).collect()} == plain and len(plain) == 12
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", i, "keep", 7) for i in range(100)], "doc_id long, source string, mix_slot long, mix_src string, place int")
+    out = MX.mix_sources(docs, block_rows=4)
+    assert out.count() == 100 and out.columns.count("mix_slot") == 1 and {(r.mix_src, r.place) for r in out.collect()} == {("keep", 7)}
+    assert MX.mix_sources(docs, block_rows=1, max_blocks=10).agg({"mix_block": "max"}).first()[0] <= 7
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     vocab = [f"plain{i}" for i in range(300)]
@@ -519,6 +564,44 @@ def test_language(spark):
     assert LG.language_id(odd_docs(spark, True)).count() == 0 and LG.language_id(odd_docs(spark)).count() == 11
 
 
+def test_language_takes_any_number_of_languages(spark):
+    rng = random.Random(31)
+    stems = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") + rng.choice("aeiou") for _ in range(3)) for _ in range(90 * 4)]
+    rows = [(i, " ".join(rng.choice(stems[4 * (i % 90) : 4 * (i % 90) + 4]) for _ in range(80)), f"l{i % 90:02d}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = LG.language_id(docs).where("held_out").collect()
+    assert sum(r.lang_pred == f"l{r.doc_id % 90:02d}" for r in got) >= 0.97 * len(got) > 200
+
+
+def test_language_predictions_against_brute_force(spark):
+    """Greedy phrases by searching the labelled texts themselves; ties go to the first name."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    known = LG.learn(docs)
+    sample = [LG.squeeze(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0].astype(np.uint8).tobytes() for t in known.texts]
+
+    def phrases(text, labelled):
+        n, at = 1, 0
+        sym = LG.squeeze(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0].astype(np.uint8).tobytes()
+        while at < len(sym):
+            size = 1
+            while at + size <= len(sym) and sym[at : at + size] in labelled:
+                size += 1
+            if size == 1:  # an unknown character begins a phrase that goes on behind it
+                n, at = n + (at > 0), at + 1
+                continue
+            at += size - 1
+            n += at < len(sym)
+        return n
+
+    few = [r for r in docs.collect() if r.text and len(r.text) < 3000][:25]
+    got = {r.doc_id: r.lang_pred for r in LG.language_id(docs).collect()}
+    right = 0
+    for r in few:
+        n = [phrases(r.text.encode(), x) for x in sample]
+        right += got[r.doc_id] == known.names[n.index(min(n))]
+    assert right == len(few)
+
+
 def test_suffix_automaton_parses_greedily():
     text, probe = b"abracadabra banana", b"bananacadab xabra"
     known = LG.Languages({"t": text})
