@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import risk as R
+from ..operators import channels as H
 from ..operators import decisions as D
 from ..operators import evaluation as E
 from ..operators import graph as G
@@ -376,8 +377,31 @@ def signboard_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", state.alias("state"), F.when(F.col("depth") < 0, 0.78).otherwise(0.96).alias("confidence"))
 
 
+def channel_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as alerts sent over all channels: outcomes by the seeded generator (no SQL can draw like it)."""
+    o = T.table(spark, sf_dir, "orders").select(F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("alert_id"), (F.col("o_custkey") % 30).alias("recipients"))
+    return H.channel_results(o).withColumn("longest_s", F.round("longest_s", 6))
+
+
+def mesh_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phones reached and acknowledged over the mesh, and the longest latency, per area."""
+    o = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("alert_id"), (F.col("o_custkey") % 30).alias("recipients"), (F.col("o_custkey") % 10).alias("area"))
+    out = H.channel_results(o.select("alert_id", "recipients"), ("mesh",)).join(o.select("alert_id", "area"), "alert_id")
+    return out.groupBy("area").agg(F.sum("delivered").alias("delivered"), F.sum("acknowledged").alias("acknowledged"), F.round(F.max("longest_s"), 6).alias("longest_s"))
+
+
+def photo_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as photos: their bytes behind a PNG's head of known sides; every third declares another type."""
+    k = F.col("page_id")
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), F.unhex(F.lpad(F.hex(k % 900 + 1), 8, "0")), F.unhex(F.lpad(F.hex(k % 700 + 2), 8, "0")), F.col("html").cast("binary"))
+    url = F.concat(F.lit("data:image/"), F.when(k % 3 == 0, "jpeg").otherwise("png"), F.lit(";base64,"), F.base64(png))
+    parts = H.photo(url)
+    p = T.table(spark, sf_dir, "pages").select("page_id", F.octet_length(parts["data"]).cast("long").alias("bytes"), parts["mime"].alias("mime"), parts["width"].alias("width"), parts["height"].alias("height"))
+    return p.withColumn("quality", R.image_quality(F.col("bytes"), F.col("width"), F.col("height")))
+
+
 QUERIES = {f.__name__: f for f in (
-    tick_cells, tick_result, driving_cells, card_context, impacted_roads, lead_times, flagged_roads, commander_answers, verified_routes, trail_summaries, alert_trail, missing_stages, audit_events, announcements,
+    channel_results, mesh_rollup, photo_sizes, tick_cells, tick_result, driving_cells, card_context, impacted_roads, lead_times, flagged_roads, commander_answers, verified_routes, trail_summaries, alert_trail, missing_stages, audit_events, announcements,
     went_wrong, missed_lines, voice_models, resolved_fixtures, replay_progress, node_filters, subgraph_paths, avoided_roads, severed_union, route_lines, budgeted_routes, tactical_orders, missions, robotic_nodes,
     saved_plans, stored_reports, client_history, explained_cells, asset_recall, shelter_register, signboard_claims,
 )}
@@ -418,6 +442,10 @@ def _of(kind: str, what: str) -> str:
 
 
 ORACLES = {
+    "photo_sizes": """WITH p AS (SELECT page_id, page_id % 3 <> 0 AS ok, 24 + octet_length(encode(html)) AS n, page_id % 900 + 1 AS w, page_id % 700 + 2 AS h FROM pages), q AS (SELECT *, least(w, h) AS lo, greatest(w, h) AS hi FROM p)
+        SELECT page_id, CASE WHEN ok THEN n END AS bytes, CASE WHEN ok THEN 'image/png' END AS mime, CASE WHEN ok THEN w END AS width, CASE WHEN ok THEN h END AS height,
+            round(CASE WHEN ok THEN least(1, 0.15::DOUBLE + CASE WHEN n >= 20000 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN n >= 100000 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN lo >= 480 THEN 0.25::DOUBLE WHEN lo >= 320 THEN 0.12::DOUBLE ELSE 0 END
+                + CASE WHEN hi >= 640 THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN hi >= 960 THEN 0.25::DOUBLE ELSE 0 END) ELSE 0.15::DOUBLE END, 3) AS quality FROM q""",
     "tick_cells": f"{_RHEAD} SELECT cell_id, round(p, 6) AS p_fail, round(ratio, 6) AS threshold_exceedance, confidence, model_version FROM rk",
     "tick_result": f"""{_RHEAD}, {_TRI}, roads AS ({_GRID}), hit AS (SELECT edge_id, is_bridge, max(p) AS top FROM roads JOIN tri ON least(ux, vx) <= greatest(ax, lx, rx) AND greatest(ux, vx) >= least(ax, lx, rx) AND least(uy, vy) <= greatest(ay, ly, ry) AND greatest(uy, vy) >= least(ay, ly, ry)
             WHERE NOT ({_apart()}) GROUP BY 1, 2),

@@ -1,5 +1,6 @@
 """Rules on tiny inputs: grids at all latitudes, gaps in series, chains, projections, ids, streams."""
 
+import base64
 import datetime
 import math
 import random
@@ -8,6 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from slopeline.operators import channels as H
 from slopeline.operators import decisions as D
 from slopeline.operators import graph as G
 from slopeline.operators import joins as J
@@ -149,6 +151,42 @@ def test_routes_avoid_water(spark):
     assert not got[4, 1].reachable and not got[7, 1].reachable
 
 
+def test_channels_draw_as_seeded(spark):
+    rng = random.Random(H.seed_of("a1", "sms"))
+    want = [0, 0, 0.0]
+    for _ in range(50):
+        got = rng.random() < 0.90
+        seen = got and rng.random() < 0.40
+        late = rng.uniform(5.0, 120.0)
+        want = [want[0] + got, want[1] + seen, max(want[2], late)]
+    rows = {r.channel: r for r in H.channel_results(spark.createDataFrame([("a1", 50), ("a2", 0), (None, 5)], "alert_id string, recipients long")).where("alert_id = 'a1'").collect()}
+    assert (rows["sms"].delivered, rows["sms"].acknowledged, rows["sms"].longest_s) == tuple(want) and len(rows) == 4
+
+
+def test_photos(spark):
+    jpeg = b"\xff\xd8\xff\xe0" + (16).to_bytes(2, "big") + bytes(14) + b"\xff\xc4" + (5).to_bytes(2, "big") + bytes(3) + b"\xff\xff\xc2" + (11).to_bytes(2, "big") + b"\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + bytes(9)
+    webp = b"RIFF" + bytes(4) + b"WEBPVP8X" + bytes(8) + (799).to_bytes(3, "little") + (599).to_bytes(3, "little")
+    url = lambda kind, data: f"data:image/{kind};base64," + base64.b64encode(data).decode()
+    rows = [(1, url("jpeg", jpeg)), (2, url("webp", webp)), (3, url("png", jpeg)), (4, "http://x"), (5, "data:image/png;base64,%%%"), (6, None)]
+    parts = H.photo(F.col("u"))
+    found = spark.createDataFrame(rows, "id long, u string").select("id", *[c.alias(k) for k, c in parts.items()])
+    got = {r.id: (r.mime, r.width, r.height) for r in found.collect()}
+    assert got == {1: ("image/jpeg", None, None), 2: ("image/webp", 800, 600), 3: (None, None, None), 4: (None, None, None), 5: (None, None, None), 6: (None, None, None)}
+    sides = {r.id: (r.width, r.height) for r in H.jpeg_sides(found, "id").collect()}
+    assert sides[1] == (640, 480) and sides[6] == (None, None)
+
+
+def test_boosted_trees_learn_and_explain(spark):
+    rng = random.Random(9)
+    rows = [(i, a, b, int(a > 0.5)) for i in range(200) for a, b in [(rng.random(), rng.random() if i % 5 else None)]]
+    d = spark.createDataFrame(rows, "id long, a double, b double, y int")
+    model = H.fit_trees(d, ["a", "b"], "y", trees=3)
+    got = H.scored(model, d, ["a", "b"]).collect()
+    assert all((r.model_p > 0.5) == (r.a > 0.5) for r in got)
+    part = {(r.id, r.feature): r.contribution for r in H.occlusion(model, d, "id", ["a", "b"], {"a": 0.0, "b": 0.0}).collect()}
+    assert all(part[i, "a"] > 0.2 for i, a, _, _ in rows if a > 0.6) and all(abs(part[i, "b"]) < 0.2 for i, a, _, _ in rows if abs(a - 0.5) > 0.1)
+
+
 def test_stub_feed_and_factory(spark):
     live = P.source(spark, "LIVE")
     assert live.isStreaming and set(live.columns) >= {"t", "aoi_id", "cell_id", "rain_1h", "source"}
