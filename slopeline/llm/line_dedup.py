@@ -8,13 +8,13 @@ The query and the pipeline compare every line that is not empty (``min_chars=1``
 1. Every line gets a MinHash signature by one-permutation hashing: each shingle is hashed once,
    falls into one of bands * rows bins and the smallest hash per bin counts; an empty bin takes
    the value of another one in a fixed random order. Lines whose bins agree over a whole band
-   meet in a bucket. With 18 bands of 5 a pair at similarity 0.8 is found with probability
-   0.999, at 0.9 with more than 0.99999.
-2. A 63-bit sketch (the lowest bit of each of 63 bins) travels along. In a bucket, lines stay only
+   meet in a bucket. With 14 bands of 4 a pair at similarity 0.8 is found with probability
+   0.9993, at 0.9 with more than 0.99999.
+2. A sketch (the lowest bit of each of up to 63 bins, 56 by default) travels along. In a bucket, lines stay only
    if another one's sketch differs in at most ``apart`` bits; at similarity 0.8 it differs in
    about 6. Lines with few shingles, whose bins depend on each other, always stay.
 3. Candidates are verified by exact Jaccard similarity of their shingle sets. In each bucket
-   all lines are first compared with the most frequent one. Then every pair of the bucket that
+   all lines are first compared with the most frequent one. Then every other pair of the bucket that
    is not yet in one component is compared too, inside the task by an inverted index, which
    returns links between components only: pairs inside a component can't change it, so the
    result is that of comparing all pairs, without making a list of them. Large buckets are
@@ -391,7 +391,7 @@ def _across(shingle: int, similarity: float):
     return run
 
 
-def line_components(texts: DataFrame, *, min_chars: int, shingle: int, similarity: float, bands: int, rows: int, apart: int = 20, block: int = 1024) -> DataFrame:
+def line_components(texts: DataFrame, *, min_chars: int, shingle: int, similarity: float, bands: int, rows: int, apart: int = 18, block: int = 1024) -> DataFrame:
     """(id, id2, component) of the lines that have a similar one. ``texts``: doc, tkey, text."""
     keys = texts.mapInArrow(_bands(min_chars, shingle, bands, rows), _KEYS)
     shared = materialize(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets(apart, block), _KEYS).select("key", "id"), "line-buckets")
@@ -402,10 +402,12 @@ def line_components(texts: DataFrame, *, min_chars: int, shingle: int, similarit
     lines = materialize(lines, "line-texts")
     shared = materialize(shared.join(lines.select("id", "v", "n"), "id").select("key", "v", "n"), "line-bucket-lines")
     heads = materialize(shared.groupBy("key").agg(F.max(F.struct("n", "v")).alias("head")).select("key", F.col("head.v").alias("head")), "line-heads")
-    star = shared.join(heads, "key").where("v <> head").select(F.col("v").alias("a"), F.col("head").alias("b")).distinct()
+    spokes = materialize(shared.join(heads, "key").where("v <> head").select("key", "v", "head"), "line-spokes")
+    star = spokes.select(F.col("v").alias("a"), F.col("head").alias("b")).distinct()
     first = materialize(_verified(star, lines, shingle, similarity), "line-links")
     comp = components(first, "line-components").select(F.col("id").alias("v"), "component")
-    known = materialize(shared.join(comp, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component")), "line-known")
+    # What is left of a bucket are the pairs without its head.
+    known = materialize(spokes.join(comp, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component")), "line-known")
     mixed = known.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("v")).alias("same"), F.min("v").alias("least"), F.max("v").alias("most")
     ).where("lo <> hi")
@@ -421,7 +423,7 @@ def line_components(texts: DataFrame, *, min_chars: int, shingle: int, similarit
     return materialize(lines.select("v", "id", "id2").join(comp, "v").select("id", "id2", "component"), "line-named")
 
 
-def duplicate_lines(docs: DataFrame, *, min_chars: int = 1, shingle: int = 6, similarity: float = 0.8, bands: int = 18, rows: int = 5) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, min_chars: int = 1, shingle: int = 6, similarity: float = 0.8, bands: int = 14, rows: int = 4) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, tkey (hash of the text), n_compared, removed.
 
     ``removed`` lists, in order, the numbers (from 0) of the lines that go.

@@ -463,9 +463,9 @@ def test_line_signatures_find_similar_lines():
                 b = a[:at] + "".join(rng.choice("qrstuv") for _ in range(rng.randint(1, max(1, size // 12)))) + a[at:]
                 if LD.jaccard(a, b, 6) >= 0.8:
                     n += 1
-                    sig, few = LD.signatures([a, b], 6, 90)
+                    sig, few = LD.signatures([a, b], 6, 56)
                     sketch = LD.sketches(sig, few)
-                    found += bool((np.diff(LD.band_keys(sig, 18, 5), axis=0) == 0).any() and LD.alike(sketch[:1], sketch[1:], 20)[0])
+                    found += bool((np.diff(LD.band_keys(sig, 14, 4), axis=0) == 0).any() and LD.alike(sketch[:1], sketch[1:], 18)[0])
     assert n > 1500 and found >= 0.998 * n
 
 
