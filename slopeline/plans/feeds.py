@@ -61,7 +61,7 @@ def cells_to_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_granule_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest day with an order of a kind, looking back five days from a date."""
     days = T.table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.to_date("o_orderdate").alias("day"))
-    return X.latest_available(days, F.to_date(F.lit("1996-07-15")))
+    return X.latest_available(days, F.to_date(F.lit("1996-07-15"))).select(F.col("day").cast("string").alias("day"))
 
 
 def catalogue_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposure_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Villages, schools and hospitals, and bridges of map elements inside a box."""
     e = _elements(spark, sf_dir)
-    layer = lambda kind, prefix, pattern=".*": X.exposure_layer(X.exposure(e, kind, BOX, pattern), prefix).withColumn("layer", F.lit(kind))
+    layer = lambda kind, prefix, pattern=".*": X.exposure_layer(X.exposure(e, kind, (92.6203, 23.6203, 92.8003, 23.8003), pattern), prefix).withColumn("layer", F.lit(kind))
     out = layer("villages", "v_").unionByName(layer("amenity", "s_", "school|hospital")).unionByName(layer("bridges", "b_"))
     return out.select("layer", "id", "name", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "population")
 
@@ -252,7 +252,7 @@ def _utm_sql() -> str:
 
 def _layer(kind: str, prefix: str, where: str) -> str:
     return f"""SELECT '{kind}' AS layer, '{prefix}' || c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'unnamed' END AS name, round(lon, 6) AS lon, round(lat, 6) AS lat,
-        CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 13 END AS population FROM el WHERE lon BETWEEN 92.62 AND 92.8 AND lat BETWEEN 23.62 AND 23.8 AND {where}"""
+        CASE WHEN c_custkey % 4 = 0 THEN c_custkey * 13 END AS population FROM el WHERE lon BETWEEN 92.6203 AND 92.8003 AND lat BETWEEN 23.6203 AND 23.8003 AND {where}"""
 
 
 ORACLES = {
@@ -263,7 +263,7 @@ ORACLES = {
         FROM terrain LEFT JOIN features ON pixel_id = CAST(cell_id % 400 AS VARCHAR)""",
     "live_soil_cells": f"{T.with_tables('terrain')}, {_SOIL} SELECT cell_id, soil_moisture, 0.0::DOUBLE AS rain_1h, 'smap' AS source FROM terrain LEFT JOIN best ON pixel_id = 'ease_' || (cell_id % 45) || '_' || (cell_id % 7)",
     "cells_to_pixels": f"""{T.with_tables('villages', 'sites')} SELECT village_id AS cell_id, arg_min(site_id, (sqrt(pow(v.lon - s.lon, 2) + pow(v.lat - s.lat, 2)), site_id)) AS pixel_id FROM villages v, sites s WHERE site_id % 3 = 0 GROUP BY 1""",
-    "latest_granule_day": "SELECT max(o_orderdate::DATE) AS day FROM orders WHERE o_orderkey % 5 = 0 AND o_orderdate::DATE BETWEEN DATE '1996-07-10' AND DATE '1996-07-15'",
+    "latest_granule_day": "SELECT CAST(max(o_orderdate::DATE) AS VARCHAR) AS day FROM orders WHERE o_orderkey % 5 = 0 AND o_orderdate::DATE BETWEEN DATE '1996-07-10' AND DATE '1996-07-15'",
     "catalogue_links": """WITH d AS (SELECT l_orderkey, strftime(max(l_shipdate::DATE), '%Y-%m-%d') AS day, min(l_linenumber) FILTER (l_partkey % 3 = 1 AND l_suppkey % 2 = 0) AS n FROM lineitem GROUP BY 1)
         SELECT l_orderkey, 'https://catalogue/granules.json?short_name=SPL3SMP_E&version=006&temporal=' || day || 'T00%3A00%3A00Z%2C' || day || 'T23%3A59%3A59Z&bounding_box=92.62%2C23.62%2C92.8%2C23.8&page_size=5' AS url,
             'http://g/' || l_orderkey || '-' || n || '.h5' AS href FROM d""",
