@@ -49,15 +49,6 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return whole
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have yet."""
-    taken = {c.lower() for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; texts of ASCII alone take the faster built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _UPPER.lower()))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import materialize
 
 _WHOLE = 1 << 40
 
@@ -136,10 +136,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, tem
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_phase", "mix_weight", "mix_block", "mix_slot", "mix_position")
-    src, at, part = fresh(docs, "mix_src"), fresh(docs, "mix_at"), fresh(docs, "mix_part")
-    keyed = docs.withColumn(src, F.coalesce("source", F.lit("")))
-    order = [F.col(src), F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
-    rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    names = docs.columns
+    # The rows travel as one column, so that their names can't clash with those used here.
+    keyed = docs.select(F.coalesce("source", F.lit("")).alias("src_"), F.xxhash64("doc_id", F.lit(seed)).alias("hash_"), F.col("doc_id").alias("id_"), F.struct(*names).alias("row_"))
+    src, at, part = "src_", "at_", "part_"
+    order = [src, "hash_", "id_"]
+    rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("hash_", "id_")
     rows = materialize(rows.withColumns({at: F.monotonically_increasing_id(), part: F.spark_partition_id()}), "mix-order")
     counted = rows.groupBy(src, part).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("lead"))
     sizes = {r[0]: r[1] for r in counted.groupBy(src).agg(F.sum("n")).limit(max_sources + 1).collect()}
@@ -158,7 +160,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, *, tem
     placed = placed.join(table, (F.col(src) == table["src"]) & (F.floor(F.col("mix_block") / period) == table["piece"]) & (nth >= 0) & (nth < F.size("slots")))
     slot = F.col("begin") + F.element_at("slots", (nth + 1).cast("int"))
     added = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("place") % block_rows)
-    return added.select(*docs.columns, "mix_phase", "mix_weight", "mix_block", "mix_slot", "mix_position")
+    return added.select(*[F.col("row_")[c].alias(c) for c in names], "mix_phase", "mix_weight", "mix_block", "mix_slot", "mix_position")
 
 
 def in_mix_order(mixed: DataFrame) -> DataFrame:
