@@ -639,9 +639,10 @@ def test_pipeline_against_plain_python(spark):
     assert len(bad - clean) >= 0.7 * len(bad) > 0 and len(toxic.keys() - bad - clean) <= 0.01 * len(toxic)
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    one = stages["simhash near-dedup"](spark, docs, sf)
-    least = similar_groups([(r.doc_id, r.text) for r in docs.collect()])
-    gone, due = {r.doc_id for r in docs.collect()} - {r.doc_id for r in one.collect()}, {i for i, k in least.items() if i != k}
+    more = spark.read.parquet(f"{large}/documents.parquet")  # a few near copies of the smallest tables tell little about recall
+    one = stages["simhash near-dedup"](spark, more, large)
+    least = similar_groups([(r.doc_id, r.text) for r in more.collect()])
+    gone, due = set(least) - {r.doc_id for r in one.collect()}, {i for i, k in least.items() if i != k}
     assert gone <= due and len(gone) >= 0.9 * len(due) > 0
     mixed = stages["mixing"](spark, docs, sf)
     assert sorted(map(tuple, mixed.collect())) == sorted(map(tuple, docs.collect()))
