@@ -131,7 +131,7 @@ def test_hyetograph_keeps_the_total(spark):
 
 def test_runout_at_equal_angles(spark):
     t = spark.range(1).select(R.runout_triangle(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(100.0), F.lit(0.9), 45.0, 45.0).alias("t")).first().t
-    assert [round(x, 6) for x in t] == [0, 0, -100, 100, 100, 100]
+    assert [round(x, 6) for x in t] == [0, 0, 100, 100, -100, 100]  # the first corner lies clockwise of the way down
 
 
 def test_nearest_and_within_agree_with_all_pairs(spark):
