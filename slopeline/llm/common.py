@@ -169,6 +169,39 @@ class Runs:
         return out
 
 
+def flat_ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i] .. start[i] + size[i] - 1 of all i in a row."""
+    lead = np.cumsum(size) - size
+    return np.arange(int(size.sum())) + np.repeat(start - lead, size)
+
+
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the byte ranges number a[i] and b[i] hold the same bytes: eight at a time."""
+    eight = np.ndarray((len(raw) + 1,), "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))
+    size = ends[a] - starts[a]
+    same = size == ends[b] - starts[b]
+    todo, at = np.flatnonzero(same & (size > 0)), 0
+    while len(todo):
+        unused = np.uint64(64) - np.minimum(size[todo] - at, 8).astype(np.uint64) * np.uint64(8)
+        differ = (eight[starts[a[todo]] + at] ^ eight[starts[b[todo]] + at]) << unused != 0
+        same[todo[differ]] = False
+        at += 8
+        todo = todo[~differ & (size[todo] > at)]
+    return same
+
+
+def kinds(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one range of each kind, the kind of each range), where ranges of a kind have equal hashes and equal bytes."""
+    order = np.argsort(hashes, kind="stable")
+    lead = np.append(True, hashes[order[1:]] != hashes[order[:-1]]) if len(order) else np.zeros(0, bool)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(lead) - 1
+    own = order[lead]
+    odd = np.flatnonzero(~same_bytes(raw, starts, ends, np.arange(len(order)), own[kind]))
+    kind[odd] = len(own) + np.arange(len(odd))  # of different bytes with one hash, the later ones stand for themselves
+    return np.append(own, odd), kind
+
+
 NO_ID = (1 << 63) - 1  # stands for a null id where ids are ordered: null ids come last
 
 
