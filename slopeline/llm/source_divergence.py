@@ -48,30 +48,34 @@ _FIRST_LEVEL = 4  # bytes; doubled on every level
 _PAIRS = 1 << 20  # pairs of entries that are worked on at once
 
 
-def _binary(raw: np.ndarray, starts: np.ndarray, size: np.ndarray) -> pa.Array:
+def _gathered(raw: np.ndarray, starts: np.ndarray, size: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Byte ranges as an Arrow column."""
     off = np.append(0, np.cumsum(size)).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(off), pa.py_buffer(raw[flat_ranges(starts, size)])])
+    return pa.Array.from_buffers(kind, len(size), [None, pa.py_buffer(off), pa.py_buffer(raw[flat_ranges(starts, size)])])
 
 
 @tidy
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, and the distinct terms of each document with their counts."""
+    """lang, source, the distinct terms of each document in one string, and their counts as 32-bit numbers."""
     for batch in batches:
         for part in chunks(batch, "text", _PIECE):
             raw, off = buffers(part.column(2))
             raw = np.where((raw >= 0x41) & (raw <= 0x5A), raw | 0x20, raw)
             starts, ends, first = word_spans(raw, off, _TERM)
-            first = np.append(first[:-1], len(starts))
-            text = np.repeat(np.arange(part.num_rows), np.diff(first)).astype(np.uint64)
-            own, kind = kinds(raw, starts, ends, mix(word_hashes(raw, starts, ends, 12) + text * _ODD))
+            text = np.repeat(np.arange(part.num_rows), np.diff(np.append(first[:-1], len(starts))))
+            own, kind = kinds(raw, starts, ends, mix(word_hashes(raw, starts, ends, 12) + text.astype(np.uint64) * _ODD))
             n = np.bincount(kind, minlength=len(own))
             order = np.argsort(own)
             own, n = own[order], n[order]
-            lists = pa.array(np.searchsorted(own, first).astype(np.int32))
-            terms = pa.ListArray.from_arrays(lists, _binary(raw, starts[own], (ends - starts)[own]))
-            counts = pa.ListArray.from_arrays(lists, pa.array(n.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, counts], ["lang", "source", "terms", "counts"])
+            at = np.searchsorted(text[own], np.arange(part.num_rows + 1))
+            # A space stands behind every term.
+            size = (ends - starts)[own] + 1
+            joined = np.full(int(size.sum()), 0x20, np.uint8)
+            lead = np.append(0, np.cumsum(size))
+            joined[flat_ranges(lead[:-1], size - 1)] = raw[flat_ranges(starts[own], size - 1)]
+            terms = pa.Array.from_buffers(pa.string(), part.num_rows, [None, pa.py_buffer(lead[at].astype(np.int32)), pa.py_buffer(joined)])
+            counts = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(n.astype("<i4"))])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), terms, counts], ["lang", "source", "text", "counts"])
 
 
 def _codes(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -87,81 +91,101 @@ def _prefix_keys(lang: np.ndarray, langs: pa.Array, prefix_hashes: np.ndarray) -
     return mix(prefix_hashes + own[lang] * _ODD)
 
 
+def _listed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begin, length, document) of every listed term."""
+    raw, off = buffers(column)
+    ends = np.flatnonzero(raw == 0x20)
+    starts = np.append(0, ends + 1)[: len(ends)]
+    return raw, starts, ends - starts, np.searchsorted(off, starts, "right") - 1
+
+
 def _level(length: int, sent):
-    """Rows of one level: what is complete at ``length`` bytes by source, and what goes on, by language."""
+    """Rows of one level: what is complete at ``length`` bytes, and the prefixes that go on."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text", _PIECE):
+                raw, starts, size, doc = _listed(part.column(1))
+                lang, langs = _codes(part.column(0))
+                at = np.flatnonzero(size > (0 if sent is None else length // 2))
+                if sent is not None and len(at):
+                    at = at[sent.value.may_hold(_prefix_keys(lang[doc[at]], langs, word_hashes(raw, starts[at], starts[at] + length // 2, 12)))]
+                starts, doc, goes_on = starts[at], doc[at], size[at] > length
+                ends = starts + np.minimum(size[at], length)
+                hashes = word_hashes(raw, starts, ends, 12)
+                # A prefix counts once for a document, however many of its terms begin with it.
+                once = np.flatnonzero(~goes_on)
+                more = np.flatnonzero(goes_on)
+                own, _ = kinds(raw, starts[more], ends[more], mix(hashes[more] + doc[more].astype(np.uint64) * _ODD))
+                for found, is_open in ((once, False), (more[own], True)):
+                    group = lang[doc[found]].astype(np.uint64)
+                    own, kind = kinds(raw, starts[found], ends[found], mix(hashes[found] + group * _ODD))
+                    docs = np.bincount(kind, minlength=len(own))
+                    own = found[own]
+                    term = _gathered(raw, starts[own], (ends - starts)[own], pa.binary())
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[doc[own]])), term, pa.array(np.full(len(own), is_open)), pa.array(docs)], ["lang", "term", "is_open", "docs"])
+
+    return run
+
+
+def _counts(sent):
+    """lang, source, term, n of what the filter of kept terms may hold."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            terms, n = lists.flatten(), batch.column(3).flatten().to_numpy()
-            raw, off = buffers(terms)
-            size = np.diff(off)
-            doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            (lang, langs), (source, sources) = _codes(batch.column(0)), _codes(batch.column(1))
-            at = np.flatnonzero(size > (0 if sent is None else length // 2))
-            starts = off[:-1][at]
-            if sent is not None and len(at):
-                ok = sent.value.may_hold(_prefix_keys(lang[doc[at]], langs, word_hashes(raw, starts, starts + length // 2, 12)))
-                at, starts = at[ok], starts[ok]
-            if not len(at):
-                continue
-            size, n, doc = size[at], n[at], doc[at]
-            ends = starts + np.minimum(size, length)
-            lang, source = lang[doc], source[doc]
-            hashes = word_hashes(raw, starts, ends, 12)
-            whole, more = np.flatnonzero(size <= length), np.flatnonzero(size > length)
-            group = (lang * len(sources) + source).astype(np.uint64)
-            own, kind = kinds(raw, starts[whole], ends[whole], mix(hashes[whole] + group[whole] * _ODD))
-            docs, total = np.bincount(kind, minlength=len(own)), np.zeros(len(own), np.int64)
-            np.add.at(total, kind, n[whole])
-            own = whole[own]
-            # A prefix counts once for a document, however many of its terms begin with it.
-            once, _ = kinds(raw, starts[more], ends[more], mix(hashes[more] + doc[more].astype(np.uint64) * _ODD))
-            more = more[once]
-            open_, kind = kinds(raw, starts[more], ends[more], mix(hashes[more] + lang[more].astype(np.uint64) * _ODD))
-            open_docs = np.bincount(kind, minlength=len(open_))
-            open_ = more[open_]
-            both = np.append(own, open_)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    langs.take(pa.array(lang[both])), pa.concat_arrays([sources.take(pa.array(source[own])), pa.nulls(len(open_), sources.type)]), _binary(raw, starts[both], (ends - starts)[both]),
-                    pa.array(np.append(docs, open_docs)), pa.array(np.append(total, np.zeros(len(open_), np.int64))),
-                ],
-                ["lang", "source", "term", "docs", "n"],
-            )
+            for part in chunks(batch, "text", _PIECE):
+                raw, starts, size, doc = _listed(part.column(2))
+                n = np.frombuffer(buffers(part.column(3))[0].tobytes(), "<i4").astype(np.int64)
+                (lang, langs), (source, sources) = _codes(part.column(0)), _codes(part.column(1))
+                hashes = word_hashes(raw, starts, starts + size, 12)
+                at = np.flatnonzero(sent.value.may_hold(_prefix_keys(lang[doc], langs, hashes)))
+                doc, starts, size = doc[at], starts[at], size[at]
+                group = (lang[doc] * len(sources) + source[doc]).astype(np.uint64)
+                own, kind = kinds(raw, starts, starts + size, mix(hashes[at] + group * _ODD))
+                total = np.zeros(len(own), np.int64)
+                np.add.at(total, kind, n[at])
+                term = _gathered(raw, starts[own], size[own], pa.string())
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[doc[own]])), sources.take(pa.array(source[doc[own]])), term, pa.array(total)], ["lang", "source", "term", "n"])
 
     return run
 
 
 @tidy
-def _alive_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = buffers(batch.column(1))
         lang, langs = _codes(batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(_prefix_keys(lang, langs, word_hashes(raw, off[:-1], off[1:], 12)).view(np.int64))], ["key"])
 
 
+def _filter(terms: DataFrame):
+    """Broadcast Bloom filter (32 MB at most) of lang and term."""
+    return terms.sparkSession.sparkContext.broadcast(bloom.build(terms.select("lang", "term").mapInArrow(_keys, "key long")))
+
+
 def kept_terms(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(groups: lang, source; terms: lang, source, term, n, lang_n) of the terms that at least ``least``
     documents of their language have. ``docs`` has lang, source and text without nulls."""
-    spark = docs.sparkSession
-    listed = materialize(docs.select("lang", "source", "text").mapInArrow(_terms, "lang string, source string, terms array<binary>, counts array<long>"), "divergence-terms")
+    listed = materialize(docs.select("lang", "source", "text").mapInArrow(_terms, "lang string, source string, text string, counts binary"), "divergence-terms")
     groups = materialize(listed.select("lang", "source").distinct(), "divergence-groups")
     length, sent, complete = _FIRST_LEVEL, None, []
     while True:
-        rows = listed.mapInArrow(_level(length, sent), "lang string, source string, term binary, docs long, n long")
-        level = materialize(rows.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n")), "divergence-level")
-        complete.append(level.where("source IS NOT NULL"))
-        # Prefixes that go on have no source; those below the threshold are discarded.
-        alive = level.where(F.col("source").isNull() & (F.col("docs") >= least)).select("lang", "term")
+        rows = listed.select("lang", "text").mapInArrow(_level(length, sent), "lang string, term binary, is_open boolean, docs long")
+        # What is below the threshold is discarded with all that it begins.
+        level = materialize(rows.groupBy("lang", "term", "is_open").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least), "divergence-level")
+        complete.append(level.where("NOT is_open"))
+        alive = level.where("is_open")
         if alive.isEmpty():
             break
-        sent = spark.sparkContext.broadcast(bloom.build(alive.mapInArrow(_alive_keys, "key long")))
+        sent = _filter(alive)
         length *= 2
-    counted = reduce(DataFrame.unionByName, complete).withColumn("term", F.col("term").cast("string"))
-    kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least).drop("docs")
-    return groups, materialize(counted.drop("docs").join(kept, ["lang", "term"]), "divergence-kept")
+    kept = reduce(DataFrame.unionByName, complete).select("lang", F.col("term").cast("string").alias("term"))
+    counted = listed.mapInArrow(_counts(_filter(kept)), "lang string, source string, term string, n long")
+    counted = materialize(counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n")), "divergence-counts")
+    totals = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")).join(kept, ["lang", "term"])
+    return groups, materialize(counted.join(totals, ["lang", "term"]), "divergence-kept")
 
 
 def share(n: Column, total: Column, terms: Column, scale: int) -> Column:
@@ -184,6 +208,7 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column(0)
         entry = lists.flatten()
         group, p, p0 = (entry.field(i).to_numpy() for i in range(3))
+        groups, own = np.unique(group, return_inverse=True)
         size = pc.list_value_length(lists).to_numpy()
         first = np.cumsum(size) - size
         mine = np.repeat(np.arange(len(size)), size)
@@ -194,14 +219,14 @@ def _both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = np.repeat(np.arange(at, to), size[mine[at:to]])
             b = flat_ranges(first[mine[at:to]], size[mine[at:to]])
             at = to
-            apart = a != b
-            a, b = a[apart], b[apart]
-            value = _f(p[a], p[b]) - _f(p[a], p0[b]) - _f(p0[a], p[b]) + _f(p0[a], p0[b])
-            order = np.lexsort((group[b], group[a]))
-            a, b, value = group[a[order]], group[b[order]], value[order]
-            if len(a):
-                lead = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(a[lead]), pa.array(b[lead]), pa.array(np.add.reduceat(value, lead))], ["a", "b", "value"])
+            pa_, pb, qa, qb = p[a], p[b], p0[a], p0[b]
+            value = _f(pa_, pb) - _f(pa_, qb) - _f(qa, pb) + _f(qa, qb)
+            pair, kind = np.unique(own[a] * len(groups) + own[b], return_inverse=True) if len(groups) > 1000 else (np.arange(len(groups) ** 2), own[a] * len(groups) + own[b])
+            total = np.zeros(len(pair), np.int64)
+            np.add.at(total, kind, value)
+            a, b = groups[pair // len(groups)], groups[pair % len(groups)]
+            apart = (a != b) & (total != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(a[apart]), pa.array(b[apart]), pa.array(total[apart])], ["a", "b", "value"])
 
 
 def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
