@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,64 +43,103 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     return a.join(b.withColumn("_cx", F.explode(beside)), ["_cy", "_cx"]).withColumn("km_apart", d).where(F.col("km_apart") <= km).drop("_cy", "_cx")
 
 
-def _outward(points: DataFrame, x: str, y: str, key: str, cell: float, bounds: DataFrame, meet: Callable[[DataFrame, float], DataFrame]) -> DataFrame:
-    """(key, ..., dist): the nearest match of every point, by grids that get coarser for those without one.
+_FAN = 4  # cells along one side that a cell of the next level holds
+_TOP = 16  # at most so many cells are on the top level
+_SMALL = 50_000  # rows of a level that may be broadcast
+_FULL = 64  # things in one cell, beyond which cells are made smaller
+
 
-    ``meet`` joins points, spread over the nine cells of a grid, with what lies there and gives one
-    row per point: key, x, y and a struct ``b`` (null without a match) whose first field is the
-    distance. A match within the cell size is nearest; once a cell spans all bounds any match is.
+def _levels(things: DataFrame, cell: float) -> tuple[float, list[DataFrame]]:
+    """(size of the finest cells, their levels from fine to coarse): the occupied cells, each with one of its things.
+
+    ``things`` has x and y, each place once. Cells begin at ``cell`` and are made smaller while one of
+    them holds more than ``_FULL`` things; levels grow coarser until few cells are left.
+    """
+    for _ in range(12):
+        most = things.groupBy(cell_of(F.col("x"), cell), cell_of(F.col("y"), cell)).count().agg(F.max("count")).first()[0]
+        if most is None or most <= _FULL:
+            break
+        cell /= _FAN
+    level = things.groupBy(cell_of(F.col("x"), cell).alias("cx"), cell_of(F.col("y"), cell).alias("cy")).agg(F.min(F.struct("x", "y")).alias("one"))
+    found = [cut(level)]
+    while found[-1].count() > _TOP:
+        up = found[-1].groupBy(F.floor(F.col("cx") / _FAN).alias("cx"), F.floor(F.col("cy") / _FAN).alias("cy"))
+        found.append(cut(up.agg(F.min("one").alias("one"))))
+    return cell, found
+
+
+def _gap(low: Column, high: Column, a: Column, b: Column) -> Column:
+    """How far two intervals lie apart."""
+    return F.greatest(F.lit(0.0), low - b, a - high)
+
+
+def _candidates(points: DataFrame, things: DataFrame, cell: float, slack: float) -> tuple[float, DataFrame]:
+    """(cell size, qx, qy, cx, cy): for each occupied cell of points the cells of things that can hold the
+    nearest thing of one of its points.
+
+    Down a pyramid of occupied cells: a thing of each cell bounds what is nearest from above, the gap
+    between boxes from below, and only cells whose gap is within the best bound (and twice ``slack``, the
+    reach of a thing beyond its place) are opened. A cell of points goes on with a few cells whatever
+    lies far away; levels that are small are broadcast by their counted size.
     """
-    box = bounds.first()
-    span = max([cell, *(hi - lo for lo, hi in ((box[0], box[1]), (box[2], box[3])) if lo is not None)])
-    left, found, size = points.select(key, x, y), None, cell
-    while True:
-        best = cut(meet(left, size))
-        sure = F.coalesce(F.col("b.dist") <= size, F.lit(False)) | F.lit(size >= span)
-        done = best.where(sure & F.col("b").isNotNull()).select(key, "b.*")
-        found = done if found is None else found.unionByName(done)
-        left = best.where(~sure).select(key, x, y)
-        if size >= span or left.isEmpty():
-            return found
-        size *= 4
-
-
-def _bounds(*columns: tuple[DataFrame, str, str]) -> DataFrame:
-    """One row: the least and largest x and y of several tables."""
-    both = reduce(DataFrame.unionByName, [d.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) for d, x, y in columns])
-    return both.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"))
+    cell, levels = _levels(things, cell)
+    top = [(r["cx"], r["cy"], r["one"]["x"], r["one"]["y"]) for r in levels[-1].collect()]  # at most _TOP rows
+    asked = points.select(cell_of(F.col("x"), cell).alias("qx"), cell_of(F.col("y"), cell).alias("qy")).distinct()
+    first = F.array(*[F.struct(F.lit(x).alias("cx"), F.lit(y).alias("cy"), F.struct(F.lit(ox).alias("x"), F.lit(oy).alias("y")).alias("one")) for x, y, ox, oy in top])
+    at = asked.select("qx", "qy", F.inline(first)) if top else None
+    if at is None:
+        return cell, asked.select("qx", "qy", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")).limit(0)
+    for depth in range(len(levels) - 1, -1, -1):
+        size = cell * _FAN**depth
+        ax, ay, bx, by = F.col("qx") * cell, F.col("qy") * cell, (F.col("qx") + 1) * cell, (F.col("qy") + 1) * cell
+        near = F.hypot(_gap(ax, bx, F.col("cx") * size, (F.col("cx") + 1) * size), _gap(ay, by, F.col("cy") * size, (F.col("cy") + 1) * size))
+        far = F.hypot(F.greatest(F.abs(F.col("one.x") - ax), F.abs(F.col("one.x") - bx)), F.greatest(F.abs(F.col("one.y") - ay), F.abs(F.col("one.y") - by)))
+        bound = F.min(far).over(Window.partitionBy("qx", "qy"))
+        # Rounding must not lose a cell.
+        kept = at.withColumns({"_near": near, "_bound": bound}).where(F.col("_near") <= (F.col("_bound") + 2 * slack) * (1 + 1e-9) + cell * 1e-9).select("qx", "qy", "cx", "cy")
+        if not depth:
+            return cell, kept
+        below = levels[depth - 1].select(F.floor(F.col("cx") / _FAN).alias("ux"), F.floor(F.col("cy") / _FAN).alias("uy"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "one")
+        if below.count() <= _SMALL:
+            below = F.broadcast(below)
+        at = cut(kept.join(below, (F.col("cx") == F.col("ux")) & (F.col("cy") == F.col("uy"))).select("qx", "qy", F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "one"))
 
 
 def nearest(points: DataFrame, sites: DataFrame, *, key: str, site: str, cell: float) -> DataFrame:
     """(key, site, dist): the nearest site of every point in planar distance of lon and lat.
 
-    ``points`` has (key, lon, lat), ``sites`` (site, s_lon, s_lat); ties go to the smaller site. Only
-    points in empty regions are compared with far sites. Without any site there are no rows.
+    ``points`` has (key, lon, lat), ``sites`` (site, s_lon, s_lat); ties go to the smaller site. ``cell``
+    is where the size of cells begins; it does not change the result. Points or sites without a place
+    have no match, and without any site there are no rows.
     """
-
-    def meet(left: DataFrame, size: float) -> DataFrame:
-        a = left.withColumns({"_y": cell_of(F.col("lat"), size), "_x": cell_of(F.col("lon"), size)})
-        b = sites.select(site, "s_lon", "s_lat").withColumn("_y", _around(cell_of(F.col("s_lat"), size))).withColumn("_x", _around(cell_of(F.col("s_lon"), size)))
-        d = F.sqrt(F.pow(F.col("lon") - F.col("s_lon"), F.lit(2)) + F.pow(F.col("lat") - F.col("s_lat"), F.lit(2)))
-        met = a.join(b, ["_y", "_x"], "left").select(key, "lon", "lat", d.alias("dist"), site)
-        return met.groupBy(key, "lon", "lat").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", site))).alias("b"))
-
-    bounds = _bounds((points, "lon", "lat"), (sites, "s_lon", "s_lat"))
-    return _outward(points, "lon", "lat", key, cell, bounds, meet).select(key, site, "dist")
+    p = points.select(key, F.col("lon").alias("x"), F.col("lat").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    # Of sites at one place only the smallest can be told.
+    s = cut(sites.where("s_lon IS NOT NULL AND s_lat IS NOT NULL").groupBy(F.col("s_lon").alias("x"), F.col("s_lat").alias("y")).agg(F.min(site).alias(site)))
+    cell, cells = _candidates(p, s, cell, 0.0)
+    a = p.withColumns({"qx": cell_of(F.col("x"), cell), "qy": cell_of(F.col("y"), cell)}).join(cells, ["qx", "qy"])
+    b = s.select(cell_of(F.col("x"), cell).alias("cx"), cell_of(F.col("y"), cell).alias("cy"), F.col("x").alias("s_x"), F.col("y").alias("s_y"), site)
+    d = F.sqrt(F.pow(F.col("x") - F.col("s_x"), F.lit(2)) + F.pow(F.col("y") - F.col("s_y"), F.lit(2)))
+    best = a.join(b, ["cx", "cy"]).groupBy(key).agg(F.min(F.struct(d.alias("dist"), site)).alias("b"))
+    return best.select(key, f"b.{site}", "b.dist")
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, *, key: str, cell: float) -> DataFrame:
-    """(key, dist): the planar distance of every point (key, x, y) to the nearest segment (ux, uy, vx, vy)."""
-
-    def meet(left: DataFrame, size: float) -> DataFrame:
-        span = lambda lo, hi: F.explode(F.sequence(cell_of(lo, size), cell_of(hi, size)))
-        a = left.withColumn("_x", _around(cell_of(F.col("x"), size))).withColumn("_y", _around(cell_of(F.col("y"), size)))
-        b = segments.select("ux", "uy", "vx", "vy").withColumn("_x", span(F.least("ux", "vx"), F.greatest("ux", "vx"))).withColumn("_y", span(F.least("uy", "vy"), F.greatest("uy", "vy")))
-        d = point_segment(F.col("x"), F.col("y"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
-        met = a.join(b, ["_x", "_y"], "left").select(key, "x", "y", d.alias("dist"))
-        return met.groupBy(key, "x", "y").agg(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist"))).alias("b"))
-
-    bounds = _bounds((points, "x", "y"), (segments, "ux", "uy"), (segments, "vx", "vy"))
-    return _outward(points, "x", "y", key, cell, bounds, meet).select(key, "dist")
+    """(key, dist): the planar distance of every point (key, x, y) to the nearest segment (ux, uy, vx, vy).
+
+    Segments are cut into pieces of at most ``cell``, which stand at their middle: a long one is as many
+    pieces as it is cells long, not the cells of its box.
+    """
+    whole = segments.select("ux", "uy", "vx", "vy").where("ux IS NOT NULL AND uy IS NOT NULL AND vx IS NOT NULL AND vy IS NOT NULL").distinct()
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")) / cell)).cast("int")
+    part = whole.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    middle = lambda u, v: (F.col(u) + (F.col(v) - F.col(u)) * (F.col("_i") + 0.5) / F.col("_n")).alias(u[-1])
+    pieces = cut(part.select("ux", "uy", "vx", "vy", middle("ux", "vx"), middle("uy", "vy")))
+    p = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    size, cells = _candidates(p, pieces.select("x", "y").distinct(), cell, cell / 2)
+    a = p.withColumns({"qx": cell_of(F.col("x"), size), "qy": cell_of(F.col("y"), size)}).join(cells, ["qx", "qy"])
+    b = pieces.select(cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"), "ux", "uy", "vx", "vy").distinct()
+    d = point_segment(F.col("x"), F.col("y"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
+    return a.join(b, ["cx", "cy"]).groupBy(key).agg(F.min(d).alias("dist"))
 
 
 def duplicates(reports: DataFrame, *, km: float = C.DEDUP_KM, hours: int = C.DEDUP_HOURS) -> DataFrame:

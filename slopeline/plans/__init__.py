@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import assets, cards, feeds, impact, network, records, risk, streams, tick
+from . import assets, cards, feeds, impact, models, network, records, risk, streams, tick
 
 FLAGSHIP = "exceedance_fusion"
 
-_MODULES = (risk, impact, network, records, cards, feeds, tick, assets, streams)
+_MODULES = (risk, impact, network, records, cards, feeds, tick, assets, models, streams)
 
 QUERIES = {name: run for module in _MODULES for name, run in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
