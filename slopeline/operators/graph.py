@@ -126,7 +126,13 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     shares come back from the deepest level. The table has a row per source and node.
     """
     pairs = cut(both_ways(edges).distinct())
-    level = cut(nodes.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("depth")))
+    sums = shares(nodes, pairs).groupBy("node").agg((F.sum("share") / 2).alias("score"))
+    return nodes.join(sums, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def shares(sources: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(s, node, share): what shortest paths from each source pass through other nodes (``pairs``: src, dst)."""
+    level = cut(sources.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("depth")))
     seen, levels = level, [level]
     for depth in itertools.count(1):
         out = level.join(pairs, level.node == pairs.src).groupBy("s", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -135,36 +141,14 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         levels.append(level)
         seen = cut(seen.unionByName(level))
-    share = nodes.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("share")).limit(0)
+    share = sources.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("share")).limit(0)
     total = share
     for upper, lower in zip(reversed(levels[:-1]), reversed(levels[1:])):
         got = lower.join(share, ["s", "node"], "left").select("s", F.col("node").alias("below"), F.col("paths").alias("m"), F.coalesce("share", F.lit(0.0)).alias("share"))
         back = upper.join(pairs, upper.node == pairs.src).join(got, ["s"]).where(F.col("dst") == F.col("below"))
         share = cut(back.groupBy("s", "node").agg(F.sum(F.col("paths") / F.col("m") * (1 + F.col("share"))).alias("share")))
         total = total.unionByName(share.where("s <> node"))
-    sums = total.groupBy("node").agg((F.sum("share") / 2).alias("score"))
-    return nodes.join(sums, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def articulation(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, parts): nodes whose loss splits their component, and into how many parts.
-
-    By definition: for all nodes at once, labels spread in copies of the graph that lack the node;
-    its neighbours' labels are then counted. Choke-point graphs have some dozens of junctions.
-    """
-    pairs = cut(both_ways(edges).distinct())
-    near = pairs.select(F.col("src").alias("lost"), F.col("dst").alias("node"))
-    label = cut(near.withColumn("label", F.col("node")))  # only what a neighbour of the lost node reaches matters
-    while True:
-        out = label.join(pairs, label.node == pairs.src).where(F.col("dst") != F.col("lost")).select("lost", F.col("dst").alias("node"), "label")
-        new = label.select("lost", "node", "label").unionByName(out).groupBy("lost", "node").agg(F.min("label").alias("label"))
-        moved = new.join(label.withColumnRenamed("label", "old"), ["lost", "node"], "left").where("old is null or label < old")
-        new = cut(new)
-        done = moved.isEmpty()
-        label = new
-        if done:
-            parts = label.join(near, ["lost", "node"], "left_semi").groupBy("lost").agg(F.countDistinct("label").alias("parts"))
-            return parts.where("parts > 1").select(F.col("lost").alias("node"), "parts")
+    return total
 
 
 def path_of(best: DataFrame) -> DataFrame:

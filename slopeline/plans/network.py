@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import risk as R
+from ..operators import blocks as B
 from ..operators import graph as G
 from ..session import cut
 from ..sources import tables as T
@@ -87,7 +88,7 @@ def best_shelter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def choke_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Criticality of nations from betweenness, rank, splits and critical neighbours."""
     n, e = _nodes(spark, sf_dir), cut(_simple(spark, sf_dir))  # the roads are a join of four tables
-    bc, pr, ap = G.betweenness(n, e), G.pagerank(n, e), G.articulation(n, e)
+    bc, pr, ap = G.betweenness(n, e), G.pagerank(n, e), B.cut_nodes(n, e)
     critical = n.where("node % 4 = 0").select(F.col("node").alias("dst"))
     around = G.two_hops(G.both_ways(e)).join(critical, "dst").groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("c"))
     rows = n.join(bc, "node").join(pr, "node").join(ap, "node", "left").join(around, "node", "left")
@@ -102,6 +103,30 @@ def top_choke_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.top(choke_points(spark, sf_dir).select("node", "criticality"), "criticality", "node", 3)
 
 
+def _supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All trade as a graph: customers, orders and parts as nodes, an edge from an order to its customer and to
+    each part in it. It grows with the tables and no edge is left out."""
+    o = T.table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("a"), F.concat(F.lit("C"), "o_custkey").alias("b"))
+    p = T.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("O"), "l_orderkey").alias("a"), F.concat(F.lit("P"), "l_partkey").alias("b")).distinct()
+    edges = cut(o.unionByName(p))
+    return edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), edges
+
+
+def supply_cut_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, orders and parts without which trade falls apart, and into how many parts."""
+    nodes, edges = _supply(spark, sf_dir)
+    return B.cut_nodes(cut(nodes), edges)
+
+
+def supply_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many shortest ways lead over each customer, order and part, from a sample of two parts of some 32
+    sources each, with the standard error."""
+    nodes, edges = _supply(spark, sf_dir)
+    nodes = cut(nodes)
+    found = B.sampled_betweenness(nodes, edges, parts=max(2, nodes.count() // 32), used=2)
+    return found.select("node", F.round("score", 4).alias("score"), F.round("error", 4).alias("error"))
+
+
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and suppliers as assets; failures go down from region to nation to supplier."""
     n = T.table(spark, sf_dir, "nation")
@@ -135,7 +160,7 @@ def downslope_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.two_hops(e).where((F.col("src") != F.col("dst")) & (height(F.col("dst")) <= height(F.col("src")) - 1.5))
 
 
-QUERIES = {f.__name__: f for f in (simple_graph, shortest_paths, route_paths, minimax_paths, road_components, isolation, best_shelter, choke_points, top_choke_points, cascade_3hop, cascade_exposure, downslope_2hop)}
+QUERIES = {f.__name__: f for f in (simple_graph, shortest_paths, route_paths, minimax_paths, road_components, isolation, best_shelter, choke_points, top_choke_points, supply_cut_nodes, supply_betweenness, cascade_3hop, cascade_exposure, downslope_2hop)}
 
 _SIMPLE = """simple AS (SELECT least(u, v) AS a, greatest(u, v) AS b, arg_min(edge_id, (length, edge_id)) AS edge_id, min(length) AS length, arg_min(p_blocked, (length, edge_id)) AS p_blocked,
     arg_min(is_bridge, (length, edge_id)) AS is_bridge, arg_min(class, (length, edge_id)) AS class FROM roads WHERE u <> v GROUP BY 1, 2),

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slopeline.functions import risk as R
+from slopeline.operators import blocks as B
 from slopeline.operators import graph as G
 from slopeline.operators import joins as J
 from slopeline.operators import state as S
@@ -53,7 +54,7 @@ def test_graph_measures_against_brute_force(spark):
             left -= seen
         return count
 
-    assert {r.node: r.parts for r in G.articulation(n, e).collect()} == {i: parts(i) for i in nodes if parts(i) > 1}
+    assert {r.node: r.parts for r in B.cut_nodes(n, e).collect()} == {i: parts(i) for i in nodes if parts(i) > 1}
 
     def ways(s, t):
         front = [[s]]
