@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..session import cut
 
 
 def calibration(rows: DataFrame) -> DataFrame:
@@ -60,23 +61,87 @@ def average_precision(rows: DataFrame) -> DataFrame:
     return s.join(total).withColumn("part", F.col("pos") * tp / (tp + fp)).agg((F.sum("part") / F.nullif(F.sum("pos"), F.lit(0))).alias("ap"))
 
 
+_BINS = 1024
+
+
+def quantiles(rows: DataFrame, column: str, fractions: list[float]) -> list[float | None]:
+    """Exact quantiles of a column with linear interpolation between neighbours, nulls left out.
+
+    Ranks are found by refinement: a histogram of ``_BINS`` bins over a range, then one over the bin that
+    holds the rank, until it holds a single value. A pass sends at most ``_BINS`` rows for each rank to
+    the driver, and the number of passes follows the precision of a double, not the number of rows.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    low, high, n = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n:
+        return [None] * len(fractions)
+    places = [(n - 1) * f for f in fractions]
+    ranks = sorted({r for p in places for r in (int(p), min(int(p) + 1, n - 1))})
+    # Of each rank: the range that holds it and how many values lie below the range.
+    open_ = {r: (low, high, 0) for r in ranks}
+    found: dict[int, float] = {}
+    while open_:
+        for r, (lo, hi, _) in list(open_.items()):
+            if lo == hi:
+                found[r] = lo
+                del open_[r]
+        ranges = sorted({(lo, hi) for lo, hi, _ in open_.values()})
+        if not ranges:
+            break
+        # Halves keep the width of ranges over nearly all doubles finite.
+        asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(1.0 if hi - lo < float("inf") else 0.5).alias("k")) for i, (lo, hi) in enumerate(ranges)])
+        each = values.select("v", F.explode(F.filter(asked, lambda x: F.col("v").between(x["lo"], x["hi"]))).alias("x"))
+        k = F.col("x.k")
+        place = (F.col("v") * k - F.col("x.lo") * k) / (F.col("x.hi") * k - F.col("x.lo") * k) * _BINS
+        bins = each.groupBy(F.col("x.i").alias("i"), F.least(F.floor(place), F.lit(_BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        told: dict[int, list] = {}
+        for b in bins.orderBy("i", "bin").collect():
+            told.setdefault(b["i"], []).append(b)
+        for r, (lo, hi, below) in open_.items():
+            for b in told[ranges.index((lo, hi))]:
+                if r < below + b["n"]:
+                    open_[r] = (b["lo"], b["hi"], below)
+                    break
+                below += b["n"]
+    out = []
+    for p in places:
+        lower, upper = int(p), min(int(p) + 1, n - 1)
+        out.append(found[lower] if p == lower or lower == upper else (upper - p) * found[lower] + (p - lower) * found[upper])
+    return out
+
+
 def quadrants(rows: DataFrame) -> DataFrame:
     """Rows with the quadrant of their place by the medians of lat and lon; on the median counts as north or east."""
-    m = rows.agg(F.median("lat").alias("mlat"), F.median("lon").alias("mlon"))
-    return rows.join(F.broadcast(m)).withColumn("block", F.concat(F.when(F.col("lat") >= F.col("mlat"), "N").otherwise("S"), F.when(F.col("lon") >= F.col("mlon"), "E").otherwise("W"))).drop("mlat", "mlon")
+    (mlat,), (mlon,) = quantiles(rows, "lat", [0.5]), quantiles(rows, "lon", [0.5])
+    return rows.withColumn("block", F.concat(F.when(F.col("lat") >= F.lit(mlat).cast("double"), "N").otherwise("S"), F.when(F.col("lon") >= F.lit(mlon).cast("double"), "E").otherwise("W")))
 
 
 def strata(rows: DataFrame, value: str) -> DataFrame:
     """Rows with stratum 0, 1 or 2 by exact tertiles of a value."""
-    q = rows.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    return rows.join(F.broadcast(q)).withColumn("stratum", F.when(F.col(value) <= F.col("q")[0], 0).when(F.col(value) <= F.col("q")[1], 1).otherwise(2)).drop("q")
+    one, two = (F.lit(q).cast("double") for q in quantiles(rows, value, [1 / 3, 2 / 3]))
+    return rows.withColumn("stratum", F.when(F.col(value) <= one, 0).when(F.col(value) <= two, 1).otherwise(2))
 
 
 def stratified(candidates: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Per stratum the ``n`` candidates of smallest hash: a sample that is the same on every run."""
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    ranked = candidates.withColumn("rank", F.row_number().over(order))
-    return ranked.join(F.broadcast(wanted), "stratum").where(F.col("rank") <= F.col("n")).drop("rank", "n")
+    """Per stratum the ``n`` candidates of smallest hash: a sample that is the same on every run.
+
+    Few strata hold all rows, so rows are cut by a bound on the hash before they are ranked: the share
+    that is wanted and some more. Where a stratum comes out short of what it can give, the bound is
+    widened and the cut made again, so the sample is exact.
+    """
+    hashed = cut(candidates.withColumn("_hash", F.sha2(F.col(key).cast("string"), 256)))
+    due = cut(hashed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_all")).join(wanted, "stratum").withColumn("_due", F.least("n", "_all")))
+    unit = F.conv(F.substring("_hash", 1, 12), 16, 10).cast("double") / float(16**12)
+    more = 6.0
+    while True:
+        bound = (F.col("_due") + more * F.sqrt("_due") + more) / F.col("_all")
+        near = cut(hashed.join(due, "stratum").where(unit <= bound).drop("_all"))
+        short = due.join(near.groupBy("stratum").agg(F.count(F.lit(1)).alias("_got")), "stratum", "left").where(F.coalesce("_got", F.lit(0)) < F.col("_due"))
+        if short.isEmpty():
+            break
+        more *= 8
+    rank = F.row_number().over(Window.partitionBy("stratum").orderBy("_hash", key))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_due")).select(*candidates.columns)
 
 
 def attributions(rows: DataFrame, key: str, groups: dict[str, list[str]], top: int = 4) -> DataFrame:
