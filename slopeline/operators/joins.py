@@ -25,8 +25,9 @@ def _lon_cell(lon: Column, n: Column) -> Column:
     return F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * n).cast("long")
 
 
-def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
-    """All pairs of rows within ``km``, with the distance as ``km_apart``, anywhere on earth.
+def within_km(left: DataFrame, right: DataFrame, km: float, also: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of rows within ``km``, with the distance as ``km_apart``, anywhere on earth; of columns
+    ``also``, which both tables have, only pairs with equal values.
 
     ``left`` has lat and lon, ``right`` has r_lat and r_lon (other names must differ). Cells are bands
     of latitude cut into as many parts as their width allows; near the poles a band is one cell, and
@@ -34,13 +35,13 @@ def within_km(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
     meets once, in the left row's cell.
     """
     dlat = km_cells(km, 0.0)[0]
-    a = left.withColumn("_cy", cell_of(F.col("lat"), dlat))
-    a = a.withColumn("_cx", F.pmod(_lon_cell(F.col("lon"), _lon_cells(F.col("_cy"), dlat)), _lon_cells(F.col("_cy"), dlat)))
-    b = right.withColumn("_cy", _around(cell_of(F.col("r_lat"), dlat)))
-    n = _lon_cells(F.col("_cy"), dlat)
-    beside = F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(_lon_cell(F.col("r_lon"), n) + i, n)))
+    own = _lon_cells(F.col("_cy"), dlat)
+    a = left.withColumn("_cy", cell_of(F.col("lat"), dlat)).withColumn("_cx", F.pmod(_lon_cell(F.col("lon"), own), own))
+    bands = right.withColumn("_cy", _around(cell_of(F.col("r_lat"), dlat))).withColumn("_n", _lon_cells(F.col("_cy"), dlat))
+    at = bands.withColumn("_at", _lon_cell(F.col("r_lon"), F.col("_n")))
+    b = at.withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_at") + i, F.col("_n")) for i in (-1, 0, 1)])))).drop("_n", "_at")
     d = haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
-    return a.join(b.withColumn("_cx", F.explode(beside)), ["_cy", "_cx"]).withColumn("km_apart", d).where(F.col("km_apart") <= km).drop("_cy", "_cx")
+    return a.join(b, ["_cy", "_cx", *also]).withColumn("km_apart", d).where(F.col("km_apart") <= km).drop("_cy", "_cx")
 
 
 _FAN = 4  # cells along one side that a cell of the next level holds
@@ -144,11 +145,12 @@ def nearest_segment(points: DataFrame, segments: DataFrame, *, key: str, cell: f
 
 def duplicates(reports: DataFrame, *, km: float = C.DEDUP_KM, hours: int = C.DEDUP_HOURS) -> DataFrame:
     """(id, duplicate_of, km_apart): the nearest earlier open report of the same category in space and time."""
-    late = reports.select("id", "category", "t", "lat", "lon")
-    early = reports.where(~F.col("status").isin(*C.CLOSED)).select(F.col("id").alias("r_id"), F.col("category").alias("r_category"), F.col("t").alias("r_t"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    pairs = within_km(late, early, km).where(
-        (F.col("category") == F.col("r_category")) & ((F.col("r_t") < F.col("t")) | ((F.col("r_t") == F.col("t")) & (F.col("r_id") < F.col("id")))) & (F.col("r_t") >= F.col("t") - F.expr(f"INTERVAL {hours} HOURS"))
-    )
+    # Spans of ``hours`` are part of the key: an earlier report is within the hours only from its own span or the one before.
+    span = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / (hours * 3_600_000_000))
+    late = reports.select("id", "category", "t", "lat", "lon", span.alias("_span"))
+    early = reports.where(~F.col("status").isin(*C.CLOSED)).select(F.col("id").alias("r_id"), "category", F.col("t").alias("r_t"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.explode(F.array(span, span + 1)).alias("_span"))
+    before = (F.col("r_t") < F.col("t")) | ((F.col("r_t") == F.col("t")) & (F.col("r_id") < F.col("id")))
+    pairs = within_km(late, early, km, ("category", "_span")).where(before & (F.col("r_t") >= F.col("t") - F.expr(f"INTERVAL {hours} HOURS")))
     return pairs.groupBy("id").agg(F.min(F.struct("km_apart", "r_id")).alias("b")).select("id", F.col("b.r_id").alias("duplicate_of"), F.col("b.km_apart").alias("km_apart"))
 
 

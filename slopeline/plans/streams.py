@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import state as S
 from ..operators import windows as W
 from ..session import shared_dir
+from ..sources import replay as R
 from ..streaming import processors as P
 from ..streaming import tick
 
@@ -109,11 +110,37 @@ def tick_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
     return found.select("aoi", "seq", F.to_timestamp_ntz(F.date_format("t", "yyyy-MM-dd HH:mm:ss")).alias("t"), "kind", "village_id", "payload", "ok", F.when(flagged, F.col("basis")).alias("basis"), shown("lo_h", 4), shown("hi_h", 4), shown("confidence", 4))
 
 
-QUERIES = {f.__name__: f for f in (tick_stream, stream_tumbling, stream_sliding, stream_sessions, stream_dedup, stream_escalation, stream_late, stream_near_duplicates)}
+def replayed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as frames of six hours played from the replay source: half of them, then, on the same
+    checkpoint, a seek back to the tenth frame and all to the end. Each position with its rows."""
+    base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
+    spark.dataSource.register(R.ReplaySource)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    t = F.window("ts", "6 hours").start.cast("timestamp")
+    e.select("event_id", "value", t.alias("t")).repartitionByRange("t").sortWithinPartitions("t").write.parquet(f"{base}/frames")
+    controls = R.Controls(f"{base}/control.json", f"{base}/frames")
+
+    def run() -> DataFrame:
+        rows = spark.readStream.format("replay").option("path", f"{base}/frames").option("control", f"{base}/control.json").load()
+        return P.drain(rows, base + "/table", base + "/state")
+
+    controls.advance(len(controls.times) // 2)
+    run()
+    controls.seek(controls.times[min(9, len(controls.times) - 1)])
+    controls.advance(len(controls.times))
+    out = run().groupBy("position").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("event_id").alias("events"))
+    return out.withColumn("t", F.to_timestamp_ntz(F.date_format("t", "yyyy-MM-dd HH:mm:ss")))
+
+
+QUERIES = {f.__name__: f for f in (tick_stream, replayed_frames, stream_tumbling, stream_sliding, stream_sessions, stream_dedup, stream_escalation, stream_late, stream_near_duplicates)}
 
 from .impact import ORACLES as _IMPACT  # noqa: E402
 
 ORACLES = {
+    "replayed_frames": """WITH f AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS t, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT event_id) AS events FROM events GROUP BY 1),
+        o AS (SELECT *, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS frames FROM f)
+        SELECT i AS position, t, n, total, events FROM o WHERE i < frames // 2
+        UNION ALL SELECT frames // 2 + i - least(9, frames - 1), t, n, total, events FROM o WHERE i >= least(9, frames - 1)""",
     "tick_stream": """WITH RECURSIVE e AS (SELECT event_type AS aoi, time_bucket(INTERVAL 6 HOUR, ts) AS t, user_id AS cell_id, sum(value) / 500 AS ratio FROM events GROUP BY 1, 2, 3),
         f AS (SELECT aoi, t, count(*) AS cells, max(least(1, ratio)) AS p, max(ratio) AS ratio FROM e GROUP BY 1, 2),
         v AS (SELECT c_custkey AS village_id, c_custkey % 150 + 1 AS cell_id, (['click', 'view', 'purchase', 'signup', 'error'])[c_custkey % 5 + 1] AS aoi FROM customer),
