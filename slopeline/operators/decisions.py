@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import risk as R
+from ..session import cut
 
 
 def cell_risks(obs: DataFrame, model: DataFrame) -> DataFrame:
@@ -58,12 +59,29 @@ def lead_times(predicted: DataFrame, actual: DataFrame) -> DataFrame:
     """(road, t, edge_id, predicted_t, hours): the first predicted severance of a road whose name holds the
     recorded road's, and the hours by which it came ahead.
 
-    ``predicted``: t, edge_id, name, severed; ``actual``: road, t (a short list of recorded events).
+    ``predicted``: t, edge_id, name, severed; ``actual``: road, t. Names are found by an index of their
+    runs of up to three characters: a road is looked up by the rarest run of its own, and the names
+    that have it are compared whole. A road without a name is in every name.
     """
-    first = predicted.where(F.col("severed") & (F.length("name") > 0)).groupBy("name").agg(F.min(F.struct("t", "edge_id")).alias("f"))  # a row per name
-    holds = F.contains(F.lower("name"), F.lower("road"))
-    met = first.join(F.broadcast(actual.withColumnRenamed("t", "at")), holds).groupBy("road", "at").agg(F.min("f").alias("f"))
-    out = actual.withColumnRenamed("t", "at").join(met, ["road", "at"], "left")
+    first = cut(predicted.where(F.col("severed") & (F.length("name") > 0)).groupBy("name").agg(F.min(F.struct("t", "edge_id")).alias("f")))  # a row per name
+    roads = cut(actual.select("road").where("road IS NOT NULL").distinct().withColumn("_size", F.least(F.lit(3), F.length(F.lower("road")))))
+
+    def runs(text: Column, size: Column) -> Column:
+        """The distinct runs of ``size`` characters."""
+        last = F.length(text) - size + 1
+        return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
+    sizes = [r["_size"] for r in roads.where("_size > 0").select("_size").distinct().collect()]  # at most three
+    index = first.select("name", "f", F.explode(F.flatten(F.array(*[runs(F.lower("name"), F.lit(n)) for n in sizes]))).alias("run")) if sizes else first.select("name", "f", F.lit("").alias("run")).limit(0)
+    index = cut(index)
+    often = index.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    keys = roads.where("_size > 0").select("road", F.explode(runs(F.lower("road"), F.col("_size"))).alias("run")).join(often, "run", "left")
+    # A run that no name has rules the road out: it is the rarest, and nothing joins it.
+    rarest = keys.groupBy("road").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    met = rarest.join(index, "run").where(F.contains(F.lower("name"), F.lower("road"))).groupBy("road").agg(F.min("f").alias("f"))
+    unnamed = roads.where("_size = 0").select("road").join(F.broadcast(first.agg(F.min("f").alias("f"))))  # at most one road
+    found = met.unionByName(unnamed)
+    out = actual.withColumnRenamed("t", "at").join(found, "road", "left")
     seconds = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("f.t").cast("timestamp"))
     return out.select("road", F.col("at").alias("t"), F.col("f.edge_id").alias("edge_id"), F.col("f.t").alias("predicted_t"), (seconds / 3.6e9).alias("hours"))
 

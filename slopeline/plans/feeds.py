@@ -145,14 +145,21 @@ def road_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.road_edges(n, e).select("edge_id", "highway_class", "is_bridge", line.alias("line"))
 
 
+_MAP = (92.6, 23.6, 92.9, 23.9)
+
+
 def map_tile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Villages per map tile; tiles with more than a twelfth of them are split once."""
-    v = T.villages(spark, sf_dir).select("lon", "lat")
-    total = F.broadcast(v.agg((F.count(F.lit(1)) / 12).alias("most")))
-    held = lambda tiles: F.broadcast(tiles).join(v, (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east")) & (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north"))).groupBy(*tiles.columns).agg(F.count(F.lit(1)).alias("n"))
-    whole = held(X.map_tiles(spark, (92.6, 23.6, 92.9, 23.9))).join(total)  # nine tiles
-    parts = held(X.split_tiles(whole.where("n > most").select("label", "west", "south", "east", "north")))
-    return whole.where("n <= most").select("label", "n").unionByName(parts.select("label", "n"))
+    return X.tile_tree(T.villages(spark, sf_dir), _MAP, most=F.sum("n") / 12, depth=1)
+
+
+def map_tile_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Villages and suppliers' sites per map tile; tiles with more than a hundredth of them are quartered up to
+    three times."""
+    v, s = T.villages(spark, sf_dir).select("lon", "lat"), T.sites(spark, sf_dir).select("lon", "lat")
+    # Sites crowd in one corner.
+    crowd = s.select((92.61 + (F.col("lon") - 92.6) / 40).alias("lon"), (23.61 + (F.col("lat") - 23.6) / 40).alias("lat"))
+    return X.tile_tree(v.unionByName(s).unionByName(crowd), _MAP, most=F.sum("n") / 100, depth=3)
 
 
 _GRID = (10.0, 20.0, 25010.0, 200020.0)
@@ -224,7 +231,7 @@ def terrain_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rain_granules, soil_granules, live_rain_cells, live_soil_cells, cells_to_pixels, latest_granule_day, catalogue_links, district_feeds, tile_names, exposure_layers, drivable_roads, road_edge_lines,
-    map_tile_counts, grid_labels, flow_accumulation, utm_positions, inventory, inventory_funnel, holdout_cells, buffered_population, terrain_cells,
+    map_tile_counts, map_tile_tree, grid_labels, flow_accumulation, utm_positions, inventory, inventory_funnel, holdout_cells, buffered_population, terrain_cells,
 )}
 
 _SOIL = """g AS (SELECT 'ease_' || (user_id % 40) || '_' || (user_id % 7) AS pixel_id, CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END AS pass_name, (event_id % 50) / 100.0::DOUBLE AS soil_moisture, event_id % 4 % 2 = 0 AS recommended
@@ -286,6 +293,15 @@ ORACLES = {
     "map_tile_counts": f"""{T.with_tables('villages')}, t AS (SELECT r || '-' || c AS label, 92.6::DOUBLE + c * ((92.9::DOUBLE - 92.6::DOUBLE) / 3) AS west, 23.6::DOUBLE + r * ((23.9::DOUBLE - 23.6::DOUBLE) / 3) AS south, (92.9::DOUBLE - 92.6::DOUBLE) / 3 AS w, (23.9::DOUBLE - 23.6::DOUBLE) / 3 AS h FROM range(3) a(r), range(3) b(c)),
         k AS (SELECT label, west, south, w, h, lon, lat, count(*) OVER (PARTITION BY label) > (SELECT count(*) / 12.0::DOUBLE FROM villages) AS dense FROM t JOIN villages ON lon >= west AND lon < west + w AND lat >= south AND lat < south + h)
         SELECT CASE WHEN dense THEN label || '-' || (CASE WHEN lon >= (west + (west + w)) / 2 THEN 1 ELSE 0 END + CASE WHEN lat >= (south + (south + h)) / 2 THEN 2 ELSE 0 END) ELSE label END AS label, count(*) AS n FROM k GROUP BY 1""",
+    "map_tile_tree": f"""{T.with_tables('villages', 'sites')}, q AS (SELECT lon, lat FROM villages UNION ALL SELECT lon, lat FROM sites UNION ALL SELECT 92.61::DOUBLE + (lon - 92.6::DOUBLE) / 40, 23.61::DOUBLE + (lat - 23.6::DOUBLE) / 40 FROM sites),
+        p AS (SELECT lon, lat FROM q WHERE lon >= 92.6::DOUBLE AND lon < 92.9::DOUBLE AND lat >= 23.6::DOUBLE AND lat < 23.9::DOUBLE),
+        t AS (SELECT r || '-' || c AS label, 92.6::DOUBLE + c * ((92.9::DOUBLE - 92.6::DOUBLE) / 3) AS w, 23.6::DOUBLE + r * ((23.9::DOUBLE - 23.6::DOUBLE) / 3) AS s, (92.9::DOUBLE - 92.6::DOUBLE) / 3 AS dx, (23.9::DOUBLE - 23.6::DOUBLE) / 3 AS dy FROM range(3) a(r), range(3) b(c)),
+        h0 AS (SELECT label, w, s, w + dx AS e, s + dy AS n, lon, lat FROM t JOIN p ON lon >= w AND lon < w + dx AND lat >= s AND lat < s + dy),
+        b AS (SELECT count(*) / 100.0::DOUBLE AS most FROM p),
+        {', '.join(f"""d{i} AS (SELECT *, count(*) OVER (PARTITION BY label) > (SELECT most FROM b) AS dense FROM h{i}),
+        h{i + 1} AS (SELECT label || '-' || ((lon >= (w + e) / 2)::INT + 2 * (lat >= (s + n) / 2)::INT) AS label, CASE WHEN lon >= (w + e) / 2 THEN (w + e) / 2 ELSE w END AS w, CASE WHEN lat >= (s + n) / 2 THEN (s + n) / 2 ELSE s END AS s,
+            CASE WHEN lon >= (w + e) / 2 THEN e ELSE (w + e) / 2 END AS e, CASE WHEN lat >= (s + n) / 2 THEN n ELSE (s + n) / 2 END AS n, lon, lat FROM d{i} WHERE dense)""" for i in range(3))}
+        SELECT label, count(*) AS n FROM (SELECT label FROM d0 WHERE NOT dense UNION ALL SELECT label FROM d1 WHERE NOT dense UNION ALL SELECT label FROM d2 WHERE NOT dense UNION ALL SELECT label FROM h3) GROUP BY 1""",
     "grid_labels": f"""{T.with_tables('terrain')}, p AS (SELECT floor((x - 10) / 1000)::BIGINT AS c, floor((y - 20) / 1000)::BIGINT AS r FROM terrain), l AS (SELECT *, CASE WHEN c BETWEEN 0 AND 24 AND r BETWEEN 0 AND 199 THEN r * 25 + c ELSE -1 END AS label FROM p)
         SELECT label, count(*) AS n, CASE WHEN label >= 0 THEN printf('demo_%03d_%03d', label // 25, label % 25) END AS cell_id, CASE WHEN label >= 0 THEN 10.0::DOUBLE + (label % 25) * 1000 END AS x0, CASE WHEN label >= 0 THEN 20.0::DOUBLE + (label // 25) * 1000 + 1000 END AS y1 FROM l GROUP BY 1""",
     "flow_accumulation": f"""{T.with_tables('terrain', recursive=True)}, px AS (SELECT (y / 500)::BIGINT AS r, (x / 500)::BIGINT AS c, round(elevation + x / 100, 2) AS e FROM terrain WHERE cell_id % 37 <> 0),

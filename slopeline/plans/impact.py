@@ -9,6 +9,7 @@ from .. import config as C
 from ..functions import geo as G
 from ..functions import risk as R
 from ..operators import joins as J
+from ..operators import zones as Z
 from ..sources import tables as T
 
 
@@ -191,7 +192,22 @@ def distance_to_road(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("cell_id", F.round("dist", 4).alias("metres"))
 
 
-QUERIES = {f.__name__: f for f in (
+def zone_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terrain cells in five-cornered zones around suppliers: how many, their mean height and steepest slope."""
+    k = F.col("s_suppkey")
+    cx, cy = (k * 53 % 50 * 500.0), (k * 71 % 41 * 500.0)
+    reach = 900.0 + k % 7 * 450.0
+    corner = lambda dx, dy: F.struct((cx + reach * dx).alias("x"), (cy + reach * dy).alias("y"))
+    zones = T.table(spark, sf_dir, "supplier").select(k.alias("zone_id"), F.array(*[corner(dx, dy) for dx, dy in _STAR]).alias("ring"))
+    pixels = T.terrain(spark, sf_dir).select(F.floor(F.col("y") / 500).alias("row"), F.floor(F.col("x") / 500).alias("col"), "elevation", "slope")
+    found = Z.zonal(zones, pixels, "zone_id", 500.0, mean=F.avg("elevation"), steepest=F.max("slope"))
+    return found.select("zone_id", "n", F.round("mean", 4).alias("mean"), "steepest")
+
+
+#: Corners of the zones, in their reach around the middle: a shape with a notch.
+_STAR = ((-1.03, -0.97), (0.91, -0.83), (0.17, 0.11), (0.73, 1.07), (-0.89, 0.79))
+
+QUERIES = {f.__name__: f for f in (zone_pixels, 
     runout_triangles, road_risk, nearest_site, nearest_within_radius, snapped_events, snap_grid_join, eps_priority, demographics, walk_minutes, haversine_pairs, tile_keys, bbox_filter,
     report_dedup, report_hotspot, report_urgency, recurrence_projection, holdout_exclude, spatial_terrain, zonal_stats, distance_to_road,
 )}
@@ -231,6 +247,11 @@ _HOT = f"""hot AS (SELECT a.id, count(b.id) + 1 AS n FROM reports a LEFT JOIN re
     AND 2 * 6371.0088 * asin(sqrt({_h('a', 'b')})) <= 2.0 GROUP BY 1)"""
 
 ORACLES = {
+    "zone_pixels": f"""{T.with_tables('terrain')}, z AS (SELECT s_suppkey AS zone_id, (s_suppkey * 53 % 50) * 500.0::DOUBLE AS cx, (s_suppkey * 71 % 41) * 500.0::DOUBLE AS cy, 900.0::DOUBLE + (s_suppkey % 7) * 450.0::DOUBLE AS reach FROM supplier),
+        e AS (SELECT zone_id, cx + reach * ux AS x1, cy + reach * uy AS y1, cx + reach * vx AS x2, cy + reach * vy AS y2 FROM z, (VALUES {', '.join(f'({a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)' for a, b in zip(_STAR, _STAR[1:] + _STAR[:1]))}) c(ux, uy, vx, vy)),
+        p AS (SELECT cell_id, elevation, slope, (floor(x / 500) + 0.5) * 500 AS px, (floor(y / 500) + 0.5) * 500 AS py FROM terrain),
+        i AS (SELECT zone_id, cell_id FROM e JOIN p ON (y1 <= py) <> (y2 <= py) AND px >= x1 + (py - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2 HAVING count(*) % 2 = 1)
+        SELECT zone_id, count(cell_id) AS n, round(avg(elevation), 4) AS mean, max(slope) AS steepest FROM z LEFT JOIN i USING (zone_id) LEFT JOIN p USING (cell_id) GROUP BY 1""",
     "runout_triangles": f"""{T.with_tables('terrain')}, {_TRI} SELECT cell_id, round(ax, 4) AS ax, round(ay, 4) AS ay, round(lx, 4) AS lx, round(ly, 4) AS ly, round(rx, 4) AS rx, round(ry, 4) AS ry FROM tri""",
     "road_risk": f"""{T.with_tables('terrain')}, {_TRI}, roads AS ({_GRID}), hit AS (SELECT edge_id, max(p) AS top, list_sort(list(DISTINCT cell_id)) AS cells FROM roads JOIN tri
             ON least(ux, vx) <= greatest(ax, lx, rx) AND greatest(ux, vx) >= least(ax, lx, rx) AND least(uy, vy) <= greatest(ay, ly, ry) AND greatest(uy, vy) >= least(ay, ly, ry)

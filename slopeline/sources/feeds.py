@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import inside
@@ -222,6 +222,40 @@ def map_tiles(spark: SparkSession, box: Box, divisions: int = 3) -> DataFrame:
     return grid.select(F.concat_ws("-", "r", "c").alias("label"), at(box[0], "c", dx).alias("west"), at(box[1], "r", dy).alias("south"), (at(box[0], "c", dx) + dx).alias("east"), (at(box[1], "r", dy) + dy).alias("north"))
 
 
+def tile_tree(points: DataFrame, box: Box, *, most: Column | float, divisions: int = 3, depth: int = 3) -> DataFrame:
+    """(label, n): points (lon, lat) by tile, where tiles of more than ``most`` points are quartered again and
+    again, at most ``depth`` times. Points outside the box and tiles without points are left out.
+
+    Every point is counted once, under the name of its smallest possible tile; there are at most
+    divisions**2 * 4**depth of them, and from their counts it is told level by level which tiles are
+    split. No point meets a tile in a join. ``most`` may be a column of one row's aggregates over n.
+    """
+    west, south, east, north = box
+    step_x, step_y = (east - west) / divisions, (north - south) / divisions
+    at = points.where((F.col("lon") >= west) & (F.col("lon") < east) & (F.col("lat") >= south) & (F.col("lat") < north)).select("lon", "lat")
+    edge = lambda c, start, step: sum(((F.col(c) >= start + i * step).cast("int") for i in range(1, divisions)), F.lit(0))
+    at = at.withColumns({"_c": edge("lon", west, step_x), "_r": edge("lat", south, step_y)})
+    at = at.withColumns({"_w": west + F.col("_c") * step_x, "_s": south + F.col("_r") * step_y}).withColumns({"_e": F.col("_w") + step_x, "_n": F.col("_s") + step_y, "_0": F.concat_ws("-", "_r", "_c")})
+    for i in range(1, depth + 1):
+        x, y = (F.col("_w") + F.col("_e")) / 2, (F.col("_s") + F.col("_n")) / 2
+        right, upper = F.col("lon") >= x, F.col("lat") >= y
+        at = at.withColumns({
+            "_w": F.when(right, x).otherwise(F.col("_w")), "_e": F.when(right, F.col("_e")).otherwise(x), "_s": F.when(upper, y).otherwise(F.col("_s")), "_n": F.when(upper, F.col("_n")).otherwise(y),
+            f"_{i}": F.concat_ws("-", f"_{i - 1}", right.cast("int") + 2 * upper.cast("int")),
+        })
+    names = [f"_{i}" for i in range(depth + 1)]
+    counts = at.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    # From here on there are at most divisions**2 * 4**depth rows.
+    held = {f"{name}n": F.sum("n").over(Window.partitionBy(name)) for name in names}
+    limit = most if isinstance(most, Column) else F.lit(float(most))
+    leaf = F.col(names[-1])
+    for name in reversed(names[:-1]):
+        leaf = F.when(F.col(f"{name}n") <= F.col("_most"), F.col(name)).otherwise(leaf)
+    counts = counts.withColumns(held)
+    bound = counts.agg(limit.alias("_most"))
+    return counts.join(F.broadcast(bound)).groupBy(leaf.alias("label")).agg(F.sum("n").alias("n"))
+
+
 def split_tiles(tiles: DataFrame) -> DataFrame:
     """The four quarters of each tile, for those a server refuses as too dense."""
     x, y = (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2
