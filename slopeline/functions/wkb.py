@@ -7,6 +7,8 @@ supported); a line holds its number of points, a polygon its number of rings bef
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,11 +16,16 @@ from pyspark.sql import functions as F
 POINT, LINE, POLYGON = 1, 2, 3
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that stands in it more than once, so that the expression doesn't grow with it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _hex(data: Column, at: Column, n: int) -> Column:
     """The ``n`` bytes from ``at`` (from 0) on in hexadecimal, most significant first."""
-    text = F.hex(F.substring(data, at + 1, F.lit(n)))
-    pieces = [F.substring(text, F.lit(2 * i + 1), F.lit(2)) for i in range(n)]
-    return F.when(F.substring(data, F.lit(1), F.lit(1)) == F.unhex(F.lit("01")), F.concat(*reversed(pieces))).otherwise(text)
+    little = F.substring(data, F.lit(1), F.lit(1)) == F.unhex(F.lit("01"))
+    turned = lambda text: F.concat(*[F.substring(text, F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(n))])
+    return _let(F.hex(F.substring(data, at + 1, F.lit(n))), lambda text: F.when(little, turned(text)).otherwise(text))
 
 
 def _long(text: Column) -> Column:
@@ -32,13 +39,10 @@ def integer_at(data: Column, at: Column) -> Column:
 
 def double_at(data: Column, at: Column) -> Column:
     """A 64-bit IEEE number; null for infinities and NaN, which are no places."""
-    text = _hex(data, at, 8)
-    high, fraction = _long(F.substring(text, F.lit(1), F.lit(3))), _long(F.substring(text, F.lit(4), F.lit(13))).cast("double")
-    exponent = high % 2048
-    # Powers in two steps, so that neither leaves the range of a double.
-    whole = (1 + fraction / float(2**52)) * F.pow(F.lit(2.0), F.greatest(exponent - 1023, F.lit(-1022)))
-    value = F.when(exponent == 0, fraction * float(2.0**-1074)).when(exponent < 2047, whole)
-    return F.when(high >= 2048, -value).otherwise(value)
+    whole = lambda e, fraction: (1 + fraction / float(2**52)) * F.pow(F.lit(2.0), F.greatest(e - 1023, F.lit(-1022)))
+    size = lambda e, fraction: F.when(e == 0, fraction * float(2.0**-1074)).when(e < 2047, whole(e, fraction))
+    parts = _let(_hex(data, at, 8), lambda t: F.struct(_long(F.substring(t, F.lit(1), F.lit(3))).alias("high"), _long(F.substring(t, F.lit(4), F.lit(13))).cast("double").alias("low")))
+    return _let(parts, lambda v: size(v["high"] % 2048, v["low"]) * F.when(v["high"] >= 2048, -1.0).otherwise(1.0))
 
 
 def kind(data: Column) -> Column:
@@ -82,7 +86,7 @@ def _sums(ring: Column) -> Column:
     cross = lambda e: e["px"] * e["qy"] - e["qx"] * e["py"]
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     total = F.aggregate(each, zero, lambda s, e: F.struct((s["a"] + cross(e)).alias("a"), (s["x"] + cross(e) * (e["px"] + e["qx"])).alias("x"), (s["y"] + cross(e) * (e["py"] + e["qy"])).alias("y")))
-    return F.struct(total["a"].alias("a"), (total["x"] + 3 * x0 * total["a"]).alias("x"), (total["y"] + 3 * y0 * total["a"]).alias("y"))
+    return _let(total, lambda t: F.struct(t["a"].alias("a"), (t["x"] + 3 * x0 * t["a"]).alias("x"), (t["y"] + 3 * y0 * t["a"]).alias("y")))
 
 
 def area_and_centroid(polygon: Column) -> Column:
@@ -91,12 +95,11 @@ def area_and_centroid(polygon: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0).alias("i"))
 
     def add(s: Column, ring: Column) -> Column:
-        one = _sums(ring)
-        sign = F.when(s["i"] == 0, 1.0).otherwise(-1.0) * F.when(one["a"] < 0, -1.0).otherwise(1.0)
-        return F.struct((s["a"] + sign * one["a"]).alias("a"), (s["x"] + sign * one["x"]).alias("x"), (s["y"] + sign * one["y"]).alias("y"), (s["i"] + 1).alias("i"))
+        sign = lambda one: F.when(s["i"] == 0, 1.0).otherwise(-1.0) * F.when(one["a"] < 0, -1.0).otherwise(1.0)
+        return _let(_sums(ring), lambda one: F.struct((s["a"] + sign(one) * one["a"]).alias("a"), (s["x"] + sign(one) * one["x"]).alias("x"), (s["y"] + sign(one) * one["y"]).alias("y"), (s["i"] + 1).alias("i")))
 
     total = F.aggregate(F.filter(polygon, lambda r: F.size(r) > 2), zero, add)
-    return F.when(total["a"] != 0, F.struct((total["a"] / 2).alias("area"), (total["x"] / (3 * total["a"])).alias("x"), (total["y"] / (3 * total["a"])).alias("y")))
+    return _let(total, lambda t: F.when(t["a"] != 0, F.struct((t["a"] / 2).alias("area"), (t["x"] / (3 * t["a"])).alias("x"), (t["y"] / (3 * t["a"])).alias("y"))))
 
 
 def length(points: Column) -> Column:

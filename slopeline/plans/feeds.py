@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import wkb as W
+from ..session import shared_dir
 from ..sources import feeds as X
+from ..sources import geometry as Y
 from ..sources import tables as T
 from .risk import _FEATURES, _features
 
@@ -145,6 +149,25 @@ def road_edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.road_edges(n, e).select("edge_id", "highway_class", "is_bridge", line.alias("line"))
 
 
+def geometry_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells as polygons, suppliers' roads as lines and villages as points, written as binary geometries and read
+    back from the files: what each geometry says."""
+    base = f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
+    p = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    t = T.terrain(spark, sf_dir)
+    x, y, d = F.col("x"), F.col("y"), 100.0 + F.col("cell_id") % 9 * 50.0
+    cells = t.select(F.lit("cell").alias("layer"), F.col("cell_id").alias("id"), F.array(p(x, y), p(x + d, y), p(x + d, y + 2 * d), p(x, y + d), p(x, y)).alias("at"))
+    k = F.col("s_suppkey")
+    bend = F.array(p(k * 1.0, k * 2.0), p(k * 1.0 + 3 * (k % 11), k * 2.0 + 4 * (k % 11)), p(k * 1.0 + 3 * (k % 11), k * 2.0 + 4 * (k % 11) + k % 5))
+    roads = T.table(spark, sf_dir, "supplier").select(F.lit("road").alias("layer"), k.alias("id"), bend.alias("at"))
+    spots = T.villages(spark, sf_dir).select(F.lit("village").alias("layer"), F.col("village_id").alias("id"), F.when(F.col("village_id") % 17 != 0, F.array(p(F.col("lon"), F.col("lat")))).alias("at"))
+    for name, rows, kind in (("cells", cells, W.POLYGON), ("roads", roads, W.LINE), ("villages", spots, W.POINT)):
+        Y.encoded(rows.select("layer", "id", "at"), F.col("at"), kind).drop("at").write.parquet(f"{base}/{name}")
+    found = [Y.layer(spark, f"{base}/{name}") for name in ("cells", "roads", "villages")]
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.select("layer", "id", "kind", *[F.round(c, 5).alias(c) for c in ("x", "y", "area", "length")])
+
+
 _MAP = (92.6, 23.6, 92.9, 23.9)
 
 
@@ -231,7 +254,7 @@ def terrain_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     rain_granules, soil_granules, live_rain_cells, live_soil_cells, cells_to_pixels, latest_granule_day, catalogue_links, district_feeds, tile_names, exposure_layers, drivable_roads, road_edge_lines,
-    map_tile_counts, map_tile_tree, grid_labels, flow_accumulation, utm_positions, inventory, inventory_funnel, holdout_cells, buffered_population, terrain_cells,
+    map_tile_counts, map_tile_tree, geometry_layers, grid_labels, flow_accumulation, utm_positions, inventory, inventory_funnel, holdout_cells, buffered_population, terrain_cells,
 )}
 
 _SOIL = """g AS (SELECT 'ease_' || (user_id % 40) || '_' || (user_id % 7) AS pixel_id, CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END AS pass_name, (event_id % 50) / 100.0::DOUBLE AS soil_moisture, event_id % 4 % 2 = 0 AS recommended
@@ -293,6 +316,11 @@ ORACLES = {
     "map_tile_counts": f"""{T.with_tables('villages')}, t AS (SELECT r || '-' || c AS label, 92.6::DOUBLE + c * ((92.9::DOUBLE - 92.6::DOUBLE) / 3) AS west, 23.6::DOUBLE + r * ((23.9::DOUBLE - 23.6::DOUBLE) / 3) AS south, (92.9::DOUBLE - 92.6::DOUBLE) / 3 AS w, (23.9::DOUBLE - 23.6::DOUBLE) / 3 AS h FROM range(3) a(r), range(3) b(c)),
         k AS (SELECT label, west, south, w, h, lon, lat, count(*) OVER (PARTITION BY label) > (SELECT count(*) / 12.0::DOUBLE FROM villages) AS dense FROM t JOIN villages ON lon >= west AND lon < west + w AND lat >= south AND lat < south + h)
         SELECT CASE WHEN dense THEN label || '-' || (CASE WHEN lon >= (west + (west + w)) / 2 THEN 1 ELSE 0 END + CASE WHEN lat >= (south + (south + h)) / 2 THEN 2 ELSE 0 END) ELSE label END AS label, count(*) AS n FROM k GROUP BY 1""",
+    "geometry_layers": f"""{T.with_tables('terrain', 'villages')}, c AS (SELECT *, 100 + (cell_id % 9) * 50.0::DOUBLE AS d FROM terrain)
+        SELECT 'cell' AS layer, cell_id AS id, 3::BIGINT AS kind, round((d * d * (x + d / 2) + d * d / 2 * (x + 2 * d / 3)) / (1.5 * d * d), 5) AS x, round((d * d * (y + d / 2) + d * d / 2 * (y + 4 * d / 3)) / (1.5 * d * d), 5) AS y,
+            round(1.5 * d * d, 5) AS area, NULL::DOUBLE AS length FROM c
+        UNION ALL SELECT 'road', s_suppkey, 2, s_suppkey, s_suppkey * 2, NULL, 5 * (s_suppkey % 11) + s_suppkey % 5 FROM supplier
+        UNION ALL SELECT 'village', village_id, CASE WHEN village_id % 17 <> 0 THEN 1 END, CASE WHEN village_id % 17 <> 0 THEN round(lon, 5) END, CASE WHEN village_id % 17 <> 0 THEN round(lat, 5) END, NULL, NULL FROM villages""",
     "map_tile_tree": f"""{T.with_tables('villages', 'sites')}, q AS (SELECT lon, lat FROM villages UNION ALL SELECT lon, lat FROM sites UNION ALL SELECT 92.61::DOUBLE + (lon - 92.6::DOUBLE) / 40, 23.61::DOUBLE + (lat - 23.6::DOUBLE) / 40 FROM sites),
         p AS (SELECT lon, lat FROM q WHERE lon >= 92.6::DOUBLE AND lon < 92.9::DOUBLE AND lat >= 23.6::DOUBLE AND lat < 23.9::DOUBLE),
         t AS (SELECT r || '-' || c AS label, 92.6::DOUBLE + c * ((92.9::DOUBLE - 92.6::DOUBLE) / 3) AS w, 23.6::DOUBLE + r * ((23.9::DOUBLE - 23.6::DOUBLE) / 3) AS s, (92.9::DOUBLE - 92.6::DOUBLE) / 3 AS dx, (23.9::DOUBLE - 23.6::DOUBLE) / 3 AS dy FROM range(3) a(r), range(3) b(c)),
