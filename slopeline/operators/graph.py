@@ -151,13 +151,15 @@ def shares(sources: DataFrame, pairs: DataFrame) -> DataFrame:
     return total
 
 
-def path_of(best: DataFrame) -> DataFrame:
+def path_of(best: DataFrame, ends: Column | None = None) -> DataFrame:
     """(source, node, path): the nodes from source to node, by following ``prev`` back, all at once.
 
-    ``best`` must be a forest per source, as ``relax`` returns it.
+    ``best`` must be a forest per source, as ``relax`` returns it. Paths lead to all nodes or to those for
+    which ``ends`` holds.
     """
     known = cut(best.select("source", F.col("node").alias("at"), F.col("prev").alias("before")))
-    walk = cut(best.select("source", "node", F.array("node").alias("path"), F.col("prev").alias("at")))
+    last = best if ends is None else best.where(ends)
+    walk = cut(last.select("source", "node", F.array("node").alias("path"), F.col("prev").alias("at")))
     while not walk.where("at is not null").isEmpty():
         step = walk.join(known, ["source", "at"], "left")
         walk = cut(step.select("source", "node", F.when(F.col("at").isNotNull(), F.concat(F.array("at"), "path")).otherwise(F.col("path")).alias("path"), F.col("before").alias("at")))
@@ -172,13 +174,10 @@ def per_key_top(rows: DataFrame, key: str, order: list[Column], k: int) -> DataF
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def budgeted_routes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, clearance: float = 0.45) -> DataFrame:
-    """(source, target, reachable, eta_s, path, avoided): the cheapest way of a vehicle that can pass some depth of water.
+def priced_roads(nodes: DataFrame, edges: DataFrame, clearance: float = 0.45) -> DataFrame:
+    """(src, dst, w): seconds that a vehicle needs for an edge, null where it can't pass.
 
-    ``pairs``: source, target; ``nodes``: node, depth, slope, passable; ``edges``: src, dst, base_s, depth,
-    passable (one direction each). The deeper of edge and far node counts, and the steeper end. Ways
-    through water or closed nodes do not exist. ``avoided`` lists, in order, the closed neighbours of all
-    nodes that are at most as far as the target: it does not depend on the order of a search.
+    ``nodes``: node, depth, slope, passable; ``edges``: src, dst, base_s, depth, passable (one direction each).
     """
     u = nodes.select(F.col("node").alias("src"), F.col("slope").alias("_us"))
     v = nodes.select(F.col("node").alias("dst"), F.col("depth").alias("_vd"), F.col("slope").alias("_vs"), F.col("passable").alias("_vp"))
@@ -186,7 +185,18 @@ def budgeted_routes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, cleara
     depth = F.greatest(F.coalesce("depth", F.lit(0.0)), F.coalesce("_vd", F.lit(0.0)))
     slope = F.greatest(F.coalesce("_us", F.lit(2.0)), F.coalesce("_vs", F.lit(2.0)))
     open_way = F.coalesce("passable", F.lit(True)) & F.coalesce("_vp", F.lit(True))
-    priced = cut(both.select("src", "dst", F.when(open_way, dynamic_cost(F.coalesce("base_s", F.lit(55.0)), depth, slope, clearance)).alias("w")))
+    return both.select("src", "dst", F.when(open_way, dynamic_cost(F.coalesce("base_s", F.lit(55.0)), depth, slope, clearance)).alias("w"))
+
+
+def budgeted_routes(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, clearance: float = 0.45) -> DataFrame:
+    """(source, target, reachable, eta_s, path, avoided): the cheapest way of a vehicle that can pass some depth of water.
+
+    ``pairs``: source, target; ``nodes``: node, depth, slope, passable; ``edges``: src, dst, base_s, depth,
+    passable (one direction each). The deeper of edge and far node counts, and the steeper end. Ways
+    through water or closed nodes do not exist. ``avoided`` lists, in order, the closed neighbours of all
+    nodes that are at most as far as the target: it does not depend on the order of a search.
+    """
+    priced = cut(priced_roads(nodes, edges, clearance))
     seeds = pairs.select("source").distinct().join(nodes.select(F.col("node").alias("source")), "source", "left_semi").select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"))
     best = shortest(seeds, priced.where("w is not null"))
     goal = best.select("source", F.col("node").alias("target"), F.col("dist").alias("eta_s"))

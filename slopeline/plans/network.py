@@ -9,6 +9,7 @@ from .. import config as C
 from ..functions import risk as R
 from ..operators import blocks as B
 from ..operators import graph as G
+from ..operators import routes as W
 from ..session import cut
 from ..sources import tables as T
 
@@ -127,6 +128,17 @@ def supply_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("node", F.round("score", 4).alias("score"), F.round("error", 4).alias("error"))
 
 
+def supply_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest chain of trade between the first and the last customer of each nation: an order weighs as its
+    urgency, a part in it as its quantity."""
+    o = T.table(spark, sf_dir, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("a"), F.concat(F.lit("C"), "o_custkey").alias("b"), F.substring("o_orderpriority", 1, 1).cast("double").alias("w"))
+    p = T.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_quantity").cast("double").alias("w"))
+    e = cut(o.unionByName(p.select(F.concat(F.lit("O"), "l_orderkey").alias("a"), F.concat(F.lit("P"), "l_partkey").alias("b"), "w")))
+    ends = T.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("s"), F.max("c_custkey").alias("t"))
+    found = W.goal_routes(ends.select(F.concat(F.lit("C"), "s").alias("source"), F.concat(F.lit("C"), "t").alias("target")), G.both_ways(e, "w"))
+    return found.select("source", "target", F.round("dist", 3).alias("cost"))
+
+
 def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and suppliers as assets; failures go down from region to nation to supplier."""
     n = T.table(spark, sf_dir, "nation")
@@ -160,7 +172,7 @@ def downslope_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.two_hops(e).where((F.col("src") != F.col("dst")) & (height(F.col("dst")) <= height(F.col("src")) - 1.5))
 
 
-QUERIES = {f.__name__: f for f in (simple_graph, shortest_paths, route_paths, minimax_paths, road_components, isolation, best_shelter, choke_points, top_choke_points, supply_cut_nodes, supply_betweenness, cascade_3hop, cascade_exposure, downslope_2hop)}
+QUERIES = {f.__name__: f for f in (simple_graph, shortest_paths, route_paths, minimax_paths, road_components, isolation, best_shelter, choke_points, top_choke_points, supply_cut_nodes, supply_betweenness, supply_routes, cascade_3hop, cascade_exposure, downslope_2hop)}
 
 _SIMPLE = """simple AS (SELECT least(u, v) AS a, greatest(u, v) AS b, arg_min(edge_id, (length, edge_id)) AS edge_id, min(length) AS length, arg_min(p_blocked, (length, edge_id)) AS p_blocked,
     arg_min(is_bridge, (length, edge_id)) AS is_bridge, arg_min(class, (length, edge_id)) AS class FROM roads WHERE u <> v GROUP BY 1, 2),
@@ -197,6 +209,13 @@ _CHOKE = """e2 AS (SELECT a AS s, b AS d FROM sev UNION SELECT b, a FROM sev), n
     ci AS (SELECT *, round(0.45::DOUBLE * log10(score + 1) + 2.5::DOUBLE * rank + 0.30::DOUBLE * (CASE WHEN parts IS NULL THEN 0 ELSE 5 END + 1.5::DOUBLE * crit), 3) AS criticality FROM ck)"""
 
 ORACLES = {
+    "supply_routes": """WITH RECURSIVE one AS (SELECT 'O' || o_orderkey AS a, 'C' || o_custkey AS b, substr(o_orderpriority, 1, 1)::DOUBLE AS w FROM orders
+            UNION ALL SELECT 'O' || l_orderkey, 'P' || l_partkey, min(l_quantity)::DOUBLE FROM lineitem GROUP BY l_orderkey, l_partkey),
+        e AS (SELECT a AS s, b AS d, w FROM one UNION ALL SELECT b, a, w FROM one),
+        ends AS (SELECT 'C' || min(c_custkey) AS source, 'C' || max(c_custkey) AS target FROM customer GROUP BY c_nationkey),
+        best(source, node, dist) USING KEY (source, node) AS (SELECT DISTINCT source, source, 0.0::DOUBLE FROM ends UNION
+            (SELECT n.source, n.d, min(n.dist) FROM (SELECT x.source, e.d, x.dist + e.w AS dist FROM best x JOIN e ON e.s = x.node) n LEFT JOIN recurring.best r ON r.source = n.source AND r.node = n.d WHERE r.dist IS NULL OR n.dist < r.dist GROUP BY n.source, n.d))
+        SELECT ends.source, target, round(dist, 3) AS cost FROM ends LEFT JOIN best ON best.source = ends.source AND best.node = target""",
     "route_paths": f"""{_HEAD}, pw AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS dist, [0]::BIGINT[] AS path, 0 AS step UNION ALL SELECT node, min(dist), arg_min(path, dist), step + 1 FROM (SELECT w1.node, w1.dist, w1.path, w1.step FROM pw w1
             UNION ALL SELECT e.d, w2.dist + e.w, list_append(w2.path, e.d), w2.step FROM pw w2 JOIN op e ON e.s = w2.node) WHERE step < 24 GROUP BY node, step), bp AS (SELECT node, min(dist) AS dist, arg_min(path, dist) AS path FROM pw GROUP BY 1)
         SELECT node, array_to_string(path, '>') AS path, CASE WHEN floor(dist) <= 0 THEN 0 ELSE round_even(floor(dist) / 1000 / 4.0::DOUBLE * 60, 0) END::BIGINT AS minutes FROM bp""",

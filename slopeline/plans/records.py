@@ -10,6 +10,7 @@ from ..operators import evaluation as E
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import state as S
+from ..operators import trends as L
 from ..sources import tables as T
 
 
@@ -248,7 +249,21 @@ def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(count(c.intersect(s), "both")).unionByName(count(c.union(s).distinct(), "either")).unionByName(count(c.subtract(s), "customers only"))
 
 
+def sql_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend of each supplier's unit price over the days, told in SQL by the registered functions."""
+    L.register_trends(spark)
+    days = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    price = F.col("l_extendedprice").cast("double") / F.col("l_quantity").cast("double")
+    points = T.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("key"), days.cast("double").alias("x"), price.alias("y"))
+    return spark.sql(
+        """SELECT CAST(key AS BIGINT) AS supplier, trend_count(s) AS n, round(trend_slope(s), 6) AS slope, round(trend_intercept(s), 3) AS intercept, round(trend_fit(s), 6) AS fit
+        FROM (SELECT key, trend_merge(state) AS s FROM trend_states(TABLE({points})) GROUP BY key)""",
+        points=points,
+    )
+
+
 QUERIES = {f.__name__: f for f in (
+    sql_trends,
     calibration, confusion, auc_rank, avg_precision, quadrant_blocks, terrain_strata, stratified_negatives, top_attributions, engineered_features, image_scores, escalation_transitions,
     first_escalations, audit_chain, audit_chain_verify, rate_limit, circuit_breaker, keyword_classify, lexical_retrieval, citation_gate, chat_last10, telemetry_rollup, keyed_upsert,
     merge_left_display, unmatched, channel_totals, cap_messages, md_tables, frame_order_violations, unique_violations, set_algebra,
@@ -270,6 +285,8 @@ def _like(words: tuple[str, ...]) -> str:
 
 
 ORACLES = {
+    "sql_trends": """SELECT l_suppkey AS supplier, regr_count(y, x) AS n, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 3) AS intercept, round(regr_r2(y, x), 6) AS fit
+        FROM (SELECT l_suppkey, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::DOUBLE AS x, l_extendedprice::DOUBLE / l_quantity::DOUBLE AS y FROM lineitem) GROUP BY l_suppkey""",
     "calibration": f"{T.with_tables('scored')} SELECT CASE WHEN p <= 0.25 THEN 0.25::DOUBLE WHEN p <= 0.5 THEN 0.5 WHEN p <= 0.75 THEN 0.75 WHEN p <= 1 THEN 1 END AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS observed FROM scored GROUP BY 1",
     "confusion": f"""{T.with_tables('scored')} SELECT threshold, count(*) FILTER (p >= threshold AND y > 0) AS tp, count(*) FILTER (p >= threshold AND y = 0) AS fp, count(*) FILTER (p < threshold AND y > 0) AS fn,
         count(*) FILTER (p < threshold AND y = 0) AS tn, round(count(*) FILTER (p >= threshold AND y > 0) / count(*) FILTER (y > 0), 6) AS caught FROM scored, (VALUES (0.3::DOUBLE), (0.5), (0.7)) t(threshold) GROUP BY 1""",
