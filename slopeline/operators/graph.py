@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.text import dynamic_cost
-from ..session import cut
+from ..session import cut, written
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
@@ -39,10 +39,10 @@ def relax(seeds: DataFrame, edges: DataFrame, step: Column, carry: tuple[str, ..
     summed up along the best path. Ends when a round betters nothing, after as many rounds as the
     longest best path has edges.
     """
-    edges = cut(edges.select("src", "dst", "w", *[F.col(c).cast("double").alias(f"_{c}") for c in carry]))
+    edges = written(edges.select("src", "dst", "w", *[F.col(c).cast("double").alias(f"_{c}") for c in carry]))
     kept = ["dist", "prev", *carry]
     best = seeds.select("source", "node", F.col("dist").cast("double").alias("dist"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("prev"), *[F.lit(0.0).alias(c) for c in carry])
-    best = cut(best.withColumn("moved", F.lit(True)))
+    best = written(best.withColumn("moved", F.lit(True)))
     while True:
         sums = [(F.col(c) + F.col(f"_{c}")).alias(c) for c in carry]
         front = best.where("moved").select("source", F.col("node").alias("src"), "dist", *carry)
@@ -51,7 +51,7 @@ def relax(seeds: DataFrame, edges: DataFrame, step: Column, carry: tuple[str, ..
         old = best.select("source", "node", F.struct(*kept).alias("o"))
         better = F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n.dist") < F.col("o.dist")))
         both = old.join(reached, ["source", "node"], "full_outer")
-        best = cut(both.select("source", "node", F.when(better, F.col("n")).otherwise(F.col("o")).alias("x"), better.alias("moved")).select("source", "node", "x.*", "moved"))
+        best = written(both.select("source", "node", F.when(better, F.col("n")).otherwise(F.col("o")).alias("x"), better.alias("moved")).select("source", "node", "x.*", "moved"))
         if best.where("moved").isEmpty():
             return best.drop("moved")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import written
 from .graph import path_of, shortest
 
 _FAR = float("inf")
@@ -32,7 +32,7 @@ def bearings(edges: DataFrame, marks: DataFrame) -> DataFrame:
 
     Nodes that neither reach nor are reached from any landmark are absent.
     """
-    marks = cut(marks)
+    marks = written(marks)
     size = marks.count()
     seeds = marks.select(F.col("mark").alias("source"), F.col("mark").alias("node"), F.lit(0.0).alias("dist"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
@@ -44,7 +44,7 @@ def bearings(edges: DataFrame, marks: DataFrame) -> DataFrame:
         row = row.select("node", _filled(F.col("m"), size).alias(name))
         both = row if both is None else both.join(row, "node", "full_outer")
     none = F.array_repeat(F.lit(_FAR), size)
-    return cut(both.select("node", F.coalesce("near", none).alias("near"), F.coalesce("away", none).alias("away")))
+    return written(both.select("node", F.coalesce("near", none).alias("near"), F.coalesce("away", none).alias("away")))
 
 
 def _filled(found: Column, size: int) -> Column:
@@ -70,13 +70,13 @@ def goal_routes(pairs: DataFrame, edges: DataFrame, *, marks: DataFrame | None =
     the pair. A pair is told once however often it is asked; one with a null end has no way. Ends when no pair has
     a node left within its bound; there is no limit on rounds.
     """
-    edges = cut(edges.select("src", "dst", F.col("w").cast("double").alias("w")).where("src IS NOT NULL AND dst IS NOT NULL AND w IS NOT NULL"))
+    edges = written(edges.select("src", "dst", F.col("w").cast("double").alias("w")).where("src IS NOT NULL AND dst IS NOT NULL AND w IS NOT NULL"))
     sight = bearings(edges, landmarks(edges) if marks is None else marks)
     # A node that no landmark knows has no bounds: zero for every distance, by empty arrays.
     blank = F.array().cast("array<double>")
     near, away = F.coalesce("near", blank), F.coalesce("away", blank)
     onward = edges.join(sight, edges.dst == sight.node, "left").select("src", "dst", "w", near.alias("near"), away.alias("away"))
-    onward = cut(onward)
+    onward = written(onward)
     asked = pairs.select("source", "target").distinct()
     ends = asked.where("source IS NOT NULL AND target IS NOT NULL")
     ends = ends.join(sight.select(F.col("node").alias("source"), F.col("near").alias("s_near"), F.col("away").alias("s_away")), "source", "left")
@@ -85,10 +85,10 @@ def goal_routes(pairs: DataFrame, edges: DataFrame, *, marks: DataFrame | None =
         ends = ends.withColumn(c, F.coalesce(c, blank))
     round_about = F.coalesce(F.array_min(F.zip_with("s_away", "g_near", lambda a, b: a + b)), F.lit(_FAR))
     least = at_least(F.col("s_near"), F.col("s_away"), F.col("g_near"), F.col("g_away"))
-    goals = cut(ends.select("source", "target", "g_near", "g_away", F.when(F.col("source") == F.col("target"), 0.0).otherwise(round_about).alias("most"), least.alias("least")))
+    goals = written(ends.select("source", "target", "g_near", "g_away", F.when(F.col("source") == F.col("target"), 0.0).otherwise(round_about).alias("most"), least.alias("least")))
     kind = dict(edges.dtypes)["src"]
     open_ends = goals.where(F.col("least") < _FAR)
-    best = cut(open_ends.select("source", "target", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("prev"), F.col("least").alias("rest"), F.lit(True).alias("moved")))
+    best = written(open_ends.select("source", "target", F.col("source").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast(kind).alias("prev"), F.col("least").alias("rest"), F.lit(True).alias("moved")))
     key = ["source", "target", "node"]
     within = lambda dist, rest: dist + rest <= F.col("most") * (1 + _SLACK) + _SLACK
     while True:
@@ -100,11 +100,11 @@ def goal_routes(pairs: DataFrame, edges: DataFrame, *, marks: DataFrame | None =
         old = best.select(*key, F.struct("dist", "prev", "rest").alias("o"))
         better = F.col("n").isNotNull() & (F.col("o").isNull() | (F.col("n.dist") < F.col("o.dist")))
         both = old.join(reached, key, "full_outer")
-        best = cut(both.select(*key, F.when(better, F.col("n")).otherwise(F.col("o")).alias("x"), better.alias("moved")).select(*key, "x.*", "moved"))
+        best = written(both.select(*key, F.when(better, F.col("n")).otherwise(F.col("o")).alias("x"), better.alias("moved")).select(*key, "x.*", "moved"))
         if best.where("moved").isEmpty():
             break
         got = best.where("moved AND node = target").select("source", "target", F.col("dist").alias("_got"))
-        goals = cut(goals.join(got, ["source", "target"], "left").withColumn("most", F.least("most", F.coalesce("_got", F.lit(_FAR)))).drop("_got"))
+        goals = written(goals.join(got, ["source", "target"], "left").withColumn("most", F.least("most", F.coalesce("_got", F.lit(_FAR)))).drop("_got"))
     # A pair is the source of its own search.
     search = best.select(F.struct("source", "target").alias("source"), "node", "prev")
     ways = path_of(search, F.col("node") == F.col("source.target")).select("source.*", "path")

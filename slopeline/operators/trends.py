@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, arrow_udtf
 
 _STATE = pa.list_(pa.float64())
@@ -41,7 +42,7 @@ def merged(which: np.ndarray, states: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-@arrow_udtf(returnType="key string, state array<double>")
+@arrow_udtf(returnType=T.StructType([T.StructField("key", T.StringType()), T.StructField("state", T.ArrayType(T.DoubleType()))]))
 class TrendStates:
     """Rows (key string, x double, y double) to (key, state), one row per key and task (more beyond 200 000 keys).
 
@@ -72,7 +73,7 @@ class TrendStates:
             yield pa.table({"key": pa.array(list(self.place), pa.string()), "state": pa.array(list(self.state), _STATE)})
 
 
-@arrow_udf("array<double>")
+@arrow_udf(T.ArrayType(T.DoubleType()))
 def trend_merge(states: pa.Array) -> pa.Scalar:
     states = states.drop_null()
     rows = states.flatten().to_numpy(zero_copy_only=False).reshape(len(states), 6)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder: cuts the lineage, survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, read back: for loops that join a table with itself round after round.
+
+    A checkpoint keeps the estimate of its plan's size. Such a loop squares it each round, until planning alone
+    never ends; a table is planned by the size of its files.
+    """
+    folder = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
