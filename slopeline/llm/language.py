@@ -14,7 +14,7 @@ short ones. Nothing is shuffled but the sample.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; without labelled
 text everything is ``und``; equal counts go to the alphabetically first language; a null doc_id
-is never learnt from; rows are independent, so repeated rows give repeated results; an empty table
+is never learnt from; rows that share a doc_id are sampled by id and text; rows are independent, so repeated rows give repeated results; an empty table
 gives no rows; extra columns play no part.
 """
 
@@ -157,14 +157,15 @@ def squeeze(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def learn(docs: DataFrame, *, chars: int = 40_000, total_chars: int = 400_000, max_docs: int = 160) -> Languages:
     """Labelled text per language from documents that are not held out: two jobs, however many languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("least"))
     n = max(counts.count(), 1)
     chars = max(1, min(chars, total_chars // n))
     share = max(200, chars // 40)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
     span = F.expr(f"substring(text, 1 + pmod(xxhash64(doc_id), greatest(1, length(text) - {share})), {share})")
-    # The smallest hashes of each language; a bound on the hash first, so that few rows are ranked.
-    few = known.select("lang", "doc_id", place.alias("place"), span.alias("span")).join(F.broadcast(counts), "lang").where(F.col("place") < 2 * max_docs / F.col("n"))
+    # The smallest hashes of each language; a bound on the hash first, so that few rows are ranked. The row of
+    # the smallest hash passes whatever the bound, and repeated rows count once: no language is lost.
+    few = known.select("lang", "doc_id", place.alias("place"), span.alias("span")).join(F.broadcast(counts), "lang").where((F.col("place") < 2 * max_docs / F.col("n")) | (F.col("place") == F.col("least"))).dropDuplicates(["lang", "place"])
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "span"))
     rows = few.withColumn("rank", rank).where(F.col("rank") <= min(max_docs, 4 * chars // share + 1)).select("lang", "rank", "span").collect()
     texts: dict[str, list[str]] = {}

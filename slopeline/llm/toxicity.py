@@ -14,7 +14,7 @@ it lies; nothing is shuffled.
 Defined cases: null and empty texts have no features and score like a text about which nothing
 is known (the bias); without usable labels every score is 0; a doc_id that is null or held out
 is never learnt from; a document with contradicting labels counts as toxic; rows repeated with
-one doc_id are all learnt from and score alike; very long texts are scored whole, in pieces of
+one doc_id are learnt from up to ``max_rows`` rows in all, and score alike; very long texts are scored whole, in pieces of
 memory that their length alone sets; empty tables give no rows; extra columns play no part
 (``score`` carries them along and replaces those named tox_score and tox_flag).
 """
@@ -127,6 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, bits: int = 20, max_rows: int = 2
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(known), "doc_id")  # at most max_rows ids, so the texts stay where they are
     rows = rows.withColumn("order", F.xxhash64("doc_id", F.lit(1)))
+    # Rows may share an id: the bound holds for rows, by the same order at every size.
+    rows = rows.orderBy("order", F.xxhash64("text"), "text").limit(max_rows)
     rows = rows.repartition(1).sortWithinPartitions("order", "text").select("text", F.col("toxic").cast("int").alias("toxic"))
 
     @tidy
