@@ -27,9 +27,11 @@ def landmarks(edges: DataFrame, count: int = 8) -> DataFrame:
     return numbered.select(F.posexplode("m").alias("place", "mark")).select("mark", "place")
 
 
-def bearings(edges: DataFrame, marks: DataFrame) -> DataFrame:
+def bearings(edges: DataFrame, marks: DataFrame, symmetric: bool = False) -> DataFrame:
     """(node, near, away): arrays with the distance from each landmark and to each landmark, infinite where there is no way.
 
+    ``symmetric`` says that every edge is there in both directions with one weight, so one search serves both.
+
     Nodes that neither reach nor are reached from any landmark are absent.
     """
     marks = written(marks)
@@ -37,12 +39,14 @@ def bearings(edges: DataFrame, marks: DataFrame) -> DataFrame:
     seeds = marks.select(F.col("mark").alias("source"), F.col("mark").alias("node"), F.lit(0.0).alias("dist"))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     both = None
-    for name, way in (("near", edges), ("away", back)):
+    for name, way in (("near", edges), ("away", back))[: 1 if symmetric else 2]:
         dist = shortest(seeds, way).select("source", "node", F.col("dist").alias(name))
         dist = dist.join(F.broadcast(marks), dist.source == F.col("mark"))  # as many rows as landmarks
         row = dist.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("place", name))).alias("m"))
         row = row.select("node", _filled(F.col("m"), size).alias(name))
         both = row if both is None else both.join(row, "node", "full_outer")
+    if symmetric:
+        return written(both.select("node", "near", F.col("near").alias("away")))
     none = F.array_repeat(F.lit(_FAR), size)
     return written(both.select("node", F.coalesce("near", none).alias("near"), F.coalesce("away", none).alias("away")))
 
@@ -63,7 +67,7 @@ def at_least(near: Column, away: Column, goal_near: Column, goal_away: Column) -
     return F.greatest(F.lit(0.0), F.coalesce(F.array_max(forth), F.lit(0.0)), F.coalesce(F.array_max(back), F.lit(0.0)))
 
 
-def goal_routes(pairs: DataFrame, edges: DataFrame, *, marks: DataFrame | None = None) -> DataFrame:
+def goal_routes(pairs: DataFrame, edges: DataFrame, *, marks: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
     """(source, target, dist, path, seen): cheapest ways for pairs (source, target) over edges (src, dst, w >= 0).
 
     ``dist`` and ``path`` are null where there is no way; ``seen`` counts the nodes that were given a distance for
@@ -71,7 +75,7 @@ def goal_routes(pairs: DataFrame, edges: DataFrame, *, marks: DataFrame | None =
     a node left within its bound; there is no limit on rounds.
     """
     edges = written(edges.select("src", "dst", F.col("w").cast("double").alias("w")).where("src IS NOT NULL AND dst IS NOT NULL AND w IS NOT NULL"))
-    sight = bearings(edges, landmarks(edges) if marks is None else marks)
+    sight = bearings(edges, landmarks(edges) if marks is None else marks, symmetric)
     # A node that no landmark knows has no bounds: zero for every distance, by empty arrays.
     blank = F.array().cast("array<double>")
     near, away = F.coalesce("near", blank), F.coalesce("away", blank)

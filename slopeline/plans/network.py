@@ -135,7 +135,7 @@ def supply_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_quantity").cast("double").alias("w"))
     e = cut(o.unionByName(p.select(F.concat(F.lit("O"), "l_orderkey").alias("a"), F.concat(F.lit("P"), "l_partkey").alias("b"), "w")))
     ends = T.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("s"), F.max("c_custkey").alias("t"))
-    found = W.goal_routes(ends.select(F.concat(F.lit("C"), "s").alias("source"), F.concat(F.lit("C"), "t").alias("target")), G.both_ways(e, "w"))
+    found = W.goal_routes(ends.select(F.concat(F.lit("C"), "s").alias("source"), F.concat(F.lit("C"), "t").alias("target")), G.both_ways(e, "w"), symmetric=True)
     return found.select("source", "target", F.round("dist", 3).alias("cost"))
 
 
