@@ -16,8 +16,10 @@ key is a group of its own, so that no group has more than two blocks and no pair
 ``keep_one`` may ask for a ``similarity``: then links are verified by the exact Jaccard similarity
 of the texts' shingle sets. A fingerprint differs by about 10 bits at similarity 0.8, so such a
 search takes more segments (``distance`` below twice their number). Within a key fingerprints count
-as near only if a sketch of 128 bits (MinHash, one bit per bin) allows for it, and of these the
-links of a spanning forest, nearest first, are verified.
+as near whatever their sketches of 128 bits (MinHash, one bit per bin) say, unless ``apart`` bounds how
+many bits may differ. Of the near ones the links of a spanning forest, nearest sketches first, are verified;
+a forest's link that fails may have hidden one that holds, so every near pair that the verified links leave
+apart is verified as well.
 
 Defined cases: a null text and a text without words have fingerprint zero, linked like any
 other; texts with fewer words than a shingle are hashed whole; a row with a null doc_id gets a
@@ -41,6 +43,9 @@ from . import bloom
 from .common import NO_ID, NOT_SPACE, buffers, chunks, materialize, mix, tidy, word_spans
 from .components import components
 
+_SLICE = 1 << 15
+_CHUNK = 1 << 20  # bytes of text at a time: hashes and sketches take many times the text
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -67,8 +72,11 @@ def shingle_hashes(raw: np.ndarray, off: np.ndarray, shingle: int, seed: int) ->
     np.cumsum(count, out=begin[1:])
     i = np.arange(len(owner)) - begin[owner] + first[owner]
     j = np.minimum(i + shingle, first[owner + 1])
-    h = [xxh64_intdigest(text[a:b], seed) for a, b in zip(at[i].tolist(), (at[j] - 1).tolist())]
-    return np.array(h, np.uint64), begin
+    h = np.empty(len(i), np.uint64)
+    for k in range(0, len(i), _SLICE):  # Python's numbers take five times the room of the array's
+        own = slice(k, k + _SLICE)
+        h[own] = [xxh64_intdigest(text[a:b], seed) for a, b in zip(at[i[own]].tolist(), (at[j[own]] - 1).tolist())]
+    return h, begin
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -98,7 +106,7 @@ def fingerprints(docs: DataFrame, *, shingle: int = 4, seed: int = 42) -> DataFr
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", _CHUNK):
                 got = majority(*shingle_hashes(*buffers(part.column(at)), shingle, seed))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got.view(np.int64))], [*part.schema.names, "fp"])
 
@@ -272,17 +280,19 @@ def sketches(h: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (bit[:, :64] * weigh).sum(1, dtype=np.uint64), (bit[:, 64:] * weigh).sum(1, dtype=np.uint64), n
 
 
-def _near_forest(fp: np.ndarray, one: np.ndarray, two: np.ndarray, few: np.ndarray, distance: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of near rows, those with the nearest sketches first."""
-    left, right, cost = [], [], []
+def _near_pairs(fp: np.ndarray, one: np.ndarray, two: np.ndarray, few: np.ndarray, distance: int, apart: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All near rows as places (left, right) and how far their sketches are apart, a strip of rows at a time."""
     for i in range(0, len(fp), 256):
         differ = np.bitwise_count(one[i : i + 256, None] ^ one[None, :]).astype(np.int64) + np.bitwise_count(two[i : i + 256, None] ^ two[None, :])
         near = (np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :]) <= distance) & ((differ <= apart) | few[i : i + 256, None] | few[None, :])
         a, b = np.nonzero(near)
         up = b > a + i
-        left.append(a[up] + i)
-        right.append(b[up])
-        cost.append(differ[a[up], b[up]])
+        yield a[up] + i, b[up], differ[a[up], b[up]]
+
+
+def _near_forest(fp: np.ndarray, one: np.ndarray, two: np.ndarray, few: np.ndarray, distance: int, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a spanning forest of near rows, those with the nearest sketches first."""
+    left, right, cost = zip(*_near_pairs(fp, one, two, few, distance, apart))
     left, right = np.concatenate(left), np.concatenate(right)
     order = np.argsort(np.concatenate(cost), kind="stable")
     root = list(range(len(fp)))
@@ -335,13 +345,35 @@ def _near_blocks(distance: int, apart: int):
     return run
 
 
+def _between(distance: int, apart: int, block: int | None = None):
+    """Of rows sorted by key (key, v, fp, one, two, few, part; of blocks: key, lo, hi, ...) all near pairs (a, b, 0) of
+    different parts, and the rows (key, v, n) of keys with more than ``block`` rows."""
+    keys = 1 if block else 3
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in _whole_keys(batches, keys):
+            v, fp, one, two, few, part = cols[keys:]
+            for start, n in zip(*_edges(cols[:keys])):
+                at = slice(start, start + n)
+                if block and n > block:
+                    yield _batch("a b n", cols[0][at], v[at], np.full(n, n))
+                elif (part[at] != part[start]).any():
+                    for a, b, _ in _near_pairs(fp[at], one[at], two[at], few[at].astype(bool), distance, apart):
+                        other = part[at][a] != part[at][b]
+                        if other.any():
+                            yield _batch("a b n", v[at][a[other]], v[at][b[other]], np.zeros(int(other.sum()), np.int64))
+
+    return run
+
+
 def _similar(shingle: int, seed: int, similarity: float):
     """Of rows (a, b, x, y) the pairs (a, b) whose texts x and y are similar enough."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "x"):
+            for part in chunks(batch, "x", _CHUNK):
                 x, xb = shingle_hashes(*buffers(part.column(2)), shingle, seed)
                 y, yb = shingle_hashes(*buffers(part.column(3)), shingle, seed)
                 ok = []
@@ -355,7 +387,19 @@ def _similar(shingle: int, seed: int, similarity: float):
     return run
 
 
-def similar_names(texts: DataFrame, *, shingle: int, seed: int, similarity: float, distance: int, segments: int, block: int, apart: int = 26) -> tuple[DataFrame, DataFrame]:
+def _verified(texts: DataFrame, own: DataFrame, links: DataFrame, shingle: int, seed: int, similarity: float) -> DataFrame:
+    """Those of the links (a, b) between rows v of ``own`` whose texts are similar enough."""
+    # The text that stands for a fingerprint is shuffled only if it has a candidate.
+    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
+    wanted = materialize(own.join(ends, "v").select("first.doc", "first.tkey", "v"), "simhash-wanted")
+    near, _ = bloom.split(texts.select("doc", "tkey", "text"), bloom.of_docs(wanted))
+    found = materialize(near.join(wanted, ["doc", "tkey"]).dropDuplicates(["v"]).select("v", "text"), "simhash-texts")
+    left, right = found.select(F.col("v").alias("a"), F.col("text").alias("x")), found.select(F.col("v").alias("b"), F.col("text").alias("y"))
+    sure = links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(shingle, seed, similarity), "a long, b long")
+    return materialize(sure, "simhash-verified")
+
+
+def similar_names(texts: DataFrame, *, shingle: int, seed: int, similarity: float, distance: int, segments: int, block: int, apart: int = _BINS) -> tuple[DataFrame, DataFrame]:
     """(doc, tkey, v) and (v, component_id) of texts (doc, tkey, text): v numbers distinct fingerprints with
     their sketches, component_id is the smallest doc of what verified links connect."""
     if distance >= 2 * segments:
@@ -364,7 +408,7 @@ def similar_names(texts: DataFrame, *, shingle: int, seed: int, similarity: floa
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", _CHUNK):
                 h, begin = shingle_hashes(*buffers(part.column(2)), shingle, seed)
                 one, two, n = sketches(h, begin)
                 cols = [majority(h, begin).view(np.int64), one.view(np.int64), two.view(np.int64), (n < _FEW).astype(np.int64)]
@@ -378,14 +422,20 @@ def similar_names(texts: DataFrame, *, shingle: int, seed: int, similarity: floa
     large = first.where("n > 0").select(F.col("a").alias("key"), "n", F.col("b").alias("v")).join(own.select(*_NEAR), "v")
     second = in_blocks(large, block, *_NEAR).mapInArrow(_near_blocks(distance, apart), "a long, b long")
     links = materialize(first.where("n = 0").select("a", "b").unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-candidates")
-    # The text that stands for a fingerprint is shuffled only if it has a candidate.
-    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
-    wanted = materialize(own.join(ends, "v").select("first.doc", "first.tkey", "v"), "simhash-wanted")
-    near, _ = bloom.split(texts.select("doc", "tkey", "text"), bloom.of_docs(wanted))
-    found = materialize(near.join(wanted, ["doc", "tkey"]).dropDuplicates(["v"]).select("v", "text"), "simhash-texts")
-    left, right = found.select(F.col("v").alias("a"), F.col("text").alias("x")), found.select(F.col("v").alias("b"), F.col("text").alias("y"))
-    sure = links.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(shingle, seed, similarity), "a long, b long")
-    comp = components(materialize(sure, "simhash-verified"), "simhash-components")
+    sure = _verified(texts, own, links, shingle, seed, similarity)
+    comp = components(sure, "simhash-first")
+    # What the verified links leave apart: every near pair between two of their components that was not looked at.
+    parts = own.join(comp, own.v == comp.id, "left").select(*_NEAR, F.coalesce("component", "v").alias("part"))
+    parts = materialize(parts, "simhash-parts")
+    keys = variants(parts, segments, "v", *_NEAR[2:], "part").select("key", *_NEAR, "part").repartition("key").sortWithinPartitions("key", "v")
+    rest = materialize(keys.mapInArrow(_between(distance, apart, block), _LINKS).distinct(), "simhash-between")
+    large = rest.where("n > 0").select(F.col("a").alias("key"), "n", F.col("b").alias("v")).join(parts, "v")
+    blocks = in_blocks(large, block, *_NEAR, "part").mapInArrow(_between(distance, apart), _LINKS)
+    rest = rest.where("n = 0").unionByName(blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = materialize(rest.join(links, ["a", "b"], "left_anti"), "simhash-rest")
+    if not rest.isEmpty():
+        sure = sure.unionByName(_verified(texts, own, rest, shingle, seed, similarity))
+        comp = components(sure, "simhash-components")
     named = own.join(comp, own.v == comp.id, "left").select("v", *_NEAR[1:], F.col("first.doc").alias("doc"), F.coalesce("component", "v").alias("component"))
     named = materialize(named, "simhash-named")
     least = materialize(named.groupBy("component").agg(F.min("doc").alias("component_id")), "simhash-least")

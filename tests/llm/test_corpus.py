@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -22,6 +23,7 @@ from slopeline.llm import queries as Q
 from slopeline.llm import simhash as SH
 from slopeline.llm import substring_dedup as SD
 from slopeline.llm import toxicity as TX
+from slopeline.llm.common import buffers
 
 P = pytest.importorskip("public_tokenizers")
 VOCAB = P.path("byte_bpe_50k.json")
@@ -199,6 +201,34 @@ def similar_groups(rows, similarity=0.8):
     return {i: least[c] for i, c in comp.items()}
 
 
+def edited_copies(seed):
+    """Five copies of a text, each with a few words changed: about as similar as is asked for."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    out = []
+    for _ in range(5):
+        copy = list(base)
+        for _ in range(rng.randint(4, 5)):
+            copy[rng.randrange(400)] = f"x{rng.randrange(5000)}"
+        out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_links_that_a_failed_link_hides(spark, block):
+    """A forest of near rows takes a link that the texts don't bear out before one that they do; none is lost."""
+    rows = []
+    for seed in (2, 3, 5, 16, 22, 28, 33, 35):
+        rows += [(len(rows) + i, text) for i, text in enumerate(edited_copies(seed))]
+    h, begin = SH.shingle_hashes(*buffers(pa.array([t for _, t in rows])), 5, 42)
+    fp, sets = SH.majority(h, begin).tolist(), [shingles(t) for _, t in rows]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    due = brute_components(range(len(rows)), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 9 and similar(a, b))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in SH.keep_one(docs, shingle=5, similarity=0.8, distance=9, segments=5, block=block).collect()}
+    assert kept == {min(i for i in due if due[i] == c) for c in set(due.values())}
+
+
 @pytest.mark.parametrize("block", [2048, 9])
 def test_near_copies_by_verified_similarity(spark, block):
     """Chains of edited copies: every removed document is due, and nearly all that are due go."""
