@@ -143,15 +143,46 @@ def nearest_segment(points: DataFrame, segments: DataFrame, *, key: str, cell: f
     return a.join(b, ["cx", "cy"]).groupBy(key).agg(F.min(d).alias("dist"))
 
 
+def _micros(t: Column) -> Column:
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def _near_places(places: DataFrame, others: DataFrame, km: float) -> DataFrame:
+    """(lat, lon, r_lat, r_lon, km_apart): the pairs of distinct places within ``km``.
+
+    Rows that share a place share its pairs, so that tables which grow at the same places have no more of them.
+    """
+    right = others.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).distinct()
+    return within_km(places.select("lat", "lon").distinct(), right, km).select("lat", "lon", "r_lat", "r_lon", "km_apart")
+
+
 def duplicates(reports: DataFrame, *, km: float = C.DEDUP_KM, hours: int = C.DEDUP_HOURS) -> DataFrame:
-    """(id, duplicate_of, km_apart): the nearest earlier open report of the same category in space and time."""
-    # Spans of ``hours`` are part of the key: an earlier report is within the hours only from its own span or the one before.
-    span = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / (hours * 3_600_000_000))
-    late = reports.select("id", "category", "t", "lat", "lon", span.alias("_span"))
-    early = reports.where(~F.col("status").isin(*C.CLOSED)).select(F.col("id").alias("r_id"), "category", F.col("t").alias("r_t"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.explode(F.array(span, span + 1)).alias("_span"))
-    before = (F.col("r_t") < F.col("t")) | ((F.col("r_t") == F.col("t")) & (F.col("r_id") < F.col("id")))
-    pairs = within_km(late, early, km, ("category", "_span")).where(before & (F.col("r_t") >= F.col("t") - F.expr(f"INTERVAL {hours} HOURS")))
-    return pairs.groupBy("id").agg(F.min(F.struct("km_apart", "r_id")).alias("b")).select("id", F.col("b.r_id").alias("duplicate_of"), F.col("b.km_apart").alias("km_apart"))
+    """(id, duplicate_of, km_apart): the nearest earlier open report of the same category in space and time.
+
+    Reports are not paired: two places have one distance, so of a place's open reports only the smallest id in
+    the time counts. Time is cut into spans of ``hours``. The hours before a report are what its own span holds
+    before it and the end of the span before; both are running minima, the second one backwards over reports
+    moved on by a span.
+    """
+    span = hours * 3_600_000_000
+    near = cut(_near_places(reports, reports.where(~F.col("status").isin(*C.CLOSED)), km))
+    r = reports.where("category IS NOT NULL AND t IS NOT NULL").select("id", "category", _micros(F.col("t")).alias("_t"), "lat", "lon", F.coalesce(~F.col("status").isin(*C.CLOSED), F.lit(False)).alias("_open"))
+    place = ["lat", "lon", "r_lat", "r_lon", "category", "_span"]
+    asks = r.join(near, ["lat", "lon"]).select(*place[:-1], F.floor(F.col("_t") / span).alias("_span"), "_t", F.col("id").alias("_ask"), F.lit(None).cast("long").alias("_own"), F.lit(None).cast("long").alias("_last"), "km_apart")
+    early = r.where("_open").select(F.col("id").alias("_r"), "category", "_t", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).join(near, ["r_lat", "r_lon"])
+    at = F.floor(F.col("_t") / span)
+    none = F.lit(None).cast(reports.schema["id"].dataType)
+    told = lambda span_of, t, own, last: early.select(*place[:-1], span_of.alias("_span"), t.alias("_t"), none.alias("_ask"), own.alias("_own"), last.alias("_last"), "km_apart")
+    asks = asks.withColumns({"_own": none, "_last": none})
+    rows = asks.unionByName(told(at, F.col("_t"), F.col("_r"), none)).unionByName(told(at + 1, F.col("_t") + span, none, F.col("_r")))
+    on = Window.partitionBy(*place).orderBy("_t")
+    before, same = F.min("_own").over(on.rangeBetween(Window.unboundedPreceding, -1)), F.min("_own").over(on.rangeBetween(0, 0))
+    ended = F.min("_last").over(Window.partitionBy(*place).orderBy(F.desc("_t")).rangeBetween(Window.unboundedPreceding, 0))
+    seen = rows.withColumns({"_before": before, "_same": same}).withColumn("_ended", ended).where("_ask IS NOT NULL")
+    # At one instant the smaller ids are the earlier ones.
+    first = F.least("_before", "_ended", F.when(F.col("_same") < F.col("_ask"), F.col("_same")))
+    best = seen.select(F.col("_ask").alias("id"), "km_apart", first.alias("r_id")).where("r_id IS NOT NULL").groupBy("id").agg(F.min(F.struct("km_apart", "r_id")).alias("b"))
+    return best.select("id", F.col("b.r_id").alias("duplicate_of"), F.col("b.km_apart").alias("km_apart"))
 
 
 def hotspots(reports: DataFrame, *, km: float = C.HOTSPOT_KM, days: int = C.HOTSPOT_DAYS) -> DataFrame:
