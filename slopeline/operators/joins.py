@@ -189,18 +189,19 @@ def hotspots(reports: DataFrame, *, km: float = C.HOTSPOT_KM, days: int = C.HOTS
     """(id, hotspot_count): earlier reports of any category nearby within some days, plus one.
 
     Reports are first counted by place and time, so places with many reports don't pair up: a
-    place is a distinct pair of coordinates.
+    place is a distinct pair of coordinates. Each count comes in at its time and goes out after the days, so
+    that a running sum tells how many are within them.
     """
-    late = reports.select("id", "t", "lat", "lon")
-    place = ["lat", "lon"]
-    places = reports.select(*place).distinct()
-    near = within_km(places, places.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), km).select(*place, "r_lat", "r_lon")
-    # Reports per place and instant, summed up over time per neighbourhood: a running count.
-    instant = reports.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "t").agg(F.count(F.lit(1)).alias("n"))
-    around = near.join(instant, ["r_lat", "r_lon"]).groupBy(*place, "t").agg(F.sum("n").alias("n"))
-    span = Window.partitionBy(*place).orderBy("micros").rangeBetween(-days * 86_400_000_000, -1)
-    counted = around.withColumn("micros", F.unix_micros(F.col("t").cast("timestamp"))).withColumn("before", F.coalesce(F.sum("n").over(span), F.lit(0)))
-    return late.join(counted, [*place, "t"]).select("id", (F.col("before") + 1).cast("long").alias("hotspot_count"))
+    place, span = ["lat", "lon"], days * 86_400_000_000
+    near = cut(_near_places(reports, reports, km)).select(*place, "r_lat", "r_lon")
+    instant = reports.where("t IS NOT NULL").groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), _micros(F.col("t")).alias("_t")).agg(F.count(F.lit(1)).alias("n"))
+    own = (F.col("lat") == F.col("r_lat")) & (F.col("lon") == F.col("r_lon"))
+    around = near.join(instant, ["r_lat", "r_lon"]).select(*place, "_t", "n", own.alias("_own")).repartition(*place)
+    moved = around.select(*place, F.inline(F.array(F.struct("_t", "n", "_own"), F.struct((F.col("_t") + span).alias("_t"), (-F.col("n")).alias("n"), F.lit(False).alias("_own")))))
+    before = F.sum("n").over(Window.partitionBy(*place).orderBy("_t").rangeBetween(Window.unboundedPreceding, -1))
+    counted = moved.withColumn("before", F.coalesce(before, F.lit(0))).where("_own").select(*place, "_t", "before")
+    late = reports.select("id", *place, _micros(F.col("t")).alias("_t"))
+    return late.join(counted, [*place, "_t"]).select("id", (F.col("before") + 1).cast("long").alias("hotspot_count"))
 
 
 def outside_events(rows: DataFrame, events: DataFrame, *, km: float = C.HOLDOUT_KM, days: int = C.HOLDOUT_DAYS) -> DataFrame:

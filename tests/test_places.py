@@ -48,3 +48,17 @@ def test_duplicates_of_a_crowd_are_not_paired(spark):
     began = time.time()
     got = J.duplicates(rows).agg({"id": "count", "duplicate_of": "max", "km_apart": "max"}).first()
     assert sorted(map(float, got)) == [0.0, 0.0, 59999.0] and time.time() - began < 40
+
+
+def test_hotspots_by_brute_force(spark):
+    rows, week = reports(), datetime.timedelta(days=7)
+    want = {i: 1 + sum(u < t and t - u <= week and km_of((la, lo), (lb, lp)) <= 2.0 for _, _, _, lb, lp, u in rows) for i, _, _, la, lo, t in rows}
+    assert {r.id: r.hotspot_count for r in J.hotspots(spark.createDataFrame(rows, COLUMNS)).collect()} == want
+
+
+def test_hotspots_of_a_crowd_run_once(spark):
+    """A window that begins anew for each row would add up 1.8 billion counts."""
+    rows = spark.createDataFrame(crowd(200000), COLUMNS)
+    began = time.time()
+    got = J.hotspots(rows).agg({"hotspot_count": "sum", "id": "count"}).first()
+    assert set(got) == {200000 * 200001 // 2, 200000} and time.time() - began < 40
