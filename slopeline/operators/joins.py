@@ -156,6 +156,36 @@ def _near_places(places: DataFrame, others: DataFrame, km: float) -> DataFrame:
     return within_km(places.select("lat", "lon").distinct(), right, km).select("lat", "lon", "r_lat", "r_lon", "km_apart")
 
 
+def nearest_places(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """(lat, lon, r_lat, r_lon, km_apart): for each distinct place (lat, lon) of ``left`` the nearest places (r_lat, r_lon)
+    of ``right`` within ``km``, all of them if several are equally near. Places without one are absent.
+
+    Small circles are searched first and only places that found nothing go on to circles twice as wide: a
+    search begins where no cell is crowded, whatever ``km`` is.
+    """
+    sites = cut(right.select("r_lat", "r_lon").where("r_lat IS NOT NULL AND r_lon IS NOT NULL").distinct())
+    rest = cut(left.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct())
+    halvings = 0
+    while halvings < 12:
+        size = km_cells(km / 2**halvings, 0.0)[0]
+        most = sites.groupBy(cell_of(F.col("r_lat"), size), cell_of(F.col("r_lon"), size)).count().agg(F.max("count")).first()[0]
+        if most is None or most <= _FULL:
+            break
+        halvings += 1
+    found = None
+    for i in range(halvings, -1, -1):
+        pairs = within_km(rest, sites, km / 2**i)
+        best = pairs.groupBy("lat", "lon").agg(F.min("km_apart").alias("_least"))
+        # Of equally near places each stays: at most as many as lie on one circle.
+        got = cut(pairs.join(best, ["lat", "lon"]).where("km_apart = _least").select("lat", "lon", "r_lat", "r_lon", "km_apart"))
+        found = got if found is None else found.unionByName(got)
+        if i:
+            rest = cut(rest.join(got.select("lat", "lon"), ["lat", "lon"], "left_anti"))
+            if rest.isEmpty():
+                break
+    return found
+
+
 def duplicates(reports: DataFrame, *, km: float = C.DEDUP_KM, hours: int = C.DEDUP_HOURS) -> DataFrame:
     """(id, duplicate_of, km_apart): the nearest earlier open report of the same category in space and time.
 

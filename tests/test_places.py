@@ -62,3 +62,18 @@ def test_hotspots_of_a_crowd_run_once(spark):
     began = time.time()
     got = J.hotspots(rows).agg({"hotspot_count": "sum", "id": "count"}).first()
     assert set(got) == {200000 * 200001 // 2, 200000} and time.time() - began < 40
+
+
+@pytest.mark.parametrize("km", [0.5, 40.0])
+def test_nearest_places_by_brute_force(spark, km):
+    """Crowded and lonely sites, several at one place, ties kept."""
+    rng = random.Random(8)
+    sites = [(23.7 + rng.random() / 1000, 92.7 + rng.random() / 1000) for _ in range(300)] + [(23.6, 92.5), (23.6, 92.7), (23.6, 92.7), (None, 92.6)]
+    points = [(23.5 + rng.random() / 2, 92.5 + rng.random() / 2) for _ in range(150)] + [(23.6, 92.6), sites[0], sites[0], (None, 1.0)]
+    want = set()
+    for p in {p for p in points if p[0]}:
+        near = {s: km_of(p, s) for s in sites if s[0]}
+        least = min(near.values())
+        want |= {(*p, *s) for s, d in near.items() if d <= km and d <= least + 1e-12}
+    found = J.nearest_places(spark.createDataFrame(points, "lat double, lon double"), spark.createDataFrame(sites, "r_lat double, r_lon double"), km)
+    assert {(r.lat, r.lon, r.r_lat, r.r_lon) for r in found.collect()} == want
