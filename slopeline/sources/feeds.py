@@ -375,8 +375,8 @@ def funnel(raw: DataFrame, box: Box, trusted: tuple[str, ...], country: str = "I
 def in_holdout(cells: DataFrame, events: DataFrame, km: float) -> DataFrame:
     """Cells (cell_id, lat, lon) with ``in_holdout``: whether a held-out event with a place (e_lat, e_lon) lies within ``km``."""
     placed = events.where("e_lat is not null and e_lon is not null").select(F.col("e_lat").alias("r_lat"), F.col("e_lon").alias("r_lon"))
-    hit = J.within_km(cells.select("cell_id", "lat", "lon"), placed, km).select("cell_id").distinct().withColumn("in_holdout", F.lit(True))
-    return cells.join(hit, "cell_id", "left").withColumn("in_holdout", F.coalesce("in_holdout", F.lit(False)))
+    hit = J.nearest_places(cells, placed, km).select("lat", "lon").distinct().withColumn("in_holdout", F.lit(True))
+    return cells.join(hit, ["lat", "lon"], "left").select(*cells.columns, F.coalesce("in_holdout", F.lit(False)).alias("in_holdout"))
 
 
 def buffered_density(places: DataFrame, pixels: DataFrame, km: float) -> DataFrame:
