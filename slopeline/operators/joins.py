@@ -236,13 +236,31 @@ def hotspots(reports: DataFrame, *, km: float = C.HOTSPOT_KM, days: int = C.HOTS
 
 def outside_events(rows: DataFrame, events: DataFrame, *, km: float = C.HOLDOUT_KM, days: int = C.HOLDOUT_DAYS) -> DataFrame:
     """Rows that no event excludes: within ``km`` and ``days``, or, for events without a place, in the
-    same state and within ``days``. ``rows``: id, lat, lon, t, state; ``events``: e_lat, e_lon, e_t, e_state."""
-    gap = lambda a, b: F.floor(F.abs(a.cast("timestamp").cast("double") - b.cast("timestamp").cast("double")) / 86400) <= days
-    placed = events.where("e_lat is not null and e_lon is not null").select(F.col("e_lat").alias("r_lat"), F.col("e_lon").alias("r_lon"), "e_t")
-    hit = within_km(rows.where("lat is not null and lon is not null").select("id", "lat", "lon", "t"), placed, km).where(gap(F.col("t"), F.col("e_t"))).select("id")
-    vague = events.where("e_lat is null or e_lon is null").select(F.col("e_state").alias("state"), "e_t")
-    by_state = rows.select("id", "state", "t").join(vague, "state").where(gap(F.col("t"), F.col("e_t"))).select("id")
-    return rows.join(hit.unionByName(by_state).distinct(), "id", "left_anti")
+    same state and within ``days``. ``rows``: id, lat, lon, t, state; ``events``: e_lat, e_lon, e_t, e_state.
+
+    Time is cut into spans as long as an event reaches. An event of a row's own span is within reach; of the span
+    before only the last one can matter, of the span behind it only the first.
+    """
+    seconds = lambda c: c.cast("timestamp").cast("double")
+    gap = lambda a, b: F.floor(F.abs(seconds(a) - seconds(b)) / 86400) <= days
+    span = lambda c: F.floor(_micros(c) / ((days + 1) * 86_400_000_000))
+    ends = [F.min("e_t").alias("_first"), F.max("e_t").alias("_last")]
+
+    def hit(asked: DataFrame, told: DataFrame, key: list[str]) -> DataFrame:
+        """Of ``asked`` (key, t) those that an event of ``told`` (key, _span, _first, _last) reaches."""
+        near = told.select(*key, "_first", "_last", F.explode(F.array(*[F.col("_span") + i for i in (-1, 0, 1)])).alias("_span"))
+        near = near.groupBy(*key, "_span").agg(F.collect_list(F.struct("_first", "_last")).alias("_told"))  # three at most
+        reached = F.exists("_told", lambda e: gap(F.col("t"), e["_first"]) | gap(F.col("t"), e["_last"]))
+        return asked.withColumn("_span", span(F.col("t"))).join(near, [*key, "_span"]).where(reached).select("id")
+
+    placed = events.where("e_lat is not null and e_lon is not null").select(F.col("e_lat").alias("lat"), F.col("e_lon").alias("lon"), "e_t")
+    per_place = placed.groupBy(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), span(F.col("e_t")).alias("_span")).agg(*ends)
+    told = _near_places(rows.where("lat is not null and lon is not null"), placed, km).join(per_place, ["r_lat", "r_lon"])
+    told = told.groupBy("lat", "lon", "_span").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    by_place = hit(rows.select("id", "lat", "lon", "t"), told, ["lat", "lon"])
+    vague = events.where("e_lat is null or e_lon is null").groupBy(F.col("e_state").alias("state"), span(F.col("e_t")).alias("_span")).agg(*ends)
+    by_state = hit(rows.select("id", "state", "t"), vague, ["state"])
+    return rows.join(by_place.unionByName(by_state).distinct(), "id", "left_anti")
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -77,3 +77,20 @@ def test_nearest_places_by_brute_force(spark, km):
         want |= {(*p, *s) for s, d in near.items() if d <= km and d <= least + 1e-12}
     found = J.nearest_places(spark.createDataFrame(points, "lat double, lon double"), spark.createDataFrame(sites, "r_lat double, r_lon double"), km)
     assert {(r.lat, r.lon, r.r_lat, r.r_lon) for r in found.collect()} == want
+
+
+def test_outside_events_by_brute_force(spark):
+    rows = [(i, la, lo, t, c) for i, c, _, la, lo, t in reports()]
+    rng = random.Random(5)
+    events = [(la if rng.random() < 0.5 else None, lo, t + datetime.timedelta(days=rng.choice([-9, 0, 8]), seconds=rng.choice([-1, 0, 1])), rng.choice("xb")) for _, la, lo, t, _ in rng.sample(rows, 12)]
+    reached = lambda t, u: abs((t - u).total_seconds()) // 86400 <= 2
+    want = {i for i, la, lo, t, c in rows if not any(reached(t, u) and (km_of((la, lo), (lb, lp)) <= 1.0 if lb else c == s) for lb, lp, u, s in events)}
+    got = J.outside_events(spark.createDataFrame(rows, "id long, lat double, lon double, t timestamp_ntz, state string"), spark.createDataFrame(events, "e_lat double, e_lon double, e_t timestamp_ntz, e_state string"), km=1.0, days=2)
+    assert {r.id for r in got.collect()} == want and 0 < len(want) < len(rows)
+
+
+def test_outside_events_of_a_crowd_are_not_paired(spark):
+    rows = spark.createDataFrame(crowd(), COLUMNS).selectExpr("id", "lat", "lon", "t", "category AS state")
+    events = rows.selectExpr("CASE WHEN id % 2 = 0 THEN lat END AS e_lat", "lon AS e_lon", "t AS e_t", "state AS e_state")
+    began = time.time()
+    assert J.outside_events(rows, events).isEmpty() and time.time() - began < 40
