@@ -217,7 +217,8 @@ def resolved_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines by how far their shipping lies between the order's date and a number of days behind it (null for none)."""
+    """Lines by how far their shipping lies between the order's date and a number of days behind it (null for none),
+    in hundredths, halves up: 23 of 40 days are 0.58, whatever the nearest binary number to 0.575 is."""
     o = T.table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("start"))
     li = T.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     end = F.date_add("start", F.col("l_partkey").cast("int") % 90)
@@ -490,7 +491,7 @@ ORACLES = {
     "voice_models": "SELECT CASE WHEN doc_id % 5 IN (1, 2, 4) THEN 'fallback' ELSE 'flash' END AS model, doc_id % 5 IN (1, 2, 4) AS fallback, count(*) AS n FROM documents GROUP BY 1, 2",
     "resolved_fixtures": """WITH f AS (SELECT s_nationkey, min(s_suppkey) AS m FROM supplier GROUP BY 1) SELECT o_orderkey AS request_id, coalesce(s.s_suppkey, f.m, (SELECT min(s_suppkey) FROM supplier)) AS fixture_id
         FROM orders LEFT JOIN supplier s ON o_orderkey % 3 = 0 AND s.s_suppkey = o_orderkey % 2000 LEFT JOIN f ON f.s_nationkey = o_orderkey % 31""",
-    "replay_progress": """WITH d AS (SELECT l_shipdate::DATE AS n, o_orderdate::DATE AS a, l_partkey % 90 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT CASE WHEN w > 0 THEN round(least(1, greatest(0, (n - a) / w::DOUBLE)), 2) END AS progress, count(*) AS n FROM d GROUP BY 1""",
+    "replay_progress": """WITH d AS (SELECT l_shipdate::DATE AS n, o_orderdate::DATE AS a, l_partkey % 90 AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT CASE WHEN w > 0 THEN (200 * least(w, greatest(0, n - a)) + w) // (2 * w) / 100.0::DOUBLE END AS progress, count(*) AS n FROM d GROUP BY 1""",
     "node_filters": """SELECT 'trusted hospitals' AS what, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 > 1 AND s_suppkey % 2 = 0) AS n UNION ALL SELECT 'culverts of 3', (SELECT count(*) FROM supplier WHERE s_suppkey % 2 = 1 AND s_nationkey = 3)
         UNION ALL SELECT 'cells', (SELECT count(*) FROM supplier WHERE s_suppkey % 3 <> 0) UNION ALL SELECT 'cells of unknown height', (SELECT count(*) FROM supplier WHERE s_suppkey % 3 <> 0 AND (s_suppkey % 5 <> 0 OR s_suppkey = 10))
         UNION ALL SELECT 'out', (SELECT count(*) FROM supplier WHERE s_nationkey = 3) + 1 UNION ALL SELECT 'out POWERS', (SELECT count(*) FROM supplier WHERE s_nationkey = 3 AND s_suppkey % 3 <> 0) UNION ALL SELECT 'in', (SELECT count(*) FROM nation WHERE (n_nationkey * 7 + 3) % 25 = 3)""",
