@@ -50,60 +50,75 @@ _SMALL = 50_000  # rows of a level that may be broadcast
 _FULL = 64  # things in one cell, beyond which cells are made smaller
 
 
+def _box() -> list[Column]:
+    return [F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy")]
+
+
 def _levels(things: DataFrame, cell: float) -> tuple[float, list[DataFrame]]:
-    """(size of the finest cells, their levels from fine to coarse): the occupied cells, each with one of its things.
+    """(size of the finest cells, their levels from fine to coarse): the occupied cells, each with the box of its things.
 
-    ``things`` has x and y, each place once. Cells begin at ``cell`` and are made smaller while one of
-    them holds more than ``_FULL`` things; levels grow coarser until few cells are left.
+    ``things`` has x and y, each place once, and the box (lx, hx, ly, hy) of what stands there. Cells begin at ``cell``
+    and are made smaller while one of them holds more than ``_FULL`` things; levels grow coarser until few cells are left.
     """
     for _ in range(12):
         most = things.groupBy(cell_of(F.col("x"), cell), cell_of(F.col("y"), cell)).count().agg(F.max("count")).first()[0]
         if most is None or most <= _FULL:
             break
         cell /= _FAN
-    level = things.groupBy(cell_of(F.col("x"), cell).alias("cx"), cell_of(F.col("y"), cell).alias("cy")).agg(F.min(F.struct("x", "y")).alias("one"))
+    level = things.groupBy(cell_of(F.col("x"), cell).alias("cx"), cell_of(F.col("y"), cell).alias("cy")).agg(*_box())
     found = [cut(level)]
     while found[-1].count() > _TOP:
         up = found[-1].groupBy(F.floor(F.col("cx") / _FAN).alias("cx"), F.floor(F.col("cy") / _FAN).alias("cy"))
-        found.append(cut(up.agg(F.min("one").alias("one"))))
+        found.append(cut(up.agg(*_box())))
     return cell, found
 
 
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over all shuffle partitions: few bytes, but much work for each of them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def _gap(low: Column, high: Column, a: Column, b: Column) -> Column:
     """How far two intervals lie apart."""
     return F.greatest(F.lit(0.0), low - b, a - high)
 
 
-def _candidates(points: DataFrame, things: DataFrame, cell: float, slack: float) -> tuple[float, DataFrame]:
+def _candidates(points: DataFrame, things: DataFrame, cell: float, slack: float = 0.0) -> tuple[float, DataFrame]:
     """(cell size, qx, qy, cx, cy): for each occupied cell of points the cells of things that can hold the
     nearest thing of one of its points.
 
-    Down a pyramid of occupied cells: a thing of each cell bounds what is nearest from above, the gap
-    between boxes from below, and only cells whose gap is within the best bound (and twice ``slack``, the
-    reach of a thing beyond its place) are opened. A cell of points goes on with a few cells whatever
-    lies far away; levels that are small are broadcast by their counted size.
+    Down a pyramid of occupied cells, by the boxes of what is in them: the gap between two boxes bounds what is
+    nearest from below. From above, each side of a box of things is touched by one of them, so none of the points
+    is farther from it than from the side's farther end. Only cells whose gap is within the best bound are opened.
+    However far all things lie, those of a cell of points look alike only as far as its own box is wide. Levels
+    that are small are broadcast by their counted size and opened without a shuffle. Things without boxes reach
+    ``slack`` beyond their place.
     """
+    if "lx" not in things.columns:
+        things = things.select("x", "y", *[(F.col(c) + by).alias(f"{name}{c}") for c in "xy" for name, by in (("l", -slack), ("h", slack))])
     cell, levels = _levels(things, cell)
-    top = [(r["cx"], r["cy"], r["one"]["x"], r["one"]["y"]) for r in levels[-1].collect()]  # at most _TOP rows
-    asked = points.select(cell_of(F.col("x"), cell).alias("qx"), cell_of(F.col("y"), cell).alias("qy")).distinct()
-    first = F.array(*[F.struct(F.lit(x).alias("cx"), F.lit(y).alias("cy"), F.struct(F.lit(ox).alias("x"), F.lit(oy).alias("y")).alias("one")) for x, y, ox, oy in top])
-    at = asked.select("qx", "qy", F.inline(first)) if top else None
-    if at is None:
+    asked = points.groupBy(cell_of(F.col("x"), cell).alias("qx"), cell_of(F.col("y"), cell).alias("qy"))
+    asked = asked.agg(F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
+    query = ["qx", "qy", "ax", "bx", "ay", "by"]
+    top = [[r[c] for c in ("cx", "cy", "lx", "hx", "ly", "hy")] for r in levels[-1].collect()]  # at most _TOP rows
+    if not top:
         return cell, asked.select("qx", "qy", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy")).limit(0)
+    first = F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip(r, ("cx", "cy", "lx", "hx", "ly", "hy"))]) for r in top])
+    at = _dealt(asked, "qx", "qy").select(*query, F.inline(first))
     for depth in range(len(levels) - 1, -1, -1):
-        size = cell * _FAN**depth
-        ax, ay, bx, by = F.col("qx") * cell, F.col("qy") * cell, (F.col("qx") + 1) * cell, (F.col("qy") + 1) * cell
-        near = F.hypot(_gap(ax, bx, F.col("cx") * size, (F.col("cx") + 1) * size), _gap(ay, by, F.col("cy") * size, (F.col("cy") + 1) * size))
-        far = F.hypot(F.greatest(F.abs(F.col("one.x") - ax), F.abs(F.col("one.x") - bx)), F.greatest(F.abs(F.col("one.y") - ay), F.abs(F.col("one.y") - by)))
+        ax, bx, ay, by, lx, hx, ly, hy = map(F.col, ("ax", "bx", "ay", "by", "lx", "hx", "ly", "hy"))
+        near = F.hypot(_gap(ax, bx, lx, hx), _gap(ay, by, ly, hy))
+        to = lambda side, a, b: F.greatest(F.abs(side - a), F.abs(side - b))
+        wide, high = F.greatest(hx - ax, bx - lx), F.greatest(hy - ay, by - ly)
+        far = F.least(F.hypot(F.least(to(lx, ax, bx), to(hx, ax, bx)), high), F.hypot(wide, F.least(to(ly, ay, by), to(hy, ay, by))))
         bound = F.min(far).over(Window.partitionBy("qx", "qy"))
         # Rounding must not lose a cell.
-        kept = at.withColumns({"_near": near, "_bound": bound}).where(F.col("_near") <= (F.col("_bound") + 2 * slack) * (1 + 1e-9) + cell * 1e-9).select("qx", "qy", "cx", "cy")
+        kept = at.withColumns({"_near": near, "_bound": bound}).where(F.col("_near") <= (F.col("_bound") + 2 * slack) * (1 + 1e-9) + cell * 1e-9).select(*query, "cx", "cy")
         if not depth:
-            return cell, kept
-        below = levels[depth - 1].select(F.floor(F.col("cx") / _FAN).alias("ux"), F.floor(F.col("cy") / _FAN).alias("uy"), F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "one")
-        if below.count() <= _SMALL:
-            below = F.broadcast(below)
-        at = cut(kept.join(below, (F.col("cx") == F.col("ux")) & (F.col("cy") == F.col("uy"))).select("qx", "qy", F.col("_cx").alias("cx"), F.col("_cy").alias("cy"), "one"))
+            return cell, kept.select("qx", "qy", "cx", "cy")
+        below = levels[depth - 1].withColumns({"_cx": F.col("cx"), "_cy": F.col("cy")}).withColumns({"cx": F.floor(F.col("cx") / _FAN), "cy": F.floor(F.col("cy") / _FAN)})
+        small = below.count() <= _SMALL
+        at = kept.join(F.broadcast(below) if small else below, ["cx", "cy"]).drop("cx", "cy").withColumnsRenamed({"_cx": "cx", "_cy": "cy"})
 
 
 def nearest(points: DataFrame, sites: DataFrame, *, key: str, site: str, cell: float) -> DataFrame:
@@ -116,8 +131,8 @@ def nearest(points: DataFrame, sites: DataFrame, *, key: str, site: str, cell: f
     p = points.select(key, F.col("lon").alias("x"), F.col("lat").alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     # Of sites at one place only the smallest can be told.
     s = cut(sites.where("s_lon IS NOT NULL AND s_lat IS NOT NULL").groupBy(F.col("s_lon").alias("x"), F.col("s_lat").alias("y")).agg(F.min(site).alias(site)))
-    cell, cells = _candidates(p, s, cell, 0.0)
-    a = p.withColumns({"qx": cell_of(F.col("x"), cell), "qy": cell_of(F.col("y"), cell)}).join(cells, ["qx", "qy"])
+    cell, cells = _candidates(p, s, cell)
+    a = _dealt(p.withColumns({"qx": cell_of(F.col("x"), cell), "qy": cell_of(F.col("y"), cell)}), "qx", "qy").join(cells, ["qx", "qy"])
     b = s.select(cell_of(F.col("x"), cell).alias("cx"), cell_of(F.col("y"), cell).alias("cy"), F.col("x").alias("s_x"), F.col("y").alias("s_y"), site)
     d = F.sqrt(F.pow(F.col("x") - F.col("s_x"), F.lit(2)) + F.pow(F.col("y") - F.col("s_y"), F.lit(2)))
     best = a.join(b, ["cx", "cy"]).groupBy(key).agg(F.min(F.struct(d.alias("dist"), site)).alias("b"))
@@ -133,11 +148,12 @@ def nearest_segment(points: DataFrame, segments: DataFrame, *, key: str, cell: f
     whole = segments.select("ux", "uy", "vx", "vy").where("ux IS NOT NULL AND uy IS NOT NULL AND vx IS NOT NULL AND vy IS NOT NULL").distinct()
     n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy")) / cell)).cast("int")
     part = whole.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    middle = lambda u, v: (F.col(u) + (F.col(v) - F.col(u)) * (F.col("_i") + 0.5) / F.col("_n")).alias(u[-1])
-    pieces = cut(part.select("ux", "uy", "vx", "vy", middle("ux", "vx"), middle("uy", "vy")))
+    along = lambda u, v, k: F.col(u) + (F.col(v) - F.col(u)) * (F.col("_i") + k) / F.col("_n")
+    box = {f"{name}{c}": of(along(f"u{c}", f"v{c}", 0.0), along(f"u{c}", f"v{c}", 1.0)) for c in "xy" for name, of in (("l", F.least), ("h", F.greatest))}
+    pieces = cut(part.select("ux", "uy", "vx", "vy", *[along(f"u{c}", f"v{c}", 0.5).alias(c) for c in "xy"], *[v.alias(k) for k, v in box.items()]))
     p = points.select(key, "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
-    size, cells = _candidates(p, pieces.select("x", "y").distinct(), cell, cell / 2)
-    a = p.withColumns({"qx": cell_of(F.col("x"), size), "qy": cell_of(F.col("y"), size)}).join(cells, ["qx", "qy"])
+    size, cells = _candidates(p, pieces.groupBy("x", "y").agg(*_box()), cell)
+    a = _dealt(p.withColumns({"qx": cell_of(F.col("x"), size), "qy": cell_of(F.col("y"), size)}), "qx", "qy").join(cells, ["qx", "qy"])
     b = pieces.select(cell_of(F.col("x"), size).alias("cx"), cell_of(F.col("y"), size).alias("cy"), "ux", "uy", "vx", "vy").distinct()
     d = point_segment(F.col("x"), F.col("y"), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
     return a.join(b, ["cx", "cy"]).groupBy(key).agg(F.min(d).alias("dist"))
