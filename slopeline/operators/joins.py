@@ -54,12 +54,14 @@ def _box() -> list[Column]:
     return [F.min("lx").alias("lx"), F.max("hx").alias("hx"), F.min("ly").alias("ly"), F.max("hy").alias("hy")]
 
 
-def _levels(things: DataFrame, cell: float) -> tuple[float, list[DataFrame]]:
+def _levels(things: DataFrame, cell: float, slack: float = 0.0) -> tuple[float, list[DataFrame]]:
     """(size of the finest cells, their levels from fine to coarse): the occupied cells, each with the box of its things.
 
     ``things`` has x and y, each place once, and the box (lx, hx, ly, hy) of what stands there. Cells begin at ``cell``
     and are made smaller while one of them holds more than ``_FULL`` things; levels grow coarser until few cells are left.
     """
+    if "lx" not in things.columns:
+        things = things.select("x", "y", *[(F.col(c) + by).alias(f"{name}{c}") for c in "xy" for name, by in (("l", -slack), ("h", slack))])
     for _ in range(12):
         most = things.groupBy(cell_of(F.col("x"), cell), cell_of(F.col("y"), cell)).count().agg(F.max("count")).first()[0]
         if most is None or most <= _FULL:
@@ -94,9 +96,7 @@ def _candidates(points: DataFrame, things: DataFrame, cell: float, slack: float
     that are small are broadcast by their counted size and opened without a shuffle. Things without boxes reach
     ``slack`` beyond their place.
     """
-    if "lx" not in things.columns:
-        things = things.select("x", "y", *[(F.col(c) + by).alias(f"{name}{c}") for c in "xy" for name, by in (("l", -slack), ("h", slack))])
-    cell, levels = _levels(things, cell)
+    cell, levels = _levels(things, cell, slack)
     asked = points.groupBy(cell_of(F.col("x"), cell).alias("qx"), cell_of(F.col("y"), cell).alias("qy"))
     asked = asked.agg(F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"), F.max("y").alias("by"))
     query = ["qx", "qy", "ax", "bx", "ay", "by"]
