@@ -99,3 +99,12 @@ def test_sampled_betweenness(spark):
     assert half.keys() == exact.keys() and near >= 0.6 * len(exact)  # two parts tell little of their spread
     with pytest.raises(ValueError):
         B.sampled_betweenness(n, e, parts=2, used=3)
+
+
+def test_estimates_do_not_grow_with_rounds(spark):
+    """Loops are planned by what they hold: an estimate that every round multiplies makes planning endless on long ways."""
+    nodes, edges = tables(spark, range(9), [(i, i + 1) for i in range(8)])
+    size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    levels = B.forest(nodes, edges)
+    assert len(levels) == 9
+    assert max(map(size, [G.components(nodes, edges), *levels, *B.numbered(levels)])) < 10**7
