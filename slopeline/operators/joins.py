@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.geo import cell_of, haversine, km_cells, point_segment
-from ..session import cut
+from ..session import cut, written
 
 
 def _around(cell: Column) -> Column:
@@ -159,6 +161,95 @@ def nearest_segment(points: DataFrame, segments: DataFrame, *, key: str, cell: f
     return a.join(b, ["cx", "cy"]).groupBy(key).agg(F.min(d).alias("dist"))
 
 
+def _chord(low: Column, high: Column, cos: Column) -> Column:
+    """The haversine's argument for a latitude and a longitude difference in degrees and a product of cosines."""
+    half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2))
+    return half(low) + cos * half(high)
+
+
+def _nearest_chord(a: str, b: str) -> Column:
+    """Lower bound of the haversine's argument between any points of two boxes."""
+    v = {c: F.col(c) for side in (a, b) for c in (f"{side}ly", f"{side}hy", f"{side}lx", f"{side}hx")}
+    wide = F.greatest(v[f"{a}hx"], v[f"{b}hx"]) - F.least(v[f"{a}lx"], v[f"{b}lx"])
+    across = F.least(_gap(v[f"{a}lx"], v[f"{a}hx"], v[f"{b}lx"], v[f"{b}hx"]), F.greatest(F.lit(0.0), 360.0 - wide))
+    far = F.greatest(*[F.abs(v[f"{side}{c}y"]) for side in (a, b) for c in "lh"])
+    return _chord(_gap(v[f"{a}ly"], v[f"{a}hy"], v[f"{b}ly"], v[f"{b}hy"]), across, F.pow(F.cos(F.radians(far)), F.lit(2)))
+
+
+def _farthest_chord(a: str, b: str) -> Column:
+    """Upper bound of the haversine's argument between any points of two boxes."""
+    v = {c: F.col(c) for side in (a, b) for c in (f"{side}ly", f"{side}hy", f"{side}lx", f"{side}hx")}
+    high = F.greatest(v[f"{a}hy"], v[f"{b}hy"]) - F.least(v[f"{a}ly"], v[f"{b}ly"])
+    wide = F.least(F.lit(180.0), F.greatest(v[f"{a}hx"], v[f"{b}hx"]) - F.least(v[f"{a}lx"], v[f"{b}lx"]))
+    close = lambda side: F.when((v[f"{side}ly"] <= 0) & (v[f"{side}hy"] >= 0), 0.0).otherwise(F.least(F.abs(v[f"{side}ly"]), F.abs(v[f"{side}hy"])))
+    return _chord(high, wide, F.cos(F.radians(close(a))) * F.cos(F.radians(close(b))))
+
+
+_CROWD = 4.0  # pairs of things that two finest cells hold, beyond which cells are made smaller
+
+
+def totals_within(left: DataFrame, right: DataFrame, km: float, *values: str) -> DataFrame:
+    """(lat, lon, n, ...): for each distinct place (lat, lon) of ``left`` the number of rows of ``right`` (r_lat, r_lon)
+    within ``km`` and the sums of their ``values``; places without any are absent. Anywhere on earth.
+
+    Pairs are not formed where they need not be told apart: cells of both sides are opened from coarse to fine, by
+    quarters. A cell that lies wholly within ``km`` of a whole cell of places is added as one sum, one that lies
+    wholly outside is dropped, and only those on the rim are opened. In the finest cells places are compared one by one.
+    """
+    sums = ["n", *values]
+    here, there = ["lat", "lon"], ["r_lat", "r_lon"]
+    turned = lambda c: F.pmod(F.col(c) + 180.0, F.lit(360.0)) - 180.0
+    asked = written(left.where("lat IS NOT NULL AND lon IS NOT NULL").select(*here).distinct().withColumns({"y": F.col("lat"), "x": turned("lon")}))
+    told = right.where("r_lat IS NOT NULL AND r_lon IS NOT NULL").groupBy(*there).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(v) for v in values])
+    told = written(told.withColumns({"y": F.col("r_lat"), "x": turned("r_lon")}))
+    size = km_cells(km, 0.0)[0]
+
+    def crowd(rows: DataFrame) -> float:
+        """How many places a place shares its cell with, itself included, on average."""
+        n = rows.groupBy(cell_of(F.col("y"), size), cell_of(F.col("x"), size)).count()
+        return n.agg(F.sum(F.col("count") * F.col("count")) / F.sum("count")).first()[0] or 0.0
+
+    for _ in range(12):
+        if crowd(asked) * crowd(told) <= _CROWD:
+            break
+        size /= 2
+
+    def leaves(rows: DataFrame, side: str, kept: list[str]) -> DataFrame:
+        box = [f(c).alias(f"{side}{h}{c}") for c in "yx" for h, f in (("l", F.min), ("h", F.max))]
+        added = [F.sum(c).alias(c) for c in sums if c in kept]
+        return written(rows.groupBy(cell_of(F.col("y"), size).alias(f"{side}y"), cell_of(F.col("x"), size).alias(f"{side}x")).agg(*box, *added, F.collect_list(F.struct(*kept)).alias(f"{side}kids")))
+
+    def above(cells: DataFrame, side: str) -> DataFrame:
+        kid = F.struct(*[c for c in cells.columns if c != f"{side}kids"]).alias("kid")
+        up = cells.select(kid, F.floor(F.col(f"{side}y") / 2).alias("_y"), F.floor(F.col(f"{side}x") / 2).alias("_x")).groupBy(F.col("_y").alias(f"{side}y"), F.col("_x").alias(f"{side}x"))
+        box = [f(f"kid.{side}{h}{c}").alias(f"{side}{h}{c}") for c in "yx" for h, f in (("l", F.min), ("h", F.max))]
+        added = [F.sum(f"kid.{c}").alias(c) for c in sums if c in cells.columns]
+        return written(up.agg(*box, *added, F.collect_list("kid").alias(f"{side}kids")))
+
+    levels = [(leaves(asked, "q", here), leaves(told, "s", [*there, *sums]))]
+    while len(levels) < 40 and any(cells.count() > _TOP for cells in levels[-1]):
+        levels.append((above(levels[-1][0], "q"), above(levels[-1][1], "s")))
+    most = math.sin(min(km / (2 * C.EARTH_KM), math.pi / 2)) ** 2
+    cell = ["qy", "qx"]
+    pairs = levels[-1][0].select(*cell).crossJoin(levels[-1][1].select("sy", "sx"))  # the coarsest cells
+    whole = None
+    for depth in range(len(levels) - 1, -1, -1):
+        q, s = levels[depth]
+        opened = _dealt(pairs, *cell).join(q.select(*cell, "qkids"), cell).join(s.select("sy", "sx", "skids"), ["sy", "sx"])
+        opened = opened.select("skids", F.inline("qkids")).select("*", F.inline("skids")).drop("skids")
+        if not depth:
+            break
+        met = opened.withColumn("_near", _nearest_chord("q", "s")).where(F.col("_near") <= most * (1 + 1e-9)).withColumn("_whole", _farthest_chord("q", "s") <= most * (1 - 1e-9))
+        got = written(met.where("_whole").groupBy(*cell).agg(*[F.sum(c).alias(c) for c in sums]).withColumn("_depth", F.lit(depth - 1)))
+        whole = got if whole is None else whole.unionByName(got)
+        pairs = written(met.where("NOT _whole").select(*cell, "sy", "sx"))
+    rim = opened.where(haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= km).groupBy(*here).agg(*[F.sum(c).alias(c) for c in sums])
+    if whole is not None:
+        up = F.inline(F.array(*[F.struct(F.lit(d).alias("_depth"), F.floor(cell_of(F.col("y"), size) / 2**d).alias("qy"), F.floor(cell_of(F.col("x"), size) / 2**d).alias("qx")) for d in range(len(levels) - 1)]))
+        rim = rim.unionByName(asked.select(*here, up).join(whole, ["_depth", *cell]).select(*here, *sums))
+    return rim.groupBy(*here).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def _micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
 
