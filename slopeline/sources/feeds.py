@@ -382,6 +382,6 @@ def in_holdout(cells: DataFrame, events: DataFrame, km: float) -> DataFrame:
 def buffered_density(places: DataFrame, pixels: DataFrame, km: float) -> DataFrame:
     """(place_id, value): the mean of the pixels (lat, lon, value) within ``km`` of each place times the circle's area
     in square kilometres; 0 without pixels."""
-    near = pixels.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("value").alias("r_value"))
-    mean = J.within_km(places.select("place_id", "lat", "lon"), near, km).groupBy("place_id").agg(F.avg("r_value").alias("mean"))
-    return places.select("place_id").join(mean, "place_id", "left").select("place_id", (F.coalesce("mean", F.lit(0.0)) * math.pi * km * km).alias("value"))
+    near = pixels.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("value").alias("r_value")).where("r_value IS NOT NULL")
+    found = J.totals_within(places, near, km, "r_value").select("lat", "lon", (F.col("r_value") / F.col("n")).alias("mean"))
+    return places.select("place_id", "lat", "lon").join(found, ["lat", "lon"], "left").select("place_id", (F.coalesce("mean", F.lit(0.0)) * math.pi * km * km).alias("value"))
