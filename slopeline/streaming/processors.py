@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,24 +93,65 @@ def near_duplicates(reports: DataFrame, *, km: float = C.DEDUP_KM, hours: int =
     it, for ``hours`` behind the newest report seen there.
     """
     dlat, dlon = km_cells(km, 60.0)
+    span = hours * 3_600_000_000
     y, x = cell_of(F.col("lat"), dlat), cell_of(F.col("lon"), dlon)
     around = F.array(*[F.struct((y + i).alias("cy"), (x + j).alias("cx"), F.lit(i == 0 and j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    sent = reports.select("id", "category", "status", "t", "lat", "lon", F.explode(around).alias("c")).select("id", "category", "status", "t", "lat", "lon", "c.*")
+    opened = ~F.coalesce(F.col("status").isin(*C.CLOSED), F.lit(False))
+    sent = reports.select("id", "category", F.unix_micros("t").alias("at"), "lat", "lon", opened.alias("opened"), F.explode(around).alias("c")).select("id", "category", "at", "lat", "lon", "opened", "c.*")
+    # A closed report is only asked, never remembered.
+    sent = sent.where("own OR opened")
 
     def remember(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []  # (id, micros, lat, lon) of open reports
-        rows = pd.concat(list(batches)).sort_values(["t", "id"])
+        # The open reports (micros, id) of each place as they came, but for old ones. ``least`` leaves out those that a
+        # later one with a smaller id stands in front of, so its first one has the smallest id.
+        held: dict[tuple, deque] = {}
+        least: dict[tuple, deque] = {}
+        mixed = set()  # places whose reports came out of order: an earlier micro-batch was ahead of this one
+        apart: dict[tuple, list] = {}  # for each place asked the places within reach with their distances
+
+        def keep(at: int, id: int, place: tuple) -> None:
+            if place not in held:
+                held[place], least[place] = deque(), deque()
+                for asked, near in apart.items():
+                    if (d := _km(*asked, *place)) <= km:
+                        near.append((d, place))
+            rest, front = held[place], least[place]
+            if rest and rest[-1] > (at, id):
+                mixed.add(place)
+            while rest and rest[0][0] < at - span and place not in mixed:
+                rest.popleft()
+            rest.append((at, id))
+            while front and front[-1][1] > id:
+                front.pop()
+            front.append((at, id))
+
+        def smallest(at: int, id: int, place: tuple) -> int | None:
+            """The smallest id of a place's open reports before one report."""
+            rest, front = held[place], least[place]
+            if place in mixed or rest[-1] >= (at, id):
+                return min((i for t, i in rest if t >= at - span and (t, i) < (at, id)), default=None)
+            while front and front[0][0] < at - span:
+                front.popleft()
+            return front[0][1] if front else None
+
+        if state.exists:
+            for id, at, lat, lon in zip(*state.get):
+                keep(at, id, (lat, lon))
+        rows = pd.concat(list(batches)).sort_values(["at", "id"])
         out = []
-        for r in rows.itertuples():
-            at = int(r.t.timestamp() * 1_000_000)
-            held = [h for h in held if h[1] >= at - hours * 3_600_000_000]
-            if r.own:
-                near = min(((d, h[0]) for h in held if (h[1], h[0]) < (at, r.id) and (d := _km(r.lat, r.lon, h[2], h[3])) <= km), default=None)
+        for id, at, lat, lon, opened, own in zip(*(rows[c].tolist() for c in ("id", "at", "lat", "lon", "opened", "own"))):
+            place, newest = (lat, lon), at
+            if own:
+                if place not in apart:
+                    apart[place] = [(d, p) for p in held if (d := _km(lat, lon, *p)) <= km]
+                near = min(((d, first) for d, p in apart[place] if (first := smallest(at, id, p)) is not None), default=None)
                 if near:
-                    out.append((r.id, near[1], near[0]))
-            if r.status not in C.CLOSED:
-                held.append((r.id, at, r.lat, r.lon))
-        state.update(tuple(map(list, zip(*held))) if held else ([], [], [], []))
+                    out.append((id, near[1], near[0]))
+            if opened:
+                keep(at, id, place)
+        left = [(id, at, *p) for p, rest in held.items() for at, id in rest if at >= newest - span]
+        left.sort(key=lambda h: (h[1], h[0]))
+        state.update(tuple(map(list, zip(*left))) if left else ([], [], [], []))
         yield pd.DataFrame(out, columns=_DUPLICATE.fieldNames())
 
     kept = "ids array<long>, micros array<long>, lats array<double>, lons array<double>"
