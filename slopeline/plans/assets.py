@@ -159,9 +159,15 @@ def full_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cap_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards as CAP alerts: values read back from the XML, and a digest of the whole text."""
-    c = A.cards(_card_rows(spark, sf_dir), _CARRY).withColumn("xml", A.cap_alert())
-    get = lambda path: F.element_at(F.xpath("xml", F.lit(f"//*[local-name()='{path}']/text()")), 1)
-    return c.select("village_id", *[get(k).alias(k) for k in ("urgency", "certainty", "sent", "instruction")], F.size(F.xpath("xml", F.lit("//*[local-name()='responseType']/text()"))).cast("long").alias("responses"), F.md5("xml").alias("xml_md5"))
+    rows = _card_rows(spark, sf_dir)
+    # Few bytes but much work for each row: dealt to all tasks, however few files they come from.
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "village_id")
+    c = A.cards(rows, _CARRY).withColumn("xml", A.cap_alert())
+    text = lambda *tags: F.xpath("xml", F.lit("//*[" + " or ".join(f"local-name()='{t}'" for t in tags) + "]/text()"))
+    # In the order of the text; the first three are never empty. One reading serves all four.
+    told = c.select("village_id", "xml", text("sent", "urgency", "certainty", "instruction").alias("told"), F.size(text("responseType")).cast("long").alias("responses"))
+    got = {k: F.get("told", F.lit(i)) for i, k in enumerate(("sent", "urgency", "certainty", "instruction"))}
+    return told.select("village_id", *[got[k].alias(k) for k in ("urgency", "certainty", "sent", "instruction")], "responses", F.md5("xml").alias("xml_md5"))
 
 
 def edge_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
