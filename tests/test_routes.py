@@ -77,6 +77,51 @@ def test_search_stays_between_source_and_goal(spark):
     assert all(r.dist == pytest.approx(dijkstra(edges, r.source)[r.target]) for r in got)
 
 
+def meetings(spark, pairs, edges, **settings):
+    p = spark.createDataFrame(pairs, "source long, target long")
+    e = spark.createDataFrame(edges, "src long, dst long, w double")
+    return {(r.source, r.target): r for r in W.meeting_routes(p, e, **settings).collect()}
+
+
+def test_ends_meet_within_small_surroundings(spark):
+    """On a graph of random chords the two ends see few nodes; lengths and ways are those of Dijkstra's search."""
+    rng = random.Random(8)
+    n = 3000
+    one = [(i, rng.randrange(n), float(rng.randint(0, 50))) for i in range(n) for _ in range(3)]
+    edges = one + [(b, a, w) for a, b, w in one]
+    pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(8)] + [(5, 5), (9999, 9999), (9999, 5), (None, 5)]
+    got = meetings(spark, pairs, edges, symmetric=True)
+    assert got.keys() == set(pairs) and np.mean([r.seen for r in got.values()]) < n / 4
+    cost = {}
+    for a, b, w in edges:
+        cost[a, b] = min(w, cost.get((a, b), math.inf))
+    for (s, t), r in got.items():
+        want = None if s is None else dijkstra(edges, s).get(t)
+        assert r.dist == want and (r.path is None) == (want is None)
+        assert want is None or (r.path[0] == s and r.path[-1] == t and sum(cost[e] for e in zip(r.path, r.path[1:])) == want)
+
+
+def test_ends_meet_step_by_step_along_directed_edges(spark, monkeypatch):
+    """One node of each end goes on in a round at first."""
+    monkeypatch.setattr(W, "_STEP", 1)
+    rng = random.Random(4)
+    edges = [(rng.randrange(30), rng.randrange(30), rng.choice([0.0, 1.0, 7.0])) for _ in range(70)] + [(None, 1, 1.0), (1, 2, None)]
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(15)]
+    got = meetings(spark, pairs, edges, unmet=3)
+    assert {p: got[p].dist for p in pairs} == {(s, t): dijkstra(edges, s).get(t) for s, t in pairs}
+
+
+def test_pairs_that_never_meet_are_flooded_once(spark):
+    """Two rings apart: the flood ends such pairs after their first steps, and keeps those that hang together."""
+    ring = [(i, (i + 1) % 10, 1.0) for i in range(10)]
+    edges = ring + [(a + 100, b + 100, w) for a, b, w in ring]
+    pairs = [(0, 5), (3, 104), (101, 108), (105, 7)]
+    both = edges + [(b, a, w) for a, b, w in edges]
+    got = meetings(spark, pairs, both, symmetric=True, unmet=2)
+    assert [got[p].dist for p in pairs] == [5.0, None, 3.0, None]
+    assert got[3, 104].seen < 10 and got[105, 7].seen < 10 and got[3, 104].path is None
+
+
 def test_long_ways_can_be_planned(spark):
     """Forty rounds and more: estimates of size must not grow from round to round."""
     e = spark.range(45).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w"))
