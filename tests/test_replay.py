@@ -118,6 +118,24 @@ def test_ticks_out_of_order_are_chained_in_order(spark, tmp_path):
     assert out.where(F.col("kind") == "AI_FLAGGED").select("slope").first() is not None
 
 
+def test_villages_of_a_cell_share_its_state(spark, tmp_path):
+    """State and rows follow the cells, not the villages: each of 300 villages is told, one state holds them. Villages
+    without an observed cell or without any cell stay safe; a cell that is no longer observed goes back."""
+    schema = "aoi string, t timestamp, cells map<long,struct<p:double,ratio:double>>"
+    rows = [("a", hour(0), {1: (0.9, 1.0), 5: (0.9, 1.0)}), ("a", hour(1), {2: (0.1, 0.1)}), ("z", hour(500), {})]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).write.parquet(str(tmp_path / f"in/{i}"))
+    villages = spark.createDataFrame([("a", v, 1) for v in range(300)] + [("a", 900, 2), ("a", 901, None), ("b", 902, 1)], "aoi string, village_id long, cell_id long")
+    found = []
+    with tick.rocks(spark):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*")).withWatermark("t", "10 hours")
+        query = tick.ticks(stream, villages).writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(lambda b, _: found.extend(b.collect())).start()
+        query.awaitTermination()
+    told = sorted((r.t, r.village_id, r.payload) for r in found if r.kind == "ESCALATED")
+    assert told == [(hour(0), v, f"{v}:GREEN:RED") for v in range(300)] + [(hour(1), v, f"{v}:RED:GREEN") for v in range(300)]
+    assert max(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators) < 100
+
+
 def test_trend_of_points():
     n, x, y, slope, intercept, r2 = tick.fitted([(0, 1.0), (3_600_000, 2.0), (7_200_000, 3.0)])
     assert (n, x, y, slope, intercept, r2) == (3, 2.0, 3.0, 1.0, 1.0, 1.0)
