@@ -46,6 +46,36 @@ def within_km(left: DataFrame, right: DataFrame, km: float, also: tuple[str, ...
     return a.join(b, ["_cy", "_cx", *also]).withColumn("km_apart", d).where(F.col("km_apart") <= km).drop("_cy", "_cx")
 
 
+_FINE = 4  # cells along the distance that pairs of one table may be apart
+
+
+def pairs_within_km(rows: DataFrame, key: str, km: float) -> DataFrame:
+    """Every pair of rows within ``km`` once, anywhere on earth: (``key``, other_id, km_apart), ``key`` < other_id.
+
+    ``rows`` has lat and lon. As in ``within_km``, but cells are a part of the distance, so little more is compared than
+    what is returned, and a row is sent only to its own band and those to the south, so that a pair does not meet twice. The
+    number of pairs can grow with the square of the rows; memory does not: a row is sent to at most 45 cells, dealt over all
+    tasks. What a row alone tells is computed once a row, and most pairs too far apart go by the haversine's sum of squares.
+    """
+    dlat = km_cells(km, 0.0)[0]
+    cy = cell_of(F.col("lat"), dlat / _FINE)
+    far = F.least(F.lit(90.0), F.greatest(F.abs((F.col("_cy") - _FINE) * dlat), F.abs((F.col("_cy") + _FINE + 1) * dlat)) / _FINE)
+    n = F.floor(_FINE * 360.0 / 1.01 * F.cos(F.radians(far)) / dlat)
+    n = F.when(n < 30 * _FINE, F.lit(1)).otherwise(n).cast("long")
+    own = rows.select(key, "lat", "lon", F.cos(F.radians("lat")).alias("_cos"), cy.alias("_cy"))
+    a = own.withColumn("_n", n).withColumn("_cx", F.pmod(_lon_cell(F.col("lon"), F.col("_n")), F.col("_n"))).drop("_n")
+    b = own.select(F.col(key).alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col("_cos").alias("_c"), F.col("_cy").alias("_y"))
+    b = b.withColumn("_cy", F.explode(F.sequence(F.col("_y") - _FINE, "_y"))).withColumn("_n", n).withColumn("_at", _lon_cell(F.col("_lon"), F.col("_n")))
+    b = b.withColumn("_cx", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_at") + i, F.col("_n")) for i in range(-_FINE, _FINE + 1)])))).drop("_n", "_at")
+    half = lambda x, y: F.pow(F.sin(F.radians(F.col(y) - F.col(x)) / 2), F.lit(2))
+    h = half("lat", "_lat") + F.col("_cos") * F.col("_c") * half("lon", "_lon")
+    apart = 2 * C.EARTH_KM * F.atan2(F.sqrt(h), F.sqrt(1 - h))
+    once = ((F.col("_cy") < F.col("_y")) & (F.col(key) != F.col("_id"))) | (F.col(key) < F.col("_id"))
+    near = (h <= math.sin(min(km / C.EARTH_KM, math.pi) / 2) ** 2 * (1 + 1e-9)) & (apart <= km)
+    met = _dealt(a, "_cy", "_cx").join(_dealt(b, "_cy", "_cx"), ["_cy", "_cx"]).where(once & near)
+    return met.select(F.least(key, "_id").alias(key), F.greatest(key, "_id").alias("other_id"), apart.alias("km_apart"))
+
+
 _FAN = 4  # cells along one side that a cell of the next level holds
 _TOP = 16  # at most so many cells are on the top level
 _SMALL = 50_000  # rows of a level that may be broadcast
