@@ -38,7 +38,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -242,12 +241,18 @@ def _bands(min_chars: int, shingle: int, bands: int, rows: int):
 
 
 def _buckets(apart: int, block: int):
-    """Of (key, id, sketch) rows sorted by key and id, the distinct ones with another line in their
+    """Of (key, id, sketch) rows sorted by key, the distinct ones with another line in their
     key that the sketches allow to be similar. Keys beyond ``block`` lines stay as they are."""
 
     def told(key: np.ndarray, own: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lead = np.append(True, key[1:] != key[:-1])
+        more = np.flatnonzero(~lead | ~np.append(lead[1:], True))  # most keys have a single row
+        if not len(more):
+            return
+        more = more[np.lexsort((own[more], key[more]))]
+        key, own, sketch = key[more], own[more], sketch[more].view(np.uint64)
         new = np.append(True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]))
-        key, own, sketch = key[new], own[new], sketch[new].view(np.uint64)
+        key, own, sketch = key[new], own[new], sketch[new]
         edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(edge, len(key)))
         ok = np.repeat(size > block, size)
@@ -280,7 +285,7 @@ def _buckets(apart: int, block: int):
                 held = [[c[last:] for c in cols]]
             elif sum(len(x[0]) for x in held) > 1 << 20:  # a line that very many tasks have sent
                 cols = [np.concatenate(x) for x in zip(*held)]
-                new = np.append(True, cols[1][1:] != cols[1][:-1])
+                new = np.unique(cols[1], return_index=True)[1]
                 held = [[c[new] for c in cols]]
         if held:
             yield from told(*(np.concatenate(x) for x in zip(*held)))
@@ -306,64 +311,88 @@ def _texts(min_chars: int, sent):
     return run
 
 
+class _Sets:
+    """Shingle sets of some lines: sorted codes, and bitmaps that bound how many two sets share.
+
+    A shared shingle sets a bit of both bitmaps; of the smaller set's shingles at most as many as have no bit of
+    their own come on top. So ``near`` loses no similar pair, and ``similar`` counts those it lets through.
+    """
+
+    def __init__(self, lines: list[str], shingle: int):
+        line, code = shingle_codes(lines, shingle)
+        at = np.append(0, np.cumsum(np.bincount(line, minlength=len(lines))))
+        for i in range(len(lines)):
+            code[at[i] : at[i + 1]].sort()
+        new = np.append(True, (code[1:] != code[:-1]) | (line[1:] != line[:-1]))[: len(code)]
+        line, code = line[new], code[new]
+        self.size = np.bincount(line, minlength=len(lines))
+        self.codes = np.split(code, np.cumsum(self.size)[:-1])
+        most = max(64, min(int(self.size.max(initial=1)) * 16, _BITMAPS * 8 // len(lines)))
+        power = most.bit_length() - 1
+        slot = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - power)).astype(np.int64)
+        flags = np.zeros((len(lines), 1 << power), bool)
+        flags.ravel()[line * (1 << power) + slot] = True
+        self.bits = np.packbits(flags, axis=1).view(np.uint64)
+        self.spare = self.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+
+    def near(self, a, b, similarity: float) -> np.ndarray:
+        """Which of the pairs (a, b) can be similar enough."""
+        both = np.bitwise_count(self.bits[a] & self.bits[b]).sum(1, dtype=np.int64) + np.minimum(self.spare[a], self.spare[b])
+        both = np.minimum(both, np.minimum(self.size[a], self.size[b]))
+        return both + 1e-6 >= similarity * (self.size[a] + self.size[b] - both)
+
+    def similar(self, a: int, b: int) -> float:
+        """Exact similarity of two lines."""
+        met = np.concatenate([self.codes[a], self.codes[b]])
+        met.sort()
+        both = int(np.count_nonzero(met[1:] == met[:-1]))
+        return both / (len(met) - both)
+
+
+_BITMAPS = 4 << 20  # bytes of the bitmaps of a group or batch
+
+
 def _verified(pairs: DataFrame, lines: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of line numbers whose lines are similar enough."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
         for batch in batches:
-            a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-            ok = []
-            for i in range(len(a)):
-                if b[i] != last:  # pairs come ordered by b
-                    last, held = b[i], shingle_set(y[i], shingle)
-                if similar(shingle_set(x[i], shingle), held) >= similarity:
-                    ok.append(i)
-            yield _batch("a b", pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64()))
+            for part in chunks(batch, "x", _CHUNK):
+                a, b = (part.column(i).to_numpy() for i in range(2))
+                new = np.append(True, b[1:] != b[:-1])  # pairs come ordered by b
+                heads = part.column(3).take(pa.array(np.flatnonzero(new))).to_pylist()
+                sets = _Sets(part.column(2).to_pylist() + heads, shingle)
+                x, y = np.arange(len(a)), len(a) + np.cumsum(new) - 1
+                near = np.flatnonzero(sets.near(x, y, similarity))
+                ok = np.array([i for i in near.tolist() if sets.similar(i, int(y[i])) >= similarity], np.int64)
+                yield _batch("a b", a[ok], b[ok])
 
     left = lines.select(F.col("v").alias("a"), F.col("line").alias("x"))
     right = lines.select(F.col("v").alias("b"), F.col("line").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-_SMALL = 48  # lines
-
-
 def group_links(ids: list[int], comps: list[int], lines: list[str], shingle: int, similarity: float) -> list[tuple[int, int]]:
     """Links that join the components of similar lines of one group: every pair whose components
-    still differ is compared, in small groups one by one, else by an inverted index over the group's
-    shingles."""
-    if len(lines) <= _SMALL:
-        root, sets, out = list(comps), [shingle_set(s, shingle) for s in lines], []
-        for i, j in combinations(range(len(lines)), 2):
-            if root[i] != root[j] and similar(sets[i], sets[j]) >= similarity:
-                out.append((ids[i], ids[j]))
-                root = [root[i] if r == root[j] else r for r in root]
-        return out
-    line, code = shingle_codes(lines, shingle)
-    order = np.lexsort((code, line))
-    line, code = line[order], code[order]
-    new = np.append(True, (line[1:] != line[:-1]) | (code[1:] != code[:-1]))
-    line, code = line[new], code[new]
-    size = np.bincount(line, minlength=len(lines))
-    at = np.append(0, np.cumsum(size))
-    slot = np.unique(code, return_inverse=True)[1]
-    by_slot = line[np.argsort(slot, kind="stable")]
-    edge = np.append(0, np.cumsum(np.bincount(slot)))
-    root = np.array(comps, np.int64)
-    out = []
-    for i in range(len(lines)):
-        if (root[i + 1 :] == root[i]).all():
-            continue
-        own = slot[at[i] : at[i + 1]]
-        met = np.concatenate([by_slot[s:e] for s, e in zip(edge[own], edge[own + 1])])
-        both = np.bincount(met, minlength=len(lines))
-        near = np.flatnonzero(both >= similarity * (size[i] + size - both))
-        for j in near[near > i].tolist():
-            if root[j] != root[i]:
+    still differ is compared, first by the bound of bitmaps, then exactly."""
+    sets, root, out = _Sets(lines, shingle), np.array(comps, np.int64), []
+
+    def take(pairs):
+        for i, j in pairs:
+            if root[j] != root[i] and sets.similar(i, j) >= similarity:
                 out.append((ids[i], ids[j]))
                 root[root == root[j]] = root[i]
+
+    if len(lines) * sets.bits.nbytes <= _BITMAPS:  # all pairs at once
+        a, b = np.nonzero(np.triu(root[:, None] != root))
+        ok = sets.near(a, b, similarity)
+        take(zip(a[ok].tolist(), b[ok].tolist()))
+        return out
+    for i in range(len(lines) - 1):
+        others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if len(others):
+            take((i, j) for j in others[sets.near(i, others, similarity)].tolist())
     return out
 
 
@@ -394,7 +423,7 @@ def _across(shingle: int, similarity: float):
 def line_components(texts: DataFrame, *, min_chars: int, shingle: int, similarity: float, bands: int, rows: int, apart: int = 18, block: int = 1024) -> DataFrame:
     """(id, id2, component) of the lines that have a similar one. ``texts``: doc, tkey, text."""
     keys = texts.mapInArrow(_bands(min_chars, shingle, bands, rows), _KEYS)
-    shared = materialize(keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_buckets(apart, block), _KEYS).select("key", "id"), "line-buckets")
+    shared = materialize(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_buckets(apart, block), _KEYS).select("key", "id"), "line-buckets")
     wanted = materialize(shared.select("id").distinct(), "line-candidates")
     sent = texts.sparkSession.sparkContext.broadcast(bloom.build(wanted))
     lines = texts.mapInArrow(_texts(max(min_chars, shingle), sent), "id long, id2 long, line string, n long").join(wanted, "id", "left_semi")
