@@ -116,8 +116,9 @@ def replayed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     spark.dataSource.register(R.ReplaySource)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    t = F.window("ts", "6 hours").start.cast("timestamp")
-    e.select("event_id", "value", t.alias("t")).repartitionByRange("t").sortWithinPartitions("t").write.parquet(f"{base}/frames")
+    t = F.window("ts", "6 hours").start.cast("timestamp_ntz")
+    frames = e.select("event_id", "value", t.alias("t")).repartitionByRange("t").sortWithinPartitions("t")
+    frames.write.option("parquet.block.size", 1 << 20).parquet(f"{base}/frames")
     controls = R.Controls(f"{base}/control.json", f"{base}/frames")
 
     def run() -> DataFrame:

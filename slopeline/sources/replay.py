@@ -7,7 +7,9 @@ where the tape was cut lies in a small control file, which a program writes (``C
 source reads. A stream's offset is a position, so a query that is started again on its checkpoint
 goes on where it stopped, whatever was paused, sped up or sought meanwhile.
 
-The driver holds the instants of the frames, the tasks read the rows, one partition for each position.
+The driver holds the instants of the frames, the tasks read the rows, one partition for each position. A task
+reads the row groups that can hold its frame, batch by batch: files sorted by time in small row groups (and with statistics of the
+instant, which Spark's older instants lack) let it pass over the others.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -37,10 +40,31 @@ def _told(kind: pa.DataType) -> pa.DataType:
     return pa.timestamp("us", "UTC") if kind == pa.timestamp("ns") else kind
 
 
+_ROWS, _BYTES = 1 << 14, 1 << 18  # rows of a batch, bytes of a column's buffer
+
+
+def _batches(data: ds.Dataset, columns: Sequence[str], where: ds.Expression | None = None) -> Iterator[pa.RecordBatch]:
+    """The columns of all row groups that can hold such rows, unfiltered, a small batch at a time.
+
+    A scan of the data set would decode whole row groups, several ahead; this holds a batch and a buffer a column.
+    """
+    for piece in data.get_fragments(filter=where):
+        groups = [g.id for g in (piece if where is None else piece.subset(where)).row_groups]
+        if not groups:
+            continue
+        with piece.filesystem.open_input_file(piece.path) as f:
+            file = pq.ParquetFile(f, buffer_size=_BYTES, pre_buffer=False)
+            held = [c for c in columns if c in file.schema_arrow.names]
+            for batch in file.iter_batches(_ROWS, row_groups=groups, columns=held, use_threads=False):
+                made = [batch.column(c).cast(data.schema.field(c).type) if c in held else pa.nulls(batch.num_rows, data.schema.field(c).type) for c in columns]
+                yield pa.RecordBatch.from_arrays(made, list(columns))
+    pa.default_memory_pool().release_unused()
+
+
 def instants(path: str, column: str = "t") -> list[datetime.datetime]:
     """The instants of all frames in order: one column is read, batch by batch."""
     found: set = set()
-    for batch in _dataset(path).to_batches(columns=[column]):
+    for batch in _batches(_dataset(path), [column]):
         values = batch.column(0)
         found.update(pc.unique(values.cast(pa.timestamp("us", values.type.tz))).drop_null().to_pylist())
     return sorted(found)
@@ -154,9 +178,10 @@ class _Rows:
             return
         data = _dataset(self.path)
         t = pa.scalar(partition.t, data.schema.field(self.column).type)
-        for batch in data.to_batches(filter=ds.field(self.column) == t):
+        for batch in _batches(data, data.schema.names, ds.field(self.column) == t):
+            batch = batch.filter(pc.equal(batch.column(self.column), t))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([partition.position] * batch.num_rows, pa.int64()), *[c.cast(_told(c.type)) for c in batch.columns]], ["position", *batch.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(partition.position, pa.int64()), batch.num_rows), *[c.cast(_told(c.type)) for c in batch.columns]], ["position", *batch.schema.names])
 
 
 class BatchReader(_Rows, DataSourceReader):
