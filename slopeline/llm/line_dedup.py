@@ -15,8 +15,8 @@ The query and the pipeline compare every line that is not empty (``min_chars=1``
    about 6. Lines with few shingles, whose bins depend on each other, always stay.
 3. Candidates are verified by exact Jaccard similarity of their shingle sets. In each bucket
    all lines are first compared with the most frequent one. Then every other pair of the bucket that
-   is not yet in one component is compared too, inside the task by an inverted index, which
-   returns links between components only: pairs inside a component can't change it, so the
+   is not yet in one component is compared too, inside the task by bitmaps that bound the similarity
+   and then exactly, which returns links between components only: pairs inside a component can't change it, so the
    result is that of comparing all pairs, without making a list of them. Large buckets are
    compared block by block.
 4. Distributed union-find over the verified links; the first line of each component, by
