@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 from collections import defaultdict
 
 import pytest
@@ -108,3 +109,60 @@ def test_estimates_do_not_grow_with_rounds(spark):
     levels = B.forest(nodes, edges)
     assert len(levels) == 9
     assert max(map(size, [G.components(nodes, edges), *levels, *B.numbered(levels)])) < 10**7
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written for shuffles."""
+    time.sleep(1)
+    seen = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(seen.apply(i).totalShuffleWrite() for i in range(seen.size()))
+
+
+@pytest.fixture
+def by_shuffles(spark):
+    """Small tables join as large ones do."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def random_trade(spark):
+    rng = random.Random(5)
+    return tables(spark, range(3000), [(rng.randrange(1500), 1500 + rng.randrange(1500)) for _ in range(12000)])
+
+
+def test_cut_nodes_move_edges_few_times(spark, by_shuffles):
+    """Every level used to move the whole table of edges: 7.6 MB here, 1.7 MB since levels move their own rows."""
+    n, e = random_trade(spark)
+    before = shuffled(spark)
+    B.cut_nodes(n, e).collect()
+    assert shuffled(spark) - before < 3_000_000
+
+
+@pytest.mark.parametrize("at_once", (0, 500_000))
+def test_cut_nodes_by_rounds_and_at_once(spark, monkeypatch, at_once):
+    """Graphs with circles of odd length, a star, a path, loops, parallel edges; the rounds and the task that ends them."""
+    monkeypatch.setattr(B, "AT_ONCE", at_once)
+    rng = random.Random(7)
+    edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(99, i) for i in range(50, 60)] + [(i, i + 1) for i in range(60, 66)]
+    edges += [(70, 71), (71, 72), (72, 70), (72, 73), (73, 74), (74, 72), (70, 70), (70, 71)]
+    nodes = [*range(90), 99]
+    n, e = tables(spark, nodes, edges)
+    want, _ = search(nodes, edges)
+    assert {r.node: r.parts for r in B.cut_nodes(n, e).collect()} == want
+    names = e.select(F.concat(F.lit("n"), "a").alias("a"), F.concat(F.lit("n"), "b").alias("b"))
+    if at_once:
+        assert {r.node: r.parts for r in B.cut_nodes(n.select(F.concat(F.lit("n"), "node").alias("node")), names).collect()} == {f"n{k}": v for k, v in want.items()}
+    else:
+        roots = {r.node: r.root for r in B.gathered(e.where("a <> b")).collect()}
+        near = {r.node: r.component for r in G.components(n, e).collect()}
+        assert len({(near[k], v) for k, v in roots.items()}) == len({near[k] for k in roots}) == len(set(roots.values()))
+
+
+def test_supply_cut_nodes_of_keys_too_large_to_number(spark, tmp_path):
+    """Keys at the ends of a long, negative ones and missing ones."""
+    big = (1 << 63) - 1
+    spark.createDataFrame([(big, -5), (2, -5), (3, None), (-4, 9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(big, 7), (2, 8), (2, -big - 1), (-4, None), (-4, 1)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r.node: r.parts for r in N.supply_cut_nodes(spark, str(tmp_path)).collect()}
+    assert found == {f"O{big}": 2, "C-5": 2, "O2": 3, "O-4": 2}
